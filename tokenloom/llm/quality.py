@@ -24,7 +24,7 @@ GAMMA = 1.02
 SPREAD = 4.0
 MIN_GROUP = 50
 #: Ratios, the side on which they can be bad, and the least distance of a limit from the median.
-RATIOS = {"symbols_per_word": ("high", 0.2), "repeat_share": ("high", 0.1), "dup_line_share": ("high", 0.2), "upper_share": ("high", 0.15), "mean_word": ("both", 1.5)}
+RATIOS = {"symbols_per_word": ("high", 0.2), "repeat_share": ("high", 0.2), "echo_share": ("high", 0.1), "dup_line_share": ("high", 0.34), "upper_share": ("high", 0.15), "mean_word": ("both", 3.0)}
 #: Groups of language and source up to which the limits are broadcast; beyond it the join shuffles.
 BROADCAST_GROUPS = 20_000
 
@@ -56,22 +56,23 @@ def repeated_words(words: Column, width: int = 5) -> Column:
 
 
 def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the base counts (long), upper-case letters and lines with a word."""
+    """docs with the base counts (long), upper-case letters, lines with a word, and words equal to the one before them."""
     whole = F.coalesce(F.col(text), F.lit(""))
     trimmed = F.btrim(whole, F.lit(_SPACES))
     lines = F.filter(F.split(whole, "\n", -1), lambda x: F.btrim(x, F.lit(_SPACES)) != "")
 
     def counts(words: Column) -> Column:
-        return F.struct(F.size(words).alias("n"), repeated_words(words).alias("r"))
+        return F.struct(F.size(words).alias("n"), repeated_words(words).alias("r"), F.size(F.filter(words, lambda x, i: (i > 0) & (F.get(words, i - 1) == x))).alias("e"))
 
     empty = trimmed == ""
     words = bind(F.split(trimmed, "[ \\t-\\r]+", -1), counts)
     line = bind(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d")))
-    docs = docs.drop(*BASE, "n_upper", "n_lines", "__w", "__l").withColumn("__w", F.when(~empty, words)).withColumn("__l", line)
+    docs = docs.drop(*BASE, "n_upper", "n_lines", "n_echoes", "__w", "__l").withColumn("__w", F.when(~empty, words)).withColumn("__l", line)
     return docs.withColumns(
         {
             "n_words": F.coalesce(F.col("__w.n"), F.lit(0)).cast("long"),
             "n_repeat_words": F.coalesce(F.col("__w.r"), F.lit(0)).cast("long"),
+            "n_echoes": F.coalesce(F.col("__w.e"), F.lit(0)).cast("long"),
             "n_lines": F.col("__l.n").cast("long"),
             "n_dup_lines": F.col("__l.d").cast("long"),
             "word_chars": F.length(F.regexp_replace(whole, "[ \\t-\\r]+", "")).cast("long"),
@@ -89,6 +90,7 @@ def with_ratios(features: DataFrame) -> DataFrame:
             "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
             "symbols_per_word": F.col("n_symbols") / words,
             "repeat_share": F.col("n_repeat_words") / words,
+            "echo_share": F.col("n_echoes") / words,
             "dup_line_share": F.when(F.col("n_lines") > 0, F.col("n_dup_lines") / F.col("n_lines")),
             "upper_share": F.col("n_upper") / F.when(F.col("word_chars") > 0, F.col("word_chars")),
             "mean_word": F.col("word_chars") / words,
