@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import hnsw, html_extract, langid, mixing, quality, token_count, toxicity
+from tokenloom.llm import hnsw, html_extract, langid, mixing, quality, sentencepiece_codec, token_count, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_html_extraction")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op2_sentencepiece")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode_column(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
