@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import binary_output, hnsw, html_extract, langid, mixing, quality, sentencepiece_codec, token_count, toxicity
+from tokenloom.llm import binary_output, hnsw, html_extract, jaccard_join, langid, mixing, quality, sentencepiece_codec, token_count, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_token_shards")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_output.token_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query("op9_ngram_jaccard_join")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
