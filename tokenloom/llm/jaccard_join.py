@@ -2,17 +2,21 @@
 
 A document is the set of its distinct WIDTH-word shingles, each a 64-bit hash; equal sets are joined first and count as
 one node, named by a hash of the set. Sets are put into size bands so that a pair of similar sets lies in one band or
-in two adjacent ones. For each of its two pairs of adjacent bands a set has a parity sketch: its shingles fall by
+in two adjacent ones. For each of its two pairs of adjacent bands a set has parity sketches: its shingles fall by
 hash into m cells, and a cell holds the XOR of its shingles' hashes. A shingle that only one of two sets has changes
-one cell at most, so the number of differing cells is a lower bound of the symmetric difference. Similar sets of the
-bands differ in at most m - 1 shingles, so one cell at least is equal; sketches are repeated with other hashes until
-CELLS cells are there, and of longer sketches the first CELLS cells are used. Similar sets share a given cell, not
-empty, with a chance of over 0.27 each, so the chance to share none of CELLS is under 1e-8 for a pair at the threshold
-and far smaller above it.
+one cell at most, so the number of differing cells is a lower bound of the symmetric difference, and similar sets
+have equal cells. Two sketches are used:
 
-Sets that share a cell are candidates. In each cell every set is first verified against the smallest one (the
-pivot). Sets that pass are in one component. For cells with sets that fail, the pairs between different components are
-verified too, so no link between components is lost, though equal groups are never expanded into all pairs.
+- COARSE, with at most about 4 shingles a cell and more cells than similar sets have differing shingles. In each cell
+  every set is held against the smallest one (the pivot), so a cell gives as many pairs as it has sets, and a task sends
+  only its own pivot of a cell. If all sets of a cell pass, they are in one component.
+- FINE, with about 9 shingles a cell, for the sets of cells in which one fails, such as those of a passage that many
+  documents share. Two sets with a tenth of their shingles in common have an equal cell with a chance of 1e-4; sets at
+  the threshold have none with a chance under 1e-8. Only pairs between different components are held against each other.
+
+A pair is verified in two steps: the Hamming distance of two bit sketches (each bit the parity of the shingles that
+fall to it) is a lower bound of the symmetric difference and drops nearly all pairs that are not similar; the others
+are compared by their whole sets of hashes.
 
 Defined cases: null texts and texts without words have the empty set and link with nothing; texts with fewer than WIDTH
 words are one shingle; null ids link with nothing; repeated rows are exact copies; an empty table gives an empty result;
@@ -34,7 +38,10 @@ from tokenloom.llm.components import connected_components
 WIDTH = 5
 #: Similar: PART * |intersection| >= WHOLE * |union|.
 PART, WHOLE = 100, 75
-CELLS = 64
+#: (shingles in a cell of the largest sets of a band, cells used), the second with a few more cells for small sets.
+COARSE, FINE = (3, 64), (9, 256)
+#: Bits of the sketch that drops pairs, for each shingle, at least.
+BITS = 4
 #: (cell, node) pairs in one group of the candidate search, and those that a task gathers before it sends them on.
 GROUP_PAIRS = 1_500_000
 SEND_PAIRS = 1_000_000
@@ -42,16 +49,22 @@ SEND_PAIRS = 1_000_000
 BROADCAST_IDS = 1_000_000
 
 
-def bands() -> tuple[np.ndarray, np.ndarray]:
-    """(first size of each band, cells of the sketch for the band and the next one)."""
+def bands() -> np.ndarray:
+    """The first size of each band; the last one only ends the band before it."""
     first = [1]
     while first[-1] < 1 << 40:
         first.append(max(first[-1] + 1, 4 * (first[-1] - 1) // 3 + 1))
-    first = np.asarray(first, np.int64)
-    return first[:-1], (first[1:] - 1) // 3 + 1
+    return np.asarray(first, np.int64)
+
+
+_FIRST = bands()
 
 
-_FIRST, _SIZE = bands()
+def sketch_sizes(load: int) -> np.ndarray:
+    """Cells of the sketch of each band and the next one: more than similar sets differ in (COARSE), or one for each `load` shingles and one more."""
+    if load == COARSE[0]:
+        return (_FIRST[1:-1] - 1) // load + 1
+    return np.where(_FIRST[1:-1] > 3, (_FIRST[2:] - 1) // load + 2, 1)  # sets of up to 2 shingles are similar to equal ones only
 
 
 def fingerprints(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -63,25 +76,47 @@ def fingerprints(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def cells(hashes: np.ndarray, bounds: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, node) of every used cell of every set's sketches; equal keys mean equal cells."""
+def bit_sketches(hashes: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """The parity sketch of each set: a power of two of bits, BITS to 2 * BITS for each shingle."""
+    out = []
+    for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+        bits = 1 << max(6, (BITS * (b - a) - 1).bit_length())
+        at = mix(hashes[a:b] + np.uint64(5)) & np.uint64(bits - 1)
+        out.append(np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").tobytes())
+    return out
+
+
+def differ(x: bytes, y: bytes) -> int:
+    """The Hamming distance of two bit sketches, the longer one folded to the length of the other."""
+    u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(u) > len(v):
+        u = u[: len(u) // 2] ^ u[len(u) // 2 :]
+    while len(v) > len(u):
+        v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+    return int(np.bitwise_count(u ^ v).sum())
+
+
+def cells(hashes: np.ndarray, bounds: np.ndarray, sketch: tuple[int, int] = COARSE) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) of every used cell of every set's sketches; equal keys mean equal cells."""
+    load, most = sketch
+    sizes = sketch_sizes(load)
     size = np.diff(bounds)
     owner = np.repeat(np.arange(len(size)), size)
     band = np.searchsorted(_FIRST, size, side="right") - 1
     keys, owners = [], []
     for role in (0, 1):
         joint = np.where(size > 0, band - role, -1)
-        m = np.where(joint >= 0, _SIZE[np.maximum(joint, 0)], 1)
-        rounds = np.where(m > 1, -(-CELLS // m), 0)
+        m = np.where(joint >= 0, sizes[np.maximum(joint, 0)], 1)
+        rounds = np.where(m > 1, -(-most // m), 0)
         for turn in range(int(rounds.max(initial=0))):
             mine = rounds[owner] > turn
             o = owner[mine]
-            seed = mix((joint[o].astype(np.uint64) << np.uint64(16)) + np.uint64(turn + 1))
+            seed = mix((joint[o].astype(np.uint64) << np.uint64(16)) + np.uint64(turn + 1 + (load << 10)))
             x = mix(hashes[mine] ^ seed)
             cell = ((x >> np.uint64(32)) * m[o].astype(np.uint64)) >> np.uint64(32)
-            used = cell < CELLS
+            used = cell < most
             o, cell, value = o[used], cell[used], mix(x[used])
-            group = o * CELLS + cell.astype(np.int64)
+            group = o * most + cell.astype(np.int64)
             order = np.argsort(group, kind="stable")
             group = group[order]
             if not len(group):
@@ -89,40 +124,49 @@ def cells(hashes: np.ndarray, bounds: np.ndarray, nodes: np.ndarray) -> tuple[np
             begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
             parity = np.bitwise_xor.reduceat(value[order], begin)
             group = group[begin]
-            keys.append(mix(parity + mix(seed[used][order][begin] + (group % CELLS).astype(np.uint64))))
-            owners.append(group // CELLS)
+            keys.append(mix(parity + mix(seed[used][order][begin] + (group % most).astype(np.uint64))))
+            owners.append(group // most)
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(keys), nodes[np.concatenate(owners)]
+    return np.concatenate(keys), np.concatenate(owners)
 
 
 def document_nodes(docs: DataFrame) -> DataFrame:
-    """(id, n_shingles, node) for docs(id, text)."""
+    """(id, n_shingles, node, sketch) for docs(id, text)."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             hashes, bounds = shingle_sets(batch.column("text"), WIDTH)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(bounds)), pa.array(fingerprints(hashes, bounds))], ["id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(bounds)), pa.array(fingerprints(hashes, bounds)), pa.array(bit_sketches(hashes, bounds), pa.binary())], ["id", "n_shingles", "node", "sketch"])
+
+    return docs.mapInArrow(found, "id long, n_shingles long, node long, sketch binary")
+
 
-    return docs.mapInArrow(found, "id long, n_shingles long, node long")
+def packed(columns: list[np.ndarray], bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, its rows of the columns, as bytes)."""
+    order = np.argsort(bucket, kind="stable")
+    begin = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    data = np.stack(columns, axis=1)[order]
+    for g in np.flatnonzero(np.diff(begin)).tolist():
+        yield g, data[begin[g] : begin[g + 1]].tobytes()
 
 
-def candidates(docs: DataFrame, groups: int) -> DataFrame:
-    """(key, a, b): in the cell `key`, pivot a and member b. Pairs that are alone in their cell have key 0."""
+def unpacked(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    found = [np.frombuffer(x.as_buffer(), np.int64).reshape(-1, width) for x in column if x.is_valid]
+    return np.concatenate(found) if found else np.zeros((0, width), np.int64)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def in_cells(docs: DataFrame, sketch: tuple[int, int], send, join, columns: str, schema: str) -> DataFrame:
+    """join() over the rows that send(keys, rows of the batch, new rows' nodes, batch) gives for the cells of docs(text, ...), each set once a task."""
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting: list[tuple[np.ndarray, ...]] = []
 
-        def packed() -> pa.RecordBatch:
-            keys, nodes = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        def flush() -> pa.RecordBatch:
+            rows = send(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
             waiting.clear()
-            group = (keys % np.uint64(groups)).astype(np.int64)
-            order = np.argsort(group, kind="stable")
-            begin = np.searchsorted(group[order], np.arange(groups + 1))
-            data = np.stack([keys.view(np.int64), nodes], axis=1)[order]
-            some = np.flatnonzero(np.diff(begin))
-            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([data[begin[g] : begin[g + 1]].tobytes() for g in some], pa.binary())], ["bucket", "pairs"])
+            return rows
 
         for batch in slices(batches, "text"):
             hashes, bounds = shingle_sets(batch.column("text"), WIDTH)
@@ -132,36 +176,71 @@ def candidates(docs: DataFrame, groups: int) -> DataFrame:
                 new[i] = node != 0 and node not in seen
                 seen.add(node)
             sizes = np.diff(bounds)
-            kept = hashes[np.repeat(new, sizes)]
-            found = cells(kept, np.concatenate([[0], np.cumsum(sizes[new])]), nodes[new])
-            if len(found[0]):
-                waiting.append(found)
-            if sum(len(k) for k, _ in waiting) >= SEND_PAIRS:
-                yield packed()
+            keys, owners = cells(hashes[np.repeat(new, sizes)], np.concatenate([[0], np.cumsum(sizes[new])]), sketch)
+            if len(keys):
+                named = np.asarray(batch.column("component"))[new] if "component" in batch.schema.names else nodes[new]
+                waiting.append((keys.view(np.int64), nodes[new][owners], named[owners]))
+            if sum(len(x[0]) for x in waiting) >= SEND_PAIRS:
+                yield flush()
         if waiting:
-            yield packed()
+            yield flush()
+
+    return docs.mapInArrow(sent, columns).groupBy("bucket").applyInArrow(join, schema)
+
+
+def begins(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+
+
+def stars(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows (key, node): the first row of each key, and (key, that node, other node) for its other nodes."""
+    data = data[np.lexsort((data[:, 1], data[:, 0]))]
+    begin = begins(data[:, 0])
+    pivot = np.repeat(begin, np.diff(np.append(begin, len(data))))
+    other = data[:, 1] != data[pivot, 1]
+    other[1:] &= (data[1:] != data[:-1]).any(axis=1)
+    return data[begin], np.stack([data[other, 0], data[pivot[other], 1], data[other, 1]], axis=1)
+
+
+def coarse_candidates(docs: DataFrame, buckets: int) -> DataFrame:
+    """(key, a, b): in the COARSE cell `key`, pivot a and member b. Pivots of a task meet in the key's bucket; its other pairs go to any."""
+
+    def send(keys: np.ndarray, nodes: np.ndarray, _: np.ndarray) -> pa.RecordBatch:
+        pivots, pairs = stars(np.stack([keys, nodes], axis=1))
+        rows = [(g, x, None) for g, x in packed(list(pivots.T), (pivots[:, 0].view(np.uint64) % np.uint64(buckets)).astype(np.int64), buckets)]
+        rows += [(g, None, x) for g, x in packed(list(pairs.T), np.arange(len(pairs)) % buckets, buckets)]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "pivots", "pairs"])
 
     def join(group: pa.Table) -> pa.Table:
-        data = np.concatenate([np.frombuffer(x.as_py(), np.int64).reshape(-1, 2) for x in group.column("pairs")])
+        found = np.concatenate([stars(unpacked(group.column("pivots"), 2))[1], unpacked(group.column("pairs"), 3)])
+        return pa.table(dict(zip(("key", "a", "b"), found.T, strict=True)))
+
+    return in_cells(docs.select("text"), COARSE, send, join, "bucket int, pivots binary, pairs binary", "key long, a long, b long")
+
+
+def fine_candidates(docs: DataFrame, buckets: int) -> DataFrame:
+    """(a, b): sets of docs(text, component) of different components that have an equal FINE cell."""
+
+    def send(keys: np.ndarray, nodes: np.ndarray, components: np.ndarray) -> pa.RecordBatch:
+        rows = list(packed([keys, nodes, components], (keys.view(np.uint64) % np.uint64(buckets)).astype(np.int64), buckets))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "members"])
+
+    def join(group: pa.Table) -> pa.Table:
+        data = unpacked(group.column("members"), 3)
         data = data[np.lexsort((data[:, 1], data[:, 0]))]
-        fresh = np.ones(len(data), bool)
-        fresh[1:] = (data[1:] != data[:-1]).any(axis=1)
-        data = data[fresh]
-        begin = np.flatnonzero(np.concatenate([[True], data[1:, 0] != data[:-1, 0]]))
-        count = np.diff(np.append(begin, len(data)))
-        two = begin[count == 2]
-        pairs = np.unique(np.stack([data[two, 1], data[two + 1, 1]], axis=1), axis=0)
-        many = np.flatnonzero(count > 2)
-        if len(many):
-            members = np.add.reduceat(mix(data[:, 1].astype(np.uint64)), begin)[many]
-            many = many[np.unique(members, return_index=True)[1]]  # one cell for each set of members
-        inner = np.repeat(begin[many], count[many] - 1)
-        offset = np.arange(len(inner)) - np.repeat(np.cumsum(count[many] - 1) - (count[many] - 1), count[many] - 1) + 1
-        key = np.concatenate([np.zeros(len(pairs), np.int64), data[inner, 0]])
-        return pa.table({"key": key, "a": np.concatenate([pairs[:, 0], data[inner, 1]]), "b": np.concatenate([pairs[:, 1], data[inner + offset, 1]])})
-
-    sent = docs.select("text").mapInArrow(send, "bucket int, pairs binary")
-    return sent.groupBy("bucket").applyInArrow(join, "key long, a long, b long")
+        begin = begins(data[:, 0])
+        found = [np.zeros((0, 2), np.int64)]
+        for first, end in zip(begin, np.append(begin[1:], len(data)), strict=True):
+            if end - first > 1 and (data[first:end, 2] != data[first, 2]).any():
+                members = np.unique(data[first:end, 1:], axis=0)
+                for i in range(len(members) - 1):
+                    other = members[i + 1 :][members[i + 1 :, 1] != members[i, 1], 0]
+                    found.append(np.stack([np.full(len(other), members[i, 0]), other], axis=1))
+        found = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+    return in_cells(docs.select("text", "component"), FINE, send, join, "bucket int, members binary", "a long, b long").distinct()
 
 
 def shingle_blobs(docs: DataFrame) -> DataFrame:
@@ -175,65 +254,75 @@ def shingle_blobs(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(found, "node long, hashes binary")
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, linked) for pairs(a, b): whether the sets are similar, by their whole hashes."""
+def verify(pairs: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
+    """(a, b): the pairs that are similar. nodes: (node, id, n_shingles, sketch), id being that of one row of source(id, text)."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = np.asarray(batch.column("m")) + np.asarray(batch.column("n"))
+            # similar: PART * i >= WHOLE * u, where u + i = total and u - i is the symmetric difference
+            most = total * (PART - WHOLE) // (PART + WHOLE)
+            close = [differ(x.as_buffer(), y.as_buffer()) <= d for x, y, d in zip(batch.column("x"), batch.column("y"), most.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(close, pa.bool_()))
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if PART * min(len(x), len(y)) < WHOLE * max(len(x), len(y)):
-                    out.append(False)
-                    continue
                 both = np.concatenate([x, y])
                 both.sort(kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
                 out.append(PART * shared >= WHOLE * (len(both) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.bool_())], ["a", "b", "linked"])
-
-    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(checked, "a long, b long, linked boolean")
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(out, pa.bool_()))
+
+    left = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("m"), F.col("sketch").alias("x"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("n"), F.col("sketch").alias("y"))
+    sized = pairs.join(left.drop("x"), "a").join(right.drop("y"), "b").where(PART * F.least("m", "n") >= WHOLE * F.greatest("m", "n")).select("a", "b")
+    survivors = cut(sized.join(left, "a").join(right, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(near, "a long, b long"))
+    wanted = survivors.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("id")
+    sets = cut(shingle_blobs(only(source, wanted)).dropDuplicates(["node"]))
+    first = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
+    second = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+    return cut(survivors.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(checked, "a long, b long"))
+
+
+def only(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of source whose id is in wanted(id, ...), with wanted's other columns."""
+    wanted = cut(wanted)
+    if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    return source.join(wanted, "id")
 
 
-def unsettled(rows: DataFrame, failed: DataFrame, linked: DataFrame) -> DataFrame:
-    """(a, b): pairs of different components that share a cell in which a member failed against the pivot."""
-    keys = rows.where("key <> 0").join(failed, ["a", "b"], "left_semi").select("key").distinct()
-    inside = rows.join(keys, "key", "left_semi")
-    members = inside.select("key", F.col("b").alias("node")).union(inside.select("key", F.col("a").alias("node")).distinct())
-    parts = connected_components(linked)
-    members = members.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    x, y = members.alias("x"), members.alias("y")
-    apart = x.join(y, F.col("x.key") == F.col("y.key")).where("x.node < y.node and x.component <> y.component")
-    return apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+def unsettled(rows: DataFrame, linked: DataFrame, parts: DataFrame) -> DataFrame:
+    """(node, component): the sets of the cells in which a set is not of the pivot's component, by the links found so far."""
+    part = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    apart = rows.join(linked.withColumn("linked", F.lit(True)), ["a", "b"], "left").where("linked is null").select("key", "a", "b")
+    apart = apart.join(part("a"), "a", "left").join(part("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)")
+    inside = rows.join(apart.select("key").distinct(), "key", "left_semi")
+    members = inside.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return members.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def similar_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) for every row."""
     source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
     nodes = cut(document_nodes(source))
-    usable = nodes.where("node <> 0 and id is not null")
-    first = usable.groupBy("node").agg(F.min("id").alias("id"))
-    groups = max(24, -(-first.count() * 2 * CELLS // GROUP_PAIRS))
-    rows = cut(candidates(source.where("id is not null"), groups))
-    pairs = rows.select("a", "b").distinct()
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first, "node").select("id"))
-    if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    sets = cut(shingle_blobs(source.join(wanted, "id", "left_semi")).dropDuplicates(["node"]))
-    verified = cut(verify(pairs, sets))
-    while True:
-        links = verified.where("linked").select("a", "b")
-        more = cut(unsettled(rows, verified.where("not linked"), links).join(verified, ["a", "b"], "left_anti"))
-        if not more.take(1):
-            break
-        verified = cut(verified.union(verify(more, sets)))
+    first = nodes.where("node <> 0 and id is not null").groupBy("node").agg(F.min_by(F.struct("id", "n_shingles", "sketch"), "id").alias("x"))
+    first = cut(first.select("node", "x.*"))
+    n = first.count()
+    rows = cut(coarse_candidates(source.where("id is not null"), max(24, -(-n * 2 * COARSE[1] // GROUP_PAIRS))))
+    links = verify(rows.select("a", "b").distinct(), first, source)
+    parts = connected_components(links)
+    open_ = cut(unsettled(rows, links, parts).join(first.select("node", "id"), "node"))
+    fine = fine_candidates(only(source, open_.select("id", "component")), max(24, -(-open_.count() * 2 * FINE[1] // GROUP_PAIRS)))
+    links = links.union(verify(fine.join(rows.select("a", "b").distinct(), ["a", "b"], "left_anti"), first, source))
     parts = connected_components(links)
     named = first.join(parts, "node").groupBy("component").agg(F.min("id").alias("component_id"))
     named = parts.join(named, "component").select("node", "component_id")
     classes = first.join(named, "node", "left").select("node", F.coalesce("component_id", "id").alias("component_id"))
-    joined = nodes.withColumn("node", F.when(F.col("id").isNotNull() & (F.col("node") != 0), F.col("node"))).join(classes, "node", "left")
+    joined = nodes.select("id", "n_shingles", F.when(F.col("id").isNotNull() & (F.col("node") != 0), F.col("node")).alias("node")).join(classes, "node", "left")
     return joined.select(F.col("id").alias(id_column), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
 
