@@ -9,10 +9,12 @@ have equal cells. Two sketches are used:
 
 - COARSE, with at most about 4 shingles a cell and more cells than similar sets have differing shingles. In each cell
   every set is held against the smallest one (the pivot), so a cell gives as many pairs as it has sets, and a task sends
-  only its own pivot of a cell. If all sets of a cell pass, they are in one component.
-- FINE, with about 9 shingles a cell, for the sets of cells in which one fails, such as those of a passage that many
-  documents share. Two sets with a tenth of their shingles in common have an equal cell with a chance of 1e-4; sets at
-  the threshold have none with a chance under 1e-8. Only pairs between different components are held against each other.
+  only its own pivot of a cell. If all sets of a cell pass, they are in one component. Where one fails, all are held
+  against a second pivot, the set that shares its cells with the most others: of near copies, the one they were made of.
+- FINE, with about 9 shingles a cell, for the sets of cells in which one still fails, such as those of a passage that
+  many documents share. Shingles that are frequent among these sets are left out of the sketches of sets that consist
+  of others for the most part, which lowers the symmetric difference only. Sets at the threshold have no equal cell
+  with a chance under 1e-8. Only pairs between different components are held against each other.
 
 A pair is verified in two steps: the Hamming distance of two bit sketches (each bit the parity of the shingles that
 fall to it) is a lower bound of the symmetric difference and drops nearly all pairs that are not similar; the others
@@ -40,6 +42,11 @@ WIDTH = 5
 PART, WHOLE = 100, 75
 #: (shingles in a cell of the largest sets of a band, cells used), the second with a few more cells for small sets.
 COARSE, FINE = (3, 64), (9, 256)
+#: Shingles that are left out of fine sketches: at most FREQUENT, each in COMMON sets at least. Any choice gives the same links.
+FREQUENT, COMMON = 50_000, 50
+#: Share of other shingles from which these alone are sketched, and under which all are; between them a set has both sketches.
+#: Sets at the threshold differ in 2/7 of their sizes, so two similar sets always have a sketch of one kind in common.
+OTHERS, FEW_OTHERS = 0.55, 0.38
 #: Bits of the sketch that drops pairs, for each shingle, at least.
 BITS = 4
 #: (cell, node) pairs in one group of the candidate search, and those that a task gathers before it sends them on.
@@ -96,12 +103,10 @@ def differ(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(u ^ v).sum())
 
 
-def cells(hashes: np.ndarray, bounds: np.ndarray, sketch: tuple[int, int] = COARSE) -> tuple[np.ndarray, np.ndarray]:
-    """(key, row) of every used cell of every set's sketches; equal keys mean equal cells."""
+def cells(hashes: np.ndarray, owner: np.ndarray, size: np.ndarray, sketch: tuple[int, int] = COARSE, kind: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) of every used cell of the sketches of sets of the given sizes, over the hashes of the row's set or some of them."""
     load, most = sketch
     sizes = sketch_sizes(load)
-    size = np.diff(bounds)
-    owner = np.repeat(np.arange(len(size)), size)
     band = np.searchsorted(_FIRST, size, side="right") - 1
     keys, owners = [], []
     for role in (0, 1):
@@ -111,7 +116,7 @@ def cells(hashes: np.ndarray, bounds: np.ndarray, sketch: tuple[int, int] = COAR
         for turn in range(int(rounds.max(initial=0))):
             mine = rounds[owner] > turn
             o = owner[mine]
-            seed = mix((joint[o].astype(np.uint64) << np.uint64(16)) + np.uint64(turn + 1 + (load << 10)))
+            seed = mix((joint[o].astype(np.uint64) << np.uint64(16)) + np.uint64(turn + 1 + (load << 10) + (kind << 14)))
             x = mix(hashes[mine] ^ seed)
             cell = ((x >> np.uint64(32)) * m[o].astype(np.uint64)) >> np.uint64(32)
             used = cell < most
@@ -156,36 +161,31 @@ def unpacked(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros((0, width), np.int64)
 
 
-def in_cells(docs: DataFrame, sketch: tuple[int, int], send, join, columns: str, schema: str) -> DataFrame:
-    """join() over the rows that send(keys, rows of the batch, new rows' nodes, batch) gives for the cells of docs(text, ...), each set once a task."""
-
-    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        waiting: list[tuple[np.ndarray, ...]] = []
-
-        def flush() -> pa.RecordBatch:
-            rows = send(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
+def new_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(batch, rows, their nodes, hashes, bounds) of the sets of batches that this task has not met yet."""
+    seen: set[int] = {0}
+    for batch in slices(batches, "text"):
+        hashes, bounds = shingle_sets(batch.column("text"), WIDTH)
+        nodes = fingerprints(hashes, bounds)
+        new = np.zeros(len(nodes), bool)
+        for i, node in enumerate(nodes.tolist()):
+            new[i] = node not in seen
+            seen.add(node)
+        sizes = np.diff(bounds)
+        yield batch, np.flatnonzero(new), nodes[new], hashes[np.repeat(new, sizes)], np.concatenate([[0], np.cumsum(sizes[new])])
+
+
+def gathered(parts: Iterator[tuple[np.ndarray, ...]], send) -> Iterator[pa.RecordBatch]:
+    """send(columns) for about SEND_PAIRS rows at a time."""
+    waiting: list[tuple[np.ndarray, ...]] = []
+    for part in parts:
+        if len(part[0]):
+            waiting.append(part)
+        if sum(len(x[0]) for x in waiting) >= SEND_PAIRS:
+            yield send(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
             waiting.clear()
-            return rows
-
-        for batch in slices(batches, "text"):
-            hashes, bounds = shingle_sets(batch.column("text"), WIDTH)
-            nodes = fingerprints(hashes, bounds)
-            new = np.zeros(len(nodes), bool)
-            for i, node in enumerate(nodes.tolist()):
-                new[i] = node != 0 and node not in seen
-                seen.add(node)
-            sizes = np.diff(bounds)
-            keys, owners = cells(hashes[np.repeat(new, sizes)], np.concatenate([[0], np.cumsum(sizes[new])]), sketch)
-            if len(keys):
-                named = np.asarray(batch.column("component"))[new] if "component" in batch.schema.names else nodes[new]
-                waiting.append((keys.view(np.int64), nodes[new][owners], named[owners]))
-            if sum(len(x[0]) for x in waiting) >= SEND_PAIRS:
-                yield flush()
-        if waiting:
-            yield flush()
-
-    return docs.mapInArrow(sent, columns).groupBy("bucket").applyInArrow(join, schema)
+    if waiting:
+        yield send(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
 
 
 def begins(keys: np.ndarray) -> np.ndarray:
@@ -206,7 +206,16 @@ def stars(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def coarse_candidates(docs: DataFrame, buckets: int) -> DataFrame:
     """(key, a, b): in the COARSE cell `key`, pivot a and member b. Pivots of a task meet in the key's bucket; its other pairs go to any."""
 
-    def send(keys: np.ndarray, nodes: np.ndarray, _: np.ndarray) -> pa.RecordBatch:
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts():
+            for _, _, nodes, hashes, bounds in new_sets(batches):
+                size = np.diff(bounds)
+                keys, owners = cells(hashes, np.repeat(np.arange(len(size)), size), size)
+                yield keys.view(np.int64), nodes[owners]
+
+        yield from gathered(parts(), send)
+
+    def send(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
         pivots, pairs = stars(np.stack([keys, nodes], axis=1))
         rows = [(g, x, None) for g, x in packed(list(pivots.T), (pivots[:, 0].view(np.uint64) % np.uint64(buckets)).astype(np.int64), buckets)]
         rows += [(g, None, x) for g, x in packed(list(pairs.T), np.arange(len(pairs)) % buckets, buckets)]
@@ -216,11 +225,40 @@ def coarse_candidates(docs: DataFrame, buckets: int) -> DataFrame:
         found = np.concatenate([stars(unpacked(group.column("pivots"), 2))[1], unpacked(group.column("pairs"), 3)])
         return pa.table(dict(zip(("key", "a", "b"), found.T, strict=True)))
 
-    return in_cells(docs.select("text"), COARSE, send, join, "bucket int, pivots binary, pairs binary", "key long, a long, b long")
+    return docs.select("text").mapInArrow(sent, "bucket int, pivots binary, pairs binary").groupBy("bucket").applyInArrow(join, "key long, a long, b long")
+
+
+def frequent_shingles(docs: DataFrame) -> np.ndarray:
+    """The most frequent shingles of the sets of docs(text), sorted. Tasks send those that they meet more than once in about SEND_PAIRS shingles."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def send(hashes: np.ndarray) -> pa.RecordBatch:
+            found, n = np.unique(hashes, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1])], ["shingle", "n"])
+
+        yield from gathered(((hashes,) for _, _, _, hashes, _ in new_sets(batches)), send)
+
+    seen = docs.select("text").mapInArrow(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    found = seen.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas()["shingle"]
+    return np.sort(found.to_numpy(np.int64).view(np.uint64))
 
 
 def fine_candidates(docs: DataFrame, buckets: int) -> DataFrame:
     """(a, b): sets of docs(text, component) of different components that have an equal FINE cell."""
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts():
+            for batch, rows, nodes, hashes, bounds in new_sets(batches):
+                components, size = np.asarray(batch.column("component"))[rows], np.diff(bounds)
+                owner = np.repeat(np.arange(len(size)), size)
+                other = ~np.isin(hashes, frequent.value, kind="sort")
+                share = np.bincount(owner[other], minlength=len(size)) / np.maximum(size, 1)
+                for kind, used in ((1, other & (share >= FEW_OTHERS)[owner]), (2, (share < OTHERS)[owner])):
+                    keys, owners = cells(hashes[used], owner[used], size, FINE, kind)
+                    yield keys.view(np.int64), nodes[owners], components[owners]
+
+        yield from gathered(parts(), send)
 
     def send(keys: np.ndarray, nodes: np.ndarray, components: np.ndarray) -> pa.RecordBatch:
         rows = list(packed([keys, nodes, components], (keys.view(np.uint64) % np.uint64(buckets)).astype(np.int64), buckets))
@@ -240,7 +278,7 @@ def fine_candidates(docs: DataFrame, buckets: int) -> DataFrame:
         found = np.unique(np.concatenate(found), axis=0)
         return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
-    return in_cells(docs.select("text", "component"), FINE, send, join, "bucket int, members binary", "a long, b long").distinct()
+    return docs.select("text", "component").mapInArrow(sent, "bucket int, members binary").groupBy("bucket").applyInArrow(join, "a long, b long").distinct()
 
 
 def shingle_blobs(docs: DataFrame) -> DataFrame:
@@ -295,14 +333,24 @@ def only(source: DataFrame, wanted: DataFrame) -> DataFrame:
     return source.join(wanted, "id")
 
 
-def unsettled(rows: DataFrame, linked: DataFrame, parts: DataFrame) -> DataFrame:
-    """(node, component): the sets of the cells in which a set is not of the pivot's component, by the links found so far."""
-    part = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    apart = rows.join(linked.withColumn("linked", F.lit(True)), ["a", "b"], "left").where("linked is null").select("key", "a", "b")
-    apart = apart.join(part("a"), "a", "left").join(part("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)")
-    inside = rows.join(apart.select("key").distinct(), "key", "left_semi")
-    members = inside.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return members.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+def with_component(nodes: DataFrame, parts: DataFrame, node: str = "node", name: str = "component") -> DataFrame:
+    """nodes with the component of `node`; a node without links is its own."""
+    return nodes.join(parts.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+
+
+def unsettled(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, node): the sets of the cells with sets of different components."""
+    apart = with_component(with_component(rows, parts, "a", "of_a"), parts, "b", "of_b").where("of_a <> of_b").select("key").distinct()
+    return rows.join(apart, "key", "left_semi").select("key", F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+def central_pairs(members: DataFrame) -> DataFrame:
+    """(key, a, b): in each cell of members(key, node), the set that shares its cells with the most others, and each other one."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    weight = members.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("weight"))
+    pivot = members.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot"))
+    pairs = members.join(pivot, "key").where("node <> pivot")
+    return pairs.select("key", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
 
 
 def similar_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -313,11 +361,16 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "t
     first = cut(first.select("node", "x.*"))
     n = first.count()
     rows = cut(coarse_candidates(source.where("id is not null"), max(24, -(-n * 2 * COARSE[1] // GROUP_PAIRS))))
-    links = verify(rows.select("a", "b").distinct(), first, source)
+    tried = rows.select("a", "b").distinct()
+    links = verify(tried, first, source)
+    members = cut(unsettled(rows, connected_components(links)))
+    second = cut(central_pairs(members))
+    more = second.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    links, tried = links.union(verify(more, first, source)), tried.union(more)
     parts = connected_components(links)
-    open_ = cut(unsettled(rows, links, parts).join(first.select("node", "id"), "node"))
+    open_ = cut(with_component(unsettled(second, parts).select("node").distinct(), parts).join(first.select("node", "id"), "node"))
     fine = fine_candidates(only(source, open_.select("id", "component")), max(24, -(-open_.count() * 2 * FINE[1] // GROUP_PAIRS)))
-    links = links.union(verify(fine.join(rows.select("a", "b").distinct(), ["a", "b"], "left_anti"), first, source))
+    links = links.union(verify(fine.join(tried, ["a", "b"], "left_anti"), first, source))
     parts = connected_components(links)
     named = first.join(parts, "node").groupBy("component").agg(F.min("id").alias("component_id"))
     named = parts.join(named, "component").select("node", "component_id")
