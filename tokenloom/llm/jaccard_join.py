@@ -14,7 +14,7 @@ have equal cells. Two sketches are used:
 - FINE, with about 9 shingles a cell, for the sets of cells in which one still fails, such as those of a passage that
   many documents share. Shingles that are frequent among these sets are left out of the sketches of sets that consist
   of others for the most part, which lowers the symmetric difference only. Sets at the threshold have no equal cell
-  with a chance under 1e-8. Only pairs between different components are held against each other.
+  with a chance under 4e-5. Only pairs between different components are held against each other.
 
 A pair is verified in two steps: the Hamming distance of two bit sketches (each bit the parity of the shingles that
 fall to it) is a lower bound of the symmetric difference and drops nearly all pairs that are not similar; the others
@@ -41,7 +41,7 @@ WIDTH = 5
 #: Similar: PART * |intersection| >= WHOLE * |union|.
 PART, WHOLE = 100, 75
 #: (shingles in a cell of the largest sets of a band, cells used), the second with a few more cells for small sets.
-COARSE, FINE = (3, 64), (9, 256)
+COARSE, FINE = (3, 64), (9, 128)
 #: Shingles that are left out of fine sketches: at most FREQUENT, each in COMMON sets at least. Any choice gives the same links.
 FREQUENT, COMMON = 50_000, 50
 #: Share of other shingles from which these alone are sketched, and under which all are; between them a set has both sketches.
