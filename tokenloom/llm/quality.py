@@ -20,6 +20,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokenloom.llm.common import cut
+
 GAMMA = 1.02
 SPREAD = 4.0
 MIN_GROUP = 50
@@ -124,7 +126,7 @@ def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
 def limits(ratios: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """(lang, source, low_*, high_*) for every group."""
     shared_keys = {"source": ["lang", "source"], "lang": ["lang"], "all": []}
-    sketch = sketches(ratios, lang, source)
+    sketch = cut(sketches(ratios, lang, source))
     levels = {name: quantiles(sketch, keys) for name, keys in shared_keys.items()}
     joined = levels["source"].alias("s")
     joined = joined.join(levels["lang"].alias("l"), F.col("s.lang").eqNullSafe(F.col("l.lang")) & (F.col("s.ratio") == F.col("l.ratio"))).join(levels["all"].alias("a"), F.col("s.ratio") == F.col("a.ratio"))
@@ -158,8 +160,6 @@ def judge(ratios: DataFrame, bounds: DataFrame, lang: str = "lang", source: str
 
 def quality_verdicts(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(id, base counts, base_failed, kept) for every row; the features are computed once and kept without the texts."""
-    from tokenloom.llm.common import cut
-
     features = with_features(docs.select(F.col(id_column), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source")))
     features = with_ratios(cut(features.drop("text")))
     return judge(features, limits(features)).select(id_column, *BASE, "base_failed", "kept")
