@@ -26,11 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import mix, shared_dir
+from tokenloom.llm.common import cut, mix, shared_dir
 
 LENGTH = 8192
 SHARD_ROWS = 512
 KEY = 20240607
+#: Tasks up to which the number of sequences of each is broadcast; beyond it the join shuffles.
+BROADCAST_PARTS = 100_000
 ROUNDS = 6
 #: Fixed value: the end-of-text id that the vocabulary leaves free.
 END = 50256
@@ -75,7 +77,7 @@ def pack(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "tex
     """The sequences of each task's documents, numbered in the task; tokens are zstd-compressed uint16."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, codec = encoding(path), pa.Codec("zstd", compression_level=3)
+        model, codec = encoding(path), pa.Codec("zstd", compression_level=6)
         part, number, fill = TaskContext.get().partitionId(), 0, 0
         tokens, owners = [], []  # of the sequence that is being filled; (id, start)
         rows: list[tuple] = []
@@ -136,8 +138,10 @@ def materialise(docs: DataFrame, path: str, out: str, id_column: str = "doc_id",
     pack(docs, path, id_column, text, length).write.option("compression", "none").parquet(stage)
     sequences = spark.read.schema(PACKED).parquet(stage)
     sizes = sequences.groupBy("part").agg(F.count("*").alias("n")).withColumn("first", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    total = sequences.count()
-    places = sequences.join(sizes.select("part", F.coalesce("first", F.lit(0)).alias("first")), "part").withColumn("place", F.col("first") + F.col("number"))
+    sizes = cut(sizes.select("part", "n", F.coalesce("first", F.lit(0)).alias("first")))
+    parts = sizes.agg(F.count("*").alias("parts"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
+    total = parts.total
+    places = sequences.join(F.broadcast(sizes.drop("n")) if parts.parts <= BROADCAST_PARTS else sizes.drop("n"), "part").withColumn("place", F.col("first") + F.col("number"))
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
