@@ -1,11 +1,381 @@
-"""The library's own queries: (spark, sf_dir) -> DataFrame, and independent SQL for them."""
+"""The library's own queries: (spark, sf_dir) -> DataFrame, and independent SQL for them.
+
+Pages count as JavaScript, documents as C, turns of conversations as Python. Constructs that the tables lack are in snippets of our own.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tokenloom.api import find
+from tokenloom.functions.canonical import canonicalize
+from tokenloom.functions.shared import cut
+from tokenloom.functions.tokenize import as_text, tokenize
+from tokenloom.plans.pattern import expand, load
+from tokenloom.sources.files import finding_json
+from tokenloom.sources.languages import language_of
+from tokenloom.streaming.chunks import read_findings, scan_stream
 
 FLAGSHIP = "lit_capture_track"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").cast("string").alias("file"), F.lit("js").alias("lang"), F.col("html").alias("content"))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("file"), F.lit("c").alias("lang"), F.col("text").alias("content"))
+
+
+def snippets(spark: SparkSession, lang: str, texts: list[str]) -> DataFrame:
+    return spark.createDataFrame([(f"s{i}", lang, t) for i, t in enumerate(texts)], "file string, lang string, content string")
+
+
+def patterns(*texts: str, language: str = "js", **fields):
+    import yaml
+
+    return load(yaml.safe_dump({"patterns": list(texts), "languages": [language], **fields}))
+
+
+def flat(findings: DataFrame, *captures: str) -> DataFrame:
+    """Findings in scalar columns."""
+    return findings.select("file", F.col("start.offset").alias("s"), F.col("end.offset").alias("e"), *(F.element_at("captures", F.lit(c)).alias(c.lower()) for c in captures))
+
+
+def tokens_sql(table: str, key: str, text: str, quotes: str) -> str:
+    """CTEs `pieces` and `tokens` (file, idx, kind, tok, s, e, line, col) of a text column, C-like, in DuckDB SQL."""
+    strings = "|".join(rf"{q}(?:[^{q}\\]|\\[\s\S])*{q}" for q in quotes)
+    rx = rf"//[^\n]*|/\*[\s\S]*?\*/|/\*[\s\S]*|[\x00-\x20\x7f]+|{strings}|[{quotes}][\s\S]*|[A-Za-z_\x{{80}}-\x{{10FFFF}}][A-Za-z0-9_\x{{80}}-\x{{10FFFF}}]*|[0-9][0-9_]*|[\s\S]".replace("'", "''")
+    q = quotes.replace("'", "''")
+    return rf"""
+raw AS (SELECT {key}::VARCHAR AS file, regexp_extract_all({text}, '{rx}') AS l FROM {table} WHERE {text} IS NOT NULL),
+pieces AS (SELECT file, unnest(l) AS piece, unnest(range(len(l))) AS pos FROM raw),
+placed AS (SELECT file, pos, piece, coalesce(sum(strlen(piece)) OVER w, 0) AS s, 1 + coalesce(sum(length(piece) - length(replace(piece, chr(10), ''))) OVER w, 0) AS line,
+  max(CASE WHEN contains(piece, chr(10)) THEN pos END) OVER w AS last_break FROM pieces WINDOW w AS (PARTITION BY file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+marked AS (SELECT p.*, CASE WHEN regexp_matches(p.piece, '^[A-Za-z0-9_\x{{80}}-\x{{10FFFF}}]') THEN 'identifier' WHEN length(p.piece) > 1 AND regexp_full_match(p.piece, '{strings.replace("'", "''")}') THEN 'string'
+  WHEN regexp_matches(p.piece, '^(?://|/\*|[\x00-\x20\x7f])') THEN NULL WHEN contains('{q}', p.piece[1:1]) THEN NULL ELSE 'byte' END AS kind,
+  p.s - coalesce(b.s + strlen(b.piece) - strlen(list_last(string_split(b.piece, chr(10)))), 0) + 1 AS col
+  FROM placed p LEFT JOIN placed b ON b.file = p.file AND b.pos = p.last_break),
+tokens AS (SELECT file, row_number() OVER (PARTITION BY file ORDER BY pos) - 1 AS idx, kind, CASE WHEN kind = 'string' THEN '"' || piece[2:-2] || '"' ELSE piece END AS tok, s::BIGINT AS s, (s + strlen(piece))::BIGINT AS e, line::BIGINT AS line, col::BIGINT AS col FROM marked WHERE kind IS NOT NULL)"""
+
+
+C_TOKENS = tokens_sql("documents", "doc_id", "text", "\"'")
+JS_TOKENS = tokens_sql("pages", "page_id", "html", "\"'`")
+DEPTHS = """,
+deep AS (SELECT *, sum(CASE WHEN kind = 'byte' AND tok = '(' THEN 1 WHEN kind = 'byte' AND tok = ')' THEN -1 ELSE 0 END) OVER w AS d_round, sum(CASE WHEN kind = 'byte' AND tok = '{' THEN 1 WHEN kind = 'byte' AND tok = '}' THEN -1 ELSE 0 END) OVER w AS d_curly,
+  sum(CASE WHEN kind = 'byte' AND tok = '<' THEN 1 WHEN kind = 'byte' AND tok = '>' THEN -1 ELSE 0 END) OVER w AS d_corner FROM tokens WINDOW w AS (PARTITION BY file ORDER BY idx))"""
+
+
+@query
+def tokenize_c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1-T4, T14."""
+    return tokenize(documents(spark, sf_dir), languages=("c",)).select("file", "idx", "kind", as_text(F.col("tok")).alias("tok"), F.col("start.offset").alias("s"), F.col("end.offset").alias("e"))
+
+
+ORACLES["tokenize_c"] = f"WITH {C_TOKENS} SELECT file, idx, kind, tok, s, e FROM tokens"
+
+
+@query
+def token_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and columns."""
+    return tokenize(pages(spark, sf_dir), languages=("js",)).select("file", "idx", F.col("start.line").alias("line"), F.col("start.column").alias("col"), F.col("start.offset").alias("s"))
+
+
+ORACLES["token_positions"] = f"WITH {JS_TOKENS} SELECT file, idx, line, col, s FROM tokens"
+
+
+@query
+def token_counts_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize(documents(spark, sf_dir), languages=("c",)).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("tok").alias("different"))
+
+
+ORACLES["token_counts_by_kind"] = f"WITH {C_TOKENS} SELECT kind, count(*) AS n, count(DISTINCT tok) AS different FROM tokens GROUP BY kind"
+
+
+@query
+def lit_capture_track(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P1, P2, P11, S2, R1."""
+    return flat(find(pages(spark, sf_dir), patterns("track($N)")), "N")
+
+
+_TRACK = f"""WITH {JS_TOKENS}, runs AS (SELECT file, s, idx, tok, kind, lead(tok) OVER w AS t1, lead(tok, 2) OVER w AS t2, lead(kind, 2) OVER w AS k2, lead(tok, 3) OVER w AS t3, lead(e, 3) OVER w AS e, lead(s, 2) OVER w AS s2, lead(e, 2) OVER w AS e2 FROM tokens WINDOW w AS (PARTITION BY file ORDER BY idx)),
+hits AS (SELECT * FROM runs WHERE tok = 'track' AND kind = 'identifier' AND t1 = '(' AND t3 = ')' AND k2 IN ('string', 'identifier'))"""
+ORACLES["lit_capture_track"] = f"{_TRACK} SELECT file, s, e, t2 AS n FROM hits"
+
+
+@query
+def set_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P9, P10."""
+    return flat(find(pages(spark, sf_dir), patterns("track(..^ $N ..$)")), "N")
+
+
+ORACLES["set_span"] = f"{_TRACK} SELECT file, s2 AS s, e2 AS e, t2 AS n FROM hits"
+
+
+@query
+def suppressed_and_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings as JSON lines."""
+    found = find(pages(spark, sf_dir), patterns("$_ ( $_N )", out={"rule": "call"}, name="calls"))
+    return found.select("file", finding_json(found).alias("line"))
+
+
+ORACLES["suppressed_and_out"] = f"""{_TRACK}, calls AS (SELECT r.file, r.s, a.line AS l1, a.col AS c1, b.line AS l2, b.col AS c2, r.e FROM runs r JOIN tokens a ON a.file = r.file AND a.idx = r.idx JOIN tokens b ON b.file = r.file AND b.idx = r.idx + 3
+WHERE r.kind IN ('string', 'identifier') AND t1 = '(' AND t3 = ')' AND k2 IN ('string', 'identifier'))
+SELECT file, '{{"file":"' || file || '","start":{{"offset":' || s || ',"column":' || c1 || ',"line":' || l1 || '}},"end":{{"offset":' || e || ',"column":' || (c2 + 1) || ',"line":' || l2 || '}},"name":"calls","captures":{{"rule":"call"}}}}' AS line FROM calls"""
+
+
+@query
+def secret_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P2, R2, R3, R4."""
+    found = find(documents(spark, sf_dir), patterns("token = $V", language="c", transform={"V": r'^"(?<HEAD>[A-Za-z0-9]{4})[^"]*"$'}))
+    return flat(found, "V", "HEAD")
+
+
+ORACLES["secret_assign"] = f"""WITH {C_TOKENS}, runs AS (SELECT file, s, tok, lead(tok) OVER w AS t1, lead(tok, 2) OVER w AS v, lead(e, 2) OVER w AS e FROM tokens WINDOW w AS (PARTITION BY file ORDER BY idx))
+SELECT file, s, e, v, regexp_extract(v, '^"([A-Za-z0-9]{{4}})', 1) AS head FROM runs WHERE tok = 'token' AND t1 = '=' AND regexp_matches(v, '^"[A-Za-z0-9]{{4}}[^"]*"$')"""
+
+
+@query
+def backref_same(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word said twice."""
+    return flat(find(documents(spark, sf_dir), patterns("$A $A", language="c")), "A")
+
+
+ORACLES["backref_same"] = f"WITH {C_TOKENS}, runs AS (SELECT file, s, tok, kind, lead(tok) OVER w AS t1, lead(kind) OVER w AS k1, lead(e) OVER w AS e FROM tokens WINDOW w AS (PARTITION BY file ORDER BY idx)) SELECT file, s, e, tok AS a FROM runs WHERE kind = 'identifier' AND k1 = 'identifier' AND tok = t1"
+
+
+@query
+def ellipsis_uncontained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1."""
+    return flat(find(pages(spark, sf_dir), patterns("title ... track ( $N")), "N")
+
+
+ORACLES["ellipsis_uncontained"] = f"{_TRACK}, calls AS (SELECT * FROM runs WHERE tok = 'track' AND t1 = '(' AND k2 IN ('string', 'identifier')) SELECT a.file, a.s, c.e2 AS e, c.t2 AS n FROM runs a JOIN calls c ON a.file = c.file AND c.idx > a.idx WHERE a.tok = 'title'"
+
+
+@query
+def ellipsis_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a bracket to its own end."""
+    return flat(find(pages(spark, sf_dir), patterns("$F (...)")), "F")
+
+
+def _bracket_sql(depth: str, first: str, last: str) -> str:
+    """From each pair of tokens before a bracket and the bracket to the first token at which the depth falls below that after it."""
+    return f"""WITH {JS_TOKENS}{DEPTHS}, opens AS (SELECT * FROM (SELECT file, s, tok AS word, kind AS wk, lead(tok) OVER w AS t1, lead(kind) OVER w AS k1, lead(idx) OVER w AS i1, lead({depth}) OVER w AS d1 FROM deep WINDOW w AS (PARTITION BY file ORDER BY idx)) WHERE t1 = '{first}' AND k1 = 'byte' AND wk IN ('string', 'identifier'))
+SELECT o.file, o.s, arg_min(d.e, d.idx) AS e, o.word AS f FROM opens o JOIN deep d ON d.file = o.file AND d.idx > o.i1 AND d.{depth} < o.d1 GROUP BY o.file, o.s, o.word"""
+
+
+ORACLES["ellipsis_round"] = _bracket_sql("d_round", "(", ")")
+
+
+@query
+def ellipsis_curly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E4."""
+    return flat(find(pages(spark, sf_dir), patterns("$F {...}")), "F")
+
+
+ORACLES["ellipsis_curly"] = _bracket_sql("d_curly", "{", "}")
+
+
+@query
+def ellipsis_corner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E5."""
+    return flat(find(pages(spark, sf_dir), patterns("$F < ..> >")), "F")
+
+
+ORACLES["ellipsis_corner"] = _bracket_sql("d_corner", "<", ">")
+
+
+@query
+def scope_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From `var` to a call of track that is not outside its scope."""
+    return flat(find(pages(spark, sf_dir), patterns("var ..} track ( $N")), "N")
+
+
+ORACLES["scope_block"] = f"""{_TRACK}{DEPTHS}, calls AS (SELECT * FROM runs WHERE tok = 'track' AND t1 = '(' AND k2 IN ('string', 'identifier'))
+SELECT a.file, a.s, c.e2 AS e, c.t2 AS n FROM deep a JOIN calls c ON a.file = c.file AND c.idx > a.idx WHERE a.tok = 'var' AND NOT EXISTS (SELECT 1 FROM deep d WHERE d.file = a.file AND d.idx > a.idx AND d.idx < c.idx AND d.d_curly < a.d_curly)"""
+
+
+@query
+def statement_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement to its semicolon."""
+    return flat(find(pages(spark, sf_dir), patterns("var $V = ..! ;")), "V")
+
+
+ORACLES["statement_block"] = f"""WITH {JS_TOKENS}{DEPTHS}, heads AS (SELECT * FROM (SELECT file, s, tok, d_curly, lead(tok) OVER w AS v, lead(kind) OVER w AS vk, lead(tok, 2) OVER w AS t2, lead(idx, 2) OVER w AS i2 FROM deep WINDOW w AS (PARTITION BY file ORDER BY idx)) WHERE tok = 'var' AND t2 = '=' AND vk IN ('string', 'identifier'))
+SELECT h.file, h.s, z.e, h.v FROM heads h JOIN deep z ON z.file = h.file AND z.idx > h.i2 AND z.tok = ';' AND z.kind = 'byte'
+WHERE NOT EXISTS (SELECT 1 FROM deep d WHERE d.file = h.file AND d.idx > h.i2 AND d.idx < z.idx AND (d.d_curly < h.d_curly OR d.d_curly = h.d_curly AND d.tok = ';' AND d.kind = 'byte'))"""
+
+
+@query
+def alternation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One of two words, or none, before a call."""
+    return flat(find(pages(spark, sf_dir), patterns("..- ; ..| ..- track ( $N")), "N")
+
+
+ORACLES["alternation"] = f"{_TRACK}, calls AS (SELECT *, lag(s) OVER (PARTITION BY file ORDER BY idx) AS before, lag(tok) OVER (PARTITION BY file ORDER BY idx) AS tok0 FROM runs) SELECT file, unnest(CASE WHEN tok0 = ';' THEN [s, before] ELSE [s] END) AS s, e2 AS e, t2 AS n FROM calls WHERE tok = 'track' AND t1 = '(' AND k2 IN ('string', 'identifier')"
+
+
+@query
+def repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Any number of closing tags between the end of the call and the beginning of the page's body."""
+    return flat(find(pages(spark, sf_dir), patterns("$N ) ; ..* < / $_ > ..* < body >")), "N")
+
+
+ORACLES["repetition"] = f"""WITH RECURSIVE {JS_TOKENS}, runs AS (SELECT file, idx, s, tok, kind, lead(tok) OVER w AS t1, lead(tok, 2) OVER w AS t2, lead(kind, 2) OVER w AS k2, lead(tok, 3) OVER w AS t3, lead(e, 2) OVER w AS e2 FROM tokens WINDOW w AS (PARTITION BY file ORDER BY idx)),
+part(file, s, n, pos) AS (SELECT file, s, tok, idx + 3 FROM runs WHERE kind IN ('string', 'identifier') AND t1 = ')' AND t2 = ';' UNION ALL SELECT p.file, p.s, p.n, p.pos + 4 FROM part p JOIN runs r ON r.file = p.file AND r.idx = p.pos WHERE r.tok = '<' AND t1 = '/' AND k2 IN ('string', 'identifier') AND t3 = '>')
+SELECT p.file, p.s, r.e2 AS e, p.n FROM part p JOIN runs r ON r.file = p.file AND r.idx = p.pos WHERE r.tok = '<' AND t1 = 'body' AND t2 = '>'"""
+
+
+@query
+def template_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X6, X7, D5."""
+    return flat(find(pages(spark, sf_dir), patterns("{{F}} ( {{G}} )", templates={"F": ["track", "load"], "G": ["$N", "$N , $M"]})), "N")
+
+
+ORACLES["template_expand"] = f"{_TRACK} SELECT file, s, e, t2 AS n FROM runs WHERE tok IN ('track', 'load') AND t1 = '(' AND t3 = ')' AND k2 IN ('string', 'identifier')"
+
+
+@query
+def group_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A call takes in the statements around it that agree on N."""
+    rules = patterns("track($N)", name="call", group={"name": "g", "match": ["N"]}) + patterns("var $V = ..} track($N);", name="outer", group={"name": "g"})
+    return flat(find(pages(spark, sf_dir), rules), "N", "V")
+
+
+_GROUP = f"""{_TRACK}{DEPTHS}, outer_ AS (SELECT a.file, a.s, z.e, c.t2 AS n, v.tok AS v FROM deep a JOIN tokens v ON v.file = a.file AND v.idx = a.idx + 1 AND v.kind IN ('string', 'identifier') JOIN tokens q ON q.file = a.file AND q.idx = a.idx + 2 AND q.tok = '='
+JOIN hits c ON c.file = a.file AND c.idx > a.idx + 2 JOIN tokens z ON z.file = c.file AND z.idx = c.idx + 4 AND z.tok = ';'
+WHERE a.tok = 'var' AND NOT EXISTS (SELECT 1 FROM deep d WHERE d.file = a.file AND d.idx > a.idx AND d.idx < c.idx AND d.d_curly < a.d_curly))"""
+ORACLES["group_merge"] = f"{_GROUP} SELECT h.file, coalesce(min(o.s), h.s) AS s, coalesce(max(o.e), h.e) AS e, h.t2 AS n, max(o.v) AS v FROM hits h LEFT JOIN outer_ o ON o.file = h.file AND o.s <= h.s AND o.e >= h.e AND o.n = h.t2 GROUP BY h.file, h.s, h.e, h.t2"
+
+
+@query
+def group_cancel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opening brackets but for those in a statement that begins with var."""
+    rules = patterns("$F ( $N )", name="call", group={"name": "g"}) + patterns("var $V = ..} track($N);", name="outer", group={"name": "g", "cancel": True})
+    return flat(find(pages(spark, sf_dir), rules), "F", "N")
+
+
+ORACLES["group_cancel"] = f"{_GROUP}, calls AS (SELECT * FROM runs WHERE kind IN ('string', 'identifier') AND t1 = '(' AND t3 = ')' AND k2 IN ('string', 'identifier')) SELECT h.file, h.s, h.e, h.tok AS f, h.t2 AS n FROM calls h WHERE NOT EXISTS (SELECT 1 FROM outer_ o WHERE o.file = h.file AND o.s <= h.s AND o.e >= h.e)"
+
+
+@query
+def group_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One finding for each member of a unique rule."""
+    rules = patterns("track($N)", name="call", group={"name": "g"}) + patterns("$T > ..} track($_) ;", name="tag", group={"name": "g", "unique": True})
+    return flat(find(pages(spark, sf_dir), rules).where("captures['N'] is not null"), "N", "T")
+
+
+ORACLES["group_unique"] = f"""{_TRACK}{DEPTHS}, tags AS (SELECT a.file, a.s, z.e, a.tok AS t FROM deep a JOIN deep g ON g.file = a.file AND g.idx = a.idx + 1 AND g.tok = '>' AND g.kind = 'byte' JOIN hits c ON c.file = a.file AND c.idx > a.idx + 1 JOIN tokens z ON z.file = c.file AND z.idx = c.idx + 4 AND z.tok = ';'
+WHERE a.kind IN ('string', 'identifier') AND NOT EXISTS (SELECT 1 FROM deep d WHERE d.file = a.file AND d.idx > g.idx AND d.idx < c.idx AND d.d_curly < g.d_curly)),
+combos AS (SELECT h.file, h.s AS hs, coalesce(t.s, h.s) AS s, coalesce(t.e, h.e) AS e, h.t2 AS n, t.t, row_number() OVER (PARTITION BY h.file, h.s ORDER BY t.e, t.s DESC) AS k FROM hits h LEFT JOIN tags t ON t.file = h.file AND t.s <= h.s AND t.e >= h.e) SELECT file, s, e, n, t FROM combos WHERE k <= 64"""
+
+
+def expected(name: str, columns: str, rows: list[tuple]) -> None:
+    """SQL that lists the rows a query over snippets has to give."""
+    cell = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    ORACLES[name] = f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS v({columns})"
+
+
+@query
+def tokenize_py_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of indentation; none inside round brackets or at the beginning."""
+    texts = ["if a:\n    b\n    c\nd", "x = (1,\n  2)\ny", "a\n\tb\n        c\n\nd # e\nf", "'''a\nb''' \"\" z"]
+    return tokenize(snippets(spark, "py", texts), languages=("py",)).select("file", "idx", "kind", as_text(F.col("tok")).alias("tok"), "level", F.col("start.offset").alias("s"))
+
+
+expected(
+    "tokenize_py_levels", "file, idx, kind, tok, level, s",
+    [("s0", 0, "identifier", "if", None, 0), ("s0", 1, "identifier", "a", None, 3), ("s0", 2, "byte", ":", None, 4), ("s0", 3, "level", None, 1, 6), ("s0", 4, "identifier", "b", None, 10), ("s0", 5, "level", None, 0, 12), ("s0", 6, "identifier", "c", None, 16), ("s0", 7, "level", None, -1, 18), ("s0", 8, "identifier", "d", None, 18)]
+    + [("s1", i, k, t, None, s) for i, (k, t, s) in enumerate([("identifier", "x", 0), ("byte", "=", 2), ("byte", "(", 4), ("identifier", "1", 5), ("byte", ",", 6), ("identifier", "2", 10), ("byte", ")", 11)])]
+    + [("s1", 7, "level", None, 0, 13), ("s1", 8, "identifier", "y", None, 13)]
+    + [("s2", 0, "identifier", "a", None, 0), ("s2", 1, "level", None, 1, 2), ("s2", 2, "identifier", "b", None, 3), ("s2", 3, "level", None, 0, 5), ("s2", 4, "identifier", "c", None, 13), ("s2", 5, "level", None, -1, 15), ("s2", 6, "level", None, 0, 16), ("s2", 7, "identifier", "d", None, 16), ("s2", 8, "level", None, 0, 22), ("s2", 9, "identifier", "f", None, 22)]
+    + [("s3", 0, "string", '"a\nb"', None, 0), ("s3", 1, "string", '""', None, 10), ("s3", 2, "identifier", "z", None, 13)],
+)
+
+
+@query
+def tokenize_rust_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters and lifetimes."""
+    return tokenize(snippets(spark, "rust", ["&'a str 'b' '\\n' ''", "x '1"]), languages=("rust",)).select("file", "idx", "kind", as_text(F.col("tok")).alias("tok"), F.col("start.offset").alias("s"))
+
+
+expected("tokenize_rust_quotes", "file, idx, kind, tok, s", [("s0", 0, "byte", "&", 0), ("s0", 1, "byte", "'", 1), ("s0", 2, "identifier", "a", 2), ("s0", 3, "identifier", "str", 4), ("s0", 4, "string", '"b"', 8), ("s0", 5, "string", '"\\n"', 12), ("s0", 6, "string", '""', 17), ("s1", 0, "identifier", "x", 0)])
+
+
+@query
+def string_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1-C6."""
+    texts = ['a("x" "y" + \'z\' + b + "c")', '"1" \\ "2" - "3"', "+ '' '' +"]
+    return canonicalize(tokenize(snippets(spark, "c", texts), languages=("c",))).select("file", "idx", "tok", F.col("start.offset").alias("s"), F.col("end.offset").alias("e"))
+
+
+expected("string_concat", "file, idx, tok, s, e", [("s0", 0, "a", 0, 1), ("s0", 1, "(", 1, 2), ("s0", 2, '"xyz"', 2, 15), ("s0", 3, "+", 16, 17), ("s0", 4, "b", 18, 19), ("s0", 5, "+", 20, 21), ("s0", 6, '"c"', 22, 25), ("s0", 7, ")", 25, 26), ("s1", 0, '"12"', 0, 9), ("s1", 1, "-", 10, 11), ("s1", 2, '"3"', 12, 15), ("s2", 0, "+", 0, 1), ("s2", 1, '""', 2, 7), ("s2", 2, "+", 8, 9)])
+
+
+@query
+def pop_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A value followed through assignments."""
+    rules = patterns("$X = read ( ) ; ..} ..* $Y = %X ; ..} ..* write ( $X )", language="c")
+    return flat(find(snippets(spark, "c", ["a = read(); b = a; c = b; write(c); write(b); write(d);", "{ a = read(); } write(a);"]), rules), "X")
+
+
+expected("pop_replace", "file, s, e, x", [("s0", 0, 34, "c"), ("s0", 0, 44, "b")])
+
+
+@query
+def create_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A capture that any token overwrites; E3."""
+    return flat(find(snippets(spark, "c", ["f[a[1], b] g", "f[a] h"]), patterns("$X [...] %X", language="c")), "X")
+
+
+expected("create_replace", "file, s, e, x", [("s0", 0, 12, "g"), ("s1", 0, 6, "h")])
+
+
+@query
+def lang_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of file names."""
+    names = spark.createDataFrame([(x,) for x in ["a/B.RS", "x.c", "k.kts", "no_ending", "y.tar.ts", "z.unknown", "m.mjs"]], "file string")
+    return names.select("file", language_of(F.col("file")).alias("lang"), language_of(F.col("file"), compat=True).alias("compat")).where("lang is not null")
+
+
+expected("lang_route", "file, lang, compat", [("a/B.RS", "rust", "rust"), ("x.c", "c", "c"), ("k.kts", "kotlin", "js"), ("y.tar.ts", "ts", "ts"), ("m.mjs", "js", "js")])
+
+
+@query
+def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that arrive in chunks of 1000 characters."""
+    size = 1000
+    whole = documents(spark, sf_dir).where("content is not null")
+    cuts = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("content") / size).cast("int") - 1, F.lit(0)))
+    chunks = whole.select("file", "lang", "content", F.explode(cuts).alias("seq"))
+    chunks = chunks.select("file", "lang", "seq", F.col("content").substr(F.col("seq") * size + 1, F.lit(size)).alias("content"), ((F.col("seq") + 1) * size >= F.length("content")).alias("last"))
+    cut(spark.range(1))  # sets the shared folder
+    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    chunks.write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(chunks.schema).parquet(f"{folder}/in")
+    scan_stream(stream, patterns("token = $S", language="c"), f"{folder}/out", f"{folder}/staging").awaitTermination()
+    return read_findings(spark, f"{folder}/out").select("file", F.col("start.offset").alias("s"), F.col("end.offset").alias("e"), F.col("captures")["S"].alias("v"))
+
+
+ORACLES["stream_equals_batch"] = f"WITH {C_TOKENS}, runs AS (SELECT file, s, tok, lead(tok) OVER w AS t1, lead(tok, 2) OVER w AS v, lead(kind, 2) OVER w AS k, lead(e, 2) OVER w AS e FROM tokens WINDOW w AS (PARTITION BY file ORDER BY idx)) SELECT file, s, e, v FROM runs WHERE tok = 'token' AND t1 = '=' AND k IN ('string', 'identifier')"
+
+
+@query
+def template_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Combinations of template values."""
+    return spark.createDataFrame([(x,) for x in expand("{{A}}-{{B}}-{{A}}", {"A": ["1", "2"], "B": ["x", "y"]})], "pattern string")
+
+
+expected("template_values", "pattern", [("1-x-1",), ("1-y-1",), ("2-x-2",), ("2-y-2",)])
