@@ -11,10 +11,10 @@ have equal cells. Two sketches are used:
   every set is held against the smallest one (the pivot), so a cell gives as many pairs as it has sets, and a task sends
   only its own pivot of a cell. If all sets of a cell pass, they are in one component. Where one fails, all are held
   against a second pivot, the set that shares its cells with the most others: of near copies, the one they were made of.
-- FINE, with about 9 shingles a cell, for the sets of cells in which one still fails, such as those of a passage that
+- FINE, with about 12 shingles a cell, for the sets of cells in which one still fails, such as those of a passage that
   many documents share. Shingles that are frequent among these sets are left out of the sketches of sets that consist
   of others for the most part, which lowers the symmetric difference only. Sets at the threshold have no equal cell
-  with a chance under 4e-5. Only pairs between different components are held against each other.
+  with a chance under 3e-4, and under 1e-7 if they are in one band. Only pairs between different components are held against each other.
 
 A pair is verified in two steps: the Hamming distance of two bit sketches (each bit the parity of the shingles that
 fall to it) is a lower bound of the symmetric difference and drops nearly all pairs that are not similar; the others
@@ -41,7 +41,7 @@ WIDTH = 5
 #: Similar: PART * |intersection| >= WHOLE * |union|.
 PART, WHOLE = 100, 75
 #: (shingles in a cell of the largest sets of a band, cells used), the second with a few more cells for small sets.
-COARSE, FINE = (3, 64), (9, 128)
+COARSE, FINE = (3, 64), (12, 256)
 #: Shingles that are left out of fine sketches: at most FREQUENT, each in COMMON sets at least. Any choice gives the same links.
 FREQUENT, COMMON = 50_000, 50
 #: Share of other shingles from which these alone are sketched, and under which all are; between them a set has both sketches.
@@ -51,7 +51,7 @@ OTHERS, FEW_OTHERS = 0.55, 0.38
 BITS = 4
 #: (cell, node) pairs in one group of the candidate search, and those that a task gathers before it sends them on.
 GROUP_PAIRS = 1_500_000
-SEND_PAIRS = 1_000_000
+SEND_PAIRS = 500_000
 #: Document ids up to which those of candidates are broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -261,24 +261,42 @@ def fine_candidates(docs: DataFrame, buckets: int) -> DataFrame:
         yield from gathered(parts(), send)
 
     def send(keys: np.ndarray, nodes: np.ndarray, components: np.ndarray) -> pa.RecordBatch:
-        rows = list(packed([keys, nodes, components], (keys.view(np.uint64) % np.uint64(buckets)).astype(np.int64), buckets))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "members"])
+        bucket = (keys.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        begin = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        rows = []
+        for g in np.flatnonzero(np.diff(begin)).tolist():
+            at = order[begin[g] : begin[g + 1]]
+            _, first, set_ = np.unique(nodes[at], return_index=True, return_inverse=True)
+            short = (keys[at].view(np.uint64) >> np.uint64(32)).astype(np.uint32)  # a bucket's rows are bounded, so that few keys fall together
+            rows.append((g, np.stack([nodes[at[first]], components[at[first]]], axis=1).tobytes(), np.stack([short, set_.astype(np.uint32)]).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "sets", "members"])
 
     def join(group: pa.Table) -> pa.Table:
-        data = unpacked(group.column("members"), 3)
-        data = data[np.lexsort((data[:, 1], data[:, 0]))]
-        begin = begins(data[:, 0])
+        sets, keys, owners, before = [], [], [], 0
+        for x, y in zip(group.column("sets"), group.column("members"), strict=True):
+            sets.append(np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2))
+            short, set_ = np.frombuffer(y.as_buffer(), np.uint32).reshape(2, -1)
+            keys.append(short)
+            owners.append(set_ + np.uint32(before))
+            before += len(sets[-1])
+        sets, keys, owners = np.concatenate(sets), np.concatenate(keys), np.concatenate(owners)
+        order = np.argsort(keys, kind="stable")
+        keys, owners = keys[order], owners[order]
+        begin = begins(keys)
+        end = np.append(begin[1:], len(keys))
         found = [np.zeros((0, 2), np.int64)]
-        for first, end in zip(begin, np.append(begin[1:], len(data)), strict=True):
-            if end - first > 1 and (data[first:end, 2] != data[first, 2]).any():
-                members = np.unique(data[first:end, 1:], axis=0)
+        for k in np.flatnonzero(end - begin > 1).tolist():
+            members = sets[owners[begin[k] : end[k]]]
+            if (members[:, 1] != members[0, 1]).any():
+                members = np.unique(members, axis=0)
                 for i in range(len(members) - 1):
                     other = members[i + 1 :][members[i + 1 :, 1] != members[i, 1], 0]
-                    found.append(np.stack([np.full(len(other), members[i, 0]), other], axis=1))
+                    found.append(np.sort(np.stack([np.full(len(other), members[i, 0]), other], axis=1), axis=1))
         found = np.unique(np.concatenate(found), axis=0)
         return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
-    return docs.select("text", "component").mapInArrow(sent, "bucket int, members binary").groupBy("bucket").applyInArrow(join, "a long, b long").distinct()
+    return docs.select("text", "component").mapInArrow(sent, "bucket int, sets binary, members binary").groupBy("bucket").applyInArrow(join, "a long, b long").distinct()
 
 
 def shingle_blobs(docs: DataFrame) -> DataFrame:

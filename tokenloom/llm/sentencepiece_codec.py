@@ -30,8 +30,8 @@ from tokenloom.llm.common import slices
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Encoded words that a task keeps for its next batches.
-MEMO = 700_000
-BATCH_BYTES = 8 << 20
+MEMO = 250_000
+BATCH_BYTES = 4 << 20
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -172,7 +172,7 @@ class Codec:
                     key = left << 20 | piece
                     fits = ok.get(key)
                     if fits is None:
-                        if len(ok) > 2_000_000:
+                        if len(ok) > 500_000:
                             ok.clear()
                         fits = ok[key] = self.may_follow(self.names[left], self.names[piece])
                     if not fits:
