@@ -13,6 +13,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 C_LIKE = ("c", "csharp", "java")
 BACKTICK = ("go", "js", "ts", "kotlin")
@@ -49,7 +50,7 @@ def as_text(column: Column) -> Column:
     return F.make_valid_utf8(F.encode(column, "ISO-8859-1").cast("string"))
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def level_changes(amounts: pd.Series) -> pd.Series:
     """For the indentations of a file's lines, the change of level at each: +1 for a deeper one, -1 for each that ends."""
 
