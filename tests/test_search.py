@@ -53,7 +53,7 @@ def test_positions_grow(spark, texts, lang):
 def test_ellipses(spark):
     assert found(spark, "c", "f(a, (b), c) d)", "f(... $X)") == [(0, 8, (("X", "b"),)), (0, 12, (("X", "c"),))]
     assert found(spark, "c", "{ a; { b; } c; } d;", "a ..} $X ;") == [(2, 9, (("X", "b"),)), (2, 14, (("X", "c"),))]
-    assert found(spark, "c", "x = { 1; 2 } 3; y;", "x = ..! ;") == [(0, 15, ())]
+    assert found(spark, "c", "x = { 1; 2 } 3; y;", "x = ..! ;") == [(0, 8, ()), (0, 15, ())]
     assert found(spark, "c", "a b a b", "a ... b") == [(0, 3, ()), (0, 7, ()), (4, 7, ())]
     assert found(spark, "c", "m[a[1]][2]", "m[...][...]") == [(0, 10, ())]
     assert found(spark, "py", "if a:\n  b\n  c\nd\n", "b ..} $X") == [(8, 13, (("X", "c"),))]

@@ -20,13 +20,12 @@ def canonicalize(tokens: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:
     before, after = F.coalesce(F.lag(string).over(order), F.lit(False)), F.coalesce(F.lead(string).over(order), F.lit(False))
     marked = tokens.withColumn("joins", sign & before & after)
     joined = string & (F.coalesce(F.lag(string).over(order), F.lit(False)) | F.coalesce(F.lag("joins").over(order), F.lit(False)))
-    runs = marked.withColumn("run", F.sum(F.when(F.col("joins") | joined, 0).otherwise(1)).over(order))
+    inside = F.col("joins") | F.col("joined")
+    marked = marked.withColumn("joined", joined)
+    runs = marked.withColumns({"run": F.sum(F.when(inside, 0).otherwise(1)).over(order) - 1, "folded": inside | F.coalesce(F.lead(inside).over(order), F.lit(False))})
+    columns = ["file", "lang", F.col("run").cast("long").alias("idx"), "kind", "tok", "level", "start", "end"]
     texts = F.transform(F.array_sort(F.collect_list(F.when(string, F.struct("idx", "tok")))), lambda x: x["tok"].substr(F.lit(2), F.length(x["tok"]) - 2))
-    one = runs.groupBy("file", "lang", "run").agg(
-        F.min_by(F.struct("idx", "kind", "tok", "level"), "idx").alias("first"), F.count("*").alias("n"), F.array_join(texts, "").alias("text"), F.min("start").alias("start"), F.max("end").alias("end")
-    )
-    folded = F.col("n") > 1
-    overlong = folded & (F.length("text") > max_length)
-    kind = F.when(overlong, "overlong").otherwise(F.col("first.kind"))
-    tok = F.when(overlong, F.lit(None)).when(folded, F.concat(F.lit('"'), F.col("text"), F.lit('"'))).otherwise(F.col("first.tok"))
-    return one.select("file", "lang", (F.row_number().over(Window.partitionBy("file").orderBy("run")) - 1).cast("long").alias("idx"), kind.alias("kind"), tok.alias("tok"), F.col("first.level").alias("level"), "start", "end")
+    one = runs.where("folded").groupBy("file", "lang", "run").agg(F.array_join(texts, "").alias("text"), F.min("start").alias("start"), F.max("end").alias("end"))
+    long_ = F.length("text") > max_length
+    one = one.withColumns({"kind": F.when(long_, "overlong").otherwise("string"), "tok": F.when(~long_, F.concat(F.lit('"'), F.col("text"), F.lit('"'))), "level": F.lit(None).cast("int")})
+    return runs.where("not folded").select(*columns).unionByName(one.select(*columns))

@@ -71,21 +71,36 @@ def level_changes(amounts: pd.Series) -> pd.Series:
     return amounts.map(one)
 
 
-def pieces_of(files: DataFrame, lang: str) -> DataFrame:
-    """(id columns, pos, piece, kind, last) for files(..., bytes)."""
+def kind_of(lang: str) -> Column:
+    """The kind of `piece`, which is number pos of its file's n pieces."""
     rx = expressions(lang)
-    whole = f"(?:{rx['skip']}|{rx['str']}|{rx['dead']}|{_IDENT}|[\\s\\S])"
-    keep = [c for c in files.columns if c != "bytes"]
-    cut = files.select(*keep, F.regexp_extract_all("bytes", F.lit(whole), 0).alias("p")).select(*keep, F.size("p").alias("n"), F.posexplode("p").alias("pos", "piece"))
-    first = F.substring("piece", 1, 1)
-    kind = (
-        F.when(F.col("piece").rlike(r"\A[A-Za-z0-9_\x80-\xff]"), "identifier")
-        .when(first.isin('"', "'", "`") & F.col("piece").rlike(rf"\A(?:{rx['str']})\z"), "string")
-        .when(F.col("piece").rlike(r"\A(?://|/\*|[\x00-\x20\x7f])") if lang != "py" else F.col("piece").rlike(r"\A[#\x00-\x20\x7f]"), "skip")
-        .when((F.length("piece") > 1) | ((first == "'") & (F.col("pos") == F.col("n") - 1) if lang == "rust" else first.isin(*("\"'`" if lang in BACKTICK else "\"'"))), "dead")
+    code = F.ascii("piece")  # cheaper than an expression for each piece
+    quote = code.isin(*map(ord, "\"'`" if lang in BACKTICK else "\"'"))
+    comment = code == ord("#") if lang == "py" else F.substring("piece", 1, 2).isin("//", "/*")
+    alone = (F.col("pos") == F.col("n") - 1) if lang == "rust" else F.lit(True)  # a lone quote: in Rust it begins a lifetime unless the file ends
+    return (
+        F.when((code >= 97) & (code <= 122) | (code >= 48) & (code <= 57) | (code >= 65) & (code <= 90) | (code == 95) | (code >= 128), "identifier")
+        .when((code <= 32) | (code == 127) | comment, "skip")
+        .when(quote & F.col("piece").rlike(rf"\A(?:{rx['str']})\z"), "string")
+        .when(quote & ((F.length("piece") > 1) | alone), "dead")
         .otherwise("byte")
     )
-    return cut.select(*keep, F.col("pos").cast("long").alias("pos"), "piece", kind.alias("kind"))
+
+
+def pieces_of(files: DataFrame, languages: tuple[str, ...]) -> DataFrame:
+    """(file, lang, pos, piece, kind) for files(file, lang, bytes), which are dealt by file before their texts are cut."""
+    families: dict[str, list[str]] = {}
+    for lang in languages:
+        families.setdefault("js" if lang in BACKTICK else "c" if lang in C_LIKE else lang, []).append(lang)
+    found = kind = F.lit(None)
+    for family, members in families.items():
+        rx = expressions(family)
+        whole = f"(?:{rx['skip']}|{rx['str']}|{rx['dead']}|{_IDENT}|[\\s\\S])"
+        found = F.when(F.col("lang").isin(*members), F.regexp_extract_all("bytes", F.lit(whole), 0)).otherwise(found)
+        kind = F.when(F.col("lang").isin(*members), kind_of(family)).otherwise(kind)
+    cut = files.where(F.col("lang").isin(*languages)).repartition("file").select("file", "lang", found.alias("p"))
+    cut = cut.select("file", "lang", F.size("p").alias("n"), F.posexplode("p").alias("pos", "piece"))
+    return cut.select("file", "lang", F.col("pos").cast("long").alias("pos"), "piece", kind.alias("kind"))
 
 
 def tokenize(files: DataFrame, content: str = "content", max_length: int = MAX_LENGTH, languages: tuple[str, ...] | None = None) -> DataFrame:
@@ -95,10 +110,7 @@ def tokenize(files: DataFrame, content: str = "content", max_length: int = MAX_L
     """
     binary = dict(files.dtypes)[content] == "binary"
     base = files.where(F.col(content).isNotNull()).select(F.col("file"), "lang", as_bytes(F.col(content), binary).alias("bytes"))
-    parts = [pieces_of(base.where(F.col("lang") == lang), lang) for lang in languages or LANGUAGES]
-    pieces = parts[0]
-    for p in parts[1:]:
-        pieces = pieces.unionByName(p)
+    pieces = pieces_of(base, languages or LANGUAGES)
     order = Window.partitionBy("file").orderBy("pos")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     size = F.length("piece")
