@@ -279,3 +279,16 @@ def test_pipeline(spark):
     empty = spark.read.parquet(f"{small}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, small).count() == 0
+
+
+def test_jaccard_prefixes_lose_no_pair(spark):
+    """Each similar pair shares a token under the position test, whichever shingles are frequent; parity cells had this by chance only."""
+    texts = near_copies(4, 90)
+    docs = documents(spark, texts).select(F.col("doc_id").alias("id"), "text")
+    node = {r.id: r.node for r in jaccard_join.document_nodes(docs).collect()}
+    sets = [brute.shingles(t) for t in texts]
+    prefix = jaccard_join.prefixes(docs, sum(map(len, sets)))
+    left, right = (prefix.select("token", *(F.col(c).alias(n) for c, n in zip(("node", "n_shingles", "pos"), names, strict=True))) for names in (("a", "m", "i"), ("b", "n", "j")))
+    found = {(r.a, r.b) for r in left.join(right, "token").where(jaccard_join.may_be_similar("m", "i", "n", "j")).select("a", "b").distinct().collect()}
+    similar = [(x, y) for x in range(90) for y in range(x) if 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y]) and node[x] != node[y]]
+    assert similar and all((node[x], node[y]) in found for x, y in similar)

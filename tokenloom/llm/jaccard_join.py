@@ -1,20 +1,19 @@
-"""Self-join of documents by the Jaccard similarity of their word shingles, through parity sketches.
+"""Self-join of documents by the Jaccard similarity of their word shingles, through prefixes of their rarest shingles.
 
 A document is the set of its distinct WIDTH-word shingles, each a 64-bit hash; equal sets are joined first and count as
-one node, named by a hash of the set. Sets are put into size bands so that a pair of similar sets lies in one band or
-in two adjacent ones. For each of its two pairs of adjacent bands a set has parity sketches: its shingles fall by
-hash into m cells, and a cell holds the XOR of its shingles' hashes. A shingle that only one of two sets has changes
-one cell at most, so the number of differing cells is a lower bound of the symmetric difference, and similar sets
-have equal cells. Two sketches are used:
-
-- COARSE, with at most about 4 shingles a cell and more cells than similar sets have differing shingles. In each cell
-  every set is held against the smallest one (the pivot), so a cell gives as many pairs as it has sets, and a task sends
-  only its own pivot of a cell. If all sets of a cell pass, they are in one component. Where one fails, all are held
-  against a second pivot, the set that shares its cells with the most others: of near copies, the one they were made of.
-- FINE, with about 12 shingles a cell, for the sets of cells in which one still fails, such as those of a passage that
-  many documents share. Shingles that are frequent among these sets are left out of the sketches of sets that consist
-  of others for the most part, which lowers the symmetric difference only. Sets at the threshold have no equal cell
-  with a chance under 3e-4, and under 1e-7 if they are in one band. Only pairs between different components are held against each other.
+one node, named by a hash of the set. All shingles are put into one order, by the number of sets that have them and then
+by hash. Similar sets share so many shingles that the first one they share in this order lies among the first quarter
+of each, its prefix, and so far in front that enough shingles follow it in both (the position test). A join of the
+prefixes by shingle under that test therefore loses no similar pair, whatever the order; an order by rarity keeps it small,
+since a passage that many documents share comes last in each.
+
+- The most frequent shingles are known from a broadcast list and come last; the others are dealt to buckets and counted
+  there. Those that one set alone has take places in its prefix and are not sent on.
+- For each shingle of the prefixes every set is held against the one with the shingle furthest in front (the pivot), so
+  that a shingle gives as many pairs as it has sets. If all sets of a shingle pass, they are in one component. Where one fails, all are
+  held against a second pivot, the set that shares its shingles with the most others: of near copies, the one they were made of.
+- Of shingles whose sets are still in different components, all pairs of different components that pass the position
+  test are held against each other.
 
 A pair is verified in two steps: the Hamming distance of two bit sketches (each bit the parity of the shingles that
 fall to it) is a lower bound of the symmetric difference and drops nearly all pairs that are not similar; the others
@@ -31,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm.common import cut, mix, shingle_sets, slices
@@ -40,40 +39,17 @@ from tokenloom.llm.components import connected_components
 WIDTH = 5
 #: Similar: PART * |intersection| >= WHOLE * |union|.
 PART, WHOLE = 100, 75
-#: (shingles in a cell of the largest sets of a band, cells used), the second with a few more cells for small sets.
-COARSE, FINE = (3, 64), (12, 256)
-#: Shingles that are left out of fine sketches: at most FREQUENT, each in COMMON sets at least. Any choice gives the same links.
+#: Shingles that are put last without counting them in buckets: at most FREQUENT, each in COMMON sets at least. Any choice gives the same links.
 FREQUENT, COMMON = 50_000, 50
-#: Share of other shingles from which these alone are sketched, and under which all are; between them a set has both sketches.
-#: Sets at the threshold differ in 2/7 of their sizes, so two similar sets always have a sketch of one kind in common.
-OTHERS, FEW_OTHERS = 0.55, 0.38
 #: Bits of the sketch that drops pairs, for each shingle, at least.
 BITS = 4
-#: (cell, node) pairs in one group of the candidate search, and those that a task gathers before it sends them on.
+#: (shingle, node) pairs in one bucket, and those that a task gathers before it sends them on.
 GROUP_PAIRS = 1_500_000
 SEND_PAIRS = 500_000
 #: Document ids up to which those of candidates are broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
 
-def bands() -> np.ndarray:
-    """The first size of each band; the last one only ends the band before it."""
-    first = [1]
-    while first[-1] < 1 << 40:
-        first.append(max(first[-1] + 1, 4 * (first[-1] - 1) // 3 + 1))
-    return np.asarray(first, np.int64)
-
-
-_FIRST = bands()
-
-
-def sketch_sizes(load: int) -> np.ndarray:
-    """Cells of the sketch of each band and the next one: more than similar sets differ in (COARSE), or one for each `load` shingles and one more."""
-    if load == COARSE[0]:
-        return (_FIRST[1:-1] - 1) // load + 1
-    return np.where(_FIRST[1:-1] > 3, (_FIRST[2:] - 1) // load + 2, 1)  # sets of up to 2 shingles are similar to equal ones only
-
-
 def fingerprints(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """A hash of each set; 0 for the empty set."""
     out = np.zeros(len(bounds) - 1, np.uint64)
@@ -103,39 +79,6 @@ def differ(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(u ^ v).sum())
 
 
-def cells(hashes: np.ndarray, owner: np.ndarray, size: np.ndarray, sketch: tuple[int, int] = COARSE, kind: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(key, row) of every used cell of the sketches of sets of the given sizes, over the hashes of the row's set or some of them."""
-    load, most = sketch
-    sizes = sketch_sizes(load)
-    band = np.searchsorted(_FIRST, size, side="right") - 1
-    keys, owners = [], []
-    for role in (0, 1):
-        joint = np.where(size > 0, band - role, -1)
-        m = np.where(joint >= 0, sizes[np.maximum(joint, 0)], 1)
-        rounds = np.where(m > 1, -(-most // m), 0)
-        for turn in range(int(rounds.max(initial=0))):
-            mine = rounds[owner] > turn
-            o = owner[mine]
-            seed = mix((joint[o].astype(np.uint64) << np.uint64(16)) + np.uint64(turn + 1 + (load << 10) + (kind << 14)))
-            x = mix(hashes[mine] ^ seed)
-            cell = ((x >> np.uint64(32)) * m[o].astype(np.uint64)) >> np.uint64(32)
-            used = cell < most
-            o, cell, value = o[used], cell[used], mix(x[used])
-            group = o * most + cell.astype(np.int64)
-            order = np.argsort(group, kind="stable")
-            group = group[order]
-            if not len(group):
-                continue
-            begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-            parity = np.bitwise_xor.reduceat(value[order], begin)
-            group = group[begin]
-            keys.append(mix(parity + mix(seed[used][order][begin] + (group % most).astype(np.uint64))))
-            owners.append(group // most)
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(owners)
-
-
 def document_nodes(docs: DataFrame) -> DataFrame:
     """(id, n_shingles, node, sketch) for docs(id, text)."""
 
@@ -147,18 +90,10 @@ def document_nodes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(found, "id long, n_shingles long, node long, sketch binary")
 
 
-def packed(columns: list[np.ndarray], bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """(bucket, its rows of the columns, as bytes)."""
-    order = np.argsort(bucket, kind="stable")
-    begin = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    data = np.stack(columns, axis=1)[order]
-    for g in np.flatnonzero(np.diff(begin)).tolist():
-        yield g, data[begin[g] : begin[g + 1]].tobytes()
-
-
-def unpacked(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    found = [np.frombuffer(x.as_buffer(), np.int64).reshape(-1, width) for x in column if x.is_valid]
-    return np.concatenate(found) if found else np.zeros((0, width), np.int64)
+def unpacked(column: pa.ChunkedArray, dtype: type) -> np.ndarray:
+    """The arrays that the column's cells hold, end to end."""
+    found = [np.frombuffer(x.as_buffer(), dtype) for x in column if x.is_valid]
+    return np.concatenate(found) if found else np.zeros(0, dtype)
 
 
 def new_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -193,43 +128,8 @@ def begins(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
 
 
-def stars(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows (key, node): the first row of each key, and (key, that node, other node) for its other nodes."""
-    data = data[np.lexsort((data[:, 1], data[:, 0]))]
-    begin = begins(data[:, 0])
-    pivot = np.repeat(begin, np.diff(np.append(begin, len(data))))
-    other = data[:, 1] != data[pivot, 1]
-    other[1:] &= (data[1:] != data[:-1]).any(axis=1)
-    return data[begin], np.stack([data[other, 0], data[pivot[other], 1], data[other, 1]], axis=1)
-
-
-def coarse_candidates(docs: DataFrame, buckets: int) -> DataFrame:
-    """(key, a, b): in the COARSE cell `key`, pivot a and member b. Pivots of a task meet in the key's bucket; its other pairs go to any."""
-
-    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts():
-            for _, _, nodes, hashes, bounds in new_sets(batches):
-                size = np.diff(bounds)
-                keys, owners = cells(hashes, np.repeat(np.arange(len(size)), size), size)
-                yield keys.view(np.int64), nodes[owners]
-
-        yield from gathered(parts(), send)
-
-    def send(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
-        pivots, pairs = stars(np.stack([keys, nodes], axis=1))
-        rows = [(g, x, None) for g, x in packed(list(pivots.T), (pivots[:, 0].view(np.uint64) % np.uint64(buckets)).astype(np.int64), buckets)]
-        rows += [(g, None, x) for g, x in packed(list(pairs.T), np.arange(len(pairs)) % buckets, buckets)]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "pivots", "pairs"])
-
-    def join(group: pa.Table) -> pa.Table:
-        found = np.concatenate([stars(unpacked(group.column("pivots"), 2))[1], unpacked(group.column("pairs"), 3)])
-        return pa.table(dict(zip(("key", "a", "b"), found.T, strict=True)))
-
-    return docs.select("text").mapInArrow(sent, "bucket int, pivots binary, pairs binary").groupBy("bucket").applyInArrow(join, "key long, a long, b long")
-
-
-def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """The most frequent shingles of the sets of docs(text), sorted. Tasks send those that they meet more than once in about SEND_PAIRS shingles."""
+def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of the sets of docs(text), sorted, and the place of each when they are ordered by rarity. Tasks send those that they meet more than once in about SEND_PAIRS shingles."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def send(hashes: np.ndarray) -> pa.RecordBatch:
@@ -240,63 +140,108 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
     seen = docs.select("text").mapInArrow(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     found = seen.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas()["shingle"]
-    return np.sort(found.to_numpy(np.int64).view(np.uint64))
+    hashes = found.to_numpy(np.int64)[::-1].copy().view(np.uint64)
+    place = np.argsort(hashes, kind="stable")
+    return hashes[place], place
+
+
+def prefix_length(size: np.ndarray) -> np.ndarray:
+    """Shingles of a set of which a similar set has one at least: all but those that any similar set shares, and one more."""
+    return size - -(-WHOLE * size // PART) + 1
 
 
-def fine_candidates(docs: DataFrame, buckets: int) -> DataFrame:
-    """(a, b): sets of docs(text, component) of different components that have an equal FINE cell."""
+def prefixes(docs: DataFrame, shingles: int) -> DataFrame:
+    """(token, node, n_shingles, pos): the prefix of each set of docs(text), without shingles of one set alone. The sets have `shingles` in total.
+
+    A token names a shingle, or a few that fall together. Rows (node, token, x, y) on the way are of three kinds: n_shingles and the number
+    of shingles that are not frequent (y >= 0), the sets that have a token (counted), or the position of a frequent shingle (placed).
+    """
+    counted, placed = -1, -2
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
+    buckets = max(24, -(-shingles // GROUP_PAIRS))
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts():
-            for batch, rows, nodes, hashes, bounds in new_sets(batches):
-                components, size = np.asarray(batch.column("component"))[rows], np.diff(bounds)
+            common, rank = frequent.value
+            for _, _, nodes, hashes, bounds in new_sets(batches):
+                size = np.diff(bounds)
                 owner = np.repeat(np.arange(len(size)), size)
-                other = ~np.isin(hashes, frequent.value, kind="sort")
-                share = np.bincount(owner[other], minlength=len(size)) / np.maximum(size, 1)
-                for kind, used in ((1, other & (share >= FEW_OTHERS)[owner]), (2, (share < OTHERS)[owner])):
-                    keys, owners = cells(hashes[used], owner[used], size, FINE, kind)
-                    yield keys.view(np.int64), nodes[owners], components[owners]
-
-        yield from gathered(parts(), send)
-
-    def send(keys: np.ndarray, nodes: np.ndarray, components: np.ndarray) -> pa.RecordBatch:
-        bucket = (keys.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        begin = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        rows = []
-        for g in np.flatnonzero(np.diff(begin)).tolist():
-            at = order[begin[g] : begin[g + 1]]
-            _, first, set_ = np.unique(nodes[at], return_index=True, return_inverse=True)
-            short = (keys[at].view(np.uint64) >> np.uint64(32)).astype(np.uint32)  # a bucket's rows are bounded, so that few keys fall together
-            rows.append((g, np.stack([nodes[at[first]], components[at[first]]], axis=1).tobytes(), np.stack([short, set_.astype(np.uint32)]).tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "sets", "members"])
-
-    def join(group: pa.Table) -> pa.Table:
-        sets, keys, owners, before = [], [], [], 0
-        for x, y in zip(group.column("sets"), group.column("members"), strict=True):
-            sets.append(np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 2))
-            short, set_ = np.frombuffer(y.as_buffer(), np.uint32).reshape(2, -1)
-            keys.append(short)
-            owners.append(set_ + np.uint32(before))
-            before += len(sets[-1])
-        sets, keys, owners = np.concatenate(sets), np.concatenate(keys), np.concatenate(owners)
-        order = np.argsort(keys, kind="stable")
-        keys, owners = keys[order], owners[order]
-        begin = begins(keys)
-        end = np.append(begin[1:], len(keys))
-        found = [np.zeros((0, 2), np.int64)]
-        for k in np.flatnonzero(end - begin > 1).tolist():
-            members = sets[owners[begin[k] : end[k]]]
-            if (members[:, 1] != members[0, 1]).any():
-                members = np.unique(members, axis=0)
-                for i in range(len(members) - 1):
-                    other = members[i + 1 :][members[i + 1 :, 1] != members[i, 1], 0]
-                    found.append(np.sort(np.stack([np.full(len(other), members[i, 0]), other], axis=1), axis=1))
-        found = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"a": found[:, 0], "b": found[:, 1]})
-
-    return docs.select("text", "component").mapInArrow(sent, "bucket int, sets binary, members binary").groupBy("bucket").applyInArrow(join, "a long, b long").distinct()
+                at = np.minimum(np.searchsorted(common, hashes), max(len(common) - 1, 0))
+                known = common[at] == hashes if len(common) else np.zeros(len(hashes), bool)
+                of = owner[known]
+                n = np.bincount(of, minlength=len(size))
+                order = np.lexsort((rank[at[known]], of))
+                pos = (size - n)[of] + np.arange(len(of)) - (np.cumsum(n) - n)[of]
+                token = hashes[known][order].view(np.int64)
+                first = pos < prefix_length(size)[of]
+                sets = np.stack([nodes, np.zeros_like(nodes), size, size - n], axis=1)
+                ready = np.stack([nodes[of], token, pos, np.full_like(pos, placed)], axis=1)[first]
+                yield hashes[~known], nodes[owner[~known]], np.concatenate([sets, ready])
+
+        # a part without counted shingles still has rows to send
+        yield from gathered(((h, n, r) if len(h) else (np.zeros(1, np.uint64), np.zeros(1, np.int64), r) for h, n, r in parts()), send)
+
+    def send(hashes: np.ndarray, nodes: np.ndarray, rest: np.ndarray) -> pa.RecordBatch:
+        hashes, nodes = hashes[nodes != 0], nodes[nodes != 0]
+        of, to = (hashes % np.uint64(buckets)).astype(np.int64), (rest[:, 0].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        order, other = np.argsort(of, kind="stable"), np.argsort(to, kind="stable")
+        short, nodes, rest = (hashes[order] >> np.uint64(32)).astype(np.uint32), nodes[order], rest[other]
+        begin, start = np.searchsorted(of[order], np.arange(buckets + 1)).tolist(), np.searchsorted(to[other], np.arange(buckets + 1)).tolist()
+        rows = [(g, short[begin[g] : begin[g + 1]].tobytes(), nodes[begin[g] : begin[g + 1]].tobytes(), rest[start[g] : start[g + 1]].tobytes()) for g in range(buckets) if begin[g] < begin[g + 1] or start[g] < start[g + 1]]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], ["bucket", "short", "nodes", "rest"])
+
+    def count(group: pa.Table) -> pa.Table:
+        short, nodes = unpacked(group.column("short"), np.uint32), unpacked(group.column("nodes"), np.int64)
+        order = np.argsort(short, kind="stable")
+        short, nodes = short[order], nodes[order]
+        n = np.diff(np.append(begins(short), len(short)))
+        n = np.repeat(n, n)
+        some = n > 1
+        token = (group.column("bucket")[0].as_py() << 32) + short[some].astype(np.int64)
+        found = np.stack([nodes[some], token, n[some], np.full(len(token), counted)], axis=1)
+        found = np.concatenate([found, unpacked(group.column("rest"), np.int64).reshape(-1, 4)])
+        return pa.table(dict(zip(("node", "token", "x", "y"), found.T, strict=True)))
+
+    def place(group: pa.Table) -> pa.Table:
+        node, token, x, y = (group.column(c).to_numpy() for c in ("node", "token", "x", "y"))
+        sets, first = np.unique(node[y >= 0], return_index=True)
+        size, others = x[y >= 0][first], y[y >= 0][first]
+        order = np.lexsort((token, x, node))
+        order = order[y[order] == counted]
+        of = np.searchsorted(sets, node[order])
+        n = np.bincount(of, minlength=len(sets))
+        # counted from the end, so that a repeated row, whose tokens come more than once, only moves them further in front
+        pos = np.maximum((others - n)[of] + np.arange(len(of)) - (np.cumsum(n) - n)[of], 0)
+        ready = np.flatnonzero(y == placed)
+        order, of, pos = np.concatenate([order, ready]), np.concatenate([of, np.searchsorted(sets, node[ready])]), np.concatenate([pos, x[ready]])
+        keep = pos < prefix_length(size)[of]
+        return pa.table({"token": token[order][keep], "node": node[order][keep], "n_shingles": size[of][keep], "pos": pos[keep]})
+
+    dealt = docs.select("text").mapInArrow(sent, "bucket int, short binary, nodes binary, rest binary")
+    seen = dealt.groupBy("bucket").applyInArrow(count, "node long, token long, x long, y long")
+    found = seen.withColumn("part", F.pmod("node", F.lit(buckets))).groupBy("part").applyInArrow(place, "token long, node long, n_shingles long, pos long")
+    return found.groupBy("token", "node").agg(F.first("n_shingles").alias("n_shingles"), F.min("pos").alias("pos"))
+
+
+def may_be_similar(m: str, i: str, n: str, j: str) -> Column:
+    """The position test: whether sets of m and n shingles can be similar if the first that they share is at i and j."""
+    return (PART + WHOLE) * F.least(F.col(m) - F.col(i), F.col(n) - F.col(j)) >= WHOLE * (F.col(m) + F.col(n))
+
+
+def pivot_pairs(prefix: DataFrame) -> DataFrame:
+    """(key, a, b, near): for each token, the set that has it furthest in front and each other one, and whether they pass the position test."""
+    pivot = prefix.groupBy("token").agg(F.min(F.struct("pos", "n_shingles", "node")).alias("p"), F.count("*").alias("sets")).where("sets > 1")
+    pivot = pivot.select("token", F.col("p.node").alias("pivot"), F.col("p.n_shingles").alias("m"), F.col("p.pos").alias("i"))
+    pairs = prefix.join(pivot, "token").where("node <> pivot")
+    return pairs.select(F.col("token").alias("key"), F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"), may_be_similar("m", "i", "n_shingles", "pos").alias("near"))
+
+
+def open_pairs(prefix: DataFrame, keys: DataFrame, parts: DataFrame) -> DataFrame:
+    """(a, b): pairs of different components that share one of keys(key) and pass the position test."""
+    members = cut(with_component(prefix.join(keys.select(F.col("key").alias("token")), "token", "left_semi"), parts))
+    left = members.select("token", F.col("node").alias("a"), F.col("n_shingles").alias("m"), F.col("pos").alias("i"), F.col("component").alias("of_a"))
+    right = members.select("token", F.col("node").alias("b"), F.col("n_shingles").alias("n"), F.col("pos").alias("j"), F.col("component").alias("of_b"))
+    return left.join(right, (left.token == right.token) & (F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & may_be_similar("m", "i", "n", "j")).select("a", "b").distinct()
 
 
 def shingle_blobs(docs: DataFrame) -> DataFrame:
@@ -357,13 +302,13 @@ def with_component(nodes: DataFrame, parts: DataFrame, node: str = "node", name:
 
 
 def unsettled(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    """(key, node): the sets of the cells with sets of different components."""
+    """(key, node): the sets of the keys with sets of different components."""
     apart = with_component(with_component(rows, parts, "a", "of_a"), parts, "b", "of_b").where("of_a <> of_b").select("key").distinct()
     return rows.join(apart, "key", "left_semi").select("key", F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
 def central_pairs(members: DataFrame) -> DataFrame:
-    """(key, a, b): in each cell of members(key, node), the set that shares its cells with the most others, and each other one."""
+    """(key, a, b): for each key of members(key, node), the set that shares its keys with the most others, and each other one."""
     sizes = members.groupBy("key").agg(F.count("*").alias("n"))
     weight = members.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("weight"))
     pivot = members.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("pivot"))
@@ -377,18 +322,18 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "t
     nodes = cut(document_nodes(source))
     first = nodes.where("node <> 0 and id is not null").groupBy("node").agg(F.min_by(F.struct("id", "n_shingles", "sketch"), "id").alias("x"))
     first = cut(first.select("node", "x.*"))
-    n = first.count()
-    rows = cut(coarse_candidates(source.where("id is not null"), max(24, -(-n * 2 * COARSE[1] // GROUP_PAIRS))))
-    tried = rows.select("a", "b").distinct()
+    shingles = first.agg(F.sum("n_shingles")).first()[0] or 0
+    prefix = cut(prefixes(only(source, first.select("id")), shingles))
+    rows = cut(pivot_pairs(prefix))
+    tried = rows.where("near").select("a", "b").distinct()
     links = verify(tried, first, source)
     members = cut(unsettled(rows, connected_components(links)))
     second = cut(central_pairs(members))
     more = second.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     links, tried = links.union(verify(more, first, source)), tried.union(more)
     parts = connected_components(links)
-    open_ = cut(with_component(unsettled(second, parts).select("node").distinct(), parts).join(first.select("node", "id"), "node"))
-    fine = fine_candidates(only(source, open_.select("id", "component")), max(24, -(-open_.count() * 2 * FINE[1] // GROUP_PAIRS)))
-    links = links.union(verify(fine.join(tried, ["a", "b"], "left_anti"), first, source))
+    rest = open_pairs(prefix, unsettled(second, parts).select("key").distinct(), parts)
+    links = links.union(verify(rest.join(tried, ["a", "b"], "left_anti"), first, source))
     parts = connected_components(links)
     named = first.join(parts, "node").groupBy("component").agg(F.min("id").alias("component_id"))
     named = parts.join(named, "component").select("node", "component_id")
