@@ -3,7 +3,8 @@
 The lexicon is learned from labelled rows: words, and word beginnings with many different endings, that are far more
 frequent in toxic documents. Its terms form a trie; the Levenshtein automaton of distance 1 runs over the trie, and
 the states reachable together are joined into one table, so that a word is matched by one table look-up a character.
-Each hit gets the precision that its term has on the sample at that distance. Its context, WINDOW words on
+Each hit gets the precision that its term has on the sample at that distance; a verdict without a hit in the sample gets
+the pooled precision of all hits at distance 1, with a fixed prior, at every size of the sample. Its context, WINDOW words on
 either side, then changes it: hits nearby add to it, quotation marks around it or a word of reporting just before it
 lower it. A document's score is the chance that at least one hit is abuse.
 
@@ -44,8 +45,8 @@ WINDOW = 8
 QUOTED = 0.35
 NEAR = 0.15
 NO_HIT = 0.02
-#: Precision of a distance at which the sample has no hit, and the least one that counts.
-UNSEEN, LEAST = 0.6, 0.55
+#: Prior of the precision of distance-1 hits, which the sample's hits at that distance are added to, its weight in hits, and the least precision that counts.
+UNSEEN, PRIOR, LEAST = 0.6, 4.0, 0.55
 
 # Quotation marks, and words of reporting.
 QUOTES = "\"“”„«»‹›「」"
@@ -262,10 +263,12 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
             yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in rows], pa.int32()), pa.array([toxic[r] for _, r in rows], pa.int32()), pa.array([weight[r] for _, r in rows], pa.float64())], ["verdict", "toxic", "weight"])
 
     counts = sample.mapInArrow(tally, "verdict int, toxic int, weight double").groupBy("verdict").agg(bad, F.sum("weight").alias("n")).collect()
-    precision = np.full(2 * len(terms), UNSEEN if total.get(0, 0) >= 2000 else 0.6 * UNSEEN)
     clean_weight = max(n.get(0, 0) / SAMPLE_CLEAN, 1.0) / max(n.get(1, 0) / SAMPLE_TOXIC, 1.0)
+    good_weight = max(1.0, clean_weight)
+    bad_near, n_near = sum(r.bad for r in counts if r.verdict % 2), sum(r.n for r in counts if r.verdict % 2)
+    precision = np.full(2 * len(terms), (bad_near + PRIOR * UNSEEN) / (bad_near + good_weight * (n_near - bad_near) + PRIOR))
     for r in counts:
-        precision[r.verdict] = (r.bad + 0.1) / (r.bad + max(1.0, clean_weight) * (r.n - r.bad) + 0.4)
+        precision[r.verdict] = (r.bad + 0.1) / (r.bad + good_weight * (r.n - r.bad) + 0.4)
     precision[(precision < LEAST) & np.isin(np.arange(len(precision)), [r.verdict for r in counts])] = 0.0
     return automaton, precision
 
