@@ -301,3 +301,10 @@ def test_toxicity_unseen_misspelling(spark, clean):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     automaton, precision = toxicity.learn(docs, docs.select("doc_id", (F.col("doc_id") < 40).cast("int").alias("toxic")))
     assert automaton.terms == ["vilebad"] and precision[1] == pytest.approx(0.6)
+
+
+@pytest.mark.parametrize("odd", ["<button>", "<select>", "<object data=x>", "<svg viewBox='0 0 1 1'/>", "<iframe src=x />", "<button-group>", "<video-player>", "<title-bar>", "<svg-icon></svg-icon>"])
+def test_html_missing_end_tags(odd):
+    main = "Main text of the page with enough words in it to be read as a paragraph of the story."
+    assert html_extract.main_text(f"<html><head><meta charset=x><body><article>{odd}<p>{main}</p></article>") == main
+    assert html_extract.main_text(f"<html><head><title>T</title></head><body><svg><text>no</text></svg><article><button>Buy</button><p>{main}</p></article>") == main

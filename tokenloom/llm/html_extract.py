@@ -6,7 +6,7 @@ article element or in a container marked as page furniture by its tag, role, cla
 the blocks of the labelled pages of TRAINING, says which blocks are main text; they are joined in page order.
 
 Defined cases: null and empty pages, and pages without main text, give the empty text; unclosed and stray tags end where
-their parent ends; a comment, script or style that never ends swallows the rest; equal pages give equal texts; an empty
+their parent ends; a comment, script, style, textarea or title that never ends swallows the rest; equal pages give equal texts; an empty
 table gives an empty result; other columns of the input are ignored.
 """
 
@@ -26,7 +26,8 @@ from tokenloom.llm.common import slices
 # Tags and names of page parts.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = ("script", "style", "noscript", "template", "textarea", "select", "button", "svg", "iframe", "object", "title", "head", "canvas", "audio", "video", "math")
+SKIPPED = ("script", "style", "textarea", "title")  # raw text: without an end tag they go on to the end of the page
+HIDDEN_TAGS = ("noscript", "template", "select", "button", "svg", "iframe", "object", "canvas", "audio", "video", "math")  # skipped up to their end tag, if they have one
 FURNITURE_TAGS = set("nav footer aside form dialog menu".split())
 FURNITURE_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 FURNITURE_NAMES = set(
@@ -37,7 +38,7 @@ FURNITURE_NAMES = set(
 CONTENT_NAMES = set("content main article post entry story has with no page wrapper container layout body text".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 
-_TAG = re.compile(r"<!--(?:.*?-->|.*)|<(?P<raw>" + "|".join(SKIPPED) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</(?P=raw)\s*>|.*)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+_TAG = re.compile(r"<!--(?:.*?-->|.*)|<(?P<raw>" + "|".join(SKIPPED) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</(?P=raw)\s*>|.*)|<(?P<hidden>" + "|".join(HIDDEN_TAGS) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>(?:(?!<(?P=hidden)[\s/>]).)*?</(?P=hidden)\s*>|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 _NAME = re.compile(r"[a-z0-9]+")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|$|=)|display\s*:\s*none", re.I)
@@ -47,7 +48,7 @@ def is_furniture(tag: str, attrs: str) -> bool:
     """Whether the element marks menus, headers, footers, side columns, notices, adverts, forms or comments."""
     if tag in FURNITURE_TAGS:
         return True
-    if tag in ("html", "body", "main"):
+    if tag in ("html", "head", "body", "main"):
         return False
     if not attrs.strip():
         return tag == "header"
