@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenloom import queries
 from tokenloom.api import find
 from tokenloom.functions.captures import java_regex
-from tokenloom.functions.tokenize import tokenize
+from tokenloom.functions.tokenize import as_text, tokenize
 from tokenloom.plans.pattern import PatternError, expand, load, parse
 from tokenloom.sources.files import read_files, write_findings
 
@@ -24,7 +24,7 @@ def found(spark, lang, text, *patterns, **fields):
 
 
 def tokens(spark, lang, text, **options):
-    rows = tokenize(queries.snippets(spark, lang, [text]), languages=(lang,), **options).orderBy("idx").collect()
+    rows = tokenize(queries.snippets(spark, lang, [text]), languages=(lang,), **options).withColumn("tok", as_text(F.col("tok"))).orderBy("idx").collect()
     return [(r.kind, r.level if r.kind == "level" else r.tok, r.start.offset, r.end.offset) for r in rows]
 
 

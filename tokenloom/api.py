@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.functions.canonical import canonicalize
-from tokenloom.functions.tokenize import MAX_LENGTH, tokenize
+from tokenloom.functions.tokenize import MAX_LENGTH, spread, token_lists
 from tokenloom.operators.grouping import EXPANSIONS, finalize, group_matches
 from tokenloom.plans.pattern import Pattern
-from tokenloom.plans.scan import SINGLE, scan
+from tokenloom.plans.scan import SINGLE, depths_of, scan
 
 
 def must_hold(pattern: Pattern) -> list[str]:
@@ -32,8 +31,8 @@ def prefiltered(files: DataFrame, patterns: list[Pattern], content: str = "conte
 def find(files: DataFrame, patterns: list[Pattern], content: str = "content", max_length: int = MAX_LENGTH, max_unique: int = EXPANSIONS) -> DataFrame:
     """Findings (file, start, end, name, captures) in files(file, lang, content)."""
     languages = tuple(sorted({x for p in patterns for x in p.languages}))
-    tokens = canonicalize(tokenize(prefiltered(files, patterns, content), content, max_length, languages), max_length)
-    matches = scan(tokens, patterns)
+    lists = token_lists(spread(prefiltered(files, patterns, content)), content, max_length, languages, True, depths_of(patterns))
+    matches = scan(lists, patterns)
     return finalize(group_matches(matches, max_unique) if any(p.group for p in patterns) else matches)
 
 

@@ -1,31 +1,34 @@
 """Folding of neighbouring strings: `"a" "b"`, `"a" + "b"` and `"a" \\ "b"` become `"ab"`.
 
-Runs are found by gaps and islands: a row belongs to the run of the row before it if both are strings, or if it is `+`
-or a backslash between two strings. A run whose joined text is longer than max_length bytes is one `overlong` token.
+A token belongs to the run of the one before it if both are strings, or if it is `+` or a backslash between two
+strings. A run whose joined text is longer than max_length bytes is one `overlong` token.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+import numpy as np
 
-from tokenloom.functions.tokenize import MAX_LENGTH
+_STRING, _BYTE, _OVERLONG = 0, 2, 4
 
 
-def canonicalize(tokens: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:
-    """tokens with each run of strings as one, from the start of its first to the end of its last; idx counts anew."""
-    order = Window.partitionBy("file").orderBy("idx")
-    string = F.col("kind") == "string"
-    sign = (F.col("kind") == "byte") & F.col("tok").isin("+", "\\")
-    before, after = F.coalesce(F.lag(string).over(order), F.lit(False)), F.coalesce(F.lead(string).over(order), F.lit(False))
-    marked = tokens.withColumn("joins", sign & before & after)
-    joined = string & (F.coalesce(F.lag(string).over(order), F.lit(False)) | F.coalesce(F.lag("joins").over(order), F.lit(False)))
-    inside = F.col("joins") | F.col("joined")
-    marked = marked.withColumn("joined", joined)
-    runs = marked.withColumns({"run": F.sum(F.when(inside, 0).otherwise(1)).over(order) - 1, "folded": inside | F.coalesce(F.lead(inside).over(order), F.lit(False))})
-    columns = ["file", "lang", F.col("run").cast("long").alias("idx"), "kind", "tok", "level", "start", "end"]
-    texts = F.transform(F.array_sort(F.collect_list(F.when(string, F.struct("idx", "tok")))), lambda x: x["tok"].substr(F.lit(2), F.length(x["tok"]) - 2))
-    one = runs.where("folded").groupBy("file", "lang", "run").agg(F.array_join(texts, "").alias("text"), F.min("start").alias("start"), F.max("end").alias("end"))
-    long_ = F.length("text") > max_length
-    one = one.withColumns({"kind": F.when(long_, "overlong").otherwise("string"), "tok": F.when(~long_, F.concat(F.lit('"'), F.col("text"), F.lit('"'))), "level": F.lit(None).cast("int")})
-    return runs.where("not folded").select(*columns).unionByName(one.select(*columns))
+def fold(kind: np.ndarray, tok: list[bytes | None], level: np.ndarray, start: np.ndarray, end: np.ndarray, max_length: int) -> tuple[np.ndarray, list[bytes | None], np.ndarray, np.ndarray, np.ndarray]:
+    """A file's tokens with each run of strings as one, from the start of its first to the end of its last."""
+    string = kind == _STRING
+    before, after = np.zeros_like(string), np.zeros_like(string)
+    before[1:], after[:-1] = string[:-1], string[1:]
+    sign = before & after & (kind == _BYTE)
+    for i in np.flatnonzero(sign):
+        sign[i] = tok[i] in (b"+", b"\\")
+    after_sign = np.zeros_like(sign)
+    after_sign[1:] = sign[:-1]
+    inside = sign | (string & (before | after_sign))
+    if not inside.any():
+        return kind, tok, level, start, end
+    first = np.flatnonzero(~inside)
+    stop = np.append(first[1:], len(kind))
+    kept_kind, kept_end = kind[first].copy(), end[stop - 1]
+    kept = [tok[i] for i in first]
+    for k in np.flatnonzero(stop - first > 1):
+        text = b"".join(tok[i][1:-1] for i in range(first[k], stop[k]) if string[i])
+        kept[k], kept_kind[k] = (None, _OVERLONG) if len(text) > max_length else (b'"%b"' % text, _STRING)
+    return kept_kind, kept, level[first], start[first], kept_end

@@ -2,38 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Depths and the bytes that open and close them; `scope` also follows the levels of Python.
-BRACKETS = {"round": "()", "square": "[]", "curly": "{}", "corner": "<>", "scope": "{}"}
+DEPTHS = {"round": b"()", "square": b"[]", "curly": b"{}", "corner": b"<>", "scope": b"{}"}
+_BYTE, _LEVEL = 2, 3
 
 
-def with_depths(tokens: DataFrame) -> DataFrame:
-    """tokens with d, the depths after each token, and b, those before it."""
-    order = Window.partitionBy("file").orderBy("idx")
+def depths(kind: np.ndarray, tok: list[bytes | None], level: np.ndarray, name: str) -> np.ndarray:
+    """The depth after each of a file's tokens."""
+    up, down = DEPTHS[name][:1], DEPTHS[name][1:]
+    step = np.zeros(len(kind), np.int32)
+    at = np.flatnonzero(kind == _BYTE)
+    step[at] = [(tok[i] == up) - (tok[i] == down) for i in at.tolist()]
+    return np.cumsum(step + level if name == "scope" else step)
 
-    def step(name: str) -> Column:
-        up, down = BRACKETS[name]
-        byte = F.when((F.col("kind") == "byte") & (F.col("tok") == up), 1).when((F.col("kind") == "byte") & (F.col("tok") == down), -1)
-        return F.coalesce(byte, F.col("level"), F.lit(0)) if name == "scope" else F.coalesce(byte, F.lit(0))
 
-    after = {n: F.sum(step(n)).over(order) for n in BRACKETS}
-    return tokens.withColumns({"d": F.struct(*(c.cast("int").alias(n) for n, c in after.items())), "b": F.struct(*((c - step(n)).cast("int").alias(n) for n, c in after.items()))})
-
-
-def falls(tokens: DataFrame, name: str, statement: bool = False) -> DataFrame:
+def falls(lists: DataFrame, name: str, statement: bool = False) -> DataFrame:
     """(file, lvl, stop): at token `stop` the depth falls below lvl. statement: also where a statement ends at depth lvl."""
-    before, after = F.col(f"b.{name}"), F.col(f"d.{name}")
-    found = tokens.where(after < before).select("file", F.explode(F.sequence(after + 1, before)).alias("lvl"), F.col("idx").alias("stop"))
+    steps = F.transform(name, lambda x, i: F.struct(i.alias("stop"), x.alias("after"), F.coalesce(F.get(name, i - 1), F.lit(0)).alias("before")))
+    found = lists.select("file", F.explode(F.filter(steps, lambda x: x["after"] < x["before"])).alias("x"))
+    found = found.select("file", F.explode(F.sequence(F.col("x.after") + 1, "x.before")).alias("lvl"), F.col("x.stop").alias("stop"))
     if statement:
-        ends = tokens.where(((F.col("kind") == "byte") & (F.col("tok") == ";")) | ((F.col("kind") == "level") & (F.col("level") == 0)))
-        found = found.unionByName(ends.select("file", after.alias("lvl"), F.col("idx").alias("stop")))
+        ends = lambda x, i: ((F.get("kind", i) == _BYTE) & (F.get("tok", i) == F.lit(b";"))) | ((F.get("kind", i) == _LEVEL) & (F.get("level", i) == 0))
+        marked = F.transform(name, lambda x, i: F.when(ends(x, i), F.struct(x.alias("lvl"), i.alias("stop"))))
+        found = found.unionByName(lists.select("file", F.explode(F.filter(marked, lambda x: x.isNotNull())).alias("x")).select("file", "x.lvl", "x.stop"))
     return found
 
 
 def with_stop(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """rows(file, pos, lvl, ...) with the first stop of their file and level at pos or later, by one window over both tables."""
+    """rows(file, pos, lvl, ...) with the first stop of their file and level at pos or later, by one window over both tables.
+
+    The window goes backwards from the last place, so that each frame only grows.
+    """
     both = rows.withColumn("at", F.col("pos")).unionByName(found.withColumn("at", F.col("stop")), allowMissingColumns=True)
-    following = Window.partitionBy("file", "lvl").orderBy("at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    following = Window.partitionBy("file", "lvl").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return both.withColumn("bound", F.min("stop").over(following)).where("stop is null").drop("stop", "at", "lvl")

@@ -1,8 +1,8 @@
-"""Source text to rows of tokens, by one regular expression that covers every byte.
+"""Source text to tokens, by one regular expression a language that covers every byte.
 
-Texts are worked on as Latin-1 strings of their bytes, so that lengths are byte lengths. The pieces that the
-expression finds are exploded; a running sum of their lengths gives offsets, and running counts of line ends give lines
-and columns. White space, control bytes and comments give no token, nor do strings that never end.
+A file's tokens are worked out in one pass inside the task that reads it, with numpy, and stay together as parallel
+arrays in the file's row (token_lists), so that nothing is shuffled or sorted to number them; tokenize() gives a row for each.
+White space, control bytes and comments give no token, nor do strings that never end.
 
 Kinds: `string` (its quotes made plain double quotes), `identifier` (numbers too), `byte`, `level` (Python: change of
 indentation at a line's start), and `overlong` for strings and identifiers of more than max_length bytes.
@@ -10,149 +10,197 @@ indentation at a line's start), and `overlong` for strings and identifiers of mo
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+
+from tokenloom.functions.canonical import fold
+from tokenloom.functions.structure import DEPTHS, depths
 
 C_LIKE = ("c", "csharp", "java")
 BACKTICK = ("go", "js", "ts", "kotlin")
 LANGUAGES = (*C_LIKE, *BACKTICK, "rust", "py")
 MAX_LENGTH = 5000
+#: Bytes of text that a task cuts into tokens before it sends them on.
+SLICE_BYTES = 2 << 20
+KINDS = ("string", "identifier", "byte", "level", "overlong")
+STRING, IDENTIFIER, BYTE, LEVEL, OVERLONG = range(5)
 
-_IDENT = r"[A-Za-z_\x80-\xff][A-Za-z0-9_\x80-\xff]*+|[0-9][0-9_]*+"
-_SKIP = r"//[^\n]*+|/\*[\s\S]*?\*/|/\*[\s\S]*+|[\x00-\x20\x7f]++"
+_IDENT = rb"[A-Za-z_\x80-\xff][A-Za-z0-9_\x80-\xff]*+|[0-9][0-9_]*+"
+_SKIP = rb"//[^\n]*+|/\*[\s\S]*?\*/|/\*[\s\S]*+|[\x00-\x20\x7f]++"
 
 
-def _quoted(q: str) -> str:
-    return rf"{q}[^{q}\\]*+(?:\\[\s\S][^{q}\\]*+)*+{q}"
+def _quoted(q: bytes) -> bytes:
+    return rb"%b[^%b\\]*+(?:\\[\s\S][^%b\\]*+)*+%b" % (q, q, q, q)
 
 
-def expressions(lang: str) -> dict[str, str]:
-    """skip, dead (strings that never end) and str of a language; matched in the order skip, triple, str, dead, identifier, byte."""
+@lru_cache(maxsize=16)
+def expression(lang: str) -> re.Pattern[bytes]:
+    """Groups: 1 a line end with its indentation (Python), 2 a Python string in three quotes, 3 a string, 4 a string that never ends, 5 an identifier, 6 a byte."""
+    line, triple, skip = rb"(?!)", rb"(?!)", _SKIP
     if lang == "py":
-        triple = r'"""[\s\S]*?"""|' + r"'''[\s\S]*?'''"
-        return {"skip": r"#[^\n]*+|\n[ \t]*+|[\x00-\x09\x0b-\x20\x7f]++", "str": f"{triple}|(?!\"\"\"|'''){_quoted('"')}|(?!\"\"\"|'''){_quoted("'")}", "dead": "[\"'][\\s\\S]*+"}
-    if lang == "rust":
-        start = r"A-Za-z_\x80-\xff"
-        return {"skip": _SKIP, "str": f"{_quoted('"')}|'[{start}]'|''|'[^{start}'][^']*+'", "dead": rf'"[\s\S]*+|\'[{start}]\z|\'\z|\'[^{start}\'][\s\S]*+'}
-    quotes = "\"'`" if lang in BACKTICK else "\"'"
-    return {"skip": _SKIP, "str": "|".join(map(_quoted, quotes)), "dead": f"[{quotes}][\\s\\S]*+"}
+        line, skip = rb"\n[ \t]*+", rb"#[^\n]*+|[\x00-\x09\x0b-\x20\x7f]++"
+        triple = rb'"""[\s\S]*?"""|' + rb"'''[\s\S]*?'''"
+        string = rb"(?!\"\"\"|''')(?:" + _quoted(b'"') + b"|" + _quoted(b"'") + b")"
+        dead = rb"[\"'][\s\S]*+"
+    elif lang == "rust":
+        start = rb"A-Za-z_\x80-\xff"
+        string = _quoted(b'"') + rb"|'[%b]'|''|'[^%b'][^']*+'" % (start, start)
+        dead = rb'"[\s\S]*+' + rb"|'[%b]\Z|'\Z|'[^%b'][\s\S]*+" % (start, start)
+    else:
+        quotes = (b'"', b"'", b"`") if lang in BACKTICK else (b'"', b"'")
+        string = b"|".join(map(_quoted, quotes))
+        dead = b"[" + b"".join(quotes) + rb"][\s\S]*+"
+    return re.compile(b"(?:" + skip + b")|(" + line + b")|(" + triple + b")|(" + string + b")|(" + dead + b")|(" + _IDENT + rb")|([\s\S])")
 
 
-def as_bytes(content: Column, binary: bool) -> Column:
-    """Bytes as a Latin-1 string."""
-    return F.decode(content if binary else F.encode(content, "UTF-8"), "ISO-8859-1")
+def _level_changes(found: list[tuple[int, int]]) -> list[int]:
+    """For the indentations of a file's lines, the change of level at each: +1 for a deeper one, -1 for each that ends."""
+    stack: list[int] = []
+    out = []
+    for a in found:
+        change = 0
+        while stack and stack[-1] > a:
+            stack.pop()
+            change -= 1
+        if not stack or stack[-1] < a:
+            change += bool(stack) or a > 0
+            stack.append(a)
+            del stack[:-1000]
+        out.append(int(change))
+    return out
+
+
+def _indent(space: bytes) -> int:
+    width = 0
+    for c in space:
+        width = (width // 8 + 1) * 8 if c == 9 else width + 1
+    return width
+
+
+def lex(data: bytes, lang: str, max_length: int) -> tuple[np.ndarray, list[bytes | None], np.ndarray, np.ndarray, np.ndarray]:
+    """(kind, text, level, start, end) of the tokens of one file; levels are 0 but for Python's."""
+    kinds: list[int] = []
+    texts: list[bytes | None] = []
+    spans: list[tuple[int, int]] = []
+    lines: list[tuple[int, int]] = []  # (index, indentation) of line beginnings outside round brackets
+    open_ = 0
+    for m in expression(lang).finditer(data):
+        group = m.lastindex
+        if group == 5:
+            kind, text = IDENTIFIER, m[0]
+        elif group == 6:
+            kind, text = BYTE, m[0]
+            if text == b"(":
+                open_ += 1
+            elif text == b")" and open_:
+                open_ -= 1
+        elif group == 3:
+            kind, text = STRING, b'"%b"' % m[0][1:-1]
+        elif group == 2:
+            kind, text = STRING, b'"%b"' % m[0][3:-3]
+        elif group == 1:
+            if open_ or m.end() == len(data):  # an indentation that the file ends in gives nothing
+                continue
+            lines.append((len(kinds), _indent(m[0][1:])))
+            kinds.append(LEVEL)
+            texts.append(None)
+            spans.append((m.start() + 1, m.end()))
+            continue
+        else:
+            continue
+        if kind != BYTE and m.end() - m.start() > max_length:
+            kind, text = OVERLONG, None
+        kinds.append(kind)
+        texts.append(text)
+        spans.append(m.span())
+    at = np.asarray(spans, np.int64).reshape(-1, 2)
+    level = np.zeros(len(kinds), np.int32)
+    if lines:
+        level[[i for i, _ in lines]] = _level_changes([a for _, a in lines])
+    return np.asarray(kinds, np.int8), texts, level, at[:, 0], at[:, 1]
 
 
 def as_text(column: Column) -> Column:
-    """A Latin-1 string of bytes as UTF-8 text; invalid bytes become U+FFFD."""
-    return F.make_valid_utf8(F.encode(column, "ISO-8859-1").cast("string"))
+    """Bytes as UTF-8 text; invalid bytes become U+FFFD."""
+    return F.make_valid_utf8(column.cast("string"))
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def level_changes(amounts: pd.Series) -> pd.Series:
-    """For the indentations of a file's lines, the change of level at each: +1 for a deeper one, -1 for each that ends."""
+#: Arrays of a file's tokens besides `tok`: numbers from 0 are offsets, from 1 lines and columns.
+POSITIONS = ("s", "e", "line", "col", "eline", "ecol")
 
-    def one(found: list[int]) -> list[int]:
-        stack, out = [], []
-        for a in found:
-            change = 0
-            while stack and stack[-1] > a:
-                stack.pop()
-                change -= 1
-            if not stack or stack[-1] < a:
-                change += bool(stack) or a > 0
-                stack.append(a)
-                del stack[:-1000]
-            out.append(int(change))
-        return out
-
-    return amounts.map(one)
-
-
-def kind_of(lang: str) -> Column:
-    """The kind of `piece`, which is number pos of its file's n pieces."""
-    rx = expressions(lang)
-    code = F.ascii("piece")  # cheaper than an expression for each piece
-    quote = code.isin(*map(ord, "\"'`" if lang in BACKTICK else "\"'"))
-    comment = code == ord("#") if lang == "py" else F.substring("piece", 1, 2).isin("//", "/*")
-    alone = (F.col("pos") == F.col("n") - 1) if lang == "rust" else F.lit(True)  # a lone quote: in Rust it begins a lifetime unless the file ends
-    return (
-        F.when((code >= 97) & (code <= 122) | (code >= 48) & (code <= 57) | (code >= 65) & (code <= 90) | (code == 95) | (code >= 128), "identifier")
-        .when((code <= 32) | (code == 127) | comment, "skip")
-        .when(quote & F.col("piece").rlike(rf"\A(?:{rx['str']})\z"), "string")
-        .when(quote & ((F.length("piece") > 1) | alone), "dead")
-        .otherwise("byte")
-    )
-
-
-def pieces_of(files: DataFrame, languages: tuple[str, ...]) -> DataFrame:
-    """(file, lang, pos, piece, kind) for files(file, lang, bytes), which are dealt by file before their texts are cut."""
-    families: dict[str, list[str]] = {}
-    for lang in languages:
-        families.setdefault("js" if lang in BACKTICK else "c" if lang in C_LIKE else lang, []).append(lang)
-    found = kind = F.lit(None)
-    for family, members in families.items():
-        rx = expressions(family)
-        whole = f"(?:{rx['skip']}|{rx['str']}|{rx['dead']}|{_IDENT}|[\\s\\S])"
-        found = F.when(F.col("lang").isin(*members), F.regexp_extract_all("bytes", F.lit(whole), 0)).otherwise(found)
-        kind = F.when(F.col("lang").isin(*members), kind_of(family)).otherwise(kind)
-    cut = files.where(F.col("lang").isin(*languages)).repartition("file").select("file", "lang", found.alias("p"))
-    cut = cut.select("file", "lang", F.size("p").alias("n"), F.posexplode("p").alias("pos", "piece"))
-    return cut.select("file", "lang", F.col("pos").cast("long").alias("pos"), "piece", kind.alias("kind"))
-
-
-def tokenize(files: DataFrame, content: str = "content", max_length: int = MAX_LENGTH, languages: tuple[str, ...] | None = None) -> DataFrame:
-    """(file, lang, idx, kind, tok, level, start, end) for files(file, lang, content); content is a string or binary column.
 
-    Null contents have no tokens; files of languages not asked for are left out. idx counts a file's tokens from 0.
-    """
-    binary = dict(files.dtypes)[content] == "binary"
-    base = files.where(F.col(content).isNotNull()).select(F.col("file"), "lang", as_bytes(F.col(content), binary).alias("bytes"))
-    pieces = pieces_of(base, languages or LANGUAGES)
-    order = Window.partitionBy("file").orderBy("pos")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    size = F.length("piece")
-    breaks = F.length("piece") - F.length(F.replace("piece", F.lit("\n")))
-    tail = F.length(F.substring_index("piece", "\n", -1))  # bytes after the last line end
-    at = F.coalesce(F.sum(size).over(before), F.lit(0))
-    placed = pieces.withColumns({"offset": at.cast("long"), "line": (1 + F.coalesce(F.sum(breaks).over(before), F.lit(0))).cast("long")})
-    placed = placed.withColumn("bol", F.coalesce(F.max(F.when(breaks > 0, F.col("offset") + size - tail)).over(before), F.lit(0)))
-    ended = {
-        "start": F.struct(F.col("offset").alias("offset"), (F.col("offset") - F.col("bol") + 1).alias("column"), F.col("line").alias("line")),
-        "end": F.struct((F.col("offset") + size).alias("offset"), F.when(breaks > 0, tail + 1).otherwise(F.col("offset") + size - F.col("bol") + 1).cast("long").alias("column"), (F.col("line") + breaks).cast("long").alias("line")),
-    }
-    placed = placed.withColumns(ended)
-    if languages is None or "py" in languages:
-        placed = with_levels(placed)
-    else:
-        placed = placed.withColumn("level", F.lit(None).cast("int"))
-    inner = F.when(F.col("piece").rlike("\\A(?:\"\"\"|''')") & (F.col("lang") == "py") & (size >= 6), F.expr("substring(piece, 4, length(piece) - 6)")).otherwise(F.expr("substring(piece, 2, length(piece) - 2)"))
-    tok = F.when(F.col("kind") == "string", F.concat(F.lit('"'), inner, F.lit('"'))).when(F.col("kind") != "level", F.col("piece"))
-    kind = F.when(F.col("kind").isin("string", "identifier") & (size > max_length), "overlong").otherwise(F.col("kind"))
-    tokens = placed.where(~F.col("kind").isin("skip", "dead")).withColumns({"tok": tok, "size": size, "kind": kind})
-    tokens = tokens.withColumn("tok", F.when(F.col("kind") != "overlong", F.col("tok")))
-    return tokens.withColumn("idx", (F.row_number().over(order) - 1).cast("long")).select("file", "lang", "idx", "kind", "tok", "level", "start", "end")
+def list_schema(names: tuple[str, ...]) -> str:
+    """Of token_lists(): kind, tok, level, POSITIONS, and the depths after each token that are in names."""
+    return ", ".join(["file string", "lang string", "kind array<tinyint>", "tok array<binary>", "level array<int>", *(f"{p} array<int>" for p in POSITIONS), *(f"{d} array<int>" for d in names)])
 
 
-def with_levels(placed: DataFrame) -> DataFrame:
-    """placed with `level`, Python's line beginnings outside round brackets being of kind `level`.
+def token_lists(files: DataFrame, content: str = "content", max_length: int = MAX_LENGTH, languages: tuple[str, ...] | None = None, folded: bool = False, names: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each of files(file, lang, content) that has a text and is of the languages, with arrays of its tokens.
 
-    The bracket count is that of `(` less that of `)`, never below 0: the running sum less its least value so far.
+    content is a string or binary column. folded: with neighbouring strings joined. names: bracket depths (of DEPTHS) to give.
     """
-    order = Window.partitionBy("file").orderBy("pos")
-    step = F.when((F.col("kind") == "byte") & (F.col("piece") == "("), 1).when((F.col("kind") == "byte") & (F.col("piece") == ")"), -1).otherwise(0)
-    python = F.col("lang") == "py"
-    counted = placed.withColumn("sum", F.when(python, F.sum(step).over(order)))
-    counted = counted.withColumn("open", F.col("sum") - F.least(F.lit(0), F.min("sum").over(order)))
-    amount = F.aggregate(F.split(F.substring("piece", 2, 1 << 30), ""), F.lit(0), lambda a, c: F.when(c == "\t", (F.floor(a / 8) + 1).cast("int") * 8).when(c == " ", a + 1).otherwise(a))
-    last = F.lead("pos").over(order).isNull()  # an indentation that the file ends in gives nothing
-    begins = python & (F.col("kind") == "skip") & F.startswith("piece", F.lit("\n")) & (F.col("open") == 0) & ~last
-    marked = counted.withColumn("amount", F.when(begins, amount))
-    lists = marked.where("amount is not null").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("pos", "amount"))).alias("lines"))
-    changes = lists.select("file", F.transform("lines", lambda x: x["pos"]).alias("at"), level_changes(F.transform("lines", lambda x: x["amount"])).alias("change"))
-    changes = changes.select("file", F.explode(F.arrays_zip("at", "change")).alias("x")).select("file", F.col("x.at").alias("pos"), F.col("x.change").alias("level"))
-    out = marked.join(changes, ["file", "pos"], "left")
-    start = F.struct((F.col("start.offset") + 1).alias("offset"), F.lit(1).cast("long").alias("column"), (F.col("start.line") + 1).alias("line"))
-    return out.withColumns({"kind": F.when(F.col("level").isNotNull(), "level").otherwise(F.col("kind")), "start": F.when(F.col("level").isNotNull(), start).otherwise(F.col("start"))}).drop("sum", "open", "amount")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.asarray(pc.binary_length(batch.column("content")), np.int64)
+            part = np.cumsum(sizes) // SLICE_BYTES
+            for p in np.unique(part):
+                rows = np.flatnonzero(part == p)
+                yield one(batch.slice(rows[0], len(rows)))
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns: list[list[np.ndarray]] = [[] for _ in range(2 + len(POSITIONS) + len(names))]
+        texts: list[bytes | None] = []
+        count = [0]
+        for content_, lang in zip(batch.column("content"), batch.column("lang").to_pylist(), strict=True):
+            data = content_.as_py()
+            data = data.encode() if isinstance(data, str) else data
+            kind, tok, level, start, end = lex(data, lang, max_length)
+            if folded:
+                kind, tok, level, start, end = fold(kind, tok, level, start, end, max_length)
+            breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+            begins = np.concatenate([[0], breaks + 1])
+            line, eline = np.searchsorted(breaks, start), np.searchsorted(breaks, end)
+            values = [kind, level, start, end, line + 1, start - begins[line] + 1, eline + 1, end - begins[eline] + 1]
+            level_ = level if lang == "py" else np.zeros(len(level), np.int32)
+            values += [depths(kind, tok, level_, d) for d in names]
+            for c, v in zip(columns, values, strict=True):
+                c.append(v)
+            texts += tok
+            count.append(len(tok))
+        offsets = pa.array(np.cumsum(count).astype(np.int32))
+        flat = [np.concatenate(c) for c in columns]
+        level = pa.array(flat[1].astype(np.int32), mask=flat[0] != LEVEL)
+        lists = [pa.array(flat[0]), pa.array(texts, pa.binary()), level, *(pa.array(c.astype(np.int32)) for c in flat[2:])]
+        return pa.RecordBatch.from_arrays([batch.column("file"), batch.column("lang"), *(pa.ListArray.from_arrays(offsets, x) for x in lists)], ["file", "lang", "kind", "tok", "level", *POSITIONS, *names])
+
+    base = files.where(F.col(content).isNotNull() & F.col("lang").isin(*(languages or LANGUAGES))).select(F.col("file").cast("string").alias("file"), "lang", F.col(content).alias("content"))
+    return base.mapInArrow(cut, list_schema(names))
+
+
+def spread(files: DataFrame) -> DataFrame:
+    """files over all cores, if they come in fewer partitions (a small table in one row group); larger inputs stay as they are."""
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files.repartition(cores) if files.rdd.getNumPartitions() < cores else files
+
+
+def tokenize(files: DataFrame, content: str = "content", max_length: int = MAX_LENGTH, languages: tuple[str, ...] | None = None, folded: bool = False) -> DataFrame:
+    """(file, lang, idx, kind, tok, level, start, end) for files(file, lang, content); tok holds bytes.
+
+    Null contents have no tokens; files of languages not asked for are left out. idx counts a file's tokens from 0.
+    """
+    lists = token_lists(spread(files), content, max_length, languages, folded)
+    rows = lists.select("file", "lang", F.posexplode(F.arrays_zip("kind", "tok", "level", *POSITIONS)).alias("idx", "x"))
+    place = lambda *c: F.struct(*(F.col(f"x.{a}").cast("long").alias(n) for a, n in zip(c, ("offset", "column", "line"), strict=True)))
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("x.kind").cast("int") + 1)
+    return rows.select("file", "lang", F.col("idx").cast("long").alias("idx"), kind.alias("kind"), F.col("x.tok").alias("tok"), F.col("x.level").alias("level"), place("s", "col", "line").alias("start"), place("e", "ecol", "eline").alias("end"))
+
+
+__all__ = ["DEPTHS", "KINDS", "LANGUAGES", "as_text", "lex", "spread", "token_lists", "tokenize"]

@@ -124,7 +124,7 @@ def parse(text: str, lang: str, max_length: int = 5000) -> tuple[tuple[Item, ...
                 return
             branch.append(item)
             return
-        branch.append(replace(item, start=begin))
+        branch.append(replace(item, start=begin and len(stack) == 1))  # spans are not set inside repetition and alternation
         begin = False
 
     words = _folded(_words(text, lang))
@@ -142,7 +142,7 @@ def parse(text: str, lang: str, max_length: int = 5000) -> tuple[tuple[Item, ...
                 begin = True
             elif word == "$":
                 branch = stack[-1][1][-1]
-                for i in range(len(branch) - 1, -1, -1):
+                for i in range(len(branch) - 1, -1, -1) if len(stack) == 1 else ():
                     if branch[i].kind != "skip":
                         branch[i] = replace(branch[i], end=True)
                         break

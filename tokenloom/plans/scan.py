@@ -1,71 +1,195 @@
-"""Patterns as DataFrame plans over a table of tokens.
+"""Patterns as DataFrame plans over the token lists of files.
 
 A state is a partial match: where it began, the next token `pos`, its captures, its span and the depths that its
-ellipses carry. A run of single tokens is found with `lead` over the token table, in one window for all patterns; runs
-are put together by equality of file and position, or, over an ellipsis, by an interval join whose upper bound is the
-first place where the bracket depth falls below the carried one. Back-references are more keys of these joins, alternation is
+ellipses carry. The runs of single tokens of all patterns are found in one pass over the tokens (Tables): a run with a
+fixed token is looked up by that token in a broadcast table, and then held against the tokens around it. Runs are put
+together by equality of file and position, or, over an ellipsis, by an interval join whose upper bound is the first
+place where the bracket depth falls below the carried one. Back-references are more keys of these joins, alternation is
 a union, repetition a loop of joins until no state is left. Every way in which a pattern matches gives a row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions.captures import transformed
 from tokenloom.functions.shared import cut
-from tokenloom.functions.structure import falls, with_depths, with_stop
+from tokenloom.functions.structure import DEPTHS, falls, with_stop
+from tokenloom.functions.tokenize import BYTE, IDENTIFIER, LEVEL, STRING
 from tokenloom.plans.pattern import Item, Pattern
 
 SINGLE = ("byte", "token", "level", "capture", "back", "any", "replace", "pop")
 _CLOSERS = {"round": ")", "square": "]", "curly": "}", "corner": ">"}
+_SPAN = "struct<offset:bigint,column:bigint,line:bigint>"
 
+#: A run as data: (kind, text, level) of what each token has to be, and pairs of tokens that have to be equal.
+Run = tuple[tuple[tuple[str, bytes, int], ...], tuple[tuple[int, int], ...]]
 
-def accepts(item: Item, kind: Column, tok: Column, level: Column) -> Column:
-    """Whether a token may stand for the item, as far as it alone can tell."""
-    if item.kind == "byte":
-        return (kind == "byte") & (tok == item.text)
-    if item.kind == "token":
-        return kind.isin("string", "identifier") & (tok == item.text)
-    if item.kind == "level":
-        return (kind == "level") & (level == int(item.text))
-    return kind.isin("string", "identifier")
 
+def run_of(items: Iterable[Item]) -> Run:
+    wanted, equal, captured = [], [], {}
+    for k, x in enumerate(items):
+        fixed = x.kind if x.kind in ("byte", "token", "level") else "any"
+        wanted.append((fixed, x.text.encode() if fixed in ("byte", "token") else b"", int(x.text) if fixed == "level" else 0))
+        if x.kind == "back" and x.text in captured:
+            equal.append((captured[x.text], k))
+        elif x.kind in ("capture", "replace"):
+            captured[x.text] = k
+        elif x.kind == "pop":
+            for name in x.text.split("\n"):
+                captured.pop(name, None)
+    return tuple(wanted), tuple(equal)
 
-class Scan:
-    """The plan of one pattern over tokens with depths."""
 
-    def __init__(self, tokens: DataFrame, pattern: Pattern):
-        self.tokens, self.pattern = tokens, pattern
+def runs_in(items: Iterable[Item]) -> Iterator[tuple[Item, ...]]:
+    """The runs of single items of a pattern, those in branches too."""
+    run: list[Item] = []
+    for x in items:
+        if x.kind in SINGLE:
+            run.append(x)
+            continue
+        if run:
+            yield tuple(run)
+            run = []
+        for b in x.branches:
+            yield from runs_in(b)
+    if run:
+        yield tuple(run)
+
+
+def depths_of(patterns: Iterable[Pattern]) -> tuple[str, ...]:
+    """The bracket depths that the ellipses of the patterns need."""
+
+    def walk(items: Iterable[Item]) -> Iterator[str]:
+        for x in items:
+            if x.kind == "skip" and x.text != "free":
+                yield "scope" if x.text in ("scope", "statement") else x.text
+            for b in x.branches:
+                yield from walk(b)
+
+    found = {d for p in patterns for d in walk(p.items)}
+    return tuple(d for d in DEPTHS if d in found)
+
 
-    def run_table(self, items: list[Item]) -> DataFrame:
-        """(file, first, before, after, toks, starts, ends) of the places where the run's tokens stand, whatever was captured before."""
-        order = Window.partitionBy("file").orderBy("idx")
-        here = F.struct("kind", "tok", "level", "start", "end", "d")
-        more = {f"t{k}": here if k == 0 else F.lead(here, k).over(order) for k in range(len(items))}
-        rows = self.tokens.select("file", "idx", "b", *(c.alias(n) for n, c in more.items()))
-        fits = [accepts(x, F.col(f"t{k}.kind"), F.col(f"t{k}.tok"), F.col(f"t{k}.level")) for k, x in enumerate(items)]
-        rows = rows.where(reduce(lambda a, b: a & b, fits))
-        return rows.select("file", F.col("idx").alias("first"), F.col("b").alias("before"), F.col(f"t{len(items) - 1}.d").alias("after"), *(F.struct(f"t{k}.tok", f"t{k}.start", f"t{k}.end").alias(f"t{k}") for k in range(len(items))))
+class Tables:
+    """What the patterns look up: runs and falls of depths, each worked out once for all of them."""
+
+    def __init__(self, lists: DataFrame, patterns: list[Pattern]):
+        self.names = depths_of(patterns)
+        self.lists = lists
+        self.numbers: dict[Run, int] = {}
+        for p in patterns:
+            for run in runs_in(p.items):
+                self.numbers.setdefault(run_of(run), len(self.numbers))
+        self.found = cut(self._find()) if self.numbers else None
+        self._falls: dict[tuple[str, bool], DataFrame] = {}
+
+    def at(self, i: Column) -> Column:
+        """The depths after token i; 0 before the first."""
+        return F.struct(*(F.coalesce(F.get(d, i), F.lit(0)).alias(d) for d in self.names), F.lit(0).alias("none"))
+
+    def place(self, i: Column, *columns: str) -> Column:
+        return F.struct(*(F.get(c, i).cast("long").alias(n) for c, n in zip(columns, ("offset", "column", "line"), strict=True)))
+
+    def row(self, run: Column, first: Column, size: Column) -> Column:
+        """A match of a run that begins at token `first`."""
+        return F.struct(
+            run.alias("run"), first.alias("first"), self.at(first - 1).alias("before"), self.at(first + size - 1).alias("after"),
+            F.slice("tok", first + 1, size).alias("toks"), F.transform(F.sequence(first, first + size - 1), lambda i: F.struct(self.place(i, "s", "col", "line").alias("start"), self.place(i, "e", "ecol", "eline").alias("end"))).alias("spans"),
+        )
+
+    @staticmethod
+    def fits(wanted: tuple[str, bytes, int], i: Column) -> Column:
+        kind, text, level = wanted
+        here = F.get("kind", i)
+        if kind == "level":
+            return (here == LEVEL) & (F.get("level", i) == level)
+        if kind == "any":
+            return here.isin(STRING, IDENTIFIER)
+        return ((here == BYTE) if kind == "byte" else here.isin(STRING, IDENTIFIER)) & (F.get("tok", i) == F.lit(text))
+
+    def _find(self) -> DataFrame:
+        """(file, lang, run, first, before, after, toks, spans) of every match of every run."""
+        fixed, free = [], []
+        for (wanted, equal), number in self.numbers.items():
+            anchor = next((k for kind in ("token", "byte") for k, w in enumerate(wanted) if w[0] == kind), None)
+            if anchor is None:
+                free.append(((wanted, equal), number))
+            else:
+                fixed.append((wanted[anchor][0] == "byte", bytearray(wanted[anchor][1]), anchor, number, [(("byte", "token", "level", "any").index(k), bytearray(t), lv) for k, t, lv in wanted], [list(e) for e in equal]))
+        parts = [self._anchored(fixed)] if fixed else []
+        if free:
+            found = F.concat(*(self._everywhere(run, number) for run, number in free))
+            parts.append(self.lists.select("file", "lang", F.explode(found).alias("x")).select("file", "lang", "x.*"))
+        return reduce(DataFrame.unionByName, parts)
+
+    def _everywhere(self, run: Run, number: int) -> Column:
+        """The matches of a run without a fixed token, from the whole list."""
+        wanted, equal = run
+        tests = [lambda i, k=k, w=w: self.fits(w, i + k) for k, w in enumerate(wanted)] + [lambda i, a=a, b=b: F.get("tok", i + a) == F.get("tok", i + b) for a, b in equal]
+        places = F.when(F.size("kind") >= len(wanted), F.sequence(F.lit(0), F.greatest(F.size("kind") - len(wanted), F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        fit = F.filter(places, lambda i: reduce(lambda a, b: a & b, (t(i) for t in tests)))
+        return F.transform(fit, lambda i: self.row(F.lit(number), i, F.lit(len(wanted))))
+
+    def _anchored(self, fixed: list[tuple]) -> DataFrame:
+        """The matches of runs with a fixed token: its places, from one join with the broadcast table of runs, and the tokens around them."""
+        spark = self.lists.sparkSession
+        table = spark.createDataFrame(fixed, "is_byte boolean, anchor binary, offset int, run int, wanted array<struct<k:int,t:binary,l:int>>, equal array<array<int>>")
+        keys = {bytes(x[1]) for x in fixed}
+        lists = self.lists
+        if len(keys) <= 64:  # a cheap first look at short lists of fixed tokens; the join decides
+            lists = lists.where(F.exists("tok", lambda t: t.isin(*(F.lit(k) for k in keys))))
+        here = lists.select("file", "lang", "kind", "tok", "level", "s", "e", "line", "col", "eline", "ecol", *self.names, F.posexplode("tok").alias("i", "anchor"))
+        here = here.withColumn("is_byte", F.get("kind", F.col("i")) == BYTE)
+        met = here.join(F.broadcast(table), ["anchor", "is_byte"]).withColumn("first", F.col("i") - F.col("offset"))
+
+        def fits(w: Column, j: Column) -> Column:
+            i = F.col("first") + j
+            kind = F.get("kind", i)
+            word = kind.isin(STRING, IDENTIFIER)
+            return F.when(w["k"] == 3, word).when(w["k"] == 2, (kind == LEVEL) & (F.get("level", i) == w["l"])).otherwise(F.when(w["k"] == 0, kind == BYTE).otherwise(word) & (F.get("tok", i) == w["t"]))
+
+        size = F.size("wanted")
+        met = met.where((F.col("first") >= 0) & (F.col("first") + size <= F.size("kind")))
+        met = met.where(~F.exists(F.transform("wanted", lambda w, j: F.coalesce(fits(w, j), F.lit(False))), lambda x: ~x))
+        met = met.where(~F.exists("equal", lambda p: F.get("tok", F.col("first") + p[0]) != F.get("tok", F.col("first") + p[1])))
+        return met.select("file", "lang", self.row(F.col("run"), F.col("first"), size).alias("x")).select("file", "lang", "x.*")
+
+    def run(self, items: Iterable[Item], languages: tuple[str, ...]) -> DataFrame:
+        found = self.found.where((F.col("run") == self.numbers[run_of(items)]) & F.col("lang").isin(*languages))
+        return found.select("file", "first", "before", "after", "toks", "spans")
+
+    def falls(self, depth: str, statement: bool) -> DataFrame:
+        if (depth, statement) not in self._falls:
+            self._falls[depth, statement] = cut(falls(self.lists, depth, statement))
+        return self._falls[depth, statement]
+
+
+class Scan:
+    """The plan of one pattern."""
+
+    def __init__(self, tables: Tables, pattern: Pattern):
+        self.tables, self.pattern = tables, pattern
 
     def ends_open(self, state: DataFrame, skip: str | None) -> DataFrame:
         """state with bound: the last place where the next run may begin."""
         if skip in (None, "free"):
-            return state.withColumn("bound", F.lit(None).cast("long"))
+            return state.withColumn("bound", F.lit(None).cast("int"))
         depth = "scope" if skip in ("scope", "statement") else skip
         carry = {"scope": "c_scope", "statement": "c_statement"}.get(skip, "c_depth")
         level = F.col(f"after.{depth}") - F.col(carry)
-        return with_stop(state.withColumn("lvl", level), falls(self.tokens, depth, skip == "statement"))
+        return with_stop(state.withColumn("lvl", level), self.tables.falls(depth, skip == "statement"))
 
     def append(self, state: DataFrame | None, skip: str | None, items: list[Item]) -> DataFrame:
         """state, an ellipsis (or none) and a run of single tokens."""
-        run = self.run_table(items)
+        run = self.tables.run(items, self.pattern.languages)
         if state is None:
-            joined = run.select("*", *(F.lit(None).cast("string").alias(f"cap_{c}") for c in self.names()))
-            joined = joined.withColumns({"origin": F.col("t0.start"), "vis_start": F.lit(None).cast("struct<offset:bigint,column:bigint,line:bigint>"), "vis_end": F.lit(None).cast("struct<offset:bigint,column:bigint,line:bigint>"), "c_depth": F.lit(0), "c_scope": F.lit(0), "c_statement": F.lit(0), "origin_idx": F.col("first")})
+            joined = run.select("*", *(F.lit(None).cast("binary").alias(f"cap_{c}") for c in self.names()))
+            joined = joined.withColumns({"origin": F.col("spans")[0]["start"], "vis_start": F.lit(None).cast(_SPAN), "vis_end": F.lit(None).cast(_SPAN), "c_depth": F.lit(0), "c_scope": F.lit(0), "c_statement": F.lit(0), "origin_idx": F.col("first")})
         else:
             state = self.ends_open(state, skip).withColumnRenamed("after", "from").withColumnRenamed("file", "f")
             on = [F.col("f") == F.col("file"), *self.equal(items)]
@@ -73,19 +197,19 @@ class Scan:
             joined = state.join(run, reduce(lambda a, b: a & b, on))
             joined = self.carried(joined, skip, items[0])
         for k, x in enumerate(items):
-            tok = F.col(f"t{k}.tok")
+            tok = F.col("toks")[k]
             if x.kind == "back":
                 joined = joined.where(tok == F.col(f"cap_{x.text}"))
             elif x.kind in ("capture", "replace"):
                 joined = joined.withColumn(f"cap_{x.text}", tok)
             elif x.kind == "pop":
                 new, old = x.text.split("\n")
-                joined = joined.where(tok == F.col(f"cap_{old}")).withColumns({f"cap_{old}": F.col(f"cap_{new}"), f"cap_{new}": F.lit(None).cast("string")})
+                joined = joined.where(tok == F.col(f"cap_{old}")).withColumns({f"cap_{old}": F.col(f"cap_{new}"), f"cap_{new}": F.lit(None).cast("binary")})
             if x.start:
-                joined = joined.withColumn("vis_start", F.col(f"t{k}.start"))
+                joined = joined.withColumn("vis_start", F.col("spans")[k]["start"])
             if x.end:
-                joined = joined.withColumn("vis_end", F.col(f"t{k}.end"))
-        return joined.select("file", (F.col("first") + len(items)).alias("pos"), "after", F.col(f"t{len(items) - 1}.end").alias("last"), *self.kept())
+                joined = joined.withColumn("vis_end", F.col("spans")[k]["end"])
+        return joined.select("file", (F.col("first") + len(items)).alias("pos"), "after", F.col("spans")[len(items) - 1]["end"].alias("last"), *self.kept())
 
     def carried(self, joined: DataFrame, skip: str | None, first: Item) -> DataFrame:
         """joined with the depths that the ellipsis leaves."""
@@ -107,7 +231,7 @@ class Scan:
         out, touched = [], set()
         for k, x in enumerate(items):
             if x.kind == "back" and x.text not in touched:
-                out.append(F.col(f"t{k}.tok") == F.col(f"cap_{x.text}"))
+                out.append(F.col("toks")[k] == F.col(f"cap_{x.text}"))
             touched |= {x.text} if x.kind in ("capture", "replace") else set(x.text.split("\n")) if x.kind == "pop" else set()
         return out
 
@@ -128,10 +252,13 @@ class Scan:
 
     def start(self) -> DataFrame:
         """A state at every token with nothing matched, for patterns that begin with an ellipsis, a repetition or an alternation."""
-        none = F.lit(None).cast("struct<offset:bigint,column:bigint,line:bigint>")
+        none = F.lit(None).cast(_SPAN)
         zero = {"vis_start": none, "vis_end": none, "c_depth": F.lit(0), "c_scope": F.lit(0), "c_statement": F.lit(0)}
-        rows = self.tokens.select("file", F.col("idx").alias("pos"), F.col("b").alias("after"), F.col("end").alias("last"), F.col("start").alias("origin"), F.col("idx").alias("origin_idx"))
-        return rows.withColumns(zero | {f"cap_{c}": F.lit(None).cast("string") for c in self.names()})
+        t = self.tables
+        lists = t.lists.where(F.col("lang").isin(*self.pattern.languages) & (F.size("kind") > 0))
+        states = F.transform(F.sequence(F.lit(0), F.size("kind") - 1), lambda i: F.struct(i.alias("pos"), t.at(i - 1).alias("after"), t.place(i, "e", "ecol", "eline").alias("last"), t.place(i, "s", "col", "line").alias("origin"), i.alias("origin_idx")))
+        rows = lists.select("file", F.explode(states).alias("x")).select("file", "x.*")
+        return rows.withColumns(zero | {f"cap_{c}": F.lit(None).cast("binary") for c in self.names()})
 
     def apply(self, states: dict[str | None, DataFrame | None], items: Iterable[Item]) -> dict[str | None, DataFrame | None]:
         """The states after the items, by the ellipsis that is still open."""
@@ -185,7 +312,7 @@ class Scan:
         # a state that has matched nothing, or that waits behind an ellipsis for an optional part, is no new match
         done = reduce(DataFrame.unionByName, (df.where(F.col("pos") > F.col("origin_idx")) for df in states.values()))
         named = [(c, F.col(f"cap_{c}")) for c in self.names()]
-        captures = F.map_filter(F.create_map(*(x for c, v in named for x in (F.lit(c), v))), lambda _, v: v.isNotNull()) if named else F.create_map().cast("map<string,string>")
+        captures = F.map_filter(F.create_map(*(x for c, v in named for x in (F.lit(c), v))), lambda _, v: v.isNotNull()) if named else F.create_map().cast("map<string,binary>")
         group = F.struct(F.lit(self.pattern.group).alias("name"), F.lit(self.pattern.unique).alias("unique"), F.lit(self.pattern.cancel).alias("cancel"), F.array(*map(F.lit, self.pattern.match)).cast("array<string>").alias("match"))
         rows = done.select(
             "file", F.lit(pattern_id).alias("pattern_id"), F.lit(self.pattern.name).alias("name"), group.alias("grp"), F.coalesce("vis_start", "origin").alias("start"), F.coalesce("vis_end", "last").alias("end"),
@@ -195,8 +322,10 @@ class Scan:
         return transformed(rows, self.pattern.transform, self.names(), dict(self.pattern.out))
 
 
-def scan(tokens: DataFrame, patterns: list[Pattern]) -> DataFrame:
-    """All matches of the patterns, each in the files of its languages, as a bag: one row for each way to match."""
-    tokens = cut(with_depths(tokens.where(F.col("lang").isin(*{x for p in patterns for x in p.languages}))))
-    parts = [Scan(tokens.where(F.col("lang").isin(*p.languages)), p).matches(k) for k, p in enumerate(patterns)]
-    return reduce(DataFrame.unionByName, parts)
+def scan(lists: DataFrame, patterns: list[Pattern]) -> DataFrame:
+    """All matches of the patterns in token lists, each in the files of its languages, as a bag: one row for each way to match.
+
+    lists: token_lists() with folded strings and the depths of depths_of(patterns).
+    """
+    tables = Tables(cut(lists), patterns)
+    return reduce(DataFrame.unionByName, (Scan(tables, p).matches(k) for k, p in enumerate(patterns)))
