@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -33,6 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle and checkpoint files of tables that are no longer in use: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remainder(id_column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`: the fold of a labelled row."""
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % modulus

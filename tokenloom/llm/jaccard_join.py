@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import cut, mix, shingle_sets, slices
+from tokenloom.llm.common import cut, mix, release, shingle_sets, slices
 from tokenloom.llm.components import connected_components
 
 WIDTH = 5
@@ -324,17 +324,21 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "t
     first = cut(first.select("node", "x.*"))
     shingles = first.agg(F.sum("n_shingles")).first()[0] or 0
     prefix = cut(prefixes(only(source, first.select("id")), shingles))
+    release(docs.sparkSession)
     rows = cut(pivot_pairs(prefix))
-    tried = rows.where("near").select("a", "b").distinct()
+    tried = cut(rows.where("near").select("a", "b").distinct())
     links = verify(tried, first, source)
+    release(docs.sparkSession)
     members = cut(unsettled(rows, connected_components(links)))
     second = cut(central_pairs(members))
-    more = second.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    more = cut(second.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
     links, tried = links.union(verify(more, first, source)), tried.union(more)
     parts = connected_components(links)
+    release(docs.sparkSession)
     rest = open_pairs(prefix, unsettled(second, parts).select("key").distinct(), parts)
     links = links.union(verify(rest.join(tried, ["a", "b"], "left_anti"), first, source))
     parts = connected_components(links)
+    release(docs.sparkSession)
     named = first.join(parts, "node").groupBy("component").agg(F.min("id").alias("component_id"))
     named = parts.join(named, "component").select("node", "component_id")
     classes = first.join(named, "node", "left").select("node", F.coalesce("component_id", "id").alias("component_id"))
