@@ -1,6 +1,7 @@
 """The library's own queries: (spark, sf_dir) -> DataFrame, and independent SQL for them.
 
-Pages count as JavaScript, documents as C, turns of conversations as Python. Constructs that the tables lack are in snippets of our own.
+Pages count as JavaScript, documents as C, conversations as Python. Where the tables lack a construct, it is put into their whole texts
+by a replacement, in Spark and in SQL alike.
 """
 
 from __future__ import annotations
@@ -60,16 +61,15 @@ def tokens_sql(table: str, key: str, text: str, quotes: str) -> str:
     return rf"""
 raw AS (SELECT {key}::VARCHAR AS file, regexp_extract_all({text}, '{rx}') AS l FROM {table} WHERE {text} IS NOT NULL),
 pieces AS (SELECT file, unnest(l) AS piece, unnest(range(len(l))) AS pos FROM raw),
-placed AS (SELECT file, pos, piece, coalesce(sum(strlen(piece)) OVER w, 0) AS s, 1 + coalesce(sum(length(piece) - length(replace(piece, chr(10), ''))) OVER w, 0) AS line,
-  max(CASE WHEN contains(piece, chr(10)) THEN pos END) OVER w AS last_break FROM pieces WINDOW w AS (PARTITION BY file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-marked AS (SELECT p.*, CASE WHEN regexp_matches(p.piece, '^[A-Za-z0-9_\x{{80}}-\x{{10FFFF}}]') THEN 'identifier' WHEN length(p.piece) > 1 AND regexp_full_match(p.piece, '{strings.replace("'", "''")}') THEN 'string'
-  WHEN regexp_matches(p.piece, '^(?://|/\*|[\x00-\x20\x7f])') THEN NULL WHEN contains('{q}', p.piece[1:1]) THEN NULL ELSE 'byte' END AS kind,
-  p.s - coalesce(b.s + strlen(b.piece) - strlen(list_last(string_split(b.piece, chr(10)))), 0) + 1 AS col
-  FROM placed p LEFT JOIN placed b ON b.file = p.file AND b.pos = p.last_break),
+sized AS (SELECT file, pos, piece, coalesce(sum(strlen(piece)) OVER w, 0) AS s, 1 + coalesce(sum(length(piece) - length(replace(piece, chr(10), ''))) OVER w, 0) AS line FROM pieces WINDOW w AS (PARTITION BY file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+marked AS (SELECT file, pos, piece, s, line, CASE WHEN regexp_matches(piece, '^[A-Za-z0-9_\x{{80}}-\x{{10FFFF}}]') THEN 'identifier' WHEN length(piece) > 1 AND regexp_full_match(piece, '{strings.replace("'", "''")}') THEN 'string'
+  WHEN regexp_matches(piece, '^(?://|/\*|[\x00-\x20\x7f])') THEN NULL WHEN contains('{q}', piece[1:1]) THEN NULL ELSE 'byte' END AS kind,
+  s - coalesce(max(CASE WHEN contains(piece, chr(10)) THEN s + strlen(piece) - strlen(list_last(string_split(piece, chr(10)))) END) OVER w, 0) + 1 AS col FROM sized WINDOW w AS (PARTITION BY file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 tokens AS (SELECT file, row_number() OVER (PARTITION BY file ORDER BY pos) - 1 AS idx, kind, CASE WHEN kind = 'string' THEN '"' || piece[2:-2] || '"' ELSE piece END AS tok, s::BIGINT AS s, (s + strlen(piece))::BIGINT AS e, line::BIGINT AS line, col::BIGINT AS col FROM marked WHERE kind IS NOT NULL)"""
 
 
-C_TOKENS = tokens_sql("documents", "doc_id", "text", "\"'")
+_QUOTES = "\"'"
+C_TOKENS = tokens_sql("documents", "doc_id", "text", _QUOTES)
 JS_TOKENS = tokens_sql("pages", "page_id", "html", "\"'`")
 DEPTHS = """,
 deep AS (SELECT *, sum(CASE WHEN kind = 'byte' AND tok = '(' THEN 1 WHEN kind = 'byte' AND tok = ')' THEN -1 ELSE 0 END) OVER w AS d_round, sum(CASE WHEN kind = 'byte' AND tok = '{' THEN 1 WHEN kind = 'byte' AND tok = '}' THEN -1 ELSE 0 END) OVER w AS d_curly,
@@ -108,7 +108,7 @@ def lit_capture_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(find(pages(spark, sf_dir), patterns("track($N)")), "N")
 
 
-_TRACK = f"""WITH {JS_TOKENS}, runs AS (SELECT file, s, idx, tok, kind, lead(tok) OVER w AS t1, lead(tok, 2) OVER w AS t2, lead(kind, 2) OVER w AS k2, lead(tok, 3) OVER w AS t3, lead(e, 3) OVER w AS e, lead(s, 2) OVER w AS s2, lead(e, 2) OVER w AS e2 FROM tokens WINDOW w AS (PARTITION BY file ORDER BY idx)),
+_TRACK = f"""WITH {JS_TOKENS}, runs AS (SELECT file, s, idx, tok, kind, line, col, lead(line, 3) OVER w AS l3, lead(col, 3) OVER w AS c3, lead(tok) OVER w AS t1, lead(tok, 2) OVER w AS t2, lead(kind, 2) OVER w AS k2, lead(tok, 3) OVER w AS t3, lead(e, 3) OVER w AS e, lead(s, 2) OVER w AS s2, lead(e, 2) OVER w AS e2 FROM tokens WINDOW w AS (PARTITION BY file ORDER BY idx)),
 hits AS (SELECT * FROM runs WHERE tok = 'track' AND kind = 'identifier' AND t1 = '(' AND t3 = ')' AND k2 IN ('string', 'identifier'))"""
 ORACLES["lit_capture_track"] = f"{_TRACK} SELECT file, s, e, t2 AS n FROM hits"
 
@@ -129,9 +129,8 @@ def suppressed_and_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("file", finding_json(found).alias("line"))
 
 
-ORACLES["suppressed_and_out"] = f"""{_TRACK}, calls AS (SELECT r.file, r.s, a.line AS l1, a.col AS c1, b.line AS l2, b.col AS c2, r.e FROM runs r JOIN tokens a ON a.file = r.file AND a.idx = r.idx JOIN tokens b ON b.file = r.file AND b.idx = r.idx + 3
-WHERE r.kind IN ('string', 'identifier') AND t1 = '(' AND t3 = ')' AND k2 IN ('string', 'identifier'))
-SELECT file, '{{"file":"' || file || '","start":{{"offset":' || s || ',"column":' || c1 || ',"line":' || l1 || '}},"end":{{"offset":' || e || ',"column":' || (c2 + 1) || ',"line":' || l2 || '}},"name":"calls","captures":{{"rule":"call"}}}}' AS line FROM calls"""
+ORACLES["suppressed_and_out"] = f"""{_TRACK} SELECT file, '{{"file":"' || file || '","start":{{"offset":' || s || ',"column":' || col || ',"line":' || line || '}},"end":{{"offset":' || e || ',"column":' || (c3 + 1) || ',"line":' || l3 || '}},"name":"calls","captures":{{"rule":"call"}}}}' AS line
+FROM runs WHERE kind IN ('string', 'identifier') AND t1 = '(' AND t3 = ')' AND k2 IN ('string', 'identifier')"""
 
 
 @query
@@ -281,80 +280,106 @@ WHERE a.kind IN ('string', 'identifier') AND NOT EXISTS (SELECT 1 FROM deep d WH
 combos AS (SELECT h.file, h.s AS hs, coalesce(t.s, h.s) AS s, coalesce(t.e, h.e) AS e, h.t2 AS n, t.t, row_number() OVER (PARTITION BY h.file, h.s ORDER BY t.e, t.s DESC) AS k FROM hits h LEFT JOIN tags t ON t.file = h.file AND t.s <= h.s AND t.e >= h.e) SELECT file, s, e, n, t FROM combos WHERE k <= 64"""
 
 
-def expected(name: str, columns: str, rows: list[tuple]) -> None:
-    """SQL that lists the rows a query over snippets has to give."""
-    cell = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-    ORACLES[name] = f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS v({columns})"
-
-
 @query
 def tokenize_py_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changes of indentation; none inside round brackets or at the beginning."""
-    texts = ["if a:\n    b\n    c\nd", "x = (1,\n  2)\ny", "a\n\tb\n        c\n\nd # e\nf", "'''a\nb''' \"\" z"]
-    return tokenize(snippets(spark, "py", texts), languages=("py",)).select("file", "idx", "kind", as_text(F.col("tok")).alias("tok"), "level", F.col("start.offset").alias("s"))
-
-
-expected(
-    "tokenize_py_levels", "file, idx, kind, tok, level, s",
-    [("s0", 0, "identifier", "if", None, 0), ("s0", 1, "identifier", "a", None, 3), ("s0", 2, "byte", ":", None, 4), ("s0", 3, "level", None, 1, 6), ("s0", 4, "identifier", "b", None, 10), ("s0", 5, "level", None, 0, 12), ("s0", 6, "identifier", "c", None, 16), ("s0", 7, "level", None, -1, 18), ("s0", 8, "identifier", "d", None, 18)]
-    + [("s1", i, k, t, None, s) for i, (k, t, s) in enumerate([("identifier", "x", 0), ("byte", "=", 2), ("byte", "(", 4), ("identifier", "1", 5), ("byte", ",", 6), ("identifier", "2", 10), ("byte", ")", 11)])]
-    + [("s1", 7, "level", None, 0, 13), ("s1", 8, "identifier", "y", None, 13)]
-    + [("s2", 0, "identifier", "a", None, 0), ("s2", 1, "level", None, 1, 2), ("s2", 2, "identifier", "b", None, 3), ("s2", 3, "level", None, 0, 5), ("s2", 4, "identifier", "c", None, 13), ("s2", 5, "level", None, -1, 15), ("s2", 6, "level", None, 0, 16), ("s2", 7, "identifier", "d", None, 16), ("s2", 8, "level", None, 0, 22), ("s2", 9, "identifier", "f", None, 22)]
-    + [("s3", 0, "string", '"a\nb"', None, 0), ("s3", 1, "string", '""', None, 10), ("s3", 2, "identifier", "z", None, 13)],
-)
+    """Conversations as Python, each turn a line, indented by turn: changes of indentation, none inside round brackets."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    line = F.concat(F.repeat(F.lit(" "), (F.col("turn") * 3 % 4).cast("int")), F.coalesce("text", F.lit("")))
+    files = turns.groupBy(F.col("conv_id").cast("string").alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("content"))
+    found = tokenize(files.withColumn("lang", F.lit("py")), languages=("py",))
+    return found.select("file", "idx", "kind", as_text(F.col("tok")).alias("tok"), "level", F.col("start.offset").alias("s"))
+
+
+# A level is the change of the number of different indentations above 0 that are open: those that no later line was less indented than.
+ORACLES["tokenize_py_levels"] = r"""WITH lines_ AS (SELECT conv_id::VARCHAR AS file, turn, repeat(' ', (turn * 3 % 4)::INT) || coalesce(text, '') AS line FROM conversations),
+files AS (SELECT file, string_agg(line, chr(10) ORDER BY turn, line) AS content FROM lines_ GROUP BY file),
+raw AS (SELECT file, regexp_extract_all(content, '#[^\n]*|\n[ \t]*|[\x00-\x09\x0b-\x20\x7f]+|"{3}[\s\S]*?"{3}|''{3}[\s\S]*?''{3}|"(?:[^"\\]|\\[\s\S])*"|''(?:[^''\\]|\\[\s\S])*''|["''][\s\S]*|[A-Za-z_\x{80}-\x{10FFFF}][A-Za-z0-9_\x{80}-\x{10FFFF}]*|[0-9][0-9_]*|[\s\S]') AS l FROM files),
+pieces AS (SELECT file, unnest(l) AS piece, unnest(range(len(l))) AS pos, len(l) AS n FROM raw),
+sized AS (SELECT *, coalesce(sum(strlen(piece)) OVER (PARTITION BY file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, sum(CASE piece WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER (PARTITION BY file ORDER BY pos) AS up FROM pieces),
+open_ AS (SELECT *, up - least(0, min(up) OVER (PARTITION BY file ORDER BY pos)) AS depth FROM sized),
+lines AS (SELECT file, pos, row_number() OVER (PARTITION BY file ORDER BY pos) AS ln, strlen(piece) - 1 AS a FROM open_ WHERE piece[1:1] = chr(10) AND depth = 0 AND pos < n - 1),
+kept AS (SELECT i.file, i.ln, count(DISTINCT j.a) AS d FROM lines i JOIN lines j ON j.file = i.file AND j.ln <= i.ln AND j.a > 0 AND NOT EXISTS (SELECT 1 FROM lines k WHERE k.file = i.file AND k.ln > j.ln AND k.ln <= i.ln AND k.a < j.a) GROUP BY i.file, i.ln),
+changes AS (SELECT l.file, l.pos, (coalesce(k.d, 0) - coalesce(b.d, 0))::INT AS level FROM lines l LEFT JOIN kept k ON k.file = l.file AND k.ln = l.ln LEFT JOIN kept b ON b.file = l.file AND b.ln = l.ln - 1),
+marked AS (SELECT p.*, c.level, CASE WHEN c.level IS NOT NULL THEN 'level' WHEN regexp_matches(piece, '^[A-Za-z0-9_\x{80}-\x{10FFFF}]') THEN 'identifier' WHEN regexp_matches(piece, '^[#\x00-\x20\x7f]') THEN NULL WHEN length(piece) > 1 AND piece[1:1] IN ('"', '''') AND piece[-1:] = piece[1:1] THEN 'string' WHEN piece[1:1] IN ('"', '''') THEN NULL ELSE 'byte' END AS kind FROM open_ p LEFT JOIN changes c ON c.file = p.file AND c.pos = p.pos)
+SELECT file, row_number() OVER (PARTITION BY file ORDER BY pos) - 1 AS idx, kind, CASE kind WHEN 'string' THEN '"' || piece[2:-2] || '"' WHEN 'level' THEN NULL ELSE piece END AS tok, level, (s + (kind = 'level')::INT)::BIGINT AS s FROM marked WHERE kind IS NOT NULL"""
 
 
 @query
 def tokenize_rust_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Characters and lifetimes."""
-    return tokenize(snippets(spark, "rust", ["&'a str 'b' '\\n' ''", "x '1"]), languages=("rust",)).select("file", "idx", "kind", as_text(F.col("tok")).alias("tok"), F.col("start.offset").alias("s"))
+    """Documents as Rust, in which some words begin with a lifetime's quotation mark and some letters are characters."""
+    files = documents(spark, sf_dir).withColumns({"lang": F.lit("rust"), "content": F.replace(F.replace("content", F.lit(" th"), F.lit(" 't' h")), F.lit(" e"), F.lit(" 'e"))})
+    return tokenize(files, languages=("rust",)).select("file", "idx", "kind", as_text(F.col("tok")).alias("tok"), F.col("start.offset").alias("s"))
 
 
-expected("tokenize_rust_quotes", "file, idx, kind, tok, s", [("s0", 0, "byte", "&", 0), ("s0", 1, "byte", "'", 1), ("s0", 2, "identifier", "a", 2), ("s0", 3, "identifier", "str", 4), ("s0", 4, "string", '"b"', 8), ("s0", 5, "string", '"\\n"', 12), ("s0", 6, "string", '""', 17), ("s1", 0, "identifier", "x", 0)])
+ORACLES["tokenize_rust_quotes"] = r"""WITH raw AS (SELECT doc_id::VARCHAR AS file, regexp_extract_all(replace(replace(text, ' th', ' ''t'' h'), ' e', ' ''e'), '//[^\n]*|/\*[\s\S]*?\*/|/\*[\s\S]*|[\x00-\x20\x7f]+|"(?:[^"\\]|\\[\s\S])*"|''[A-Za-z_\x{80}-\x{10FFFF}]''|''''|''[^A-Za-z_\x{80}-\x{10FFFF}''][^'']*''|"[\s\S]*|''[A-Za-z_\x{80}-\x{10FFFF}]\z|''\z|''[^A-Za-z_\x{80}-\x{10FFFF}''][\s\S]*|[A-Za-z_\x{80}-\x{10FFFF}][A-Za-z0-9_\x{80}-\x{10FFFF}]*|[0-9][0-9_]*|[\s\S]') AS l FROM documents WHERE text IS NOT NULL),
+pieces AS (SELECT file, unnest(l) AS piece, unnest(range(len(l))) AS pos FROM raw),
+sized AS (SELECT *, coalesce(sum(strlen(piece)) OVER (PARTITION BY file ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s, max(pos) OVER (PARTITION BY file) AS top FROM pieces),
+marked AS (SELECT *, CASE WHEN regexp_matches(piece, '^[A-Za-z0-9_\x{80}-\x{10FFFF}]') THEN 'identifier' WHEN regexp_matches(piece, '^(?://|/\*|[\x00-\x20\x7f])') THEN NULL WHEN length(piece) > 1 AND piece[1:1] IN ('"', '''') AND piece[-1:] = piece[1:1] THEN 'string' WHEN length(piece) > 1 AND piece[1:1] IN ('"', '''') OR piece = '"' OR piece = '''' AND pos = top THEN NULL ELSE 'byte' END AS kind FROM sized)
+SELECT file, row_number() OVER (PARTITION BY file ORDER BY pos) - 1 AS idx, kind, CASE kind WHEN 'string' THEN '"' || piece[2:-2] || '"' ELSE piece END AS tok, s FROM marked WHERE kind IS NOT NULL"""
 
 
 @query
 def string_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C1-C6."""
-    texts = ['a("x" "y" + \'z\' + b + "c")', '"1" \\ "2" - "3"', "+ '' '' +"]
-    return tokenize(snippets(spark, "c", texts), languages=("c",), folded=True).select("file", "idx", as_text(F.col("tok")).alias("tok"), F.col("start.offset").alias("s"), F.col("end.offset").alias("e"))
+    """Each sentence of a document as strings to be joined; very long ones are no strings any more."""
+    words = F.replace(F.replace(F.replace("content", F.lit('"'), F.lit("")), F.lit(". "), F.lit('" ; "')), F.lit(" "), F.lit('" + "'))
+    files = documents(spark, sf_dir).withColumn("content", F.concat(F.lit('"'), words, F.lit('"')))
+    found = tokenize(files, languages=("c",), folded=True)
+    return found.select("file", "idx", "kind", as_text(F.col("tok")).alias("tok"), F.col("start.offset").alias("s"), F.col("end.offset").alias("e"))
 
 
-expected("string_concat", "file, idx, tok, s, e", [("s0", 0, "a", 0, 1), ("s0", 1, "(", 1, 2), ("s0", 2, '"xyz"', 2, 15), ("s0", 3, "+", 16, 17), ("s0", 4, "b", 18, 19), ("s0", 5, "+", 20, 21), ("s0", 6, '"c"', 22, 25), ("s0", 7, ")", 25, 26), ("s1", 0, '"12"', 0, 9), ("s1", 1, "-", 10, 11), ("s1", 2, '"3"', 12, 15), ("s2", 0, "+", 0, 1), ("s2", 1, '""', 2, 7), ("s2", 2, "+", 8, 9)])
+ORACLES["string_concat"] = f"""WITH quoted AS (SELECT doc_id, '"' || replace(replace(replace(text, '"', ''), '. ', '" ; "'), ' ', '" + "') || '"' AS text FROM documents WHERE text IS NOT NULL), {tokens_sql("quoted", "doc_id", "text", _QUOTES)},
+near AS (SELECT *, kind = 'string' AS str, coalesce(lag(kind) OVER w = 'string', false) AS ps, coalesce(lead(kind) OVER w = 'string', false) AS ns FROM tokens WINDOW w AS (PARTITION BY file ORDER BY idx)),
+signs AS (SELECT *, NOT str AND kind = 'byte' AND tok IN ('+', '\\') AND ps AND ns AS sign FROM near),
+inside AS (SELECT *, sign OR str AND (ps OR coalesce(lag(sign) OVER (PARTITION BY file ORDER BY idx), false)) AS ins FROM signs),
+runs AS (SELECT *, sum((NOT ins)::INT) OVER (PARTITION BY file ORDER BY idx) - 1 AS run FROM inside),
+joined AS (SELECT file, run, count(*) AS n, arg_min(kind, idx) AS kind, arg_min(tok, idx) AS first_tok, string_agg(CASE WHEN str THEN tok[2:-2] END, '' ORDER BY idx) AS text, min(s) AS s, max(e) AS e, max(strlen(tok)) AS longest FROM runs GROUP BY file, run),
+named AS (SELECT *, n > 1 AND strlen(text) > 5000 OR n = 1 AND kind IN ('string', 'identifier') AND longest > 5000 AS overlong FROM joined)
+SELECT file, run::BIGINT AS idx, CASE WHEN overlong THEN 'overlong' ELSE kind END AS kind, CASE WHEN overlong THEN NULL WHEN n > 1 THEN '"' || text || '"' ELSE first_tok END AS tok, s, e FROM named"""
 
 
 @query
 def pop_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A value followed through assignments."""
+    """A value followed through as many assignments as a page has list items, in front of the page."""
+    chain = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), "n")), lambda i: F.concat(F.lit("n"), i.cast("string"), F.lit(" = n"), (i - 1).cast("string"), F.lit(" ; "))), "")
+    files = pages(spark, sf_dir).withColumn("n", F.size(F.split("content", "<li>")) - 1)
+    text = F.concat(F.lit("n0 = read ( ) ; "), chain, F.lit("write ( n"), F.greatest(F.lit(1), "n").cast("string"), F.lit(" ) ; write ( n0 ) ; "), F.col("content"))
     rules = patterns("$X = read ( ) ; ..} ..* $Y = %X ; ..} ..* write ( $X )", language="c")
-    return flat(find(snippets(spark, "c", ["a = read(); b = a; c = b; write(c); write(b); write(d);", "{ a = read(); } write(a);"]), rules), "X")
+    return flat(find(files.select("file", F.lit("c").alias("lang"), text.alias("content")), rules), "X")
 
 
-expected("pop_replace", "file, s, e, x", [("s0", 0, 34, "c"), ("s0", 0, 44, "b")])
+ORACLES["pop_replace"] = """WITH p AS (SELECT page_id::VARCHAR AS file, greatest(1, len(string_split(html, '<li>')) - 1) AS n FROM pages WHERE html IS NOT NULL),
+c AS (SELECT file, n, 16 + (SELECT sum(strlen('n' || i || ' = n' || (i - 1) || ' ; ')) FROM range(1, 1000) r(i) WHERE i <= n) + strlen('write ( n' || n || ' )') AS e FROM p)
+SELECT file, 0::BIGINT AS s, e::BIGINT AS e, 'n' || n AS x FROM c UNION ALL SELECT file, 0, (e + 15)::BIGINT, 'n0' FROM c"""
 
 
 @query
 def create_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A capture that any token overwrites; E3."""
-    return flat(find(snippets(spark, "c", ["f[a[1], b] g", "f[a] h"]), patterns("$X [...] %X", language="c")), "X")
+    """A capture that any token overwrites; E3: documents in which commas are indices."""
+    files = documents(spark, sf_dir).withColumn("content", F.replace("content", F.lit(", "), F.lit(" [ i [ 1 ] ] ")))
+    return flat(find(files, patterns("$X [...] %X", language="c")), "X")
 
 
-expected("create_replace", "file, s, e, x", [("s0", 0, 12, "g"), ("s1", 0, 6, "h")])
+# Outer brackets only: the inner one is followed by a bracket.
+ORACLES["create_replace"] = f"""WITH indexed AS (SELECT doc_id, replace(text, ', ', ' [ i [ 1 ] ] ') AS text FROM documents), {tokens_sql("indexed", "doc_id", "text", _QUOTES)},
+runs AS (SELECT file, s, kind, tok, lead(tok) OVER w AS t1, lead(tok, 2) OVER w AS t2, lead(tok, 3) OVER w AS t3, lead(tok, 4) OVER w AS t4, lead(tok, 5) OVER w AS t5, lead(tok, 6) OVER w AS t6, lead(tok, 7) OVER w AS t7, lead(kind, 7) OVER w AS k7, lead(e, 7) OVER w AS e7 FROM tokens WINDOW w AS (PARTITION BY file ORDER BY idx))
+SELECT file, s, e7 AS e, t7 AS x FROM runs WHERE kind IN ('string', 'identifier') AND t1 = '[' AND t2 = 'i' AND t3 = '[' AND t4 = '1' AND t5 = ']' AND t6 = ']' AND k7 IN ('string', 'identifier')"""
 
 
 @query
 def lang_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Languages of file names."""
-    names = spark.createDataFrame([(x,) for x in ["a/B.RS", "x.c", "k.kts", "no_ending", "y.tar.ts", "z.unknown", "m.mjs"]], "file string")
+    """Languages of file names: the pages' addresses with endings of our own."""
+    endings = F.array(*map(F.lit, ["RS", "c", "kts", "html", "tar.ts", "unknown", "mjs", "Py", "go", "java", "CS", "hpp"]))
+    names = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat("url", F.lit("."), F.get(endings, (F.col("page_id") % 12).cast("int"))).alias("file"))
     return names.select("file", language_of(F.col("file")).alias("lang"), language_of(F.col("file"), compat=True).alias("compat")).where("lang is not null")
 
 
-expected("lang_route", "file, lang, compat", [("a/B.RS", "rust", "rust"), ("x.c", "c", "c"), ("k.kts", "kotlin", "js"), ("y.tar.ts", "ts", "ts"), ("m.mjs", "js", "js")])
+ORACLES["lang_route"] = """WITH n AS (SELECT url || '.' || (['RS', 'c', 'kts', 'html', 'tar.ts', 'unknown', 'mjs', 'Py', 'go', 'java', 'CS', 'hpp'])[page_id % 12 + 1] AS file, (['rust', 'c', 'kotlin', NULL, 'ts', NULL, 'js', 'py', 'go', 'java', 'csharp', 'c'])[page_id % 12 + 1] AS lang FROM pages)
+SELECT file, lang, CASE lang WHEN 'kotlin' THEN 'js' ELSE lang END AS compat FROM n WHERE lang IS NOT NULL"""
 
 
 @query
 def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that arrive in chunks of 1000 characters."""
+    """Documents that arrive in chunks of 1000 characters, in four micro-batches in no order, some chunks twice."""
     size = 1000
     whole = documents(spark, sf_dir).where("content is not null")
     cuts = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("content") / size).cast("int") - 1, F.lit(0)))
@@ -362,8 +387,9 @@ def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = chunks.select("file", "lang", "seq", F.col("content").substr(F.col("seq") * size + 1, F.lit(size)).alias("content"), ((F.col("seq") + 1) * size >= F.length("content")).alias("last"))
     cut(spark.range(1))  # sets the shared folder
     folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-    chunks.write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(chunks.schema).parquet(f"{folder}/in")
+    for k in range(4):
+        chunks.where(F.pmod(F.xxhash64("file", "seq"), F.lit(4)) == k).unionByName(chunks.where(F.pmod(F.xxhash64("file", "seq"), F.lit(29)) == k)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     scan_stream(stream, patterns("token = $S", language="c"), f"{folder}/out", f"{folder}/staging").awaitTermination()
     return read_findings(spark, f"{folder}/out").select("file", F.col("start.offset").alias("s"), F.col("end.offset").alias("e"), F.col("captures")["S"].alias("v"))
 
@@ -377,4 +403,4 @@ def template_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(x,) for x in expand("{{A}}-{{B}}-{{A}}", {"A": ["1", "2"], "B": ["x", "y"]})], "pattern string")
 
 
-expected("template_values", "pattern", [("1-x-1",), ("1-y-1",), ("2-x-2",), ("2-y-2",)])
+ORACLES["template_values"] = "SELECT * FROM (VALUES ('1-x-1'), ('1-y-1'), ('2-x-2'), ('2-y-2')) AS v(pattern)"

@@ -1,13 +1,15 @@
-"""Scans of files that arrive in chunks.
+"""Scans of files that arrive in chunks, in any order and over any number of micro-batches.
 
-Each micro-batch stores its chunks in a staging folder, one sub-folder for each batch, so that a repeated batch replaces itself. Files
-whose last chunk (`last`) has come are put together from their chunks in the order of `seq` and scanned as a batch
-would; a token may lie across chunks.
+A file is scanned, as a batch would, in the micro-batch that completes it: all of its chunks from 0 to the one marked
+`last` have come, early or late, once or several times; a token may lie across chunks. Each micro-batch keeps in a folder of
+its own the chunks of files that are still incomplete and the names of those it has finished, and drops the chunks that the
+one before the last kept; so the staging folder holds unfinished files and names only. A repeated micro-batch replaces
+its own folders. Chunks of finished files that come again are left out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,23 +19,45 @@ from tokenloom.plans.pattern import Pattern
 
 def whole_files(chunks: DataFrame) -> DataFrame:
     """files(file, lang, content) from chunks(file, lang, seq, content); a chunk that came twice counts once."""
-    kind = dict(chunks.dtypes)["content"]
-    bytes_ = F.decode(F.col("content") if kind == "binary" else F.encode("content", "UTF-8"), "ISO-8859-1")
-    one = chunks.dropDuplicates(["file", "seq"]).withColumn("b", bytes_).groupBy("file", "lang").agg(F.array_sort(F.collect_list(F.struct("seq", "b"))).alias("all"))
-    return one.select("file", "lang", F.encode(F.array_join(F.transform("all", lambda x: x["b"]), ""), "ISO-8859-1").alias("content"))
+    content = F.col("content") if dict(chunks.dtypes)["content"] == "binary" else F.encode("content", "UTF-8")
+    one = chunks.dropDuplicates(["file", "seq"]).withColumn("b", content).groupBy("file", "lang").agg(F.array_sort(F.collect_list(F.struct("seq", "b"))).alias("all"))
+    return one.select("file", "lang", F.aggregate("all", F.lit(b""), lambda a, x: F.concat(a, x["b"])).alias("content"))
+
+
+def complete_files(chunks: DataFrame) -> DataFrame:
+    """(file): those whose chunks 0 to the last one are all there."""
+    ends = F.max(F.when(F.col("last"), F.col("seq") + 1))
+    return chunks.groupBy("file").agg(F.countDistinct("seq").alias("n"), ends.alias("wanted")).where("n = wanted").select("file")
+
+
+def _exists(spark: SparkSession, path: str, delete: bool = False) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = found.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store.delete(found, True) if delete else store.exists(found)
 
 
 def scan_stream(chunks: DataFrame, patterns: list[Pattern], out: str, staging: str, **trigger) -> StreamingQuery:
     """Start a query that writes the findings of chunks(file, lang, seq, content, last) to `out`, a folder of Parquet files for each batch."""
     trigger = trigger or {"availableNow": True}
+    schema = chunks.schema
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        rows.write.mode("overwrite").parquet(f"{staging}/chunks/batch={number}")
-        ended = spark.read.parquet(f"{staging}/chunks/batch={number}").where("last").select("file").distinct()
-        staged = spark.read.schema(rows.schema).parquet(f"{staging}/chunks").drop("batch")
-        files = whole_files(staged.join(ended, "file", "left_semi"))
-        find(files, patterns).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        kept, done = (lambda n: f"{staging}/chunks/batch={n}"), (lambda n: f"{staging}/done/batch={n}")
+        new = rows
+        if number and _exists(spark, f"{staging}/done"):
+            before = spark.read.schema("file string, batch long").parquet(f"{staging}/done").where(F.col("batch") < number).select("file")
+            new = rows.join(before, "file", "left_anti")
+        if number and _exists(spark, kept(number - 1)):
+            waiting = spark.read.schema(schema).parquet(kept(number - 1))
+            new = new.unionByName(waiting.join(spark.read.schema("file string").parquet(done(number - 1)), "file", "left_anti"))
+        new.dropDuplicates(["file", "seq"]).write.mode("overwrite").parquet(kept(number))
+        here = spark.read.schema(schema).parquet(kept(number))
+        complete_files(here).write.mode("overwrite").parquet(done(number))
+        ended = spark.read.schema("file string").parquet(done(number))
+        find(whole_files(here.join(ended, "file", "left_semi")), patterns).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if number > 1:
+            _exists(spark, kept(number - 2), delete=True)
 
     return chunks.writeStream.foreachBatch(batch).option("checkpointLocation", f"{staging}/progress").trigger(**trigger).start()
 
