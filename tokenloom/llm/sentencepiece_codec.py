@@ -137,10 +137,11 @@ class Codec:
     def encode_words(self, words: list[str]) -> list[bytes]:
         """The ids (int32, packed) of each word of a sorted list of distinct marked words.
 
-        State i is that of the prefix with i characters: its last piece (-1: a character without one), its ids and,
-        for a unigram model, its score.
+        State i is that of the prefix with i characters: its last piece (-1: a character without one), where that piece
+        begins and, for a unigram model, the prefix's score. A word's ids are read backwards from its last state, so a
+        word costs memory in proportion to its length.
         """
-        last, ids, score = [-1], [b""], [0.0]
+        last, begin, score = [-1], [0], [0.0]
         extend = self._extend_bpe if self.bpe else self._extend_unigram
         out, before = [], ""
         for word in words:
@@ -149,17 +150,21 @@ class Codec:
                 if x != y:
                     break
                 keep += 1
-            del last[keep + 1 :], ids[keep + 1 :], score[keep + 1 :]
-            extend(word, keep + 1, last, ids, score)
-            out.append(ids[-1])
+            del last[keep + 1 :], begin[keep + 1 :], score[keep + 1 :]
+            extend(word, keep + 1, last, begin, score)
+            at, found = len(word), []
+            while at:
+                found.append(self.packed[last[at]] if last[at] >= 0 else self._fallback(word[at - 1]))
+                at = begin[at]
+            out.append(b"".join(reversed(found)))
             before = word
         return out
 
     def _fallback(self, character: str) -> bytes:
         return b"".join(self.packed[self.byte[b]] for b in character.encode("utf-8", "replace")) if self.byte else self.packed[self.unknown]
 
-    def _extend_bpe(self, word: str, start: int, last: list[int], ids: list[bytes], score: list[float]) -> None:
-        usable, lengths, packed, ok = self.usable, self.lengths, self.packed, self.ok
+    def _extend_bpe(self, word: str, start: int, last: list[int], begin: list[int], score: list[float]) -> None:
+        usable, lengths, ok = self.usable, self.lengths, self.ok
         for i in range(start, len(word) + 1):
             for n in lengths[word[i - 3 if i > 3 else 0 : i]]:
                 if n > i:
@@ -178,21 +183,21 @@ class Codec:
                     if not fits:
                         continue
                 last.append(piece)
-                ids.append(ids[i - n] + packed[piece])
+                begin.append(i - n)
                 break
             else:
                 last.append(-1)
-                ids.append(ids[i - 1] + self._fallback(word[i - 1]))
+                begin.append(i - 1)
 
-    def _extend_unigram(self, word: str, start: int, last: list[int], ids: list[bytes], score: list[float]) -> None:
+    def _extend_unigram(self, word: str, start: int, last: list[int], begin: list[int], score: list[float]) -> None:
         for i in range(start, len(word) + 1):
             top, piece, size = score[i - 1] + self.least - 10.0, -1, 1
             for n in self.lengths[word[max(i - 3, 0) : i]]:
                 if n <= i and (found := self.pieces.get(word[i - n : i])) is not None and score[i - n] + self.score[word[i - n : i]] > top:
                     top, piece, size = score[i - n] + self.score[word[i - n : i]], found, n
             last.append(piece)
+            begin.append(i - size)
             score.append(top)
-            ids.append(ids[i - size] + (self.packed[piece] if piece >= 0 else self._fallback(word[i - 1])))
 
     def encode(self, texts: list[str | None], memo: dict[str, bytes] | None = None) -> list[np.ndarray]:
         """The ids (int32) of each text. memo: encoded words kept between calls."""
