@@ -13,11 +13,17 @@ replace input columns of these names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sources up to which the table of rates is broadcast; beyond it the join shuffles.
-BROADCAST_SOURCES = 2000
+from tokenloom.llm.common import cut
+
+#: Sources, and values of their distribution functions, up to which the table of rates is broadcast; beyond them the join shuffles.
+BROADCAST_SOURCES, BROADCAST_VALUES = 2000, 1_000_000
+#: Counts from which on the series for the logarithm of a factorial is used.
+SERIES = 64
 
 
 def uniform(seed: str, *columns: Column) -> Column:
@@ -43,29 +49,36 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | float = 0.5
     return sizes.crossJoin(F.broadcast(total)).select("source", F.when((F.col("size") > 0) & (F.col("weights") > 0), rate).otherwise(0.0).alias("rate"))
 
 
-def poisson_steps(rate: Column) -> Column:
-    """The distribution function of a Poisson variable at 0, 1, ... as far as doubles tell its values from 1."""
-    most = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    logs = F.transform(F.sequence(F.lit(1), most), lambda k: F.log(k.cast("double")))
-    start = F.struct(F.lit(0.0).alias("l"), F.exp(-rate).alias("c"), F.array(F.exp(-rate)).alias("all"))
+def poisson_steps(rates: DataFrame) -> DataFrame:
+    """(source, first, steps) for rates(source, rate): the distribution function of a Poisson variable at first, first + 1, ...
 
-    def step(a: Column, x: Column) -> Column:
-        log = a["l"] + F.log(rate) - x
-        total = a["c"] + F.exp(log - rate)
-        return F.struct(log.alias("l"), total.alias("c"), F.concat(a["all"], F.array(total)).alias("all"))
-
-    return F.when(rate > 0, F.aggregate(logs, start, step)["all"]).otherwise(F.array(F.lit(1.0)))
+    The values run from 12 standard deviations below the mean to 12 above it, as far as doubles tell them from 0 and 1:
+    about 24 times the root of the rate. They are running sums of the probabilities, each from its own logarithm.
+    """
+    wide = F.ceil(12 * F.sqrt("rate") + 30)
+    first = F.greatest(F.lit(0).cast("long"), F.floor("rate") - wide)
+    k, rate = F.col("k").cast("double"), F.col("rate")
+    factorials = F.array(*(F.lit(math.lgamma(i + 1)) for i in range(SERIES)))
+    x = (rate - k) / k
+    near = k * (F.log1p(x) - x) - F.log(2 * math.pi * k) / 2 - 1 / (12 * k) + 1 / (360 * k**3) - 1 / (1260 * k**5)
+    log = F.when(F.col("k") < SERIES, k * F.log(rate) - rate - F.get(factorials, F.col("k").cast("int"))).otherwise(near)
+    term = F.when(rate > 0, F.exp(log)).otherwise(F.when(F.col("k") == 0, 1.0).otherwise(0.0))
+    values = rates.select("source", "rate", first.alias("first"), F.explode(F.sequence(first, F.when(rate > 0, F.floor("rate") + wide).otherwise(F.lit(0).cast("long")))).alias("k"))
+    summed = values.withColumn("c", F.sum(term).over(Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)))
+    return summed.groupBy("source", "first").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda v: v["c"]).alias("steps"))
 
 
 def mix_sources(docs: DataFrame, weights: dict[str | None, float] | float = 0.5, epochs: float = 1.0, seed: str = "mix", id_column: str = "doc_id", source: str = "source", text: str = "text", partitions: int | None = None) -> DataFrame:
     """docs, each row repeated by its Poisson count, with copy_no (from 1) and shuffle_key, in the order of shuffle_key in each partition."""
     docs = docs.drop("copy_no", "shuffle_key")
-    rates = source_rates(docs, weights, epochs, source, text).select(F.col("source").alias("__source"), poisson_steps(F.col("rate")).alias("__steps"))
-    if len(rates.limit(BROADCAST_SOURCES + 1).select("__source").take(BROADCAST_SOURCES + 1)) <= BROADCAST_SOURCES:
+    steps = cut(poisson_steps(source_rates(docs, weights, epochs, source, text)))
+    size = steps.agg(F.count("*").alias("sources"), F.coalesce(F.sum(F.size("steps")), F.lit(0)).alias("values")).first()
+    rates = steps.select(F.col("source").alias("__source"), F.col("first").alias("__first"), F.col("steps").alias("__steps"))
+    if size.sources <= BROADCAST_SOURCES and size["values"] <= BROADCAST_VALUES:
         rates = F.broadcast(rates)
     drawn = docs.join(rates, F.col(source).eqNullSafe(F.col("__source")))
-    drawn = drawn.withColumn("__count", F.size(F.filter("__steps", lambda c: c <= uniform(f"{seed}:count", F.col(id_column)))))
-    copies = drawn.where("__count > 0").drop("__source", "__steps").withColumn("copy_no", F.explode(F.sequence(F.lit(1), "__count"))).drop("__count")
+    drawn = drawn.withColumn("__count", F.col("__first") + F.size(F.filter("__steps", lambda c: c <= uniform(f"{seed}:count", F.col(id_column)))))
+    copies = drawn.where("__count > 0").drop("__source", "__first", "__steps").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__count").cast("int")))).drop("__count")
     copies = copies.withColumn("shuffle_key", uniform(f"{seed}:order", F.col(id_column), F.col("copy_no")))
     dealt = copies.repartition(partitions, "shuffle_key") if partitions else copies.repartition("shuffle_key")
     return dealt.sortWithinPartitions("shuffle_key", id_column, "copy_no")
