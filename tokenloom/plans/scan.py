@@ -1,8 +1,8 @@
 """Patterns as DataFrame plans over the token lists of files.
 
 A state is a partial match: where it began, the next token `pos`, its captures, its span and the depths that its
-ellipses carry. The runs of single tokens of all patterns are found in one pass over the tokens (Tables): a run with a
-fixed token is looked up by that token in a broadcast table, and then held against the tokens around it. Runs are put
+ellipses carry. The runs of single tokens of all patterns are found in one pass over the token lists (Tables): where a
+token stands that some run has to have, the runs that have it are held against the tokens around it. Runs are put
 together by equality of file and position, or, over an ellipsis, by an interval join whose upper bound is the first
 place where the bracket depth falls below the carried one. Back-references are more keys of these joins, alternation is
 a union, repetition a loop of joins until no state is left. Every way in which a pattern matches gives a row.
@@ -113,51 +113,47 @@ class Tables:
         return ((here == BYTE) if kind == "byte" else here.isin(STRING, IDENTIFIER)) & (F.get("tok", i) == F.lit(text))
 
     def _find(self) -> DataFrame:
-        """(file, lang, run, first, before, after, toks, spans) of every match of every run."""
-        fixed, free = [], []
+        """(file, lang, run, first, before, after, toks, spans) of every match of every run, from one reading of the lists."""
+        anchored: dict[bytes, list[Column]] = {}
+        found = []
         for (wanted, equal), number in self.numbers.items():
             anchor = next((k for kind in ("token", "byte") for k, w in enumerate(wanted) if w[0] == kind), None)
             if anchor is None:
-                free.append(((wanted, equal), number))
-            else:
-                fixed.append((wanted[anchor][0] == "byte", bytearray(wanted[anchor][1]), anchor, number, [(("byte", "token", "level", "any").index(k), bytearray(t), lv) for k, t, lv in wanted], [list(e) for e in equal]))
-        parts = [self._anchored(fixed)] if fixed else []
-        if free:
-            found = F.concat(*(self._everywhere(run, number) for run, number in free))
-            parts.append(self.lists.select("file", "lang", F.explode(found).alias("x")).select("file", "lang", "x.*"))
-        return reduce(DataFrame.unionByName, parts)
+                found.append(self._everywhere((wanted, equal), number))
+                continue
+            tests = F.array(*(F.struct(F.lit(("byte", "token", "level", "any").index(k)).alias("k"), F.lit(t).alias("t"), F.lit(lv).alias("l")) for k, t, lv in wanted))
+            pairs = F.array(*(F.array(F.lit(x), F.lit(y)) for x, y in equal)).cast("array<array<int>>")
+            anchored.setdefault(wanted[anchor][1], []).append(F.struct(F.lit(number).alias("run"), F.lit(anchor).alias("offset"), tests.alias("wanted"), pairs.alias("equal")))
+        if anchored:
+            found.append(self._anchored(anchored))
+        rows = self.lists.select("file", "lang", F.explode(F.concat(*found)).alias("x"))
+        return rows.select("file", "lang", "x.*")
 
     def _everywhere(self, run: Run, number: int) -> Column:
-        """The matches of a run without a fixed token, from the whole list."""
+        """The matches of a run without a fixed token."""
         wanted, equal = run
         tests = [lambda i, k=k, w=w: self.fits(w, i + k) for k, w in enumerate(wanted)] + [lambda i, a=a, b=b: F.get("tok", i + a) == F.get("tok", i + b) for a, b in equal]
         places = F.when(F.size("kind") >= len(wanted), F.sequence(F.lit(0), F.greatest(F.size("kind") - len(wanted), F.lit(0)))).otherwise(F.array().cast("array<int>"))
         fit = F.filter(places, lambda i: reduce(lambda a, b: a & b, (t(i) for t in tests)))
         return F.transform(fit, lambda i: self.row(F.lit(number), i, F.lit(len(wanted))))
 
-    def _anchored(self, fixed: list[tuple]) -> DataFrame:
-        """The matches of runs with a fixed token: its places, from one join with the broadcast table of runs, and the tokens around them."""
-        spark = self.lists.sparkSession
-        table = spark.createDataFrame(fixed, "is_byte boolean, anchor binary, offset int, run int, wanted array<struct<k:int,t:binary,l:int>>, equal array<array<int>>")
-        keys = {bytes(x[1]) for x in fixed}
-        lists = self.lists
-        if len(keys) <= 64:  # a cheap first look at short lists of fixed tokens; the join decides
-            lists = lists.where(F.exists("tok", lambda t: t.isin(*(F.lit(k) for k in keys))))
-        here = lists.select("file", "lang", "kind", "tok", "level", "s", "e", "line", "col", "eline", "ecol", *self.names, F.posexplode("tok").alias("i", "anchor"))
-        here = here.withColumn("is_byte", F.get("kind", F.col("i")) == BYTE)
-        met = here.join(F.broadcast(table), ["anchor", "is_byte"]).withColumn("first", F.col("i") - F.col("offset"))
-
-        def fits(w: Column, j: Column) -> Column:
-            i = F.col("first") + j
+    def _anchored(self, runs: dict[bytes, list[Column]]) -> Column:
+        """The matches of runs with a fixed token: where such a token stands, the runs that have it are held against the tokens around."""
+        table = F.create_map(*(x for anchor, entries in runs.items() for x in (F.lit(anchor), F.array(*entries))))
+        places = F.filter(F.transform("tok", lambda t, i: F.when(t.isin(*map(F.lit, runs)), i)), lambda i: i.isNotNull())
+
+        def fits(w: Column, i: Column) -> Column:
             kind = F.get("kind", i)
             word = kind.isin(STRING, IDENTIFIER)
             return F.when(w["k"] == 3, word).when(w["k"] == 2, (kind == LEVEL) & (F.get("level", i) == w["l"])).otherwise(F.when(w["k"] == 0, kind == BYTE).otherwise(word) & (F.get("tok", i) == w["t"]))
 
-        size = F.size("wanted")
-        met = met.where((F.col("first") >= 0) & (F.col("first") + size <= F.size("kind")))
-        met = met.where(~F.exists(F.transform("wanted", lambda w, j: F.coalesce(fits(w, j), F.lit(False))), lambda x: ~x))
-        met = met.where(~F.exists("equal", lambda p: F.get("tok", F.col("first") + p[0]) != F.get("tok", F.col("first") + p[1])))
-        return met.select("file", "lang", self.row(F.col("run"), F.col("first"), size).alias("x")).select("file", "lang", "x.*")
+        def match(r: Column) -> Column:
+            inside = (r["first"] >= 0) & (r["first"] + F.size(r["r"]["wanted"]) <= F.size("kind"))
+            all_fit = F.forall(F.transform(r["r"]["wanted"], lambda w, j: F.coalesce(fits(w, r["first"] + j), F.lit(False))), lambda x: x)
+            return inside & all_fit & F.forall(r["r"]["equal"], lambda p: F.get("tok", r["first"] + p[0]) == F.get("tok", r["first"] + p[1]))
+
+        tried = F.transform(places, lambda i: F.filter(F.transform(F.element_at(table, F.get("tok", i)), lambda r: F.struct(r.alias("r"), (i - r["offset"]).alias("first"))), match))
+        return F.transform(F.flatten(tried), lambda m: self.row(m["r"]["run"], m["first"], F.size(m["r"]["wanted"])))
 
     def run(self, items: Iterable[Item], languages: tuple[str, ...]) -> DataFrame:
         found = self.found.where((F.col("run") == self.numbers[run_of(items)]) & F.col("lang").isin(*languages))
@@ -327,5 +323,6 @@ def scan(lists: DataFrame, patterns: list[Pattern]) -> DataFrame:
 
     lists: token_lists() with folded strings and the depths of depths_of(patterns).
     """
-    tables = Tables(cut(lists), patterns)
+    again = depths_of(patterns) or any(p.items and p.items[0].kind not in SINGLE for p in patterns)
+    tables = Tables(cut(lists) if again else lists, patterns)  # runs read the lists once
     return reduce(DataFrame.unionByName, (Scan(tables, p).matches(k) for k, p in enumerate(patterns)))
