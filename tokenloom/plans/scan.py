@@ -293,10 +293,16 @@ class Scan:
 
     def repeated(self, states: dict[str | None, DataFrame], branches: tuple[tuple[Item, ...], ...]) -> dict[str | None, DataFrame]:
         """The states after any number of turns through one of the branches; each turn takes a token at least, so the loop ends."""
-        front = {skip: cut(df) for skip, df in states.items()}
+
+        def stored(states: dict[str | None, DataFrame]) -> tuple[dict[str | None, DataFrame], list[str | None]]:
+            """The states, computed once as one table, and the ellipses that some are open behind."""
+            one = cut(reduce(DataFrame.unionByName, (df.withColumn("open", F.lit(skip).cast("string")) for skip, df in states.items())))
+            return {skip: one.where(F.col("open").eqNullSafe(F.lit(skip))).drop("open") for skip in states}, [r.open for r in one.select("open").distinct().collect()]
+
+        front, alive = stored(states)
         found = [front]
-        while front := {skip: df for skip, df in front.items() if not df.isEmpty()}:
-            front = {skip: cut(df) for skip, df in self.together([self.apply(dict(front), b) for b in branches]).items()}
+        while alive:
+            front, alive = stored(self.together([self.apply({skip: front[skip] for skip in alive}, b) for b in branches]))
             found.append(front)
         return self.together(found)
 
