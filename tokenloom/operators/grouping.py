@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions.captures import merged
+from tokenloom.functions.shared import cut
 
 EXPANSIONS = 64
 
@@ -45,7 +46,7 @@ def group_matches(matches: DataFrame, most: int = EXPANSIONS) -> DataFrame:
     """matches with those of groups merged. Merged ones have the group's name and an empty group but for cancel."""
     free = matches.where("grp.name = ''")
     order = Window.partitionBy("file", "grp.name").orderBy("actual_end", F.desc("actual_start"), "pattern_id", F.xxhash64(F.array_sort(F.map_entries("captures"))))
-    grouped = matches.where("grp.name <> ''").withColumn("rn", F.row_number().over(order)).withColumn("g", F.col("grp.name"))
+    grouped = cut(matches.where("grp.name <> ''").withColumn("rn", F.row_number().over(order)).withColumn("g", F.col("grp.name")))
     member = F.struct("rn", "name", "captures", "start", "end", F.col("grp.cancel").alias("cancel"), F.col("grp.unique").alias("unique"))
     members = grouped.select("file", "g", F.col("rn").alias("mrn"), F.col("actual_start").alias("ms"), F.col("actual_end").alias("me"), member.alias("m"))
     inside = (F.col("mrn") > F.col("rn")) & (F.col("ms") <= F.col("actual_start")) & (F.col("me") >= F.col("actual_end"))
@@ -54,7 +55,7 @@ def group_matches(matches: DataFrame, most: int = EXPANSIONS) -> DataFrame:
     empty = F.array_compact(F.array(F.when(F.lit(False), member)))
     anchors = grouped.join(lists, ["file", "g", "rn"], "left").withColumn("list", F.coalesce("list", empty))
     state = F.struct("captures", "start", "end", F.col("start_overridden").alias("so"), F.col("end_overridden").alias("eo"), F.col("grp.cancel").alias("cancel"), F.col("grp.unique").alias("unique"), empty.alias("axes"), F.array().cast("array<int>").alias("taken"))
-    folded = anchors.withColumn("s", F.aggregate("list", state, lambda o, m: _absorbed(o, m, F.col("grp.match"))))
+    folded = cut(anchors.withColumn("s", F.aggregate("list", state, lambda o, m: _absorbed(o, m, F.col("grp.match")))).drop("list"))
     used = F.aggregate(
         F.array_sort(F.collect_list(F.struct("rn", F.col("grp.unique").alias("unique"), F.col("s.taken").alias("taken")))),
         F.array().cast("array<int>"),
