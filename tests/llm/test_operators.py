@@ -292,6 +292,9 @@ def test_jaccard_prefixes_lose_no_pair(spark):
     found = {(r.a, r.b) for r in left.join(right, "token").where(jaccard_join.may_be_similar("m", "i", "n", "j")).select("a", "b").distinct().collect()}
     similar = [(x, y) for x in range(90) for y in range(x) if 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y]) and node[x] != node[y]]
     assert similar and all((node[x], node[y]) in found for x, y in similar)
+    front = {(r.token, r.node) for r in prefix.where(jaccard_join.in_front("n_shingles", "pos")).select("token", "node").collect()}
+    for r in left.join(right, "token").where(jaccard_join.may_be_similar("m", "i", "n", "j")).collect():
+        assert (r.token, r.a) in front or (r.token, r.b) in front
 
 
 @pytest.mark.parametrize("clean", [500, 2500])
@@ -299,7 +302,7 @@ def test_toxicity_unseen_misspelling(spark, clean):
     """A misspelling that the sample lacks counts the same in a small and in a large sample."""
     texts = [f"t{i}a t{i}b t{i}c vilebad t{i}d t{i}e" for i in range(40)] + [f"c{i}a c{i}b c{i}c c{i}d c{i}e" for i in range(clean)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    automaton, precision = toxicity.learn(docs, docs.select("doc_id", (F.col("doc_id") < 40).cast("int").alias("toxic")))
+    automaton, precision, _ = toxicity.learn(docs, docs.select("doc_id", (F.col("doc_id") < 40).cast("int").alias("toxic")))
     assert automaton.terms == ["vilebad"] and precision[1] == pytest.approx(0.6)
 
 

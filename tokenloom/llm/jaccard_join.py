@@ -9,7 +9,8 @@ since a passage that many documents share comes last in each.
 
 - The most frequent shingles are known from a broadcast list and come last; the others are dealt to buckets and counted
   there. Those that one set alone has take places in its prefix and are not sent on.
-- For each shingle of the prefixes every set is held against the one with the shingle furthest in front (the pivot), so
+- Of two sets that pass the position test one has the shingle in its first seventh, so shingles that no set has there are left
+  out. For each other one every set is held against the one with the shingle furthest in front (the pivot), so
   that a shingle gives as many pairs as it has sets. If all sets of a shingle pass, they are in one component. Where one fails, all are
   held against a second pivot, the set that shares its shingles with the most others: of near copies, the one they were made of.
 - Of shingles whose sets are still in different components, all pairs of different components that pass the position
@@ -44,8 +45,8 @@ FREQUENT, COMMON = 50_000, 50
 #: Bits of the sketch that drops pairs, for each shingle, at least.
 BITS = 4
 #: (shingle, node) pairs in one bucket, and those that a task gathers before it sends them on.
-GROUP_PAIRS = 1_500_000
-SEND_PAIRS = 500_000
+GROUP_PAIRS = 800_000
+SEND_PAIRS = 300_000
 #: Document ids up to which those of candidates are broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -228,20 +229,28 @@ def may_be_similar(m: str, i: str, n: str, j: str) -> Column:
     return (PART + WHOLE) * F.least(F.col(m) - F.col(i), F.col(n) - F.col(j)) >= WHOLE * (F.col(m) + F.col(n))
 
 
+def in_front(size: str, pos: str) -> Column:
+    """Whether a shingle lies in the first seventh of a set. One of two sets has the first that they share there, if they pass the position test."""
+    return (PART + WHOLE) * F.col(pos) <= (PART - WHOLE) * F.col(size)
+
+
 def pivot_pairs(prefix: DataFrame) -> DataFrame:
-    """(key, a, b, near): for each token, the set that has it furthest in front and each other one, and whether they pass the position test."""
-    pivot = prefix.groupBy("token").agg(F.min(F.struct("pos", "n_shingles", "node")).alias("p"), F.count("*").alias("sets")).where("sets > 1")
+    """(key, a, b, near): for each token that some set has in front, the set that has it furthest in front and each other one, and whether they pass the position test."""
+    pivot = prefix.groupBy("token").agg(F.min(F.struct("pos", "n_shingles", "node")).alias("p"), F.count("*").alias("sets"), F.max(in_front("n_shingles", "pos")).alias("front")).where("sets > 1 and front")
     pivot = pivot.select("token", F.col("p.node").alias("pivot"), F.col("p.n_shingles").alias("m"), F.col("p.pos").alias("i"))
     pairs = prefix.join(pivot, "token").where("node <> pivot")
     return pairs.select(F.col("token").alias("key"), F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"), may_be_similar("m", "i", "n_shingles", "pos").alias("near"))
 
 
 def open_pairs(prefix: DataFrame, keys: DataFrame, parts: DataFrame) -> DataFrame:
-    """(a, b): pairs of different components that share one of keys(key) and pass the position test."""
-    members = cut(with_component(prefix.join(keys.select(F.col("key").alias("token")), "token", "left_semi"), parts))
-    left = members.select("token", F.col("node").alias("a"), F.col("n_shingles").alias("m"), F.col("pos").alias("i"), F.col("component").alias("of_a"))
-    right = members.select("token", F.col("node").alias("b"), F.col("n_shingles").alias("n"), F.col("pos").alias("j"), F.col("component").alias("of_b"))
-    return left.join(right, (left.token == right.token) & (F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b")) & may_be_similar("m", "i", "n", "j")).select("a", "b").distinct()
+    """(a, b): pairs of different components that share one of keys(key) and pass the position test; one of the two has the key in front."""
+    members = with_component(prefix.join(keys.select(F.col("key").alias("token")), "token", "left_semi"), parts)
+    members = cut(members.withColumn("front", in_front("n_shingles", "pos")))
+    left = members.where("front").select("token", F.col("node").alias("a"), F.col("n_shingles").alias("m"), F.col("pos").alias("i"), F.col("component").alias("of_a"))
+    right = members.select("token", F.col("node").alias("b"), F.col("n_shingles").alias("n"), F.col("pos").alias("j"), F.col("component").alias("of_b"), "front")
+    once = ~F.col("front") | (F.col("a") < F.col("b"))
+    pairs = left.join(right, (left.token == right.token) & once & (F.col("of_a") != F.col("of_b")) & may_be_similar("m", "i", "n", "j"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def shingle_blobs(docs: DataFrame) -> DataFrame:
