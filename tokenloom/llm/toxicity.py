@@ -5,8 +5,9 @@ frequent in toxic documents. Its terms form a trie; the Levenshtein automaton of
 the states reachable together are joined into one table, so that a word is matched by one table look-up a character.
 Each hit gets the precision that its term has on the sample at that distance; a verdict without a hit in the sample gets
 the pooled precision of all hits at distance 1, with a fixed prior, at every size of the sample. Its context, WINDOW words on
-either side, then changes it: hits nearby add to it, quotation marks around it or a word of reporting just before it
-lower it. A document's score is the chance that at least one hit is abuse.
+either side, then changes it: hits nearby add to it, and quotation marks around it or a word of reporting just before it
+multiply it by what such hits are worth on the sample: their precision over that of the other hits, with QUOTED as a
+prior of weight PRIOR. A document's score is the chance that at least one hit is abuse.
 
 Labels are read from at most about SAMPLE_TOXIC toxic and SAMPLE_CLEAN other documents outside the held-out fold.
 
@@ -38,10 +39,10 @@ MARKS = 8
 CHANCE = 0.05
 #: Word beginnings: characters, and different words that share one.
 STEM, STEM_WORDS, STEM_RATIO = (4, 5, 6), 8, 300.0
-LEXICON = 500
 #: Terms with fewer characters must be met exactly.
 FUZZY_LENGTH = 5
 WINDOW = 8
+#: Prior of what a hit in a quotation is worth.
 QUOTED = 0.35
 NEAR = 0.15
 NO_HIT = 0.02
@@ -218,8 +219,8 @@ def without_echoes(sample: DataFrame) -> DataFrame:
     return cut(sample.join(weights, "digest", "left").select("text", "toxic", F.coalesce("weight", F.lit(1.0)).alias("weight")))
 
 
-def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, id_column: str = "doc_id", text: str = "text") -> tuple[Automaton, np.ndarray]:
-    """The automaton, and the precision of each verdict on the sample."""
+def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, id_column: str = "doc_id", text: str = "text") -> tuple[Automaton, np.ndarray, float]:
+    """The automaton, the precision of each verdict on the sample, and what a hit in a quotation is worth."""
     train = labels.where((remainder(id_column, folds) != held_out) & F.col("toxic").isNotNull()).groupBy(F.col(id_column).alias("id")).agg(F.max("toxic").alias("toxic"))
     n = {r.toxic: r.n for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chance = F.pmod(F.xxhash64(F.lit("toxicity sample"), "id"), F.lit(1 << 30)) / float(1 << 30)
@@ -249,8 +250,8 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
     part = F.col("bad") / (F.col("bad") + F.col("good"))
     evidence = F.col("bad") * F.log(part / base) + F.when(F.col("good") > 0, F.col("good") * F.log((1 - part) / (1 - base))).otherwise(0.0)
     chance_found = math.log(max(candidates.count(), 1) / CHANCE)
-    lexicon = candidates.where((F.col("bad") >= least) & (ratio >= F.when(F.col("word").endswith("*"), STEM_RATIO).otherwise(RATIO)) & (evidence >= chance_found)).orderBy(F.desc(ratio), F.desc("bad"), "word").limit(LEXICON)
-    terms = [r.word for r in lexicon.collect()]
+    lexicon = candidates.where((F.col("bad") >= least) & (ratio >= F.when(F.col("word").endswith("*"), STEM_RATIO).otherwise(RATIO)) & (evidence >= chance_found))
+    terms = [r.word for r in lexicon.collect()]  # each in MIN_SHARE of a bounded sample
     stem_terms = sorted({t for t in terms if t.endswith("*")}, key=len)
     stem_terms = [t for i, t in enumerate(stem_terms) if not any(t[:-1].startswith(s[:-1]) for s in stem_terms[:i])]
     terms = sorted(stem_terms + [t for t in terms if not t.endswith("*") and not any(t.startswith(s[:-1]) for s in stem_terms)])
@@ -259,10 +260,14 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             toxic, weight = batch.column("toxic").to_pylist(), batch.column("weight").to_pylist()
-            rows = sorted({(v, r) for r, hits in hits_by_row(automaton, batch.column("text").to_pylist()) for _, v, _ in hits})
+            hits = list(hits_by_row(automaton, batch.column("text").to_pylist()))
+            rows = sorted({(v, r) for r, found in hits for _, v, _ in found})
+            # whether all of a text's hits are quoted (-1) or some are not (-2)
+            rows += [(-1 if all(q for _, _, q in found) else -2, r) for r, found in hits]
             yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in rows], pa.int32()), pa.array([toxic[r] for _, r in rows], pa.int32()), pa.array([weight[r] for _, r in rows], pa.float64())], ["verdict", "toxic", "weight"])
 
-    counts = sample.mapInArrow(tally, "verdict int, toxic int, weight double").groupBy("verdict").agg(bad, F.sum("weight").alias("n")).collect()
+    tallied = sample.mapInArrow(tally, "verdict int, toxic int, weight double").groupBy("verdict").agg(bad, F.sum("weight").alias("n")).collect()
+    counts, contexts = [r for r in tallied if r.verdict >= 0], {r.verdict: r for r in tallied if r.verdict < 0}
     clean_weight = max(n.get(0, 0) / SAMPLE_CLEAN, 1.0) / max(n.get(1, 0) / SAMPLE_TOXIC, 1.0)
     good_weight = max(1.0, clean_weight)
     bad_near, n_near = sum(r.bad for r in counts if r.verdict % 2), sum(r.n for r in counts if r.verdict % 2)
@@ -270,19 +275,22 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
     for r in counts:
         precision[r.verdict] = (r.bad + 0.1) / (r.bad + good_weight * (r.n - r.bad) + 0.4)
     precision[(precision < LEAST) & np.isin(np.arange(len(precision)), [r.verdict for r in counts])] = 0.0
-    return automaton, precision
+    share = {k: (r.bad, r.bad + good_weight * (r.n - r.bad)) for k, r in contexts.items()}
+    plain = (share[-2][0] + 1.0) / (share[-2][1] + 1.0) if -2 in share else 1.0
+    bad_quoted, n_quoted = share.get(-1, (0.0, 0.0))
+    return automaton, precision, min(1.0, (bad_quoted / plain + PRIOR * QUOTED) / (n_quoted + PRIOR))
 
 
-def text_score(hits: list[tuple[int, int, bool]], precision: np.ndarray) -> float:
+def text_score(hits: list[tuple[int, int, bool]], precision: np.ndarray, worth: float = QUOTED) -> float:
     """The chance that at least one hit is abuse."""
     clean = 1.0
     for i, (at, v, quoted) in enumerate(hits):
         near = (i > 0 and at - hits[i - 1][0] <= WINDOW) + (i + 1 < len(hits) and hits[i + 1][0] - at <= WINDOW)
-        clean *= 1 - min(0.999, precision[v] * (1 + NEAR * near)) * (QUOTED if quoted else 1.0)
+        clean *= 1 - min(0.999, precision[v] * (1 + NEAR * near)) * (worth if quoted else 1.0)
     return 1 - clean * (1 - NO_HIT)
 
 
-def score(docs: DataFrame, automaton: Automaton, precision: np.ndarray, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, automaton: Automaton, precision: np.ndarray, worth: float = QUOTED, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, score) for every row."""
     id_type = dict(docs.dtypes)[id_column]
 
@@ -290,7 +298,7 @@ def score(docs: DataFrame, automaton: Automaton, precision: np.ndarray, id_colum
         for batch in slices(batches, "text"):
             out = np.full(batch.num_rows, NO_HIT)
             for r, hits in hits_by_row(automaton, batch.column("text").to_pylist()):
-                out[r] = text_score(hits, precision)
+                out[r] = text_score(hits, precision, worth)
             yield pa.RecordBatch.from_arrays([batch.column(id_column), pa.array(out)], [id_column, "score"])
 
     return docs.select(F.col(id_column), F.col(text).alias("text")).mapInArrow(scored, f"{id_column} {id_type}, score double")
@@ -298,13 +306,13 @@ def score(docs: DataFrame, automaton: Automaton, precision: np.ndarray, id_colum
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, held_out, score, predicted) for every row of docs."""
-    automaton, precision = learn(docs, labels, folds, held_out, id_column, text)
-    return score(docs, automaton, precision, id_column, text).select(id_column, (remainder(id_column, folds) == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    learned = learn(docs, labels, folds, held_out, id_column, text)
+    return score(docs, *learned, id_column=id_column, text=text).select(id_column, (remainder(id_column, folds) == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def toxicity_filter(docs: DataFrame, all_docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that are not predicted toxic, learned from the labelled rows of all_docs."""
-    automaton, precision = learn(all_docs, labels, id_column=id_column, text=text)
+    automaton, precision, worth = learn(all_docs, labels, id_column=id_column, text=text)
     columns = docs.columns
     at = columns.index(text)
     schema = docs.schema
@@ -313,7 +321,7 @@ def toxicity_filter(docs: DataFrame, all_docs: DataFrame, labels: DataFrame, id_
         for batch in slices(batches, text):
             keep = np.ones(batch.num_rows, bool)
             for r, hits in hits_by_row(automaton, batch.column(at).to_pylist()):
-                keep[r] = text_score(hits, precision) < 0.5
+                keep[r] = text_score(hits, precision, worth) < 0.5
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(clean, schema)
