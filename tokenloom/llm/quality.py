@@ -2,9 +2,10 @@
 
 Per document, ratios are computed from the whole text. Per language and source, each ratio is summarised by a
 mergeable quantile sketch: counts of logarithmic buckets of relative width GAMMA, which add up over tasks and groups
-and give every quantile within GAMMA. A group's limits are its median plus SPREAD times the distance to its upper (or
-lower) quartile, at least SLACK away from the median; a group with fewer than MIN_GROUP documents takes the limits of its
-language, or of the whole corpus, whose sketches are the sums of the groups' sketches. Limits and ratios are joined,
+and give every quantile within GAMMA. A group's sketch is merged with that of its language, weighted like PRIOR_DOCS
+documents, and a language's with that of the whole corpus in the same way, so that a small group's limits are near those of its
+language and a large group's are its own. The limits are the median plus SPREAD times the distance to the upper (or
+lower) quartile, at least SLACK away from the median. Limits and ratios are joined,
 and documents outside them, or failing the fixed base rules, are rejected.
 
 Defined cases: null counts as a text without words; texts without words fail the base rules and stay out of the
@@ -24,7 +25,8 @@ from tokenloom.llm.common import cut
 
 GAMMA = 1.02
 SPREAD = 4.0
-MIN_GROUP = 50
+#: Documents that a group's parent counts for.
+PRIOR_DOCS = 50
 #: Ratios, the side on which they can be bad, and the least distance of a limit from the median.
 RATIOS = {"symbols_per_word": ("high", 0.2), "repeat_share": ("high", 0.2), "echo_share": ("high", 0.1), "dup_line_share": ("high", 0.34), "upper_share": ("high", 0.15), "mean_word": ("both", 3.0)}
 #: Groups of language and source up to which the limits are broadcast; beyond it the join shuffles.
@@ -112,29 +114,39 @@ def sketches(ratios: DataFrame, lang: str = "lang", source: str = "source") -> D
 def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     """keys, ratio, n_docs and the quartiles q25, q50, q75 of each sketch, from its buckets in one array."""
     merged = sketch.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
-    one = merged.groupBy(*keys, "ratio").agg(F.sum("n").alias("n_docs"), F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("b"))
+    one = merged.withColumn("n", F.col("n").cast("double")).groupBy(*keys, "ratio").agg(F.sum("n").alias("n_docs"), F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("b"))
 
     def at(q: float) -> Column:
-        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("at"))
-        step = lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.coalesce(a["at"], F.when(a["seen"] + x["n"] >= q * F.col("n_docs"), x["bucket"])).alias("at"))
+        start = F.struct(F.lit(0.0).alias("seen"), F.lit(None).cast("int").alias("at"))
+        step = lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.coalesce(a["at"], F.when(a["seen"] + x["n"] >= (q - 1e-9) * F.col("n_docs"), x["bucket"])).alias("at"))
         found = F.aggregate("b", start, step)["at"]
         return F.when(found == -(1 << 30), 0.0).otherwise(2 * F.pow(F.lit(GAMMA), found) / (GAMMA + 1))
 
     return one.select(*keys, "ratio", "n_docs", *(at(q).alias(f"q{int(100 * q)}") for q in (0.25, 0.5, 0.75)))
 
 
-def limits(ratios: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, low_*, high_*) for every group."""
-    shared_keys = {"source": ["lang", "source"], "lang": ["lang"], "all": []}
-    sketch = cut(sketches(ratios, lang, source))
-    levels = {name: quantiles(sketch, keys) for name, keys in shared_keys.items()}
-    joined = levels["source"].alias("s")
-    joined = joined.join(levels["lang"].alias("l"), F.col("s.lang").eqNullSafe(F.col("l.lang")) & (F.col("s.ratio") == F.col("l.ratio"))).join(levels["all"].alias("a"), F.col("s.ratio") == F.col("a.ratio"))
+def merged_sketches(groups: DataFrame) -> DataFrame:
+    """(lang, source, ratio, bucket, n): each group's sketch with its language's and the corpus', n being shares."""
+    parent = None
+    for keys in ([], ["lang"], ["lang", "source"]):
+        own = groups.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
+        sizes = own.groupBy(*keys, "ratio").agg(F.sum("n").alias("size"))
+        prior = PRIOR_DOCS if keys else 0
+        named = sizes.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("ratio").alias("__ratio"), "size")
+        same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys), F.col("ratio") == F.col("__ratio"))
+        shares = own.join(named, same).select(*keys, "ratio", "bucket", (F.col("n") / (F.col("size") + prior)).alias("n"))
+        if keys:
+            above = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys[:-1]), F.col("ratio") == F.col("__ratio"))
+            lent = named.join(parent, above).select(*(F.col(f"__{k}").alias(k) for k in keys), "ratio", "bucket", (prior * F.col("n") / (F.col("size") + prior)).alias("n"))
+            shares = shares.unionByName(lent).groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
+        parent = shares
+    return parent
 
-    def pick(q: str) -> Column:
-        return F.when(F.col("s.n_docs") >= MIN_GROUP, F.col(f"s.{q}")).when(F.col("l.n_docs") >= MIN_GROUP, F.col(f"l.{q}")).otherwise(F.col(f"a.{q}"))
 
-    picked = joined.select("s.lang", "s.source", "s.ratio", *(pick(q).alias(q) for q in ("q25", "q50", "q75")))
+def limits(ratios: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """(lang, source, low_*, high_*) for every group."""
+    groups = cut(sketches(ratios, lang, source))
+    picked = quantiles(merged_sketches(groups), ["lang", "source"])
     out = []
     for ratio, (side, slack) in RATIOS.items():
         here = F.col("ratio") == ratio
@@ -143,7 +155,7 @@ def limits(ratios: DataFrame, lang: str = "lang", source: str = "source") -> Dat
         out.append(F.max(F.when(here, high)).alias(f"high_{ratio}"))
         if side == "both":
             out.append(F.max(F.when(here, low)).alias(f"low_{ratio}"))
-    return picked.groupBy("lang", "source").agg(*out)
+    return cut(picked.groupBy("lang", "source").agg(*out))
 
 
 def judge(ratios: DataFrame, bounds: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -166,9 +178,9 @@ def quality_verdicts(docs: DataFrame, id_column: str = "doc_id", text: str = "te
 
 
 def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of docs that are kept. Texts are read twice, once for the sketches, and never shuffled."""
-    ratios = with_ratios(with_features(docs, text))
-    columns = [c for c in docs.columns]
-    bounds = limits(ratios, lang, source)
-    keep = judge(with_ratios(with_features(docs.select(*(F.col(c).alias(f"c_{c}") for c in columns)), f"c_{text}")), bounds, f"c_{lang}", f"c_{source}").where("kept")
-    return keep.select(*(F.col(f"c_{c}").alias(c) for c in columns))
+    """The rows of docs that are kept. The features are computed once, beside the rows, and read again with the limits; texts are never shuffled."""
+    columns = docs.columns
+    named = docs.select(*(F.col(c).alias(f"c_{c}") for c in columns))
+    ratios = with_ratios(cut(with_features(named, f"c_{text}")))
+    kept = judge(ratios, limits(ratios, f"c_{lang}", f"c_{source}"), f"c_{lang}", f"c_{source}").where("kept")
+    return kept.select(*(F.col(f"c_{c}").alias(c) for c in columns))
