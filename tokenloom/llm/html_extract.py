@@ -1,22 +1,29 @@
 """Main text of web pages: flat text blocks, classified by a decision tree over their own and their neighbours' shallow features.
 
-A page is cut into text blocks at block-level tags. A block's features are its number of words, its link density (share
-of words inside links), the same of the blocks before and after it, whether it is a heading, and whether it lies in an
-article element or in a container marked as page furniture by its tag, role, class or id. A decision tree, trained on
-the blocks of the labelled pages of TRAINING, says which blocks are main text; they are joined in page order.
+A page is cut into text blocks at block-level tags. FEATURES of a block are its number of words and its link density
+(share of words inside links), the same of the blocks before and after it, whether it ends like a sentence, whether it is
+a heading, its place (in an article element, in the page's frame by tag, role, name or being hidden, or neither) and,
+under a name (class or id) that says little, how small a part of the page's words the named element holds. A decision tree says which blocks are main text; they are joined in page order. It is trained once, on the driver,
+on the blocks of TRAINING_PAGES labelled pages, which training.py lays out in many ways, with and without telling names.
+
+A page is read in one pass: a tag without end, or with an odd quotation mark, costs one look at the rest of the page, not
+one for each such tag, and open elements are counted, not searched.
 
 Defined cases: null and empty pages, and pages without main text, give the empty text; unclosed and stray tags end where
-their parent ends; a comment, script, style, textarea or title that never ends swallows the rest; equal pages give equal texts; an empty
-table gives an empty result; other columns of the input are ignored.
+their parent ends; a `<` that begins no tag is text; a comment, script, style, textarea or title that never ends swallows
+the rest; elements that are not shown (svg, button, ...) are left out up to their end tag, if they have one; equal pages
+give equal texts; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,45 +33,113 @@ from tokenloom.llm.common import slices
 # Tags and names of page parts.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = ("script", "style", "textarea", "title")  # raw text: without an end tag they go on to the end of the page
-HIDDEN_TAGS = ("noscript", "template", "select", "button", "svg", "iframe", "object", "canvas", "audio", "video", "math")  # skipped up to their end tag, if they have one
-FURNITURE_TAGS = set("nav footer aside form dialog menu".split())
-FURNITURE_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-FURNITURE_NAMES = set(
-    "ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe "
-    "subscription signup nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar sidenav side widget widgets related recommended recommendations share sharing social comment comments "
-    "commentlist reply replies disqus respond discussion footer foot header masthead topbar login register search form pagination pager toolbar copyright legal disclaimer".split()
+RAW = set("script style textarea title".split())
+HIDDEN_TAGS = set("noscript template select button svg iframe object canvas audio video math".split())
+FRAME_TAGS = set("nav footer aside form dialog menu".split())
+FRAME_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+FRAME_NAMES = set(
+    "ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promoted banner cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup nav navbar "
+    "navigation menu submenu breadcrumb breadcrumbs sidebar sidenav related recommended recommendations share sharing comment comments commentlist reply replies disqus respond footer masthead topbar "
+    "login register pagination pager toolbar copyright".split()
 )
+#: Names that frames have, but main text has too.
+VAGUE_NAMES = set("notice alert side widget widgets social discussion foot header search form legal disclaimer promotion".split())
 CONTENT_NAMES = set("content main article post entry story has with no page wrapper container layout body text".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 
-_TAG = re.compile(r"<!--(?:.*?-->|.*)|<(?P<raw>" + "|".join(SKIPPED) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</(?P=raw)\s*>|.*)|<(?P<hidden>" + "|".join(HIDDEN_TAGS) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>(?:(?!<(?P=hidden)[\s/>]).)*?</(?P=hidden)\s*>|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+TRAINING_PAGES = 400
+LEAF_ROWS = 8
+DEPTH = 9
+
+_NAME_OF_TAG = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?=[\s/>])")
+_REST = re.compile(r"[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+>")
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _NAME = re.compile(r"[a-z0-9]+")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|$|=)|display\s*:\s*none", re.I)
-
-
-def is_furniture(tag: str, attrs: str) -> bool:
-    """Whether the element marks menus, headers, footers, side columns, notices, adverts, forms or comments."""
-    if tag in FURNITURE_TAGS:
-        return True
-    if tag in ("html", "head", "body", "main"):
-        return False
-    if not attrs.strip():
-        return tag == "header"
-    if _HIDDEN.search(attrs):
-        return True
+_UNSHOWN = re.compile(r"display\s*:\s*none", re.I)
+_COMMENT_END = re.compile(r"--!?>")
+
+#: What an open element counts as, besides its words.
+HEADING, ARTICLE, FRAME, NAMED, VAGUE = range(5)
+
+
+def marks_of(tag: str, attrs: str, in_article: bool) -> tuple[int, ...]:
+    """What an element counts as, by its tag, role, class and id."""
+    out = [HEADING] if tag in HEADINGS else [ARTICLE] if tag in ("article", "main") else []
+    if tag in FRAME_TAGS or (tag == "header" and not in_article):
+        out.append(FRAME)
+    if not attrs.strip(" /") or tag in ("html", "head", "body", "main"):
+        return tuple(out)
     found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(attrs)}
-    if found.get("role") in FURNITURE_ROLES:
-        return True
+    if "hidden" in found or _UNSHOWN.search(found.get("style", "")) or found.get("role") in FRAME_ROLES:
+        out.append(FRAME)
     names = {x for k in ("class", "id") for x in _NAME.findall(found.get(k, ""))}
-    return tag == "header" or bool(names & FURNITURE_NAMES) and not names & CONTENT_NAMES
+    if not names & CONTENT_NAMES:
+        out += [NAMED] * bool(names & FRAME_NAMES) + [VAGUE] * bool(names & VAGUE_NAMES)
+    return tuple(out)
+
+
+def tags_of(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, whether it is an end tag, attributes) of the tags of a page in order; the name is empty for what is left out as a whole."""
+    lower = page.lower()
+    if len(lower) != len(page):  # some capital letters are two small ones
+        lower = "".join(c if len(c.lower()) > 1 else c.lower() for c in page)
+    at, last, quotes = 0, page.rfind(">"), True
+    ends: dict[str, int] = {}
+
+    def end_tag(name: str, start: int) -> int:
+        """Where the first end tag of the name at start or later begins, or -1."""
+        if ends.get(name, 0) != -1 and ends.get(name, 0) <= start:
+            i = lower.find(f"</{name}", start)
+            while i >= 0 and lower[i + len(name) + 2 : i + len(name) + 3] not in (">", "/", " ", "\t", "\n", "\r", "\f", ""):
+                i = lower.find(f"</{name}", i + 1)
+            ends[name] = i
+        return ends.get(name, -1)
+
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            m = _COMMENT_END.search(page, start + 2)
+            at = m.end() if m else len(page)
+            yield start, at, "", False, ""
+            continue
+        if start > last:
+            return
+        if page[start + 1 : start + 2] in ("!", "?"):
+            at = page.index(">", start) + 1
+            yield start, at, "", False, ""
+            continue
+        m = _NAME_OF_TAG.match(page, start + 1)
+        if not m:
+            at = start + 1
+            continue
+        rest = _REST.match(page, m.end()) if quotes else None
+        if rest is None:
+            quotes = False  # an odd quotation mark: from here on quotation marks do not hide the end of a tag
+        stop = rest.end() if rest else page.index(">", m.end()) + 1
+        name, attrs = m[2].lower(), page[m.end() : stop - 1]
+        if not m[1] and name in RAW:
+            i = end_tag(name, stop)
+            stop = len(page) if i < 0 else (page.find(">", i) + 1 or len(page))
+            yield start, stop, "", False, ""
+        elif not m[1] and name in HIDDEN_TAGS and not attrs.endswith("/"):
+            i = end_tag(name, stop)
+            again = lower.find(f"<{name}", stop, i) if i >= 0 else -1
+            if i >= 0 and (again < 0 or lower[again + len(name) + 1 : again + len(name) + 2] not in (">", "/", " ", "\t", "\n", "\r", "\f")):
+                stop = page.find(">", i) + 1 or len(page)
+            yield start, stop, "", False, ""
+        else:
+            yield start, stop, name, bool(m[1]), attrs
+        at = stop
 
 
 def blocks_of(page: str) -> list[dict]:
     """The text blocks of a page in order, with text, label (of a data-main attribute, if any) and their own features."""
     blocks: list[dict] = []
-    stack: list[tuple[str, bool, str | None]] = []  # tag, furniture, label
+    stack: list[tuple[str, tuple[int, ...], str | None]] = []  # tag, marks, the label that held before it
+    open_: Counter[str] = Counter()
+    marks = [0] * 5
+    label: str | None = None
+    vague = -1  # number of the outermost vaguely named element that is open
+    held: list[int] = []  # words in each of them
     pieces: list[str] = []
     counts = [0, 0]  # words, words in links
     link, at = 0, 0
@@ -80,123 +155,133 @@ def blocks_of(page: str) -> list[dict]:
     def flush() -> None:
         words = " ".join("".join(pieces).split())
         if words:
-            tags = {t for t, _, _ in stack}
-            blocks.append({"text": words, "label": next((x for _, _, x in reversed(stack) if x is not None), None), "words": counts[0], "links": counts[1] / max(counts[0], 1), "heading": int(bool(tags & HEADINGS)), "article": int(bool(tags & {"article", "main"})), "furniture": int(any(x for _, x, _ in stack))})
+            blocks.append({"text": words, "label": label, "words": counts[0], "links": counts[1] / max(counts[0], 1), "stop": int(words[-1] in ".!?。！？…\"”»"), "heading": int(marks[HEADING] > 0), "place": -1 if marks[FRAME] or marks[NAMED] else int(marks[ARTICLE] > 0), "vague": vague if marks[VAGUE] else -1})
+            if marks[VAGUE]:
+                held[vague] += counts[0]
         pieces.clear()
         counts[:] = [0, 0]
 
-    for m in _TAG.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
+    def pop() -> None:
+        nonlocal label
+        tag, had, label = stack.pop()
+        open_[tag] -= 1
+        for k in had:
+            marks[k] -= 1
+
+    for start, stop, tag, is_end, attrs in tags_of(page):
+        text(page[at:start])
+        at = stop
+        if not tag:
             continue
-        tag = tag.lower()
         if tag == "a":
-            link = int(not m["end"])
+            link = int(not is_end)
         elif tag == "br":
             pieces.append(" ")
         if tag in BLOCKS:
             flush()
-        if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    if tag in BLOCKS:
-                        link = 0
-                    break
-        elif tag not in VOID and not m["attrs"].endswith("/") and (tag in BLOCKS or m["attrs"]):
+        if is_end:
+            if open_[tag]:
+                while stack[-1][0] != tag:
+                    pop()
+                pop()
+                if tag in BLOCKS:
+                    link = 0
+        elif tag not in VOID and not attrs.endswith("/") and (tag in BLOCKS or attrs):
             if tag in HEADINGS or tag == "p":
                 while stack and (stack[-1][0] in HEADINGS or stack[-1][0] not in BLOCKS or stack[-1][0] == "p"):
-                    stack.pop()
+                    pop()
             elif tag == "li" and stack and stack[-1][0] == "li":
-                stack.pop()
-            furniture = is_furniture(tag, m["attrs"]) and not (tag == "header" and any(t in ("article", "main") for t, _, _ in stack))
-            marked = re.search(r'data-main="([01])"', m["attrs"])
-            if tag != "a" or furniture:
-                stack.append((tag, furniture, marked[1] if marked else None))
+                pop()
+            found = marks_of(tag, attrs, marks[ARTICLE] > 0)
+            if tag != "a" or found:
+                labelled = re.search(r'data-main="([01])"', attrs) if "data-main" in attrs else None
+                stack.append((tag, found, label))
+                open_[tag] += 1
+                if VAGUE in found and not marks[VAGUE]:
+                    vague = len(held)
+                    held.append(0)
+                for k in found:
+                    marks[k] += 1
+                label = labelled[1] if labelled else label
     text(page[at:])
     flush()
+    total = max(1, sum(b["words"] for b in blocks))
+    for b in blocks:
+        b["vague"] = 1 - held[b["vague"]] / total if b["vague"] >= 0 else 0.0
     return blocks
 
 
-FEATURES = ("words", "links", "heading", "article", "furniture", "words_before", "links_before", "words_after", "links_after")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "stop", "heading", "place", "vague")
 
 
-def features_of(blocks: list[dict]) -> list[tuple[float, ...]]:
+def features_of(blocks: list[dict]) -> np.ndarray:
     """FEATURES of each block; there are no words before the first and after the last."""
-    none = {"words": 0, "links": 0.0}
-    out = []
-    for i, b in enumerate(blocks):
-        before, after = blocks[i - 1] if i else none, blocks[i + 1] if i + 1 < len(blocks) else none
-        out.append((b["words"], b["links"], b["heading"], b["article"], b["furniture"], before["words"], before["links"], after["words"], after["links"]))
-    return out
+    own = np.asarray([[b[f] for f in FEATURES if f in b] for b in blocks], float).reshape(len(blocks), len(FEATURES) - 4)
+    near = np.zeros((len(blocks), 4))
+    if len(blocks):
+        near[1:, :2], near[:-1, 2:] = own[:-1, :2], own[1:, :2]
+    return np.concatenate([own[:, :2], near, own[:, 2:]], axis=1)
 
 
-def grow(rows: list[tuple[tuple[float, ...], int]], depth: int = 6) -> tuple | float:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = DEPTH) -> tuple | float:
     """A decision tree by Gini impurity: (feature, threshold, if at most, if above), or the share of label 1."""
-    share = sum(y for _, y in rows) / len(rows)
+    share = float(y.mean())
     if depth == 0 or share in (0.0, 1.0):
         return share
-    best = None
-    for f in range(len(FEATURES)):
-        values = sorted({x[f] for x, _ in rows})
-        for a, b in zip(values, values[1:], strict=False):
-            cut = (a + b) / 2
-            sides = [[y for x, y in rows if x[f] <= cut], [y for x, y in rows if x[f] > cut]]
-            impurity = sum(sum(s) * (len(s) - sum(s)) / len(s) for s in sides)
-            if best is None or impurity < best[0] - 1e-12:
-                best = (impurity, f, cut)
-    if best is None or best[0] >= len(rows) * share * (1 - share) - 1e-12:
-        return share
+    best = (len(y) * share * (1 - share) - 1e-9, -1, 0.0)
+    for f in range(x.shape[1]):
+        order = np.argsort(x[:, f], kind="stable")
+        v, total = x[order, f], np.cumsum(y[order])
+        n = np.arange(1, len(y))
+        left, right = total[:-1], total[-1] - total[:-1]
+        impurity = left * (n - left) / n + right * (len(y) - n - right) / (len(y) - n)
+        impurity[(v[1:] == v[:-1]) | (n < LEAF_ROWS) | (len(y) - n < LEAF_ROWS)] = np.inf
+        k = int(impurity.argmin()) if len(n) else -1
+        if k >= 0 and impurity[k] < best[0] - 1e-9:
+            best = (float(impurity[k]), f, float((v[k] + v[k + 1]) / 2))
     _, f, cut = best
-    return f, cut, grow([r for r in rows if r[0][f] <= cut], depth - 1), grow([r for r in rows if r[0][f] > cut], depth - 1)
+    if f < 0:
+        return share
+    low = x[:, f] <= cut
+    return f, cut, grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1)
 
 
-def chance(tree: tuple | float, x: tuple[float, ...]) -> float:
+def chance(tree: tuple | float, x: np.ndarray) -> float:
     while isinstance(tree, tuple):
         tree = tree[2] if x[tree[0]] <= tree[1] else tree[3]
     return tree
 
 
-#: The labelled table: pages whose elements say whether their text is main text.
-_SENTENCE = "The committee met on Tuesday to weigh the plan for the harbour, and after two hours of questions it sent the draft back with a list of changes."
-TRAINING = [
-    f'<body data-main="0"><nav><ul><li><a href="/">Home</a></li><li><a href="/n">News today</a></li></ul></nav><div class="ad">Buy two lamps now and pay for one.</div><article data-main="1"><h1>Harbour plan sent back</h1><p>{_SENTENCE}</p><p>{_SENTENCE} {_SENTENCE}</p><p>No vote was held.</p></article><footer>All rights reserved by the paper.</footer></body>',
-    f'<body data-main="0"><div id="menu"><a href="/a">Archive of all years</a> <a href="/b">Shop</a></div><div id="content" data-main="1"><h2>On lamps</h2><div>{_SENTENCE}</div><div>{_SENTENCE}</div></div><div class="sidebar"><h3>Most read</h3><p>{_SENTENCE}</p><a href="/x">Ten lamps that will change your evening</a></div></body>',
-    f'<body data-main="0"><header><h1>The Harbour Times</h1><p>News since 1920</p></header><main data-main="1"><h1>Fog</h1><p>It was dark.</p><p>{_SENTENCE}</p><ul><li>one lamp</li><li>two ropes and a bell for the pilot</li></ul><p>{_SENTENCE} <a href="/r">the report</a></p></main><div class="comments"><h3>Comments</h3><p>{_SENTENCE}</p><p>I agree.</p></div></body>',
-    f'<body data-main="0"><div class="cookie-notice">We use cookies on this page to count our readers.</div><p data-main="1">{_SENTENCE}</p><p data-main="1">{_SENTENCE}</p><p><a href="/1">Next page of this story</a> <a href="/2">Previous page of this story</a></p><form>Your name and address please</form></body>',
-    f'<body data-main="0"><article data-main="1"><header><h1>Ropes</h1></header><p>{_SENTENCE}</p><aside data-main="0">{_SENTENCE}</aside><p>Short.</p><p>{_SENTENCE}</p><div class="share" data-main="0">Share this story with a friend</div></article><div><a href="/p">{_SENTENCE}</a></div><div>Contact us</div><div>Imprint</div></body>',
-    f'<body data-main="0"><div><a href="/">Start</a></div><div>Weather: fog</div><div data-main="1">{_SENTENCE} {_SENTENCE}</div><div data-main="1">{_SENTENCE}</div><div><a href="/k">Kites</a> <a href="/l">Lamps and bells</a></div><div>Call 555 0100</div></body>',
-    f'<body data-main="0"><article class="comment"><p>{_SENTENCE}</p></article><article data-main="1"><p>{_SENTENCE}</p><blockquote>To the sea.</blockquote><h2>After</h2><p>{_SENTENCE}</p></article><aside><article><h2>Related</h2><p>{_SENTENCE}</p></article></aside></body>',
-    f'<body data-main="0"><main data-main="1"><p>{_SENTENCE}</p><p><a href="/s">Sources of the harbour plan in full</a></p><p>{_SENTENCE}</p></main><section class="newsletter"><h2>Letters</h2><p>{_SENTENCE}</p></section></body>',
-]
+def labelled(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks of pages with data-main attributes."""
+    found = [blocks_of(p) for p in pages]
+    return np.concatenate([features_of(b) for b in found]), np.asarray([int(x["label"]) for b in found for x in b])
 
 
 @lru_cache(maxsize=1)
 def tree() -> tuple | float:
-    rows = []
-    for page in TRAINING:
-        blocks = blocks_of(page)
-        rows += [(x, int(b["label"])) for x, b in zip(features_of(blocks), blocks, strict=True)]
-    return grow(rows)
+    from tokenloom.llm.training import pages
+
+    return grow(*labelled(pages(TRAINING_PAGES)))
 
 
-def main_text(page: str | None) -> str:
-    """The main text of one page."""
+def main_text(page: str | None, by: tuple | float | None = None) -> str:
+    """The main text of one page, by the given tree or the trained one."""
     if not page:
         return ""
     blocks = blocks_of(page)
-    return "\n\n".join(b["text"] for b, x in zip(blocks, features_of(blocks), strict=True) if chance(tree(), x) >= 0.5)
+    by = tree() if by is None else by
+    return "\n\n".join(b["text"] for b, x in zip(blocks, features_of(blocks).tolist(), strict=True) if chance(by, x) >= 0.5)
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", html_column: str = "html") -> DataFrame:
     """(id, url, text, n_chars) for every page."""
     types = dict(pages.dtypes)
+    by = tree()
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html", 16 << 20):
-            texts = [main_text(p) for p in batch.column("html").to_pylist()]
+            texts = [main_text(p, by) for p in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(id_column), batch.column(url), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_column, url, "text", "n_chars"])
 
     return pages.select(id_column, url, F.col(html_column).alias("html")).mapInArrow(extracted, f"{id_column} {types[id_column]}, {url} {types[url]}, text string, n_chars long")
