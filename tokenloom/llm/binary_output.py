@@ -120,8 +120,24 @@ def pack(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "tex
     return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(packed, PACKED)
 
 
+# Hadoop's names of stores that Arrow has another name for.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfss", "abfs": "abfs", "gs": "gs", "hdfs": "hdfs", "file": "file", "s3": "s3", "viewfs": "viewfs"}
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the session's default file system, if it has none."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(found).toString()
+
+
 def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(path) if ":/" in path else (pa.fs.LocalFileSystem(), path)
+    """Arrow's file system for a qualified path, and the path in it."""
+    scheme, _, rest = path.partition(":/")
+    if not rest or "/" in scheme:
+        raise ValueError(f"{path} has no scheme; use qualified()")
+    if scheme not in _SCHEMES:
+        raise ValueError(f"no file system for {path}")
+    return pa.fs.FileSystem.from_uri(f"{_SCHEMES[scheme]}:/{rest if rest.startswith('/') else '//' + rest}")
 
 
 def shard_name(k: int) -> str:
@@ -132,8 +148,10 @@ MANIFEST = "slot long, shard int, byte_offset long, n_tokens int, sha256 string,
 
 
 def materialise(docs: DataFrame, path: str, out: str, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, shard_rows: int = SHARD_ROWS, key: int = KEY) -> DataFrame:
-    """Write the shards to the folder `out`; returns one row for each sequence, which is written as the rows are computed."""
+    """Write the shards to the folder `out`, once; returns one row for each sequence."""
     spark = docs.sparkSession
+    out = qualified(spark, out)
+    file_system(out)  # an unknown store is an error before any work
     stage = f"{shared_dir(spark).rstrip('/')}/sequences-{uuid.uuid4().hex}"
     pack(docs, path, id_column, text, length).write.option("compression", "none").parquet(stage)
     sequences = spark.read.schema(PACKED).parquet(stage)
@@ -163,21 +181,28 @@ def materialise(docs: DataFrame, path: str, out: str, id_column: str = "doc_id",
                 file.close()
                 fs.move(temporary, f"{folder}/{shard_name(shard)}")
 
-        for batch in batches:
-            digests = []
-            for k, tokens in zip(batch.column("shard").to_pylist(), batch.column("tokens"), strict=True):
-                if k != shard:
-                    close()
-                    shard, temporary = k, f"{folder}/_writing-{k}-{uuid.uuid4().hex}"
-                    file = fs.open_output_stream(temporary)
-                data = codec.decompress(tokens.as_py(), decompressed_size=2 * length, asbytes=True)
-                file.write(data)
-                digests.append(hashlib.sha256(data).hexdigest())
-            slot = batch.column("slot").to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column("slot"), batch.column("shard"), pa.array(slot % shard_rows * 2 * length), batch.column("n_tokens"), pa.array(digests, pa.string()), batch.column("doc_ids"), batch.column("starts")], ["slot", "shard", "byte_offset", "n_tokens", "sha256", "doc_ids", "starts"])
-        close()
-
-    return dealt.mapInArrow(write, MANIFEST)
+        done = False
+        try:
+            for batch in batches:
+                digests = []
+                for k, tokens in zip(batch.column("shard").to_pylist(), batch.column("tokens"), strict=True):
+                    if k != shard:
+                        close()
+                        shard, temporary = k, f"{folder}/_writing-{k}-{uuid.uuid4().hex}"
+                        file = fs.open_output_stream(temporary)
+                    data = codec.decompress(tokens.as_py(), decompressed_size=2 * length, asbytes=True)
+                    file.write(data)
+                    digests.append(hashlib.sha256(data).hexdigest())
+                slot = batch.column("slot").to_numpy()
+                yield pa.RecordBatch.from_arrays([batch.column("slot"), batch.column("shard"), pa.array(slot % shard_rows * 2 * length), batch.column("n_tokens"), pa.array(digests, pa.string()), batch.column("doc_ids"), batch.column("starts")], ["slot", "shard", "byte_offset", "n_tokens", "sha256", "doc_ids", "starts"])
+            close()
+            done = True
+        finally:
+            if file is not None and not done:  # a task that was stopped leaves no half shard; one whose executor was lost leaves a name that readers skip
+                file.close()
+                fs.delete_file(temporary)
+
+    return cut(dealt.mapInArrow(write, MANIFEST))  # stored, so that reading the rows again does not write again
 
 
 def token_shards(docs: DataFrame, path: str, out: str | None = None, **options) -> DataFrame:
@@ -187,7 +212,7 @@ def token_shards(docs: DataFrame, path: str, out: str | None = None, **options)
 
 def read_sequences(out: str, first: int, count: int, length: int = LENGTH, shard_rows: int = SHARD_ROWS) -> Iterator[np.ndarray]:
     """The sequences of slots first, first + 1, ...: what a trainer reads when it goes on from slot `first`."""
-    fs, folder = file_system(out)
+    fs, folder = file_system(out if ":/" in out else f"file://{out}")
     slot = first
     while slot < first + count:
         k = slot // shard_rows
