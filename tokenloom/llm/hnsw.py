@@ -1,12 +1,14 @@
 """Near-duplicate vectors through hierarchical navigable small-world graphs, one for each shard.
 
 Vectors are compared only within a label. Equal vectors are first joined into one with a count. The distinct vectors
-of a label are dealt by hash into shards of about SHARD_ROWS; each shard builds its own graph: every vector links to
-diverse near neighbours, on a random number of layers, and a search walks from the top layer down and then keeps a beam
-of the best vectors seen. Every shard's vectors query every shard of the label. A beam that is full of links is widened,
-and a sample of the queries is held against all vectors of the shard: until AUDIT_RECALL of the sampled links are
-found, all beams are widened. Beams wider than WIDEST give way to a scan of the shard. Found pairs are verified by the
-cosine in double precision, counted, and their components united, each task sending only a spanning forest.
+of a label are dealt by hash into shards of about SHARD_ROWS vectors and SHARD_BYTES bytes; each shard builds its own graph:
+every vector links to diverse near neighbours, on a random number of layers, and a search walks from the top layer down and then
+keeps a beam of the best vectors seen. Every shard's vectors query every shard of the label: two shards meet in one task, where each
+queries the other, and a pair counts for both of its ends whichever of them found it. A beam that is full of links is
+widened. Before, the links of an audit are known from a scan: those of a sample of the queries with other vectors, and those
+of vectors planted just within the threshold of the shard's own, so that an audit always has links; until AUDIT_RECALL of
+them are found, all beams are widened. Beams wider than WIDEST give way to a scan of the shard. Found pairs are verified
+by the cosine in double precision, counted, and their components united, each task sending only a spanning forest.
 
 Defined cases: null, empty, zero and non-finite vectors, vectors with null components and null labels link with nothing;
 vectors of different lengths do not link; a null id makes a row that is kept and has no component; repeated rows link
@@ -16,8 +18,6 @@ with each other; an empty table gives an empty result; other columns of the inpu
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tokenloom.llm.common import cut
 from tokenloom.llm.components import connected_components, forest
 
-SHARD_ROWS = 16_384
+SHARD_ROWS, SHARD_BYTES = 16_384, 32 << 20
 LINKS = 16
 BEAM = 64
 WIDEST = 512
@@ -177,19 +177,35 @@ def unit(x: np.ndarray) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def pairs_in(graph: Graph, shard: np.ndarray, block: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row of block, row of shard) of the verified pairs, after audits of a sample of the block."""
+def planted(x: np.ndarray, threshold: float, n: int = AUDIT_ROWS) -> np.ndarray:
+    """Unit vectors a little nearer than the threshold to n of the rows of x, in random directions."""
+    r = np.random.default_rng(11)
+    near = x[np.linspace(0, len(x) - 1, min(n, len(x))).astype(int)].astype(float)
+    off = r.normal(size=near.shape)
+    off -= (off * near).sum(axis=1, keepdims=True) * near
+    size = np.linalg.norm(off, axis=1, keepdims=True)
+    cosine = threshold + (1 - threshold) * 0.05
+    return (cosine * near + np.sqrt(1 - cosine**2) * off / np.where(size > 0, size, 1)).astype(np.float32)
+
+
+def pairs_in(graph: Graph, shard: np.ndarray, block: np.ndarray, threshold: float, same: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(row of block, row of shard) of the verified pairs, after audits. same: block and shard are one, and a row is no link of itself."""
     queries, least, beam = unit(block), threshold - 1e-4, BEAM
     sample = np.linspace(0, len(block) - 1, min(AUDIT_ROWS, len(block))).astype(int)
-    truth = queries[sample] @ graph.x.T >= least
+    asked = np.concatenate([queries[sample], planted(graph.x, threshold)])
+    truth = asked @ graph.x.T >= least
+    if same:
+        truth[np.arange(len(sample)), sample] = False
     while True:
-        q, r = graph.within(queries[sample], least, beam)
+        q, r = graph.within(asked, least, beam)
         hit = np.zeros_like(truth)
         hit[q, r] = True
         if beam > min(WIDEST, len(shard)) or (hit & truth).sum() >= AUDIT_RECALL * truth.sum():
             break
         beam *= 2
     q, r = graph.within(queries, least, beam)
+    if same:
+        q, r = q[q != r], r[q != r]
     if not len(q):
         return q, r
     q, r = np.unique(np.stack([q, r]), axis=1)
@@ -197,6 +213,15 @@ def pairs_in(graph: Graph, shard: np.ndarray, block: np.ndarray, threshold: floa
     return q[cosine >= threshold], r[cosine >= threshold]
 
 
+def links_between(one: tuple, other: tuple | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, row) of the links of two shards (vectors, graph), each querying the other; of one shard with itself, each link both ways round, if other is None."""
+    (x, graph), (y, back) = one, other or one
+    q, r = pairs_in(graph, x, y, threshold, other is None)
+    a, b = (r, q) if other is None else pairs_in(back, y, x, threshold)[::-1]
+    found = np.unique(np.stack([np.concatenate([q, a]), np.concatenate([r, b])]), axis=1)
+    return found[1], found[0]
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_column: str = "vec_id", embedding: str = "embedding", label: str = "label", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(id, n_links, component_id, kept) for every row."""
     parts = F.transform(embedding, lambda x: x.cast("double"))
@@ -206,7 +231,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_column: str
     valid = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & F.coalesce(finite, F.lit(False)) & F.coalesce(norm > 0, F.lit(False))
     keyed = rows.withColumn("valid", valid).withColumns({"k1": F.when(F.col("valid"), F.xxhash64("label", "x")), "k2": F.when(F.col("valid"), F.xxhash64(F.lit("second"), "x", "label"))})
     distinct = cut(keyed.where("valid").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("x").alias("x")).withColumn("dim", F.size("x")))
-    sizes = distinct.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
+    sizes = distinct.groupBy("label", "dim").agg(F.ceil(F.greatest(F.count("*") / shard_rows, F.count("*") * F.col("dim") * 8 / SHARD_BYTES)).cast("int").alias("shards"))
     dealt = distinct.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "k1"), F.col("shards")).cast("int"))
 
     def build(group: pa.Table) -> pa.Table:
@@ -217,23 +242,29 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_column: str
         return pa.table({"label": group.column("label")[:1], "dim": group.column("dim")[:1], "shard": group.column("shard")[:1], "x": pa.array(data[:1]), "layers": pa.array(data[1:2]), "ids": pa.array(data[2:])})
 
     graphs = cut(dealt.groupBy("label", "dim", "shard").applyInArrow(build, "label string, dim int, shard int, x binary, layers binary, ids binary"))
-    blocks = graphs.select("label", "dim", F.col("shard").alias("block"), F.col("x").alias("block_x"), F.col("ids").alias("block_ids"))
-    tasks = graphs.join(blocks, ["label", "dim"])
-    tasks = tasks.repartition(F.xxhash64("label", "dim", "shard", "block"))
-
-    def query(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                x, layers, (ids, copies), block, (block_ids, _) = (pickle.loads(batch.column(c)[i].as_py()) for c in ("x", "layers", "ids", "block_x", "block_ids"))
-                q, r = pairs_in(Graph(unit(x), layers), x, block, threshold)
-                other = block_ids[q] != ids[r]
-                q, r = q[other], r[other]
-                count = np.bincount(q, copies[r], len(block_ids)).astype(np.int64)
-                some = np.flatnonzero(count)
-                a, b = forest(block_ids[q], ids[r])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([block_ids[some], a])), pa.array(np.concatenate([count[some], np.zeros(len(a), np.int64)])), pa.array(np.concatenate([np.full(len(some), -1), b]), mask=np.arange(len(some) + len(a)) < len(some))], ["id", "links", "other"])
-
-    found = cut(tasks.select("x", "layers", "ids", "block_x", "block_ids").mapInArrow(query, "id long, links long, other long"))
+    others = graphs.select("label", "dim", F.col("shard").alias("block"), F.col("x").alias("y"), F.col("layers").alias("back"), F.col("ids").alias("others"))
+    tasks = graphs.join(others, ["label", "dim"]).where("shard <= block")
+    one = F.col("shard") == F.col("block")
+    tasks = tasks.select("label", "dim", "shard", "block", "x", "layers", "ids", *(F.when(~one, F.col(c)).alias(c) for c in ("y", "back", "others")))
+
+    def linked(cell: pa.Table) -> pa.Table:
+        """The links of one pair of shards."""
+        x, layers, (ids, copies), y, back, others = (pickle.loads(v) if (v := cell.column(c)[0].as_py()) is not None else None for c in ("x", "layers", "ids", "y", "back", "others"))
+        same = y is None
+        r, q = links_between((x, Graph(unit(x), layers)), None if same else (y, Graph(unit(y), back)), threshold)
+        ids_q, copies_q = (ids, copies) if same else others
+        counts = [(ids_q, np.bincount(q, copies[r], len(ids_q)))] + ([] if same else [(ids, np.bincount(r, copies_q[q], len(ids)))])
+        some, n = (np.concatenate(v) for v in zip(*((i[k > 0], k[k > 0].astype(np.int64)) for i, k in counts), strict=True))
+        a, b = forest(ids_q[q], ids[r])
+        other = pa.array(np.concatenate([np.full(len(some), -1), b]), mask=np.arange(len(some) + len(a)) < len(some))
+        return pa.table({"id": np.concatenate([some, a]), "links": np.concatenate([n, np.zeros(len(a), np.int64)]), "other": other})
+
+    def query(group: pa.Table) -> pa.Table:
+        return pa.concat_tables([linked(group.slice(i, 1)) for i in range(group.num_rows)])
+
+    # grouped by a hash of the pair: by its columns, all pairs of a label would stay in the task of the join
+    cells = tasks.withColumn("cell", F.xxhash64("label", "dim", "shard", "block")).drop("label", "dim", "shard", "block")
+    found = cut(cells.groupBy("cell").applyInArrow(query, "id long, links long, other long"))
     links = found.where("other is null").groupBy("id").agg(F.sum("links").alias("links"))
     components = connected_components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     classes = distinct.select("k1", "k2", "id", "copies").join(links, "id", "left").join(components.withColumnRenamed("node", "id"), "id", "left")
