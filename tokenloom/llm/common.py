@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
