@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import shared_dir, slices
+from tokenloom.llm.common import cut, shared_dir, slices
 
 OPTIONS = "plain:1"
 
@@ -46,6 +46,7 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(f.read() + OPTIONS.encode()).hexdigest()
 
 
+CACHE_SETTING = "tokenloom.token_counts.cache"
 CACHE = "content string, tokenizer string, n_tokens long"
 
 
@@ -76,12 +77,12 @@ def fill_cache(docs: DataFrame, text: str, tokenizer_path: str, cache: str) -> N
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str | None = None, id_column: str = "doc_id", text: str = "text", limit: int = 4096) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for every row of docs.
 
-    cache: a folder that outlives the call, so that later calls encode only new contents; by default a new folder in
-    the shared one.
+    cache: a folder that outlives the call, so that later calls encode only new contents; by default the folder that the
+    session's setting CACHE_SETTING names or else a new one in the shared folder.
     """
     spark = docs.sparkSession
-    cache = cache or f"{shared_dir(spark).rstrip('/')}/token-counts-{uuid.uuid4().hex}"
+    cache = cache or spark.conf.get(CACHE_SETTING, None) or f"{shared_dir(spark).rstrip('/')}/token-counts-{uuid.uuid4().hex}"
     fill_cache(docs, text, tokenizer_path, cache)
     keyed = docs.select(F.col(id_column), F.coalesce(F.col(text), F.lit("")).alias("text")).select(id_column, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("content"))
-    counts = read_cache(spark, cache, tokenizer_digest(tokenizer_path)).select("content", "n_tokens")
+    counts = cut(read_cache(spark, cache, tokenizer_digest(tokenizer_path)).select("content", "n_tokens"))  # one row a content: a much repeated one can be split over tasks
     return keyed.join(counts, "content").select(id_column, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
