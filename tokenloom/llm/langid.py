@@ -3,7 +3,9 @@
 A profile is the list of the most frequent character n-grams (n = 1 to 3, words padded by one space) of a text or of a
 language. A document is given the language whose profile has the least out-of-place distance: the sum, over the
 document's n-grams, of the difference between the two ranks, or of PROFILE where the language's profile lacks the
-n-gram. Language profiles are counted over at most SAMPLE_DOCS documents a language, chosen by a hash of the id.
+n-gram. Language profiles are counted over about SAMPLE_DOCS documents a language, chosen by a hash of the id; every language that
+occurs has one. Documents are held against an inverted list of the profiles' entries, ENTRIES at a time, so that memory
+does not grow with the number of languages.
 
 Defined cases: null texts and texts without letters are `und` with score 0; with no language learned, every text is
 `und`; ties go to the language first in alphabetical order; equal texts get equal results; an empty table gives an
@@ -20,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenloom.llm.common import remainder, slices
+from tokenloom.llm.common import cut, remainder, slices
 
 PROFILE = 400
 #: Labelled documents a language that its profile is counted over, about.
 SAMPLE_DOCS = 2000
-#: Languages with profiles; the most frequent ones are taken.
-LANGUAGES = 500
+#: Entries of the language profiles that are held against documents at a time.
+ENTRIES = 2_000_000
+#: Languages up to which their numbers of documents are broadcast.
+BROADCAST_LANGUAGES = 100_000
 UNKNOWN = "und"
 _BITS = 21
 
@@ -81,10 +85,13 @@ def top_ngrams(row: np.ndarray, code: np.ndarray, count: np.ndarray, most: int)
 def learn_profiles(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", id_column: str = "doc_id") -> list[tuple[str, list[int]]]:
     """The codes of each language's profile, most frequent first, from the rows for which train holds."""
     known = docs.where(train & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(id_column).alias("id"))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = cut(sizes)
+    if sizes.count() <= BROADCAST_LANGUAGES:
+        sizes = F.broadcast(sizes)  # beyond that the texts are shuffled by language
     share = F.lit(float(SAMPLE_DOCS)) / F.col("n")
     chance = F.pmod(F.xxhash64(F.lit("language sample"), "id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.join(F.broadcast(sizes), "lang").where(chance < share).select("lang", "text")
+    sample = known.join(sizes, "lang").where(chance < share).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -103,32 +110,55 @@ def learn_profiles(docs: DataFrame, train: Column, text: str = "text", lang: str
     return sorted(profiles.items())
 
 
+def inverted(profiles: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, begin, language, rank): the entries of codes[i] in the profiles are language[begin[i]:begin[i + 1]], with their ranks."""
+    code = np.asarray([c for codes in profiles for c in codes], np.int64)
+    language = np.repeat(np.arange(len(profiles)), [len(codes) for codes in profiles])
+    rank = np.asarray([k for codes in profiles for k in range(len(codes))], np.int64)
+    order = np.argsort(code, kind="stable")
+    codes, begin = np.unique(code[order], return_index=True)
+    return codes, np.append(begin, len(code)), language[order], rank[order]
+
+
+def nearest(index: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], n: int, row: np.ndarray, code: np.ndarray, rank: np.ndarray, languages: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(language, its distance, the second least distance) for each of n documents with n-grams (row, code, rank); with one language, the second is that of a profile with none of the n-grams."""
+    codes, begin, language, place = index
+    at = np.minimum(np.searchsorted(codes, code), max(len(codes) - 1, 0))
+    known = codes[at] == code if len(codes) else np.zeros(len(code), bool)
+    entries = np.where(known, begin[at + 1] - begin[at], 0) if len(codes) else np.zeros(len(code), np.int64)
+    size = np.bincount(row, minlength=n)
+    per_row = np.bincount(row, entries, minlength=n)
+    part = (np.cumsum(per_row + languages) // ENTRIES).astype(np.int64)
+    best, least, second = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+    for p in np.unique(part):
+        first, stop = np.searchsorted(part, [p, p + 1])
+        here = slice(*np.searchsorted(row, [first, stop]))
+        k = entries[here]
+        which = np.repeat(np.arange(len(k)), k)
+        entry = begin[at[here]][which] + np.arange(len(which)) - np.repeat(np.cumsum(k) - k, k)
+        saved = PROFILE - np.abs(place[entry] - rank[here][which])
+        cell = (row[here][which] - first) * languages + language[entry]
+        distance = size[first:stop, None] * PROFILE - np.bincount(cell, saved, minlength=(stop - first) * languages).reshape(-1, languages)
+        best[first:stop] = distance.argmin(axis=1)
+        low = np.partition(distance, min(1, languages - 1), axis=1)
+        least[first:stop] = low[:, 0]
+        second[first:stop] = low[:, 1] if languages > 1 else size[first:stop] * PROFILE
+    return best, least, second
+
+
 def identify(docs: DataFrame, profiles: list[tuple[str, list[int]]], text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """(id, lang_pred, score); score is near 1 if the second best language is much farther away than the best, 0.5 if both are as near."""
     names = [name for name, _ in profiles]
-    vocabulary = np.unique(np.concatenate([np.asarray(codes, np.int64) for _, codes in profiles])) if profiles else np.zeros(0, np.int64)
-    ranks = np.full((len(vocabulary) + 1, max(1, len(profiles))), -1, np.int32)
-    for k, (_, codes) in enumerate(profiles):
-        ranks[np.searchsorted(vocabulary, np.asarray(codes, np.int64)), k] = np.arange(len(codes))
+    index = inverted([codes for _, codes in profiles])
     id_type = dict(docs.dtypes)[id_column]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             n = batch.num_rows
             row, code, rank = top_ngrams(*ngram_counts(batch.column("text").to_pylist()), PROFILE)
-            distance = np.zeros((n, ranks.shape[1]))
             size = np.bincount(row, minlength=n)
-            if len(row) and len(vocabulary):
-                at = np.searchsorted(vocabulary, code)
-                at[(at == len(vocabulary)) | (vocabulary[np.minimum(at, len(vocabulary) - 1)] != code)] = len(vocabulary)
-                there = ranks[at]
-                off = np.where(there < 0, PROFILE, np.abs(there - rank[:, None]))
-                begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                distance[row[begin]] = np.add.reduceat(off, begin, axis=0)
-            best = distance.argmin(axis=1)
-            nearest = np.sort(distance, axis=1)
-            second = nearest[:, 1] if nearest.shape[1] > 1 else nearest[:, 0] + size * PROFILE
-            score = second / np.maximum(nearest[:, 0] + second, 1e-9)
+            best, least, second = nearest(index, n, row, code, rank, max(1, len(names)))
+            score = second / np.maximum(least + second, 1e-9)
             some = (size > 0) & bool(names)
             yield pa.RecordBatch.from_arrays([batch.column(id_column), pa.array([names[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)], pa.string()), pa.array(np.where(some, score, 0.0))], [id_column, "lang_pred", "score"])
 
