@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import binary_output, hnsw, html_extract, jaccard_join, langid, mixing, quality, sentencepiece_codec, token_count, toxicity
+from tokenloom.llm import binary_output, hnsw, html_extract, jaccard_join, langid, mixing, packing, prefix_tree, quality, sentencepiece_codec, spelling, token_count, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,26 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_ngram_jaccard_join")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op11_conversation_prefix_trie")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_tree.branched_tree(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op11_conversation_prefix_trie"] = prefix_tree.ORACLE
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_spelling_variants"] = spelling.ORACLE
+
+
+@query("op13_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    length, crc = (F.octet_length("ids") / 4).cast("long"), F.crc32("ids")
+    return pieces.select("doc_id", "start", length.alias("length"), crc.alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
