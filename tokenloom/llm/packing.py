@@ -7,10 +7,10 @@ that level h for which the sum of the squared numbers of open windows at each le
 closed. When more than `most_open` windows are open, and at the end of the task, the documents of the emptiest windows
 are cut into the gaps of the fullest ones, and the last window is cut at powers of two, so that no sequence is padded.
 
-Words between ASCII white space are encoded by the library once and their ids remembered: no part of this tokenizer (its
+The library encodes each distinct piece of text once and its ids are remembered: no part of this tokenizer (its
 normalisation, its splitting, its special strings) looks across ASCII white space.
 
-Memory: open windows (most_open * length ids at most), the remembered words (MEMO) and the document at hand.
+Memory: open windows (most_open * length ids at most), the remembered pieces (MEMO) and the document at hand.
 
 Defined cases: null and empty texts are the end id alone; very long texts are encoded whole; repeated rows and rows with
 the same or a null id are packed as often as they occur; an empty table gives no sequence; other columns of the input,
@@ -36,16 +36,26 @@ LENGTH = 4096
 OPEN = 512
 #: Id after each document.
 END = 2
-#: Words whose ids a task remembers, and the characters up to which it does.
+#: Pieces whose ids a task remembers, and the characters up to which it does.
 MEMO, MEMO_LENGTH = 400_000, 48
 #: Rows of the result that a task sends on at a time.
 ROWS = 20_000
+#: Pieces that are encoded in one text.
+TOGETHER = 2000
+#: How the vocabulary marks the end of a piece, and the expression by which the tokenizer splits lower-cased text, for Latin-1.
+WORD_END = "</w>"
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t-\ra-zß-öø-ÿ0-9]+")
 _WORD = re.compile(r"[^ \t-\r]+")
+_PLAIN = re.compile(r"[\x00-\x7fÀ-ÿ]*").fullmatch
 _NUMBER_BITS = 40
 
 
 class Words:
-    """A tokenizer's ids of texts, from the remembered ids of their words."""
+    """A tokenizer's ids of texts, from the remembered ids of their pieces.
+
+    In words of ASCII and U+00C0 to U+00FF, which the normalisation only lower-cases, a piece is what the tokenizer's own
+    expression splits off; other words, and those with a special string, are pieces as they are.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -53,23 +63,55 @@ class Words:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        names = self.library.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(self.library.get_vocab_size(), bool)
+        self.last[[i for name, i in names.items() if name.endswith(WORD_END)]] = True
         self.known: dict[str, bytes] = {}
 
-    def _packed(self, texts: list[str]) -> list[bytes]:
+    def _alone(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _together(self, pieces: list[str]) -> list[bytes]:
+        """The ids of split pieces: encoded in one text, whose ids tell where each piece ends."""
+        if not pieces:
+            return []
+        ids = np.asarray(self.library.encode(" ".join(pieces), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(pieces):
+            return self._alone(pieces)
+        data, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
+        return [data[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
     def encode(self, texts: list[str | None], end: int) -> list[np.ndarray]:
         """The ids (little-endian uint32) of each text, then `end`."""
-        cut = [_WORD.findall(t) if t else [] for t in texts]
-        new = list({w for words in cut for w in words} - self.known.keys())
+        split, whole, cut = set(), set(), []
+        for t in texts:
+            if not t:
+                cut.append([])
+            elif _PLAIN(t) and "<|" not in t:
+                cut.append(_PIECE.findall(t.lower()))
+                split.update(cut[-1])
+            else:
+                cut.append(pieces := [])
+                for w in _WORD.findall(t):
+                    if _PLAIN(w) and "<|" not in w:
+                        pieces += (found := _PIECE.findall(w.lower()))
+                        split.update(found)
+                    else:
+                        pieces.append(w)
+                        whole.add(w)
         known = self.known
-        known.update(zip(new, self._packed(new), strict=True))
+        new = list(split - known.keys())
+        for k in range(0, len(new), TOGETHER):
+            known.update(zip(new[k : k + TOGETHER], self._together(new[k : k + TOGETHER]), strict=True))
+        alone = list(whole - known.keys())
+        known.update(zip(alone, self._alone(alone), strict=True))
         last = np.asarray([end], "<u4").tobytes()
-        out = [np.frombuffer(b"".join(map(known.__getitem__, words)) + last, "<u4") for words in cut]
+        out = [np.frombuffer(b"".join(map(known.__getitem__, pieces)) + last, "<u4") for pieces in cut]
         if len(known) > MEMO:
             known.clear()
         else:
-            for w in new:
+            for w in (*new, *alone):
                 if len(w) > MEMO_LENGTH:
                     del known[w]
         return out

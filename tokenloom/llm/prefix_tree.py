@@ -149,7 +149,7 @@ def summed_upwards(chains: DataFrame, root: int) -> DataFrame:
     return state.drop("up")
 
 
-def ends_digest(ends: DataFrame) -> DataFrame:
+def ends_digest(ends: DataFrame, most: int = BLOCK) -> DataFrame:
     """(conv_id, depth, ends_sha256): of the comma-joined members of each node, from ends(conv_id, depth, member)."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,12 +162,12 @@ def ends_digest(ends: DataFrame) -> DataFrame:
 
         for batch in batches:
             for c, d, m in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if (c, d) != node or size > BLOCK:
+                if (c, d) != node or size > most:
                     close()
                     node, first, size = (c, d), m, 0
                 parts.append(b"%d" % m)
                 size += len(parts[-1]) + 1
-            if len(rows) > 5000 or sum(len(r[3]) for r in rows) > BLOCK:
+            if len(rows) > 5000 or sum(len(r[3]) for r in rows) > most:
                 yield table(rows, pa.binary(), ["conv_id", "depth", "first", "block"])
                 rows.clear()
         close()

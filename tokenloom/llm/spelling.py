@@ -153,7 +153,7 @@ def halves(words: DataFrame) -> DataFrame:
         for number, (low, high, a, b) in enumerate(((F.lit(0), half, half, length), (half, length, F.lit(0), half))):
             moved = shift if number else 0
             key = F.concat_ws("\t", F.lit(int(longer)), length, F.lit(number), part(w, low + moved, high + moved))
-            entries.append(F.when(length > 0, F.struct(F.lit(probe).alias("probe"), F.lit(longer).alias("longer"), a.cast("int").alias("a"), b.cast("int").alias("b"), key.alias("key"))))
+            entries.append(F.when(length >= 0, F.struct(F.lit(probe).alias("probe"), F.lit(longer).alias("longer"), a.cast("int").alias("a"), b.cast("int").alias("b"), key.alias("key"))))
     return words.select("word", "n", F.explode(F.array_compact(F.array(*entries))).alias("x")).select("word", "n", "x.*")
 
 
