@@ -1,6 +1,7 @@
 """The conversation tree, spelling variants and packing against brute force and the library."""
 
 import collections
+import functools
 import hashlib
 import itertools
 import math
@@ -261,10 +262,15 @@ def packed(spark, texts, **options):
     return packing.pack(df.coalesce(1), WORDS_JSON, **options).collect()
 
 
-def library_ids(text):
+@functools.cache
+def library():
     from tokenizers import Tokenizer
 
-    return [*Tokenizer.from_file(WORDS_JSON).encode(text or "", add_special_tokens=False).ids, 2]
+    return Tokenizer.from_file(WORDS_JSON)
+
+
+def library_ids(text):
+    return [*library().encode(text or "", add_special_tokens=False).ids, 2]
 
 
 @pytest.mark.parametrize(("length", "most_open"), [(4096, 512), (64, 6), (64, 2)])
