@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from tokenloom import queries
 from tokenloom.__main__ import main
 from tokenloom.api import find
-from tokenloom.functions.structure import with_stop
 from tokenloom.functions.tokenize import as_text, token_lists
 from tokenloom.plans.pattern import load, load_files
 from tokenloom.sources.files import read_files
@@ -178,12 +177,6 @@ def test_deep_indentation(spark):
     assert levels[:1499] == [1] * 1499 and levels[-1] == -999 - 1 or sum(levels[:1499]) == 1499
 
 
-def test_first_stop_at_or_after_a_place(spark):
-    rows = spark.createDataFrame([("a", 0, 1), ("a", 3, 1), ("a", 5, 1), ("a", 9, 1), ("b", 0, 2)], "file string, pos int, lvl int")
-    stops = spark.createDataFrame([("a", 1, 3), ("a", 1, 7), ("b", 1, 4)], "file string, lvl int, stop int")
-    assert sorted((r.file, r.pos, r.bound) for r in with_stop(rows, stops).collect()) == [("a", 0, 3), ("a", 3, 3), ("a", 5, 7), ("a", 9, None), ("b", 0, None)]
-
-
 def test_folders_and_command_line(spark, tmp_path, capsys):
     (tmp_path / "rules/more").mkdir(parents=True)
     (tmp_path / "src/deep/er").mkdir(parents=True)

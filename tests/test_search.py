@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tokenloom import queries
 from tokenloom.api import find
-from tokenloom.functions.captures import java_regex
+from tokenloom.functions.regex import java_regex
 from tokenloom.functions.tokenize import as_text, tokenize
 from tokenloom.plans.pattern import PatternError, expand, load, parse
 from tokenloom.sources.files import read_files, write_findings
@@ -69,7 +69,6 @@ def test_composition(spark):
 def test_transform(spark):
     assert found(spark, "c", 'f("a-1") f("b")', "f($S)", transform={"S": r'^"(?<L>[a-z])-(?<N>\d)"$'}, out={"rule": "r"}) == [(0, 8, (("L", "a"), ("N", "1"), ("S", '"a-1"'), ("rule", "r")))]
     assert found(spark, "c", "f(a, b) f(a, a)", "f($X, $_Y)", transform={"_Y": "^(?<X>.)$"}) == [(8, 15, (("X", "a"),))]
-    assert java_regex(r"^(a)(?<n>[$)]\$)$") == (r"(?d)^(a)([$)]\$)\z", {"n": 2})
 
 
 def test_templates():

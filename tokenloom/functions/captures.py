@@ -1,35 +1,24 @@
-"""Captures: regular expressions that filter them and make new ones, and fixed values."""
+"""Captures: regular expressions that filter them and make new ones, and fixed values. All of a rule's are data in its row."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokenloom.functions.regex import java_regex
 from tokenloom.functions.tokenize import as_text
 
-_NAMED = re.compile(r"\(\?P?<([A-Za-z_]\w*)>")
-
-
-def java_regex(rx: str) -> tuple[str, dict[str, int]]:
-    """The expression without group names and with $ as the very end; and the number of each named group."""
-    out, names, groups, i, inside = "", {}, 0, 0, False
-    while i < len(rx):
-        if rx[i] == "\\":
-            out, i = out + rx[i : i + 2], i + 2
-            continue
-        if not inside and (m := _NAMED.match(rx, i)):
-            groups += 1
-            names[m[1]] = groups
-            out, i = out + "(", m.end()
-            continue
-        if not inside and rx[i] == "(" and rx[i + 1 : i + 2] != "?":
-            groups += 1
-        inside = rx[i] == "[" or inside and rx[i] != "]"
-        out += r"\z" if rx[i] == "$" and not inside else "\\}" if rx[i] == "}" and not inside and not re.search(r"\{\d+(?:,\d*)?$", out) else rx[i]
-        i += 1
-    return f"(?d){out}", names
+#: Of a rule: its expressions (capture, Java's expression, named groups), in the order of its captures, and fixed values.
+TRANSFORMS = "array<struct<name:string,rx:string,groups:array<struct<name:string,number:int>>>>"
+
+
+def transforms_of(transform: tuple[tuple[str, str], ...], order: tuple[str, ...]) -> list[tuple]:
+    """TRANSFORMS of a rule whose captures are named in `order`."""
+    out = []
+    for name, rx in sorted((x for x in transform if x[0] in order), key=lambda x: order.index(x[0])):
+        java, groups = java_regex(rx)
+        out.append((name, java, sorted(groups.items(), key=lambda g: g[1])))
+    return out
 
 
 def merged(a: Column, b: Column) -> Column:
@@ -37,20 +26,26 @@ def merged(a: Column, b: Column) -> Column:
     return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
 
 
-def transformed(rows: DataFrame, transform: tuple[tuple[str, str], ...], order: list[str], out: dict[str, str]) -> DataFrame:
-    """rows whose captures match their expressions, with the named groups and then `out` added.
+def transformed(rows: DataFrame, transforms: str = "transforms", out: str = "out") -> DataFrame:
+    """rows(captures, transforms, out) whose captures match their expressions, with the named groups and then `out` added.
 
     A group whose name is taken must have the same value; a group that took part with an empty text counts as absent.
     """
-    rows = rows.withColumn("captures", F.transform_values("captures", lambda _, v: as_text(v)))
-    for name, rx in sorted((x for x in transform if x[0] in order), key=lambda x: order.index(x[0])):
-        java, groups = java_regex(rx)
-        value = F.element_at("captures", F.lit(name))
-        rows = rows.where(value.isNotNull() & value.rlike(java))
-        for group, number in groups.items():
-            found, old = F.regexp_extract(value, java, number), F.element_at("captures", F.lit(group))
-            rows = rows.where(old.isNull() | (found == "") | (old == found))
-            rows = rows.withColumn("captures", F.when(old.isNull() & (found != ""), F.map_concat("captures", F.create_map(F.lit(group), found))).otherwise(F.col("captures")))
-    if out:
-        rows = rows.withColumn("captures", merged(F.col("captures"), F.create_map(*(F.lit(x) for pair in out.items() for x in pair))))
-    return rows
+
+    def group(state: Column, value: Column, rx: Column, g: Column) -> Column:
+        found, old = F.call_function("regexp_extract", value, rx, g["number"]), F.element_at(state["captures"], g["name"])
+        added = F.map_concat(state["captures"], F.create_map(g["name"], found))
+        return F.struct((state["ok"] & (old.isNull() | (found == "") | (old == found))).alias("ok"), F.when(old.isNull() & (found != ""), added).otherwise(state["captures"]).alias("captures"))
+
+    def expression(state: Column, t: Column) -> Column:
+        value = F.element_at(state["captures"], t["name"])
+        met = state["ok"] & F.coalesce(F.rlike(value, t["rx"]), F.lit(False))
+        inside = F.aggregate(t["groups"], state, lambda s, g: group(s, value, t["rx"], g))
+        return F.struct((met & inside["ok"]).alias("ok"), F.when(met, inside["captures"]).otherwise(state["captures"]).alias("captures"))
+
+    text = F.transform_values("captures", lambda _, v: as_text(v))
+    rows = rows.withColumn("captures", text)
+    start = F.struct(F.lit(True).alias("ok"), F.col("captures").alias("captures"))
+    done = F.when(F.size(transforms) > 0, F.aggregate(transforms, start, expression)).otherwise(start)
+    rows = rows.withColumn("__t", done).where("__t.ok").withColumn("captures", merged(F.col("__t.captures"), F.col(out)))
+    return rows.drop("__t", transforms, out)

@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset and all is one process, a folder of our own."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="tokenloom-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and read back from spark.checkpoint.dir; a folder of our own where that is unset (tests)."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tokenloom-"))
-    # Otherwise the result keeps constraints on columns that it has no more, and unions of such results fail in the optimizer.
-    name = "spark.sql.constraintPropagation.enabled"
-    old = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(name, old)
+    """df, computed once and read back from the shared folder, so that a lost executor costs no recomputation."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

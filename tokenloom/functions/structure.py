@@ -1,42 +1,57 @@
-"""Bracket depths of tokens as running sums, and the places where a depth falls, for the bounds of ellipses."""
+"""Bracket depths of a file's tokens as running sums, and for each place the next one at which a depth falls."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
 
 #: Depths and the bytes that open and close them; `scope` also follows the levels of Python.
 DEPTHS = {"round": b"()", "square": b"[]", "curly": b"{}", "corner": b"<>", "scope": b"{}"}
+#: What bounds an ellipsis: a depth that falls, or (`statement`) that or the end of a statement in the same scope.
+BOUNDS = (*DEPTHS, "statement")
 _BYTE, _LEVEL = 2, 3
 
 
 def depths(kind: np.ndarray, tok: list[bytes | None], level: np.ndarray, name: str) -> np.ndarray:
-    """The depth after each of a file's tokens."""
+    """The depth before each of a file's tokens, and after the last one."""
     up, down = DEPTHS[name][:1], DEPTHS[name][1:]
     step = np.zeros(len(kind), np.int32)
     at = np.flatnonzero(kind == _BYTE)
     step[at] = [(tok[i] == up) - (tok[i] == down) for i in at.tolist()]
-    return np.cumsum(step + level if name == "scope" else step)
+    return np.concatenate([[0], np.cumsum(step + level if name == "scope" else step)]).astype(np.int64)
 
 
-def falls(lists: DataFrame, name: str, statement: bool = False) -> DataFrame:
-    """(file, lvl, stop): at token `stop` the depth falls below lvl. statement: also where a statement ends at depth lvl."""
-    steps = F.transform(name, lambda x, i: F.struct(i.alias("stop"), x.alias("after"), F.coalesce(F.get(name, i - 1), F.lit(0)).alias("before")))
-    found = lists.select("file", F.explode(F.filter(steps, lambda x: x["after"] < x["before"])).alias("x"))
-    found = found.select("file", F.explode(F.sequence(F.col("x.after") + 1, "x.before")).alias("lvl"), F.col("x.stop").alias("stop"))
-    if statement:
-        ends = lambda x, i: ((F.get("kind", i) == _BYTE) & (F.get("tok", i) == F.lit(b";"))) | ((F.get("kind", i) == _LEVEL) & (F.get("level", i) == 0))
-        marked = F.transform(name, lambda x, i: F.when(ends(x, i), F.struct(x.alias("lvl"), i.alias("stop"))))
-        found = found.unionByName(lists.select("file", F.explode(F.filter(marked, lambda x: x.isNotNull())).alias("x")).select("file", "x.lvl", "x.stop"))
-    return found
+def _first(depth: np.ndarray, levels: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """For each place p the first of the events (level, place) at p or later whose level is depth[p]; -1 if there is none."""
+    low, width = min(int(depth.min()), int(levels.min()) if len(levels) else 0), len(depth) + 1
+    keys = np.sort((levels - low) * width + places)
+    wanted = (depth - low) * width + np.arange(len(depth))
+    at = np.searchsorted(keys, wanted)
+    found = np.append(keys, np.iinfo(np.int64).max)[at]
+    return np.where(found // width == depth - low, found % width, -1)
 
 
-def with_stop(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """rows(file, pos, lvl, ...) with the first stop of their file and level at pos or later, by one window over both tables.
+def _falls(depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Events (level, token): the token at which the depth falls below the level."""
+    by = depth[:-1] - depth[1:]
+    at = np.flatnonzero(by > 0)
+    many = by[at]
+    places = np.repeat(at, many)
+    return np.repeat(depth[1:][at], many) + 1 + np.arange(len(places)) - np.repeat(np.cumsum(many) - many, many), places
 
-    The window goes backwards from the last place, so that each frame only grows.
-    """
-    both = rows.withColumn("at", F.col("pos")).unionByName(found.withColumn("at", F.col("stop")), allowMissingColumns=True)
-    following = Window.partitionBy("file", "lvl").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("bound", F.min("stop").over(following)).where("stop is null").drop("stop", "at", "lvl")
+
+def next_falls(depth: np.ndarray) -> np.ndarray:
+    """For each place the first token there or later at which the depth falls below that before the place; -1: never."""
+    return _first(depth, *_falls(depth))
+
+
+def next_ends(depth: np.ndarray, kind: np.ndarray, tok: list[bytes | None], level: np.ndarray) -> np.ndarray:
+    """As next_falls(), or the first token that ends a statement at that depth: a semicolon, or a line that is not indented otherwise."""
+    ends = np.flatnonzero((kind == _LEVEL) & (level == 0))
+    ends = np.concatenate([ends, [i for i in np.flatnonzero(kind == _BYTE).tolist() if tok[i] == b";"]]).astype(np.int64)
+    levels, places = _falls(depth)
+    return _first(depth, np.concatenate([levels, depth[ends + 1]]), np.concatenate([places, ends]))
+
+
+def left_to_fall(depth: np.ndarray) -> np.ndarray:
+    """For each place how many levels the depth still falls below that before the place."""
+    return depth - np.minimum.accumulate(depth[::-1])[::-1]

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions.canonical import fold
-from tokenloom.functions.structure import DEPTHS, depths
+from tokenloom.functions.structure import BOUNDS, DEPTHS, depths, left_to_fall, next_ends, next_falls
 
 C_LIKE = ("c", "csharp", "java")
 BACKTICK = ("go", "js", "ts", "kotlin")
@@ -136,32 +136,84 @@ def as_text(column: Column) -> Column:
 POSITIONS = ("s", "e", "line", "col", "eline", "ecol")
 
 
-def list_schema(names: tuple[str, ...]) -> str:
-    """Of token_lists(): kind, tok, level, POSITIONS, and the depths after each token that are in names."""
-    return ", ".join(["file string", "lang string", "kind array<tinyint>", "tok array<binary>", "level array<int>", *(f"{p} array<int>" for p in POSITIONS), *(f"{d} array<int>" for d in names)])
+def list_schema(bounds: tuple[str, ...]) -> str:
+    """Of token_lists(): kind, tok, level, POSITIONS, and for bounds the depths before each place, the next places where they fall, and by how much."""
+    ints = [*POSITIONS, *(f"{p}{d}" for d in bounds for p in (("", "next_", "left_") if d in DEPTHS else ("next_",)))]
+    return ", ".join(["file string", "lang string", "kind array<tinyint>", "tok array<binary>", "level array<int>", *(f"{p} array<int>" for p in ints)])
 
 
-def token_lists(files: DataFrame, content: str = "content", max_length: int = MAX_LENGTH, languages: tuple[str, ...] | None = None, folded: bool = False, names: tuple[str, ...] = ()) -> DataFrame:
+def bounds_of(kind: np.ndarray, tok: list[bytes | None], level: np.ndarray, bounds: tuple[str, ...]) -> list[np.ndarray]:
+    """The arrays of a file that list_schema() has for bounds."""
+    out = []
+    for d in bounds:
+        depth = depths(kind, tok, level, d if d in DEPTHS else "scope")
+        out += [depth, next_falls(depth), left_to_fall(depth)] if d in DEPTHS else [next_ends(depth, kind, tok, level)]
+    return out
+
+
+class Needs:
+    """Whether a file holds what some rule needs: one automaton looks for the words of all rules at once.
+
+    needs: for each language the sets of words (as bytes) of its rules. A language with an empty set keeps all files.
+    """
+
+    def __init__(self, needs: dict[str, list[frozenset[bytes]]]):
+        import ahocorasick
+
+        self.all = {lang for lang, sets in needs.items() if frozenset() in sets}
+        self.sets: dict[str, list[set[str]]] = {lang: [{w.decode("latin-1") for w in x} for x in sets] for lang, sets in needs.items()}
+        self.automaton = ahocorasick.Automaton()
+        for w in {w for sets in self.sets.values() for x in sets for w in x}:
+            self.automaton.add_word(w, w)
+        self.automaton.make_automaton()
+
+    def met(self, data: bytes, lang: str) -> bool:
+        if lang in self.all:
+            return True
+        waiting: dict[str, list[int]] = {}
+        missing = []
+        for k, x in enumerate(self.sets.get(lang, ())):
+            missing.append(len(x))
+            for w in x:
+                waiting.setdefault(w, []).append(k)
+        if waiting:
+            for _, word in self.automaton.iter(data.decode("latin-1")):
+                for k in waiting.pop(word, ()):
+                    missing[k] -= 1
+                    if not missing[k]:
+                        return True
+        return False
+
+
+def token_lists(
+    files: DataFrame, content: str = "content", max_length: int = MAX_LENGTH, languages: tuple[str, ...] | None = None, folded: bool = False, bounds: tuple[str, ...] = (), needs: dict[str, list[frozenset[bytes]]] | None = None
+) -> DataFrame:
     """A row for each of files(file, lang, content) that has a text and is of the languages, with arrays of its tokens.
 
-    content is a string or binary column. folded: with neighbouring strings joined. names: bracket depths (of DEPTHS) to give.
+    content is a string or binary column. folded: with neighbouring strings joined. bounds: those of BOUNDS to give. needs:
+    only files that hold all words of one of their language's sets.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = Needs(needs) if needs is not None else None
         for batch in batches:
             sizes = np.asarray(pc.binary_length(batch.column("content")), np.int64)
             part = np.cumsum(sizes) // SLICE_BYTES
             for p in np.unique(part):
                 rows = np.flatnonzero(part == p)
-                yield one(batch.slice(rows[0], len(rows)))
+                if (out := one(batch.slice(rows[0], len(rows)), wanted)) is not None:
+                    yield out
 
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns: list[list[np.ndarray]] = [[] for _ in range(2 + len(POSITIONS) + len(names))]
+    def one(batch: pa.RecordBatch, wanted: Needs | None) -> pa.RecordBatch | None:
+        columns: list[list[np.ndarray]] = [[] for _ in schema_names]
         texts: list[bytes | None] = []
-        count = [0]
-        for content_, lang in zip(batch.column("content"), batch.column("lang").to_pylist(), strict=True):
+        count, kept = [0], []
+        for i, (content_, lang) in enumerate(zip(batch.column("content"), batch.column("lang").to_pylist(), strict=True)):
             data = content_.as_py()
             data = data.encode() if isinstance(data, str) else data
+            if wanted is not None and not wanted.met(data, lang):
+                continue
+            kept.append(i)
             kind, tok, level, start, end = lex(data, lang, max_length)
             if folded:
                 kind, tok, level, start, end = fold(kind, tok, level, start, end, max_length)
@@ -169,20 +221,29 @@ def token_lists(files: DataFrame, content: str = "content", max_length: int = MA
             begins = np.concatenate([[0], breaks + 1])
             line, eline = np.searchsorted(breaks, start), np.searchsorted(breaks, end)
             values = [kind, level, start, end, line + 1, start - begins[line] + 1, eline + 1, end - begins[eline] + 1]
-            level_ = level if lang == "py" else np.zeros(len(level), np.int32)
-            values += [depths(kind, tok, level_, d) for d in names]
+            values += bounds_of(kind, tok, level if lang == "py" else np.zeros(len(level), np.int32), bounds)
             for c, v in zip(columns, values, strict=True):
                 c.append(v)
             texts += tok
             count.append(len(tok))
-        offsets = pa.array(np.cumsum(count).astype(np.int32))
+        if not kept:
+            return None
+        offsets = np.cumsum(count).astype(np.int32)
+        places = pa.array(offsets + np.arange(len(count), dtype=np.int32))  # one more than tokens
+        offsets = pa.array(offsets)
         flat = [np.concatenate(c) for c in columns]
         level = pa.array(flat[1].astype(np.int32), mask=flat[0] != LEVEL)
         lists = [pa.array(flat[0]), pa.array(texts, pa.binary()), level, *(pa.array(c.astype(np.int32)) for c in flat[2:])]
-        return pa.RecordBatch.from_arrays([batch.column("file"), batch.column("lang"), *(pa.ListArray.from_arrays(offsets, x) for x in lists)], ["file", "lang", "kind", "tok", "level", *POSITIONS, *names])
-
+        one_more = len(lists) - (len(schema_names) - 2 - len(POSITIONS))
+        arrays = [pa.ListArray.from_arrays(places if k >= one_more else offsets, x) for k, x in enumerate(lists)]
+        rows = pa.array(kept, pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column("file").take(rows), batch.column("lang").take(rows), *arrays], names)
+
+    schema = list_schema(bounds)
+    names = [x.split()[0] for x in schema.split(", ")]
+    schema_names = ["kind", "level", *names[5:]]
     base = files.where(F.col(content).isNotNull() & F.col("lang").isin(*(languages or LANGUAGES))).select(F.col("file").cast("string").alias("file"), "lang", F.col(content).alias("content"))
-    return base.mapInArrow(cut, list_schema(names))
+    return base.mapInArrow(cut, schema)
 
 
 def spread(files: DataFrame) -> DataFrame:
@@ -203,4 +264,4 @@ def tokenize(files: DataFrame, content: str = "content", max_length: int = MAX_L
     return rows.select("file", "lang", F.col("idx").cast("long").alias("idx"), kind.alias("kind"), F.col("x.tok").alias("tok"), F.col("x.level").alias("level"), place("s", "col", "line").alias("start"), place("e", "ecol", "eline").alias("end"))
 
 
-__all__ = ["DEPTHS", "KINDS", "LANGUAGES", "as_text", "lex", "spread", "token_lists", "tokenize"]
+__all__ = ["BOUNDS", "DEPTHS", "KINDS", "LANGUAGES", "as_text", "lex", "spread", "token_lists", "tokenize"]

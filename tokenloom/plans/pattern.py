@@ -14,7 +14,9 @@ from dataclasses import dataclass, field, replace
 
 import yaml
 
+from tokenloom.functions.regex import RegexError, java_regex
 from tokenloom.sources.languages import BY_ALIAS
+from tokenloom.sources.store import list_files, read_content
 
 TEMPLATES = 64
 
@@ -223,9 +225,9 @@ def load(text: str, path: str = "", most: int = TEMPLATES, max_length: int = 500
     transform = tuple((data.get("transform") or {}).items())
     for _, rx in transform:
         try:
-            re.compile(re.sub(r"\(\?<(?=\w)", "(?P<", rx))
-        except re.error as e:
-            raise PatternError(f"regex compilation error of '{rx}'") from e
+            java_regex(rx)
+        except RegexError as e:
+            raise PatternError(f"regex compilation error of '{rx}': {e}") from e
     found = []
     for source in data["patterns"]:
         for one in expand(source, {k: list(v) for k, v in (data.get("templates") or {}).items()}, most):
@@ -239,5 +241,5 @@ def load(text: str, path: str = "", most: int = TEMPLATES, max_length: int = 500
 
 def load_files(spark, path: str, most: int = TEMPLATES, max_length: int = 5000) -> list[Pattern]:
     """The patterns of all .yml and .yaml files under path, in the order of their paths."""
-    rows = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).selectExpr("_metadata.file_path AS path", "value")
-    return [p for r in sorted(rows.where("path rlike '[.]ya?ml$'").collect()) for p in load(r.value, r.path, most, max_length)]
+    rows = read_content(list_files(spark, path).where("path rlike '[.]ya?ml$'"))
+    return [p for r in sorted(rows.collect()) for p in load(bytes(r.content).decode(), f"{path}/{r.file}" if r.file else path, most, max_length)]

@@ -1,334 +1,248 @@
-"""Patterns as DataFrame plans over the token lists of files.
-
-A state is a partial match: where it began, the next token `pos`, its captures, its span and the depths that its
-ellipses carry. The runs of single tokens of all patterns are found in one pass over the token lists (Tables): where a
-token stands that some run has to have, the runs that have it are held against the tokens around it. Runs are put
-together by equality of file and position, or, over an ellipsis, by an interval join whose upper bound is the first
-place where the bracket depth falls below the carried one. Back-references are more keys of these joins, alternation is
-a union, repetition a loop of joins until no state is left. Every way in which a pattern matches gives a row.
+"""All rules over the token lists of files, in one loop of joins.
+
+A state is a partial match of a rule: where it began, its node in the rule's graph, the next token `pos`, its captures, its
+span and the depths that its ellipses carry. The runs of single tokens of all rules are found in one reading of the token
+lists: where a token stands that some run has to have, the runs that have it are held against the tokens around it. Each
+round joins all states of all rules with the edges of their nodes (a small table) and then with the runs that these ask
+for. Where an ellipsis ends is known before: a run's row has, for each bracket that is open behind it, the place where
+it is closed, so each state asks for runs between two places. The join's key is a bin of the places at the scale of
+that distance, so that a state meets few runs outside it, and a back-reference's value where the run has one.
+Every way in which a pattern matches gives a row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokenloom.functions import tokenize as tk
 from tokenloom.functions.captures import transformed
 from tokenloom.functions.shared import cut
-from tokenloom.functions.structure import DEPTHS, falls, with_stop
-from tokenloom.functions.tokenize import BYTE, IDENTIFIER, LEVEL, STRING
-from tokenloom.plans.pattern import Item, Pattern
+from tokenloom.functions.structure import DEPTHS
+from tokenloom.plans import program as pg
+from tokenloom.plans.pattern import Pattern
+from tokenloom.plans.program import Program, depths_needed
 
-SINGLE = ("byte", "token", "level", "capture", "back", "any", "replace", "pop")
-_CLOSERS = {"round": ")", "square": "]", "curly": "}", "corner": ">"}
+#: Behind every place of a file.
+FAR = (1 << 31) - 1
 _SPAN = "struct<offset:bigint,column:bigint,line:bigint>"
 
-#: A run as data: (kind, text, level) of what each token has to be, and pairs of tokens that have to be equal.
-Run = tuple[tuple[tuple[str, bytes, int], ...], tuple[tuple[int, int], ...]]
-
-
-def run_of(items: Iterable[Item]) -> Run:
-    wanted, equal, captured = [], [], {}
-    for k, x in enumerate(items):
-        fixed = x.kind if x.kind in ("byte", "token", "level") else "any"
-        wanted.append((fixed, x.text.encode() if fixed in ("byte", "token") else b"", int(x.text) if fixed == "level" else 0))
-        if x.kind == "back" and x.text in captured:
-            equal.append((captured[x.text], k))
-        elif x.kind in ("capture", "replace"):
-            captured[x.text] = k
-        elif x.kind == "pop":
-            for name in x.text.split("\n"):
-                captured.pop(name, None)
-    return tuple(wanted), tuple(equal)
-
-
-def runs_in(items: Iterable[Item]) -> Iterator[tuple[Item, ...]]:
-    """The runs of single items of a pattern, those in branches too."""
-    run: list[Item] = []
-    for x in items:
-        if x.kind in SINGLE:
-            run.append(x)
-            continue
-        if run:
-            yield tuple(run)
-            run = []
-        for b in x.branches:
-            yield from runs_in(b)
-    if run:
-        yield tuple(run)
-
-
-def depths_of(patterns: Iterable[Pattern]) -> tuple[str, ...]:
-    """The bracket depths that the ellipses of the patterns need."""
-
-    def walk(items: Iterable[Item]) -> Iterator[str]:
-        for x in items:
-            if x.kind == "skip" and x.text != "free":
-                yield "scope" if x.text in ("scope", "statement") else x.text
-            for b in x.branches:
-                yield from walk(b)
-
-    found = {d for p in patterns for d in walk(p.items)}
-    return tuple(d for d in DEPTHS if d in found)
-
-
-class Tables:
-    """What the patterns look up: runs and falls of depths, each worked out once for all of them."""
 
-    def __init__(self, lists: DataFrame, patterns: list[Pattern]):
-        self.names = depths_of(patterns)
-        self.lists = lists
-        self.numbers: dict[Run, int] = {}
-        for p in patterns:
-            for run in runs_in(p.items):
-                self.numbers.setdefault(run_of(run), len(self.numbers))
-        self.found = cut(self._find()) if self.numbers else None
-        self._falls: dict[tuple[str, bool], DataFrame] = {}
-
-    def at(self, i: Column) -> Column:
-        """The depths after token i; 0 before the first."""
-        return F.struct(*(F.coalesce(F.get(d, i), F.lit(0)).alias(d) for d in self.names), F.lit(0).alias("none"))
-
-    def place(self, i: Column, *columns: str) -> Column:
+class Runs:
+    """What a file's row tells of the runs in it. bounds: those of BOUNDS that the rules need."""
+
+    def __init__(self, program: Program, bounds: tuple[str, ...]):
+        self.program, self.bounds = program, bounds
+        self.depths = [d for d in bounds if d in DEPTHS]
+
+    @staticmethod
+    def place(i: Column, *columns: str) -> Column:
         return F.struct(*(F.get(c, i).cast("long").alias(n) for c, n in zip(columns, ("offset", "column", "line"), strict=True)))
 
+    def at(self, pos: Column) -> Column:
+        """The depths before token pos, in the order of self.depths."""
+        return F.array(*(F.get(d, pos) for d in self.depths)).cast("array<int>")
+
+    @staticmethod
+    def closers(pos: Column, bound: str) -> Column:
+        """The places at pos or later where the depth falls below that before pos, below one less, and so on; as many as brackets are open and closed later."""
+        depth = bound if bound in DEPTHS else "scope"
+        ends = bound == "statement"
+
+        def step(state: Column, _: Column) -> Column:
+            p = state["p"]
+            fall = F.get(f"next_{depth}", p)
+            falls = fall >= 0
+            by = F.get(depth, p) - F.get(depth, fall + 1)
+            if ends:
+                own = F.get("next_statement", p)
+                found = F.concat(F.array(F.when(own >= 0, own)), F.when(falls, F.array_repeat(fall, by - 1)).otherwise(F.array().cast("array<int>")))
+            else:
+                found = F.array_repeat(fall, by)
+            known = p >= 0
+            return F.struct(F.when(known & falls, fall + 1).otherwise(-1).alias("p"), F.when(known & (falls | F.lit(ends)), F.concat(state["all"], found)).otherwise(state["all"]).alias("all"))
+
+        start = F.struct(pos.cast("int").alias("p"), F.array().cast("array<int>").alias("all"))
+        times = F.get(f"left_{depth}", pos) + int(ends)
+        return F.when(times > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(times, F.lit(1))), start, step, lambda s: s["all"])).otherwise(F.array().cast("array<int>"))
+
+    def stops(self, pos: Column, run: Column | None) -> Column:
+        """closers() for each of self.bounds, where some rule asks for them behind the run."""
+        wanted = {b: [r for r, kinds in self.program.bounds_after.items() if b in kinds] for b in self.bounds}
+        none = F.array().cast("array<int>")
+        return F.array(*(self.closers(pos, b) if run is None else F.when(run.isin(wanted[b]), self.closers(pos, b)).otherwise(none) if wanted[b] else none for b in self.bounds)).cast("array<array<int>>")
+
     def row(self, run: Column, first: Column, size: Column) -> Column:
         """A match of a run that begins at token `first`."""
-        return F.struct(
-            run.alias("run"), first.alias("first"), self.at(first - 1).alias("before"), self.at(first + size - 1).alias("after"),
-            F.slice("tok", first + 1, size).alias("toks"), F.transform(F.sequence(first, first + size - 1), lambda i: F.struct(self.place(i, "s", "col", "line").alias("start"), self.place(i, "e", "ecol", "eline").alias("end"))).alias("spans"),
-        )
+        pos = first + size
+        spans = F.transform(F.sequence(first, pos - 1), lambda i: F.struct(self.place(i, "s", "col", "line").alias("start"), self.place(i, "e", "ecol", "eline").alias("end")))
+        return F.struct(run.alias("run"), first.alias("first"), self.at(first).alias("before"), self.at(pos).alias("after"), self.stops(pos, run).alias("stops"), F.slice("tok", first + 1, size).alias("toks"), spans.alias("spans"))
 
     @staticmethod
-    def fits(wanted: tuple[str, bytes, int], i: Column) -> Column:
-        kind, text, level = wanted
-        here = F.get("kind", i)
-        if kind == "level":
-            return (here == LEVEL) & (F.get("level", i) == level)
-        if kind == "any":
-            return here.isin(STRING, IDENTIFIER)
-        return ((here == BYTE) if kind == "byte" else here.isin(STRING, IDENTIFIER)) & (F.get("tok", i) == F.lit(text))
-
-    def _find(self) -> DataFrame:
-        """(file, lang, run, first, before, after, toks, spans) of every match of every run, from one reading of the lists."""
-        anchored: dict[bytes, list[Column]] = {}
-        found = []
-        for (wanted, equal), number in self.numbers.items():
-            anchor = next((k for kind in ("token", "byte") for k, w in enumerate(wanted) if w[0] == kind), None)
-            if anchor is None:
-                found.append(self._everywhere((wanted, equal), number))
-                continue
-            tests = F.array(*(F.struct(F.lit(("byte", "token", "level", "any").index(k)).alias("k"), F.lit(t).alias("t"), F.lit(lv).alias("l")) for k, t, lv in wanted))
-            pairs = F.array(*(F.array(F.lit(x), F.lit(y)) for x, y in equal)).cast("array<array<int>>")
-            anchored.setdefault(wanted[anchor][1], []).append(F.struct(F.lit(number).alias("run"), F.lit(anchor).alias("offset"), tests.alias("wanted"), pairs.alias("equal")))
-        if anchored:
-            found.append(self._anchored(anchored))
-        rows = self.lists.select("file", "lang", F.explode(F.concat(*found)).alias("x"))
-        return rows.select("file", "lang", "x.*")
-
-    def _everywhere(self, run: Run, number: int) -> Column:
+    def fits(test: Column, text: Column, level: Column, i: Column) -> Column:
+        kind = F.get("kind", i)
+        word = kind.isin(tk.STRING, tk.IDENTIFIER)
+        return F.when(test == pg.ANY, word).when(test == pg.LEVEL, (kind == tk.LEVEL) & (F.get("level", i) == level)).otherwise(F.when(test == pg.BYTE, kind == tk.BYTE).otherwise(word) & (F.get("tok", i) == text))
+
+    def everywhere(self, number: int, run: pg.Run) -> Column:
         """The matches of a run without a fixed token."""
         wanted, equal = run
-        tests = [lambda i, k=k, w=w: self.fits(w, i + k) for k, w in enumerate(wanted)] + [lambda i, a=a, b=b: F.get("tok", i + a) == F.get("tok", i + b) for a, b in equal]
+        tests = [lambda i, k=k, w=w: self.fits(F.lit(w[0]), F.lit(w[1].encode()), F.lit(w[2]), i + k) for k, w in enumerate(wanted)] + [lambda i, a=a, b=b: F.get("tok", i + a) == F.get("tok", i + b) for a, b in equal]
         places = F.when(F.size("kind") >= len(wanted), F.sequence(F.lit(0), F.greatest(F.size("kind") - len(wanted), F.lit(0)))).otherwise(F.array().cast("array<int>"))
         fit = F.filter(places, lambda i: reduce(lambda a, b: a & b, (t(i) for t in tests)))
         return F.transform(fit, lambda i: self.row(F.lit(number), i, F.lit(len(wanted))))
 
-    def _anchored(self, runs: dict[bytes, list[Column]]) -> Column:
+    def anchored(self, table: str, anchors: list[str]) -> Column:
         """The matches of runs with a fixed token: where such a token stands, the runs that have it are held against the tokens around."""
-        table = F.create_map(*(x for anchor, entries in runs.items() for x in (F.lit(anchor), F.array(*entries))))
-        places = F.filter(F.transform("tok", lambda t, i: F.when(t.isin(*map(F.lit, runs)), i)), lambda i: i.isNotNull())
-
-        def fits(w: Column, i: Column) -> Column:
-            kind = F.get("kind", i)
-            word = kind.isin(STRING, IDENTIFIER)
-            return F.when(w["k"] == 3, word).when(w["k"] == 2, (kind == LEVEL) & (F.get("level", i) == w["l"])).otherwise(F.when(w["k"] == 0, kind == BYTE).otherwise(word) & (F.get("tok", i) == w["t"]))
+        entries = F.from_json(F.lit(table), pg.ANCHORED)
+        literals = [a.encode() for a in anchors]
+        places = F.filter(F.transform("tok", lambda t, i: F.when(t.isin(literals), i)), lambda i: i.isNotNull())
 
         def match(r: Column) -> Column:
             inside = (r["first"] >= 0) & (r["first"] + F.size(r["r"]["wanted"]) <= F.size("kind"))
-            all_fit = F.forall(F.transform(r["r"]["wanted"], lambda w, j: F.coalesce(fits(w, r["first"] + j), F.lit(False))), lambda x: x)
+            all_fit = F.forall(F.transform(r["r"]["wanted"], lambda w, j: F.coalesce(self.fits(w["k"], w["t"], w["l"], r["first"] + j), F.lit(False))), lambda x: x)
             return inside & all_fit & F.forall(r["r"]["equal"], lambda p: F.get("tok", r["first"] + p[0]) == F.get("tok", r["first"] + p[1]))
 
-        tried = F.transform(places, lambda i: F.filter(F.transform(F.element_at(table, F.get("tok", i)), lambda r: F.struct(r.alias("r"), (i - r["offset"]).alias("first"))), match))
+        tried = F.transform(places, lambda i: F.filter(F.transform(F.element_at(entries, F.get("tok", i).cast("string")), lambda r: F.struct(r.alias("r"), (i - r["offset"]).alias("first"))), match))
         return F.transform(F.flatten(tried), lambda m: self.row(m["r"]["run"], m["first"], F.size(m["r"]["wanted"])))
 
-    def run(self, items: Iterable[Item], languages: tuple[str, ...]) -> DataFrame:
-        found = self.found.where((F.col("run") == self.numbers[run_of(items)]) & F.col("lang").isin(*languages))
-        return found.select("file", "first", "before", "after", "toks", "spans")
+    def find(self, lists: DataFrame) -> DataFrame:
+        """(file, lang, run, first, before, after, stops, toks, spans) of every match of every run, from one reading of the lists."""
+        table, anchors, rest = self.program.anchored()
+        found = [self.everywhere(number, run) for number, run in rest] + ([self.anchored(table, anchors)] if anchors else [])
+        return lists.select("file", "lang", F.explode(F.concat(*found)).alias("x")).select("file", "lang", "x.*")
 
-    def falls(self, depth: str, statement: bool) -> DataFrame:
-        if (depth, statement) not in self._falls:
-            self._falls[depth, statement] = cut(falls(self.lists, depth, statement))
-        return self._falls[depth, statement]
+    def starts(self, lists: DataFrame) -> DataFrame:
+        """A state at every token with nothing matched, for rules that begin with an ellipsis."""
+        states = F.transform(F.sequence(F.lit(0), F.size("kind") - 1), lambda i: F.struct(i.alias("pos"), self.at(i).alias("after"), self.stops(i, None).alias("stops"), self.place(i, "e", "ecol", "eline").alias("last"), self.place(i, "s", "col", "line").alias("origin")))
+        return lists.where(F.size("kind") > 0).select("file", "lang", F.explode(states).alias("x")).select("file", "lang", "x.*")
 
 
 class Scan:
-    """The plan of one pattern."""
-
-    def __init__(self, tables: Tables, pattern: Pattern):
-        self.tables, self.pattern = tables, pattern
-
-    def ends_open(self, state: DataFrame, skip: str | None) -> DataFrame:
-        """state with bound: the last place where the next run may begin."""
-        if skip in (None, "free"):
-            return state.withColumn("bound", F.lit(None).cast("int"))
-        depth = "scope" if skip in ("scope", "statement") else skip
-        carry = {"scope": "c_scope", "statement": "c_statement"}.get(skip, "c_depth")
-        level = F.col(f"after.{depth}") - F.col(carry)
-        return with_stop(state.withColumn("lvl", level), self.tables.falls(depth, skip == "statement"))
-
-    def append(self, state: DataFrame | None, skip: str | None, items: list[Item]) -> DataFrame:
-        """state, an ellipsis (or none) and a run of single tokens."""
-        run = self.tables.run(items, self.pattern.languages)
-        if state is None:
-            joined = run.select("*", *(F.lit(None).cast("binary").alias(f"cap_{c}") for c in self.names()))
-            joined = joined.withColumns({"origin": F.col("spans")[0]["start"], "vis_start": F.lit(None).cast(_SPAN), "vis_end": F.lit(None).cast(_SPAN), "c_depth": F.lit(0), "c_scope": F.lit(0), "c_statement": F.lit(0), "origin_idx": F.col("first")})
-        else:
-            state = self.ends_open(state, skip).withColumnRenamed("after", "from").withColumnRenamed("file", "f")
-            on = [F.col("f") == F.col("file"), *self.equal(items)]
-            on += [F.col("first") == F.col("pos")] if skip is None else [F.col("first") >= F.col("pos"), F.coalesce(F.col("first") <= F.col("bound"), F.lit(True))]
-            joined = state.join(run, reduce(lambda a, b: a & b, on))
-            joined = self.carried(joined, skip, items[0])
-        for k, x in enumerate(items):
-            tok = F.col("toks")[k]
-            if x.kind == "back":
-                joined = joined.where(tok == F.col(f"cap_{x.text}"))
-            elif x.kind in ("capture", "replace"):
-                joined = joined.withColumn(f"cap_{x.text}", tok)
-            elif x.kind == "pop":
-                new, old = x.text.split("\n")
-                joined = joined.where(tok == F.col(f"cap_{old}")).withColumns({f"cap_{old}": F.col(f"cap_{new}"), f"cap_{new}": F.lit(None).cast("binary")})
-            if x.start:
-                joined = joined.withColumn("vis_start", F.col("spans")[k]["start"])
-            if x.end:
-                joined = joined.withColumn("vis_end", F.col("spans")[k]["end"])
-        return joined.select("file", (F.col("first") + len(items)).alias("pos"), "after", F.col("spans")[len(items) - 1]["end"].alias("last"), *self.kept())
-
-    def carried(self, joined: DataFrame, skip: str | None, first: Item) -> DataFrame:
-        """joined with the depths that the ellipsis leaves."""
-        if skip is None:
-            return joined
-        if skip == "free":
-            return joined.withColumns({"c_depth": F.lit(0), "c_scope": F.lit(0), "c_statement": F.lit(0)})
-        depth = "scope" if skip in ("scope", "statement") else skip
-        name = {"scope": "c_scope", "statement": "c_statement"}.get(skip, "c_depth")
-        joined = joined.withColumn(name, (F.col(name) + F.col(f"before.{depth}") - F.col(f"from.{depth}")).cast("int"))
-        if skip == "scope":
-            joined = joined.withColumn("c_statement", F.when(F.col("first") > F.col("pos"), 0).otherwise(F.col("c_statement")))
-        if first.kind == "byte" and first.text == _CLOSERS.get(skip):
-            joined = joined.where(F.col("c_depth") == 0)
-        return joined
-
-    def equal(self, items: list[Item]) -> list[Column]:
-        """Back-references that the join can use as keys: those to captures that the run itself leaves alone before them."""
-        out, touched = [], set()
-        for k, x in enumerate(items):
-            if x.kind == "back" and x.text not in touched:
-                out.append(F.col("toks")[k] == F.col(f"cap_{x.text}"))
-            touched |= {x.text} if x.kind in ("capture", "replace") else set(x.text.split("\n")) if x.kind == "pop" else set()
-        return out
-
-    def names(self) -> list[str]:
-        """All capture names, those inside repetitions too."""
-
-        def walk(items: Iterable[Item]) -> Iterable[str]:
-            for x in items:
-                if x.kind == "capture":
-                    yield x.text
-                for b in x.branches:
-                    yield from walk(b)
-
-        return list(dict.fromkeys(walk(self.pattern.items)))
-
-    def kept(self) -> list[str]:
-        return ["origin", "origin_idx", "vis_start", "vis_end", "c_depth", "c_scope", "c_statement", *(f"cap_{c}" for c in self.names())]
-
-    def start(self) -> DataFrame:
-        """A state at every token with nothing matched, for patterns that begin with an ellipsis, a repetition or an alternation."""
-        none = F.lit(None).cast(_SPAN)
-        zero = {"vis_start": none, "vis_end": none, "c_depth": F.lit(0), "c_scope": F.lit(0), "c_statement": F.lit(0)}
-        t = self.tables
-        lists = t.lists.where(F.col("lang").isin(*self.pattern.languages) & (F.size("kind") > 0))
-        states = F.transform(F.sequence(F.lit(0), F.size("kind") - 1), lambda i: F.struct(i.alias("pos"), t.at(i - 1).alias("after"), t.place(i, "e", "ecol", "eline").alias("last"), t.place(i, "s", "col", "line").alias("origin"), i.alias("origin_idx")))
-        rows = lists.select("file", F.explode(states).alias("x")).select("file", "x.*")
-        return rows.withColumns(zero | {f"cap_{c}": F.lit(None).cast("binary") for c in self.names()})
-
-    def apply(self, states: dict[str | None, DataFrame | None], items: Iterable[Item]) -> dict[str | None, DataFrame | None]:
-        """The states after the items, by the ellipsis that is still open."""
-        run: list[Item] = []
-
-        def close() -> None:
-            nonlocal states
-            if run:
-                found = [self.append(df, skip, list(run)) for skip, df in states.items()]
-                states = {None: reduce(DataFrame.unionByName, found)}
-                run.clear()
-
-        for x in items:
-            if x.kind in SINGLE:
-                run.append(x)
-                continue
-            close()
-            if None in states and states[None] is None:
-                states = {None: self.start()}
-            if x.kind == "skip":
-                states = {x.text: reduce(DataFrame.unionByName, states.values())}
-            elif x.kind == "either":
-                states = self.together([self.apply(dict(states), b) for b in x.branches])
-            else:
-                states = self.repeated(states, x.branches)
-        close()
+    """The loop of joins of some rules."""
+
+    def __init__(self, lists: DataFrame, patterns: list[Pattern]):
+        self.spark = lists.sparkSession
+        self.program = Program.of(patterns)
+        self.bounds = depths_needed(patterns)
+        self.runs = Runs(self.program, self.bounds)
+        begins = bool(self.program.begins)
+        self.lists = cut(lists) if begins else lists
+        self.longest = self.program.longest()
+        found = self.runs.find(self.lists)
+        self.found = found if self.longest is not None and self.longest <= 1 and not begins else cut(found)
+        self.edges = self.table(sorted(self.program.edges, key=str), pg.EDGES)
+
+    def table(self, rows: list[tuple], schema: str) -> DataFrame:
+        return self.spark.createDataFrame(rows, schema)
+
+    def first_states(self) -> DataFrame:
+        """The states behind the first run of each rule, and the empty ones of rules that begin with an ellipsis."""
+        slots = max((len(r[3]) for r in self.program.rules), default=0)
+        none = {"vis_start": F.lit(None).cast(_SPAN), "vis_end": F.lit(None).cast(_SPAN), "c_depth": F.lit(0), "c_scope": F.lit(0), "c_statement": F.lit(0), "caps": F.array_repeat(F.lit(None).cast("binary"), slots)}
+        edges = F.broadcast(self.edges.where(f"node = 0 and kind = '{pg.NEXT}'").drop("node"))
+        joined = self.found.join(edges, "run").where(F.array_contains("languages", F.col("lang")))
+        states = self.after_run(joined.withColumns({**none, "origin": F.col("spans")[0]["start"], "lang_": F.col("lang")}))
+        if self.program.begins:
+            rules = F.broadcast(self.table(sorted({(r, tuple(langs)) for r, _, langs in self.program.begins}), "rule int, languages array<string>"))
+            empty = self.runs.starts(self.lists).join(rules, F.array_contains("languages", F.col("lang"))).withColumns({**none, "node": F.lit(0)})
+            states = states.unionByName(empty.select(*states.columns))
         return states
 
     @staticmethod
-    def together(parts: list[dict[str | None, DataFrame]]) -> dict[str | None, DataFrame]:
-        out: dict[str | None, DataFrame] = {}
-        for part in parts:
-            for skip, df in part.items():
-                out[skip] = out[skip].unionByName(df) if skip in out else df
-        return out
-
-    def repeated(self, states: dict[str | None, DataFrame], branches: tuple[tuple[Item, ...], ...]) -> dict[str | None, DataFrame]:
-        """The states after any number of turns through one of the branches; each turn takes a token at least, so the loop ends."""
-
-        def stored(states: dict[str | None, DataFrame]) -> tuple[dict[str | None, DataFrame], list[str | None]]:
-            """The states, computed once as one table, and the ellipses that some are open behind."""
-            one = cut(reduce(DataFrame.unionByName, (df.withColumn("open", F.lit(skip).cast("string")) for skip, df in states.items())))
-            return {skip: one.where(F.col("open").eqNullSafe(F.lit(skip))).drop("open") for skip in states}, [r.open for r in one.select("open").distinct().collect()]
-
-        front, alive = stored(states)
-        found = [front]
-        while alive:
-            front, alive = stored(self.together([self.apply({skip: front[skip] for skip in alive}, b) for b in branches]))
-            found.append(front)
-        return self.together(found)
-
-    def matches(self, pattern_id: int) -> DataFrame:
-        items = list(self.pattern.items)
-        while items and items[-1].kind == "skip":
-            items.pop()
-        states = self.apply({None: None}, items)
-        # a state that has matched nothing, or that waits behind an ellipsis for an optional part, is no new match
-        done = reduce(DataFrame.unionByName, (df.where(F.col("pos") > F.col("origin_idx")) for df in states.values()))
-        named = [(c, F.col(f"cap_{c}")) for c in self.names()]
-        captures = F.map_filter(F.create_map(*(x for c, v in named for x in (F.lit(c), v))), lambda _, v: v.isNotNull()) if named else F.create_map().cast("map<string,binary>")
-        group = F.struct(F.lit(self.pattern.group).alias("name"), F.lit(self.pattern.unique).alias("unique"), F.lit(self.pattern.cancel).alias("cancel"), F.array(*map(F.lit, self.pattern.match)).cast("array<string>").alias("match"))
-        rows = done.select(
-            "file", F.lit(pattern_id).alias("pattern_id"), F.lit(self.pattern.name).alias("name"), group.alias("grp"), F.coalesce("vis_start", "origin").alias("start"), F.coalesce("vis_end", "last").alias("end"),
-            F.col("vis_start").isNotNull().alias("start_overridden"), F.col("vis_end").isNotNull().alias("end_overridden"), F.col("origin.offset").alias("actual_start"), F.col("last.offset").alias("actual_end"), captures.alias("captures"),
+    def after_run(joined: DataFrame) -> DataFrame:
+        """The states of joined(state, edge, run), whose captures fit, behind their runs."""
+        spans, toks = F.col("spans"), F.col("toks")
+
+        def op(s: Column, o: Column) -> Column:
+            tok, cap = F.get(toks, o["k"]), F.get(s["caps"], o["a"])
+            is_ = lambda *kinds: o["op"].isin(*kinds)
+            ok = F.when(is_(pg.BACK), F.coalesce(tok == cap, F.lit(False))).when(is_(pg.POP), F.coalesce(tok == F.get(s["caps"], o["b"]), F.lit(False))).otherwise(True)
+            caps = F.transform(s["caps"], lambda v, i: F.when(is_(pg.SET) & (i == o["a"]), tok).when(is_(pg.POP) & (i == o["b"]), cap).when(is_(pg.POP) & (i == o["a"]), F.lit(None).cast("binary")).otherwise(v))
+            span = F.get(spans, o["k"])
+            return F.struct((s["ok"] & ok).alias("ok"), F.when(is_(pg.SET, pg.POP), caps).otherwise(s["caps"]).alias("caps"), F.when(is_(pg.BEGIN), span["start"]).otherwise(s["vis_start"]).alias("vis_start"), F.when(is_(pg.FINISH), span["end"]).otherwise(s["vis_end"]).alias("vis_end"))
+
+        start = F.struct(F.lit(True).alias("ok"), "caps", "vis_start", "vis_end")
+        done = joined.withColumn("s", F.aggregate("ops", start, op)).where("s.ok")
+        last = F.get(spans, F.col("size") - 1)["end"].alias("last")
+        return done.select("file", "rule", F.col("target").alias("node"), (F.col("first") + F.col("size")).alias("pos"), "after", "stops", last, "origin", "c_depth", "c_scope", "c_statement", "s.caps", "s.vis_start", "s.vis_end")
+
+    def advance(self, states: DataFrame) -> DataFrame:
+        """The states one run further."""
+        edges = F.broadcast(self.edges.where(f"not (node = 0 and kind = '{pg.NEXT}')").drop("languages"))
+        asked = states.join(edges, ["rule", "node"])
+        kind = F.col("kind")
+        carry = F.when(kind == "scope", F.col("c_scope")).when(kind == "statement", F.col("c_statement")).otherwise(F.col("c_depth"))
+        bound = F.coalesce(*(F.when(kind == b, F.coalesce(F.get(F.get("stops", F.lit(k)), carry), F.lit(FAR))) for k, b in enumerate(self.bounds)), F.when(kind == pg.NEXT, F.col("pos")), F.lit(FAR))
+        asked = asked.withColumn("bound", bound).where("bound >= pos")
+        distance = F.col("bound") - F.col("pos")
+        scale = F.when(distance == 0, 0).when(F.col("bound") == FAR, 31).otherwise(F.ceil(F.log2(F.greatest(distance, F.lit(1)))).cast("int"))
+        value = F.when(F.col("back_k") >= 0, F.xxhash64(F.get("caps", F.col("back_slot")))).otherwise(F.lit(0).cast("long"))
+        asked = asked.withColumns({"scale": scale, "value": value})
+        shifted = lambda c: F.call_function("shiftright", F.col(c), F.col("scale"))
+        probes = asked.withColumn("bin", F.explode(F.array_distinct(F.array(shifted("pos"), shifted("bound")))))
+        probes = probes.select("*", F.col("after").alias("from")).drop("after", "stops", "last")
+        shapes = asked.select("run", "scale", "back_k").distinct()  # no more than 32 for each edge
+        runs = self.found.select("file", "run", "first", "before", "after", "stops", "toks", "spans").join(F.broadcast(shapes), "run")
+        same = F.when(F.col("back_k") >= 0, F.xxhash64(F.get("toks", F.col("back_k")))).otherwise(F.lit(0).cast("long"))
+        runs = runs.withColumns({"bin": shifted("first"), "value": same})
+        joined = probes.join(runs, ["file", "run", "scale", "back_k", "bin", "value"]).where("first >= pos and first <= bound")
+        for k, d in enumerate(self.runs.depths):
+            changed = F.get("before", F.lit(k)) - F.get("from", F.lit(k))
+            if d != "scope":
+                joined = joined.withColumn("c_depth", F.when(kind == d, F.col("c_depth") + changed).otherwise(F.col("c_depth")))
+            else:
+                joined = joined.withColumns({
+                    "c_statement": F.when(kind == "statement", F.col("c_statement") + changed).when((kind == "scope") & (F.col("first") > F.col("pos")), 0).otherwise(F.col("c_statement")),
+                    "c_scope": F.when(kind == "scope", F.col("c_scope") + changed).otherwise(F.col("c_scope")),
+                })
+        joined = joined.withColumns({c: F.when(kind == pg.FREE, 0).otherwise(F.col(c)) for c in ("c_depth", "c_scope", "c_statement")})
+        return self.after_run(joined.where("not closed or c_depth = 0"))
+
+    def accepted(self, states: DataFrame) -> DataFrame:
+        """The states that are matches, once for each way to leave the rule there."""
+        ends = F.broadcast(self.table(self.program.accepted, pg.ACCEPTED))
+        met = states.join(ends, ["rule", "node"]).withColumn("ways", F.explode(F.sequence(F.lit(1), "ways")))
+        return met.select("file", "rule", "origin", "last", "vis_start", "vis_end", "caps")
+
+    def matches(self) -> DataFrame:
+        states = self.first_states()
+        if not self.longest and self.longest is not None:
+            return self.named(states.limit(0)) if not self.program.accepted else self.named(self.accepted(states))
+        states = cut(states)
+        found = [self.accepted(states)]
+        turn = 1
+        while self.longest is None or turn <= self.longest - 1:
+            states = self.advance(states)
+            turn += 1
+            if turn == self.longest:
+                found.append(self.accepted(states))
+                break
+            states = cut(states)
+            found.append(self.accepted(states))
+            if states.isEmpty():
+                break
+        return self.named(reduce(DataFrame.unionByName, found))
+
+    def named(self, found: DataFrame) -> DataFrame:
+        """Matches with their rule's names, spans the right way round, and captures that fit the rule's expressions."""
+        rules = F.broadcast(self.table(self.program.rules, pg.RULES))
+        rows = found.join(rules, "rule")
+        pairs = F.arrays_zip("slots", F.slice("caps", F.lit(1), F.size("slots"))) if self.program.rules and any(r[3] for r in self.program.rules) else None
+        captures = F.map_from_entries(F.filter(F.transform("slots", lambda n, i: F.struct(n.alias("key"), F.get("caps", i).alias("value"))), lambda e: e["value"].isNotNull())) if pairs is not None else F.create_map().cast("map<string,binary>")
+        start, end = F.coalesce("vis_start", "origin"), F.coalesce("vis_end", "last")
+        rows = rows.select(
+            "file", F.col("rule").alias("pattern_id"), "name", "grp", F.least(start, end).alias("start"), F.greatest(start, end).alias("end"), F.col("vis_start").isNotNull().alias("start_overridden"), F.col("vis_end").isNotNull().alias("end_overridden"),
+            F.col("origin.offset").alias("actual_start"), F.col("last.offset").alias("actual_end"), captures.alias("captures"), "transforms", "out",
         )
-        rows = rows.withColumns({"start": F.least("start", "end"), "end": F.greatest("start", "end")})
-        return transformed(rows, self.pattern.transform, self.names(), dict(self.pattern.out))
+        return transformed(rows)
 
 
 def scan(lists: DataFrame, patterns: list[Pattern]) -> DataFrame:
     """All matches of the patterns in token lists, each in the files of its languages, as a bag: one row for each way to match.
 
-    lists: token_lists() with folded strings and the depths of depths_of(patterns).
+    lists: token_lists() with folded strings and the bounds of depths_needed(patterns).
     """
-    again = depths_of(patterns) or any(p.items and p.items[0].kind not in SINGLE for p in patterns)
-    tables = Tables(cut(lists) if again else lists, patterns)  # runs read the lists once
-    return reduce(DataFrame.unionByName, (Scan(tables, p).matches(k) for k, p in enumerate(patterns)))
+    return Scan(lists, patterns).matches()

@@ -6,15 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.sources.languages import with_language
+from tokenloom.sources.store import list_files, read_content
 
 
 def read_files(spark: SparkSession, path: str, compat: bool = False) -> DataFrame:
     """All regular files under path whose language is known; `file` is relative to it. Unreadable files are left out."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/") + "/"
-    file = F.when(F.startswith("path", F.lit(root)), F.substring("path", len(root) + 1, 1 << 30)).otherwise("")
-    return with_language(reader.load(path), "path", compat).select(file.alias("file"), "lang", "content")
+    return read_content(with_language(list_files(spark, path), "path", compat)).select("file", "lang", "content")
 
 
 def finding_json(findings: DataFrame) -> Column:
