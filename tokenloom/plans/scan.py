@@ -12,7 +12,7 @@ Every way in which a pattern matches gives a row.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,9 +151,9 @@ class Scan:
             states = states.unionByName(empty.select(*states.columns))
         return states
 
-    @staticmethod
-    def after_run(joined: DataFrame) -> DataFrame:
-        """The states of joined(state, edge, run), whose captures fit, behind their runs."""
+    @cached_property
+    def after_ops(self) -> Column:
+        """(ok, caps, vis_start, vis_end) of a state after the ops of its edge."""
         spans, toks = F.col("spans"), F.col("toks")
 
         def op(s: Column, o: Column) -> Column:
@@ -165,41 +165,44 @@ class Scan:
             return F.struct((s["ok"] & ok).alias("ok"), F.when(is_(pg.SET, pg.POP), caps).otherwise(s["caps"]).alias("caps"), F.when(is_(pg.BEGIN), span["start"]).otherwise(s["vis_start"]).alias("vis_start"), F.when(is_(pg.FINISH), span["end"]).otherwise(s["vis_end"]).alias("vis_end"))
 
         start = F.struct(F.lit(True).alias("ok"), "caps", "vis_start", "vis_end")
-        done = joined.withColumn("s", F.aggregate("ops", start, op)).where("s.ok")
-        last = F.get(spans, F.col("size") - 1)["end"].alias("last")
-        return done.select("file", "rule", F.col("target").alias("node"), (F.col("first") + F.col("size")).alias("pos"), "after", "stops", last, "origin", "c_depth", "c_scope", "c_statement", "s.caps", "s.vis_start", "s.vis_end")
+        return F.when(F.size("ops") > 0, F.aggregate("ops", start, op)).otherwise(start)
+
+    def after_run(self, joined: DataFrame) -> DataFrame:
+        """The states of joined(state, edge, run), whose captures fit, behind their runs."""
+        done = joined.withColumn("s", self.after_ops).where("s.ok")
+        return done.selectExpr("file", "rule", "target AS node", "first + size AS pos", "after", "stops", "spans[size - 1].end AS last", "origin", "c_depth", "c_scope", "c_statement", "s.caps", "s.vis_start", "s.vis_end")
+
+    @cached_property
+    def asked(self) -> tuple[Column, Column, Column, list[Column]]:
+        """Of a state and an edge: the last place where the run may begin, the scale and value of the join's key, and the depths carried on."""
+        kind = "kind"
+        carry = "CASE kind WHEN 'scope' THEN c_scope WHEN 'statement' THEN c_statement ELSE c_depth END"
+        within = "".join(f" WHEN '{b}' THEN coalesce(get(stops[{k}], {carry}), {FAR})" for k, b in enumerate(self.bounds))
+        bound = F.expr(f"CASE {kind} WHEN '{pg.NEXT}' THEN pos{within} ELSE {FAR} END")
+        scale = F.expr(f"CASE WHEN bound = pos THEN 0 WHEN bound = {FAR} THEN 31 ELSE int(ceil(log2(bound - pos))) END")
+        value = F.expr("CASE WHEN back_k >= 0 THEN xxhash64(get(caps, back_slot)) ELSE 0L END")
+        changed = {d: f"before[{k}] - from[{k}]" for k, d in enumerate(self.runs.depths)}
+        brackets = "".join(f" WHEN '{d}' THEN c_depth + {x}" for d, x in changed.items() if d != "scope")
+        scope = changed.get("scope", "0")
+        depths = [
+            F.expr(f"CASE kind WHEN '{pg.FREE}' THEN 0{brackets} ELSE c_depth END").alias("c_depth"),
+            F.expr(f"CASE kind WHEN '{pg.FREE}' THEN 0 WHEN 'scope' THEN c_scope + {scope} ELSE c_scope END").alias("c_scope"),
+            F.expr(f"CASE WHEN kind = '{pg.FREE}' OR kind = 'scope' AND first > pos THEN 0 WHEN kind = 'statement' THEN c_statement + {scope} ELSE c_statement END").alias("c_statement"),
+        ]
+        return bound, scale, value, depths
 
     def advance(self, states: DataFrame) -> DataFrame:
         """The states one run further."""
         edges = F.broadcast(self.edges.where(f"not (node = 0 and kind = '{pg.NEXT}')").drop("languages"))
         asked = states.join(edges, ["rule", "node"])
-        kind = F.col("kind")
-        carry = F.when(kind == "scope", F.col("c_scope")).when(kind == "statement", F.col("c_statement")).otherwise(F.col("c_depth"))
-        bound = F.coalesce(*(F.when(kind == b, F.coalesce(F.get(F.get("stops", F.lit(k)), carry), F.lit(FAR))) for k, b in enumerate(self.bounds)), F.when(kind == pg.NEXT, F.col("pos")), F.lit(FAR))
-        asked = asked.withColumn("bound", bound).where("bound >= pos")
-        distance = F.col("bound") - F.col("pos")
-        scale = F.when(distance == 0, 0).when(F.col("bound") == FAR, 31).otherwise(F.ceil(F.log2(F.greatest(distance, F.lit(1)))).cast("int"))
-        value = F.when(F.col("back_k") >= 0, F.xxhash64(F.get("caps", F.col("back_slot")))).otherwise(F.lit(0).cast("long"))
-        asked = asked.withColumns({"scale": scale, "value": value})
-        shifted = lambda c: F.call_function("shiftright", F.col(c), F.col("scale"))
-        probes = asked.withColumn("bin", F.explode(F.array_distinct(F.array(shifted("pos"), shifted("bound")))))
-        probes = probes.select("*", F.col("after").alias("from")).drop("after", "stops", "last")
+        bound, scale, value, depths = self.asked
+        asked = asked.withColumn("bound", bound).where("bound >= pos").withColumns({"scale": scale, "value": value})
+        probes = asked.selectExpr("* except (after, stops, last)", "after AS from", "explode(array_distinct(array(shiftright(pos, scale), shiftright(bound, scale)))) AS bin")
         shapes = asked.select("run", "scale", "back_k").distinct()  # no more than 32 for each edge
-        runs = self.found.select("file", "run", "first", "before", "after", "stops", "toks", "spans").join(F.broadcast(shapes), "run")
-        same = F.when(F.col("back_k") >= 0, F.xxhash64(F.get("toks", F.col("back_k")))).otherwise(F.lit(0).cast("long"))
-        runs = runs.withColumns({"bin": shifted("first"), "value": same})
+        runs = self.found.join(F.broadcast(shapes), "run").selectExpr("* except (lang)", "shiftright(first, scale) AS bin", "CASE WHEN back_k >= 0 THEN xxhash64(get(toks, back_k)) ELSE 0L END AS value")
         joined = probes.join(runs, ["file", "run", "scale", "back_k", "bin", "value"]).where("first >= pos and first <= bound")
-        for k, d in enumerate(self.runs.depths):
-            changed = F.get("before", F.lit(k)) - F.get("from", F.lit(k))
-            if d != "scope":
-                joined = joined.withColumn("c_depth", F.when(kind == d, F.col("c_depth") + changed).otherwise(F.col("c_depth")))
-            else:
-                joined = joined.withColumns({
-                    "c_statement": F.when(kind == "statement", F.col("c_statement") + changed).when((kind == "scope") & (F.col("first") > F.col("pos")), 0).otherwise(F.col("c_statement")),
-                    "c_scope": F.when(kind == "scope", F.col("c_scope") + changed).otherwise(F.col("c_scope")),
-                })
-        joined = joined.withColumns({c: F.when(kind == pg.FREE, 0).otherwise(F.col(c)) for c in ("c_depth", "c_scope", "c_statement")})
-        return self.after_run(joined.where("not closed or c_depth = 0"))
+        carried = joined.select(*(c for c in joined.columns if not c.startswith("c_")), *depths)
+        return self.after_run(carried.where("not closed or c_depth = 0"))
 
     def accepted(self, states: DataFrame) -> DataFrame:
         """The states that are matches, once for each way to leave the rule there."""
@@ -230,8 +233,7 @@ class Scan:
         """Matches with their rule's names, spans the right way round, and captures that fit the rule's expressions."""
         rules = F.broadcast(self.table(self.program.rules, pg.RULES))
         rows = found.join(rules, "rule")
-        pairs = F.arrays_zip("slots", F.slice("caps", F.lit(1), F.size("slots"))) if self.program.rules and any(r[3] for r in self.program.rules) else None
-        captures = F.map_from_entries(F.filter(F.transform("slots", lambda n, i: F.struct(n.alias("key"), F.get("caps", i).alias("value"))), lambda e: e["value"].isNotNull())) if pairs is not None else F.create_map().cast("map<string,binary>")
+        captures = F.expr("map_from_entries(filter(transform(slots, (n, i) -> struct(n AS key, get(caps, i) AS value)), e -> e.value IS NOT NULL))")
         start, end = F.coalesce("vis_start", "origin"), F.coalesce("vis_end", "last")
         rows = rows.select(
             "file", F.col("rule").alias("pattern_id"), "name", "grp", F.least(start, end).alias("start"), F.greatest(start, end).alias("end"), F.col("vis_start").isNotNull().alias("start_overridden"), F.col("vis_end").isNotNull().alias("end_overridden"),

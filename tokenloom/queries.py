@@ -6,18 +6,18 @@ by a replacement, in Spark and in SQL alike.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.api import find
-from tokenloom.functions.shared import cut
+from tokenloom.functions.shared import cut, new_folder
 from tokenloom.functions.tokenize import as_text, tokenize
-from tokenloom.plans.pattern import expand, load
-from tokenloom.sources.files import finding_json
+from tokenloom.plans.pattern import expand, load, load_files
+from tokenloom.sources.files import finding_json, read_files
 from tokenloom.sources.languages import language_of
+from tokenloom.sources.store import delete, write_files
 from tokenloom.streaming.chunks import read_findings, scan_stream
 
 FLAGSHIP = "lit_capture_track"
@@ -115,7 +115,7 @@ ORACLES["lit_capture_track"] = f"{_TRACK} SELECT file, s, e, t2 AS n FROM hits"
 
 @query
 def set_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P9, P10."""
+    """P9."""
     return flat(find(pages(spark, sf_dir), patterns("track(..^ $N ..$)")), "N")
 
 
@@ -135,7 +135,7 @@ FROM runs WHERE kind IN ('string', 'identifier') AND t1 = '(' AND t3 = ')' AND k
 
 @query
 def secret_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P2, R2, R3, R4."""
+    """P2, R2, R3."""
     found = find(documents(spark, sf_dir), patterns("token = $V", language="c", transform={"V": r'^"(?<HEAD>[A-Za-z0-9]{4})[^"]*"$'}))
     return flat(found, "V", "HEAD")
 
@@ -227,7 +227,7 @@ ORACLES["alternation"] = f"{_TRACK}, calls AS (SELECT *, lag(s) OVER (PARTITION
 
 @query
 def repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Any number of closing tags between the end of the call and the beginning of the page's body."""
+    """Any number of closing tags between the end of the call and the beginning of the page's body."""
     return flat(find(pages(spark, sf_dir), patterns("$N ) ; ..* < / $_ > ..* < body >")), "N")
 
 
@@ -238,7 +238,7 @@ SELECT p.file, p.s, r.e2 AS e, p.n FROM part p JOIN runs r ON r.file = p.file AN
 
 @query
 def template_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X6, X7, D5."""
+    """X6."""
     return flat(find(pages(spark, sf_dir), patterns("{{F}} ( {{G}} )", templates={"F": ["track", "load"], "G": ["$N", "$N , $M"]})), "N")
 
 
@@ -270,9 +270,9 @@ ORACLES["group_cancel"] = f"{_GROUP}, calls AS (SELECT * FROM runs WHERE kind IN
 
 @query
 def group_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One finding for each member of a unique rule."""
+    """One finding for each member of a unique rule."""
     rules = patterns("track($N)", name="call", group={"name": "g"}) + patterns("$T > ..} track($_) ;", name="tag", group={"name": "g", "unique": True})
-    return flat(find(pages(spark, sf_dir), rules).where("captures['N'] is not null"), "N", "T")
+    return flat(find(pages(spark, sf_dir), rules), "N", "T")
 
 
 ORACLES["group_unique"] = f"""{_TRACK}{DEPTHS}, tags AS (SELECT a.file, a.s, z.e, a.tok AS t FROM deep a JOIN deep g ON g.file = a.file AND g.idx = a.idx + 1 AND g.tok = '>' AND g.kind = 'byte' JOIN hits c ON c.file = a.file AND c.idx > a.idx + 1 JOIN tokens z ON z.file = c.file AND z.idx = c.idx + 4 AND z.tok = ';'
@@ -385,8 +385,7 @@ def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     cuts = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("content") / size).cast("int") - 1, F.lit(0)))
     chunks = whole.select("file", "lang", "content", F.explode(cuts).alias("seq"))
     chunks = chunks.select("file", "lang", "seq", F.col("content").substr(F.col("seq") * size + 1, F.lit(size)).alias("content"), ((F.col("seq") + 1) * size >= F.length("content")).alias("last"))
-    cut(spark.range(1))  # sets the shared folder
-    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "stream")
     for k in range(4):
         chunks.where(F.pmod(F.xxhash64("file", "seq"), F.lit(4)) == k).unionByName(chunks.where(F.pmod(F.xxhash64("file", "seq"), F.lit(29)) == k)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
@@ -399,8 +398,81 @@ ORACLES["stream_equals_batch"] = f"WITH {C_TOKENS}, runs AS (SELECT file, s, tok
 
 @query
 def template_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Combinations of template values."""
-    return spark.createDataFrame([(x,) for x in expand("{{A}}-{{B}}-{{A}}", {"A": ["1", "2"], "B": ["x", "y"]})], "pattern string")
+    """The values of a template text, and how many documents hold each."""
+    values = spark.createDataFrame([(x,) for x in expand("{{A}}{{B}}{{A}}", {"A": ["a", "e"], "B": ["n", "r"]})], "pattern string")
+    met = documents(spark, sf_dir).join(F.broadcast(values), F.contains("content", "pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
+    return values.join(met, "pattern", "left").select("pattern", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-ORACLES["template_values"] = "SELECT * FROM (VALUES ('1-x-1'), ('1-y-1'), ('2-x-2'), ('2-y-2')) AS v(pattern)"
+ORACLES["template_values"] = "SELECT pattern, (SELECT count(*) FROM documents WHERE contains(text, pattern)) AS n FROM (VALUES ('ana'), ('ara'), ('ene'), ('ere')) AS v(pattern)"
+
+
+@query
+def folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a file, under names and folders that begin with `_` or `.` or have brackets, and rules in a folder of such names."""
+    folder = new_folder(spark, "files")
+    part = lambda names, n: F.get(F.array(*map(F.lit, names)), (F.col("file").cast("long") % n).cast("int"))
+    name = F.concat(part(_FOLDERS, len(_FOLDERS)), part(_BEGINNINGS, len(_BEGINNINGS)), F.col("file"), part(_ENDINGS, len(_ENDINGS)))
+    write_files(pages(spark, sf_dir).withColumn("file", name), f"{folder}/in")
+    rules = spark.createDataFrame([(".rules/_a.yml", "patterns: ['track($N)']\nlanguages: [js]"), ("b.yaml", "patterns: ['nowhere $X']\nlanguages: [ts]"), ("c.YML", "no rule")], "file string, content string")
+    write_files(rules, f"{folder}/rules")
+    found = cut(flat(find(read_files(spark, f"{folder}/in"), load_files(spark, f"{folder}/rules")), "N"))
+    delete(spark, folder)
+    return found
+
+
+_FOLDERS, _BEGINNINGS, _ENDINGS = ["", ".d/", "__tests__/", "g[1]/", "deep/er er/"], ["__init__", ".p", "p", "_q?", "é*", "{r}", "s"], [".js", ".mjs", ".txt"]
+ORACLES["folder_scan"] = f"{_TRACK} SELECT ({_FOLDERS})[file::BIGINT % {len(_FOLDERS)} + 1] || ({_BEGINNINGS})[file::BIGINT % {len(_BEGINNINGS)} + 1] || file || ({_ENDINGS})[file::BIGINT % {len(_ENDINGS)} + 1] AS file, s, e, t2 AS n FROM hits WHERE file::BIGINT % 3 < 2"
+
+
+@query
+def many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """200 rules, one for each name of a tag, most of which no page has."""
+    rules = [p for w in _TAGS for p in patterns(f"< {w} $A = $V", name=w)]
+    found = find(pages(spark, sf_dir), rules)
+    return found.select("file", "name", F.col("start.offset").alias("s"), F.col("end.offset").alias("e"), F.col("captures")["A"].alias("a"), F.col("captures")["V"].alias("v"))
+
+
+_TAGS = ["a", "body", "div", "form", "head", "html", "img", "input", "li", "link", "main", "meta", "nav", "p", "script", "section", "span", "style", "ul", "article"] + [f"tag{k}" for k in range(180)]
+ORACLES["many_rules"] = f"""WITH {JS_TOKENS}, runs AS (SELECT file, s, tok, lead(tok) OVER w AS t1, lead(tok, 2) OVER w AS t2, lead(kind, 2) OVER w AS k2, lead(tok, 3) OVER w AS t3, lead(tok, 4) OVER w AS t4, lead(kind, 4) OVER w AS k4, lead(e, 4) OVER w AS e FROM tokens WINDOW w AS (PARTITION BY file ORDER BY idx))
+SELECT file, t1 AS name, s, e, t2 AS a, t4 AS v FROM runs WHERE tok = '<' AND list_contains({_TAGS}, t1) AND k2 IN ('string', 'identifier') AND t3 = '=' AND k4 IN ('string', 'identifier')"""
+
+
+@query
+def repetition_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Any number of opening or closing tags without attributes, and the tag that follows."""
+    return flat(find(pages(spark, sf_dir), patterns("track ( $N ) ; ..* < / $_ > ..| < $_ > ..* < $W")), "N", "W")
+
+
+ORACLES["repetition_branches"] = f"""WITH RECURSIVE {JS_TOKENS}, runs AS (SELECT file, idx, s, lead(e) OVER w AS e1, tok, kind, lead(tok) OVER w AS t1, lead(kind) OVER w AS k1, lead(tok, 2) OVER w AS t2, lead(kind, 2) OVER w AS k2, lead(tok, 3) OVER w AS t3, lead(tok, 4) OVER w AS t4 FROM tokens WINDOW w AS (PARTITION BY file ORDER BY idx)),
+part(file, s, n, pos) AS (SELECT file, s, t2, idx + 5 FROM runs WHERE tok = 'track' AND t1 = '(' AND k2 IN ('string', 'identifier') AND t3 = ')' AND t4 = ';' UNION ALL SELECT p.file, p.s, p.n, p.pos + CASE WHEN t1 = '/' THEN 4 ELSE 3 END FROM part p JOIN runs r ON r.file = p.file AND r.idx = p.pos
+  WHERE r.tok = '<' AND (t1 = '/' AND k2 IN ('string', 'identifier') AND t3 = '>' OR k1 IN ('string', 'identifier') AND t2 = '>'))
+SELECT p.file, p.s, r.e1 AS e, p.n, r.t1 AS w FROM part p JOIN runs r ON r.file = p.file AND r.idx = p.pos WHERE r.tok = '<' AND r.k1 IN ('string', 'identifier')"""
+
+
+@query
+def group_equals_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A named group of a capture's expression has the name of another capture: only equal values are kept."""
+    return flat(find(documents(spark, sf_dir), patterns("$A $B", language="c", transform={"A": "(?<B>[a-z]+)$"})), "A", "B")
+
+
+ORACLES["group_equals_capture"] = f"WITH {C_TOKENS}, runs AS (SELECT file, s, tok, kind, lead(tok) OVER w AS b, lead(kind) OVER w AS kb, lead(e) OVER w AS e FROM tokens WINDOW w AS (PARTITION BY file ORDER BY idx)) SELECT file, s, e, tok AS a, b FROM runs WHERE kind IN ('string', 'identifier') AND kb IN ('string', 'identifier') AND regexp_extract(tok, '([a-z]+)$', 1) = b AND b <> ''"
+
+
+@query
+def span_reversed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P10: a span that ends before it begins is turned round."""
+    return flat(find(pages(spark, sf_dir), patterns("track ..$ ( ..^ $N )")), "N")
+
+
+ORACLES["span_reversed"] = f"{_TRACK} SELECT file, s + 5 AS s, s2 AS e, t2 AS n FROM hits"
+
+
+@query
+def group_unique_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No more than two results for the unique members of a finding."""
+    rules = patterns("track($N)", name="call", group={"name": "g"}) + patterns("$T > ..} track($_) ;", name="tag", group={"name": "g", "unique": True})
+    return flat(find(pages(spark, sf_dir), rules, max_unique=2), "N", "T")
+
+
+ORACLES["group_unique_limited"] = ORACLES["group_unique"].replace("k <= 64", "k <= 2")
