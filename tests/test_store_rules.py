@@ -106,7 +106,8 @@ def test_graphs_of_rules():
         return sorted((e[1], e[2], e[4]) for e in p.edges), sorted((n, w) for _, n, w in p.accepted), p.longest()
 
     assert graph("a ... b") == ([(0, "next", 1), (1, "free", 2)], [(2, 1)], 2)
-    assert graph("a ..* b ..| c ..* d") == ([(0, "next", 1), *[(n, "next", t) for n in (1, 2, 3) for t in (2, 3, 4)]], [(4, 1)], None)
+    assert graph("a ..* b ..| c ..* d") == ([(0, "next", 1), (1, "next", 2), (1, "next", 2), (1, "next", 3), (2, "next", 3)], [(3, 1)], 3)
+    assert graph("$X ..* b $X ..| c $X ..* d") == ([(0, "next", 1), *[(n, "next", t) for n in (1, 2, 3) for t in (2, 3, 4)]], [(4, 1)], None)
     assert graph("a ..- ..| ..- b") == ([(0, "next", 1), (1, "next", 2), (1, "next", 2)], [(2, 1)], 2)
     assert graph("a ..- b ..| ..-") == ([(0, "next", 1), (1, "next", 2)], [(1, 1), (2, 1)], 2)
 
@@ -151,6 +152,19 @@ def test_one_file_with_many_starts_and_stops(spark):
     assert asked.selectExpr("max(bound - pos)").first()[0] == 1
 
 
+def test_long_repetitions_take_few_rounds(spark, monkeypatch):
+    """3,000 turns: steps are doubled, so the number of stored tables follows their logarithm; each way to match is a row."""
+    from tokenloom.plans import scan
+
+    stored = []
+    monkeypatch.setattr(scan, "cut", lambda df: stored.append(1) or cut(df))
+    text = "go " + "x = 1 ; " * 3000 + "end ; go y y z"
+    files = queries.snippets(spark, "c", [text])
+    rows = find(files, load("patterns: ['go ..* x = $_ ; ..* end', 'go ..* y ..| y ..| y y ..* z']\nlanguages: [c]")).collect()
+    assert sorted((r.start.offset, r.end.offset) for r in rows) == [(0, len(text) - 13)] + [(len(text) - 8, len(text))] * 5
+    assert len(stored) <= 2 * 13 + 6
+
+
 # --- regular expressions
 
 

@@ -18,6 +18,8 @@ from tokenloom.functions.captures import TRANSFORMS, transforms_of
 from tokenloom.functions.structure import BOUNDS
 from tokenloom.plans.pattern import Item, Pattern
 
+#: Items that test a token and leave captures alone.
+PLAIN = ("byte", "token", "level", "any")
 SINGLE = ("byte", "token", "level", "capture", "back", "any", "replace", "pop")
 #: Tests of a run's tokens.
 BYTE, TOKEN, LEVEL, ANY = range(4)
@@ -87,6 +89,9 @@ class Program:
     #: Bounds that are asked for behind a run; node 0 of rules that begin with an ellipsis.
     bounds_after: dict[int, set[str]] = field(default_factory=dict)
     begins: list[tuple] = field(default_factory=list)
+    #: Repetitions of single runs without captures: (rule, node, loop), and their runs: (loop, run).
+    loops: list[tuple] = field(default_factory=list)
+    bodies: dict[tuple[int, ...], int] = field(default_factory=dict)
 
     @staticmethod
     def of(patterns: list[Pattern]) -> Program:
@@ -136,7 +141,8 @@ class _Rule:
         self.program, self.rule, self.pattern = program, rule, pattern
         self.names = captures_of(pattern.items)
         self.nodes = 0
-        self.run_at: dict[int, int] = {}  # node -> the run before it
+        self.twice: set[int] = set()  # nodes inside repetitions, after the first turn
+        self.runs_at: dict[int, set[int]] = {}  # node -> the runs before it
 
     def add(self) -> None:
         p, program = self.pattern, self.program
@@ -170,7 +176,19 @@ class _Rule:
         return self.run(ways, run)
 
     def turns(self, ways: Open, branches: tuple[tuple[Item, ...], ...]) -> Open:
-        """Any number of turns: what a branch leads to leads into all branches again."""
+        """Any number of turns: what a branch leads to leads into all branches again.
+
+        Turns of single runs that leave captures alone are one node, on which the scan composes turns by doubling.
+        """
+        if all(kind == NEXT for _, kind in ways) and all(x.kind in PLAIN for b in branches for x in b):
+            self.nodes += 1
+            node, before = self.nodes, len(self.program.edges)
+            for b in branches:
+                self.run(ways, list(b), node)
+            body = tuple(sorted(e[3] for e in self.program.edges[before:] if e[1] == next(iter(ways))[0]))
+            loop = self.program.bodies.setdefault(body, len(self.program.bodies))
+            self.program.loops.append((self.rule, node, loop))
+            return ways + Counter({(node, NEXT): 1})
         all_, fresh = Counter(ways), ways
         first = self.nodes
         while fresh:
@@ -178,19 +196,21 @@ class _Rule:
             self.nodes = first  # each turn goes through the same nodes
             for b in branches:
                 reached += self.follow(fresh, b)
+            self.twice.update(range(first + 1, self.nodes + 1))
             fresh = Counter({k: 1 for k in reached if k not in all_})
             all_ += fresh
         return all_
 
-    def run(self, ways: Open, items: list[Item]) -> Open:
-        """Edges from all open ways over the run to a new node."""
+    def run(self, ways: Open, items: list[Item], target: int = 0) -> Open:
+        """Edges from all open ways over the run to a new node, or to `target`."""
         if not items:
             return ways
         program, names = self.program, self.names
         shape = run_of(items)
         number = program.runs.setdefault(shape, len(program.runs))
-        self.nodes += 1
-        target = self.nodes
+        if not target:
+            self.nodes += 1
+            target = self.nodes
         ops: list[tuple[int, int, int, int]] = []
         back: tuple[int, int] | None = None
         touched: set[str] = set()
@@ -210,12 +230,12 @@ class _Rule:
         for (node, kind), n in ways.items():
             closed = items[0].kind == "byte" and items[0].text == _CLOSERS.get(kind)
             if kind not in (NEXT, FREE):
-                if node:
-                    program.bounds_after.setdefault(self.run_at[node], set()).add(kind)
+                for before in self.runs_at.get(node, ()):
+                    program.bounds_after.setdefault(before, set()).add(kind)
             if not node and kind != NEXT:
                 program.begins.append((self.rule, kind, list(self.pattern.languages)))
             edge = (self.rule, node, kind, number, target, ops, closed, *(back or (-1, -1)), len(items), list(self.pattern.languages))
-            if edge not in program.edges[-64:]:  # a turn of a repetition may come here again
+            if target not in self.twice or edge not in program.edges:  # a turn of a repetition comes here again
                 program.edges += [edge] * n
-        self.run_at[target] = number
+        self.runs_at.setdefault(target, set()).add(number)
         return Counter({(target, NEXT): 1})

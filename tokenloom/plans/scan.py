@@ -185,9 +185,9 @@ class Scan:
         brackets = "".join(f" WHEN '{d}' THEN c_depth + {x}" for d, x in changed.items() if d != "scope")
         scope = changed.get("scope", "0")
         depths = [
-            F.expr(f"CASE kind WHEN '{pg.FREE}' THEN 0{brackets} ELSE c_depth END").alias("c_depth"),
-            F.expr(f"CASE kind WHEN '{pg.FREE}' THEN 0 WHEN 'scope' THEN c_scope + {scope} ELSE c_scope END").alias("c_scope"),
-            F.expr(f"CASE WHEN kind = '{pg.FREE}' OR kind = 'scope' AND first > pos THEN 0 WHEN kind = 'statement' THEN c_statement + {scope} ELSE c_statement END").alias("c_statement"),
+            F.expr(f"CASE kind WHEN '{pg.FREE}' THEN if(first > pos, 0, c_depth){brackets} ELSE c_depth END").alias("c_depth"),
+            F.expr(f"CASE kind WHEN '{pg.FREE}' THEN if(first > pos, 0, c_scope) WHEN 'scope' THEN c_scope + {scope} ELSE c_scope END").alias("c_scope"),
+            F.expr(f"CASE WHEN kind IN ('{pg.FREE}', 'scope') AND first > pos THEN 0 WHEN kind = 'statement' THEN c_statement + {scope} ELSE c_statement END").alias("c_statement"),
         ]
         return bound, scale, value, depths
 
@@ -204,6 +204,28 @@ class Scan:
         carried = joined.select(*(c for c in joined.columns if not c.startswith("c_")), *depths)
         return self.after_run(carried.where("not closed or c_depth = 0"))
 
+    def closed(self, states: DataFrame) -> DataFrame:
+        """The states, and those after any number of turns of a repetition that is one node.
+
+        Steps of 1, 2, 4, ... turns are joined with themselves, and states with them: n turns take log n rounds.
+        """
+        if not self.program.loops:
+            return states
+        inside = states.join(F.broadcast(self.table(self.program.loops, "rule int, node int, loop int")), ["rule", "node"])
+        body = F.broadcast(self.table([(loop, run) for runs, loop in self.program.bodies.items() for run in runs], "loop int, run int"))
+        keys = ["file", "loop", "pos"]
+        steps = self.found.join(body, "run").selectExpr("file", "loop", "first AS pos", "first + size(toks) AS to", "after AS a", "stops AS s", "spans[size(toks) - 1].end AS l")
+        steps = cut(steps.join(inside.select("file", "loop").distinct(), ["file", "loop"], "left_semi"))
+        reached, all_ = cut(inside), [states]
+        columns = [c for c in reached.columns if c not in ("pos", "after", "stops", "last")]
+        while not steps.isEmpty():
+            further = cut(reached.join(steps, keys).select(*columns, F.col("to").alias("pos"), F.col("a").alias("after"), F.col("s").alias("stops"), F.col("l").alias("last")))
+            all_.append(further.select(*states.columns))
+            reached = reached.unionByName(further)
+            second = steps.select("file", "loop", F.col("pos").alias("to"), F.col("to").alias("to2"), F.col("a").alias("a2"), F.col("s").alias("s2"), F.col("l").alias("l2"))
+            steps = cut(steps.join(second, ["file", "loop", "to"]).selectExpr("file", "loop", "pos", "to2 AS to", "a2 AS a", "s2 AS s", "l2 AS l"))
+        return reduce(DataFrame.unionByName, all_)
+
     def accepted(self, states: DataFrame) -> DataFrame:
         """The states that are matches, once for each way to leave the rule there."""
         ends = F.broadcast(self.table(self.program.accepted, pg.ACCEPTED))
@@ -212,22 +234,18 @@ class Scan:
 
     def matches(self) -> DataFrame:
         states = self.first_states()
-        if not self.longest and self.longest is not None:
-            return self.named(states.limit(0)) if not self.program.accepted else self.named(self.accepted(states))
-        states = cut(states)
-        found = [self.accepted(states)]
+        if self.longest == 1 and not self.program.loops and not self.program.begins:
+            return self.named(self.accepted(states))
+        found = []
         turn = 1
-        while self.longest is None or turn <= self.longest - 1:
+        while True:
+            last = turn == self.longest
+            states = states if last and not self.program.loops else self.closed(cut(states))
+            found.append(self.accepted(states))
+            if last or self.longest is None and states.isEmpty():
+                return self.named(reduce(DataFrame.unionByName, found))
             states = self.advance(states)
             turn += 1
-            if turn == self.longest:
-                found.append(self.accepted(states))
-                break
-            states = cut(states)
-            found.append(self.accepted(states))
-            if states.isEmpty():
-                break
-        return self.named(reduce(DataFrame.unionByName, found))
 
     def named(self, found: DataFrame) -> DataFrame:
         """Matches with their rule's names, spans the right way round, and captures that fit the rule's expressions."""
