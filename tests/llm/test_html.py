@@ -100,3 +100,111 @@ def test_grow_is_brute_force():
     tree = html_extract.grow(x, y)
     assert isinstance(tree, tuple)
     check(tree, x, y)
+
+
+NAV = '<nav><a href="/">Home</a> <a href="/b">About us</a></nav>'
+ARTICLE = "".join(f"<p>{x}</p>" for x in LONG)
+MISLEADING = ['class="comments-on-law"', 'id="navigation-history"', 'class="share-economy"', 'class="nav-open"', 'id="overlay-root"', 'class="overlay"', 'class="nav"', 'class="sidebar-left no-sidebar"', 'class="menu-page" id="cookies-2"']
+
+
+@pytest.mark.parametrize("name", MISLEADING)
+def test_names_do_not_decide_alone(name):
+    """Main text, or a whole page, under a name that frames have."""
+    want = "\n\n".join(LONG)
+    assert html_extract.main_text(f"<body>{NAV}<div {name}>{ARTICLE}</div><footer>&copy; us</footer></body>") == want
+    assert html_extract.main_text(f"<body><div {name}>{NAV}<article>{ARTICLE}</article><footer>&copy; us</footer></div></body>") == want
+
+
+@pytest.mark.parametrize("name", ['id="related-work"', 'id="login-guide"', 'class="share-of-costs"', 'class="comments-on-law"'])
+def test_sections_of_articles_stay(name):
+    want = "\n\n".join([*LONG, "More on it", *LONG, *LONG])
+    assert html_extract.main_text(f"<body>{NAV}<article>{ARTICLE}<section {name}><h2>More on it</h2>{ARTICLE}</section>{ARTICLE}</article></body>") == want
+
+
+@pytest.mark.parametrize("main", ["article", "main"])
+def test_frames_without_names_go(main):
+    """A notice and readers' comments in running text and in plain elements, on a page that marks its main text."""
+    notice = "<div>We use cookies to count our readers and to remember what they like to read on this site and on others of ours.</div>"
+    comments = f"<section><h3>2 comments</h3><p>{LONG[2]}</p><p>I agree with all of it.</p></section>"
+    assert html_extract.main_text(f"<body>{notice}{NAV}<{main}><h1>{HEAD}</h1>{ARTICLE}</{main}>{comments}</body>") == "\n\n".join([HEAD, *LONG])
+
+
+def plain_text(page, tree):
+    """main_text() by the standard library's parser, for well-formed pages: words held by each element are counted from its whole text."""
+    from html.parser import HTMLParser
+
+    class Parser(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.path, self.runs, self.links = [], [], 0
+
+        def handle_starttag(self, tag, attrs):
+            text = "".join(f' {k}="{v}"' for k, v in attrs)
+            article = any(html_extract.ARTICLE in e["marks"] for e in self.path)
+            if tag in html_extract.BLOCKS:
+                self.runs.append(None)
+            self.links += tag == "a"
+            self.path.append({"tag": tag, "marks": html_extract.marks_of(tag, text, article), "words": 0})
+
+        def handle_endtag(self, tag):
+            if tag in html_extract.BLOCKS:
+                self.runs.append(None)
+            self.links -= tag == "a"
+            self.path.pop()
+
+        def handle_data(self, data):
+            if not any(e["tag"] in ("script", "style", "title") for e in self.path):
+                for e in self.path:
+                    e["words"] += len(data.split())
+                self.runs.append((data, list(self.path), self.links))
+
+    p = Parser()
+    p.feed(page)
+    groups, now = [], []
+    for r in [*p.runs, None]:
+        if r is not None:
+            now.append(r)
+        elif now:
+            groups.append(now)
+            now = []
+    blocks = []
+    for g in groups:
+        if not (text := " ".join("".join(x[0] for x in g).split())):
+            continue
+        n, path = sum(len(x[0].split()) for x in g), g[-1][1]
+        has = lambda k, path=path: [e for e in path if k in e["marks"]]
+        blocks.append({"text": text, "n": n, "links": sum(len(x[0].split()) for x in g if x[2]) / max(n, 1), "has": has, "stop": text[-1] in ".!?"})
+    total = max(1, sum(b["n"] for b in blocks))
+    inside = sum(b["n"] for b in blocks if b["has"](html_extract.ARTICLE))
+    size = lambda k, b: (b[k] if b else 0.0)
+    out = []
+    for i, b in enumerate(blocks):
+        before, after = blocks[i - 1] if i else None, blocks[i + 1] if i + 1 < len(blocks) else None
+        share = lambda k, b=b: 1 - b["has"](k)[-1]["words"] / total if b["has"](k) else 0.0
+        article = bool(b["has"](html_extract.ARTICLE))
+        x = [b["n"], b["links"], size("n", before), size("links", before), size("n", after), size("links", after), b["stop"], bool(b["has"](html_extract.HEADING)), -1 if b["has"](html_extract.FRAME) else article, share(html_extract.NAMED), share(html_extract.VAGUE), 0 if article else inside / total]
+        node = tree
+        while isinstance(node, tuple):
+            node = node[2] if x[node[0]] <= node[1] else node[3]
+        if node >= 0.5:
+            out.append(b["text"])
+    return "\n\n".join(out)
+
+
+def test_extraction_is_that_of_a_plain_parser():
+    """Well-formed laid-out pages, block by block, by another parser, another count of words and another walk of the tree."""
+    tree, compared = html_extract.tree(), 0
+    for k in range(80):
+        page = training.Page(70_000 + k)
+        page.paragraph = lambda p=page: f"<p>{p.sentences(4, 60)}</p>"
+        text = page.text().replace(' data-main="1"', "").replace(' data-main="0"', "")
+        if "<input" in text or "<p>" in text and text.count("<p>") != text.count("</p>") or "<br" in text:
+            text = text.replace("<input type=text>", "").replace("<br>", " ")
+        assert html_extract.main_text(text) == plain_text(text, tree), k
+        compared += 1
+    assert compared == 80
+
+
+def test_nested_hidden_elements():
+    assert html_extract.main_text(f"<article><svg><svg><text>in</text></svg><text>out of it</text></svg>{ARTICLE}</article>") == "\n\n".join(LONG)
+    assert html_extract.main_text(f"<article><svg/><svg><g>x</g></svg>{ARTICLE}<object><object></object></article>") == "\n\n".join(LONG)

@@ -2,8 +2,10 @@
 
 A page is cut into text blocks at block-level tags. FEATURES of a block are its number of words and its link density
 (share of words inside links), the same of the blocks before and after it, whether it ends like a sentence, whether it is
-a heading, its place (in an article element, in the page's frame by tag, role, name or being hidden, or neither) and,
-under a name (class or id) that says little, how small a part of the page's words the named element holds. A decision tree says which blocks are main text; they are joined in page order. It is trained once, on the driver,
+a heading, its place (in an article element, in the page's frame by tag, role or being hidden, or neither), what part of
+the page's words lies in article elements if the block does not, and, under a name (class or id) of a frame, how small a part of
+the page's words the named element holds: no name decides by itself, and what most of a page is under is no frame. A name
+counts if it has no other words than such names have; names that main text has too are a feature of their own. A decision tree says which blocks are main text; they are joined in page order. It is trained once, on the driver,
 on the blocks of TRAINING_PAGES labelled pages, which training.py lays out in many ways, with and without telling names.
 
 A page is read in one pass: a tag without end, or with an odd quotation mark, costs one look at the rest of the page, not
@@ -44,7 +46,8 @@ FRAME_NAMES = set(
 )
 #: Names that frames have, but main text has too.
 VAGUE_NAMES = set("notice alert side widget widgets social discussion foot header search form legal disclaimer promotion".split())
-CONTENT_NAMES = set("content main article post entry story has with no page wrapper container layout body text".split())
+#: Words that names of frames are made of besides; a name with any other word (share-economy, nav-open, no-sidebar) is none.
+GLUE = set("content main article post entry page site wrapper wrap container body text box bar list item items area block section top bottom left right slot unit inner outer holder group panel column col row title heading links link thread primary secondary big small mobile desktop global local".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 
 TRAINING_PAGES = 400
@@ -72,9 +75,12 @@ def marks_of(tag: str, attrs: str, in_article: bool) -> tuple[int, ...]:
     found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(attrs)}
     if "hidden" in found or _UNSHOWN.search(found.get("style", "")) or found.get("role") in FRAME_ROLES:
         out.append(FRAME)
-    names = {x for k in ("class", "id") for x in _NAME.findall(found.get(k, ""))}
-    if not names & CONTENT_NAMES:
-        out += [NAMED] * bool(names & FRAME_NAMES) + [VAGUE] * bool(names & VAGUE_NAMES)
+    for name in " ".join(found.get(k, "") for k in ("class", "id")).split():
+        words = {x for x in _NAME.findall(name) if not x.isdigit()}
+        if words <= FRAME_NAMES | VAGUE_NAMES | GLUE:
+            kind = NAMED if words & FRAME_NAMES else VAGUE if words & VAGUE_NAMES else None
+            if kind is not None and kind not in out:
+                out.append(kind)
     return tuple(out)
 
 
@@ -95,6 +101,20 @@ def tags_of(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
             ends[name] = i
         return ends.get(name, -1)
 
+    pairs: dict[str, dict[int, int]] = {}
+
+    def pair_of(name: str, start: int) -> int:
+        """Where the end tag that belongs to the tag at start begins, others of the name in it set aside, or -1."""
+        if name not in pairs:
+            open_, found = [], pairs.setdefault(name, {})
+            for m in re.finditer(rf"<(/?){name}(?=[\s/>]|$)", lower):
+                if not m[1]:
+                    if lower[lower.find(">", m.end()) - 1] != "/":
+                        open_.append(m.start())
+                elif open_:
+                    found[open_.pop()] = m.start()
+        return pairs[name].get(start, -1)
+
     while (start := page.find("<", at)) >= 0:
         if page.startswith("<!--", start):
             m = _COMMENT_END.search(page, start + 2)
@@ -121,9 +141,7 @@ def tags_of(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
             stop = len(page) if i < 0 else (page.find(">", i) + 1 or len(page))
             yield start, stop, "", False, ""
         elif not m[1] and name in HIDDEN_TAGS and not attrs.endswith("/"):
-            i = end_tag(name, stop)
-            again = lower.find(f"<{name}", stop, i) if i >= 0 else -1
-            if i >= 0 and (again < 0 or lower[again + len(name) + 1 : again + len(name) + 2] not in (">", "/", " ", "\t", "\n", "\r", "\f")):
+            if (i := pair_of(name, start)) >= 0:
                 stop = page.find(">", i) + 1 or len(page)
             yield start, stop, "", False, ""
         else:
@@ -138,8 +156,9 @@ def blocks_of(page: str) -> list[dict]:
     open_: Counter[str] = Counter()
     marks = [0] * 5
     label: str | None = None
-    vague = -1  # number of the outermost vaguely named element that is open
+    named: dict[int, list[int]] = {NAMED: [], VAGUE: []}  # numbers of the elements so named that are open
     held: list[int] = []  # words in each of them
+    article = seen = 0  # words in article and main elements, and in all
     pieces: list[str] = []
     counts = [0, 0]  # words, words in links
     link, at = 0, 0
@@ -153,11 +172,12 @@ def blocks_of(page: str) -> list[dict]:
             counts[1] += n * link
 
     def flush() -> None:
+        nonlocal article, seen
         words = " ".join("".join(pieces).split())
         if words:
-            blocks.append({"text": words, "label": label, "words": counts[0], "links": counts[1] / max(counts[0], 1), "stop": int(words[-1] in ".!?。！？…\"”»"), "heading": int(marks[HEADING] > 0), "place": -1 if marks[FRAME] or marks[NAMED] else int(marks[ARTICLE] > 0), "vague": vague if marks[VAGUE] else -1})
-            if marks[VAGUE]:
-                held[vague] += counts[0]
+            blocks.append({"text": words, "label": label, "words": counts[0], "links": counts[1] / max(counts[0], 1), "stop": int(words[-1] in ".!?。！？…\"”»"), "heading": int(marks[HEADING] > 0), "place": -1 if marks[FRAME] else int(marks[ARTICLE] > 0), "named": named[NAMED][-1] if named[NAMED] else -1, "vague": named[VAGUE][-1] if named[VAGUE] else -1, "apart": 0.0 if marks[ARTICLE] else 1.0})
+            article += counts[0] * (marks[ARTICLE] > 0)
+            seen += counts[0]
         pieces.clear()
         counts[:] = [0, 0]
 
@@ -167,6 +187,9 @@ def blocks_of(page: str) -> list[dict]:
         open_[tag] -= 1
         for k in had:
             marks[k] -= 1
+            if k in named:
+                number = named[k].pop()
+                held[number] = seen - held[number]
 
     for start, stop, tag, is_end, attrs in tags_of(page):
         text(page[at:start])
@@ -197,21 +220,26 @@ def blocks_of(page: str) -> list[dict]:
                 labelled = re.search(r'data-main="([01])"', attrs) if "data-main" in attrs else None
                 stack.append((tag, found, label))
                 open_[tag] += 1
-                if VAGUE in found and not marks[VAGUE]:
-                    vague = len(held)
-                    held.append(0)
+                for k in found:
+                    if k in named:
+                        named[k].append(len(held))
+                        held.append(seen)  # before it; what it holds when it is closed
                 for k in found:
                     marks[k] += 1
                 label = labelled[1] if labelled else label
     text(page[at:])
     flush()
+    while stack:
+        pop()
     total = max(1, sum(b["words"] for b in blocks))
     for b in blocks:
-        b["vague"] = 1 - held[b["vague"]] / total if b["vague"] >= 0 else 0.0
+        for k in ("named", "vague"):
+            b[k] = 1 - held[b[k]] / total if b[k] >= 0 else 0.0
+        b["apart"] *= article / total
     return blocks
 
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "stop", "heading", "place", "vague")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "stop", "heading", "place", "named", "vague", "apart")
 
 
 def features_of(blocks: list[dict]) -> np.ndarray:

@@ -11,12 +11,15 @@ import random
 
 _SYLLABLES = "ba ce di fo gu la me ni po ru sa te vi wo xu ya".split()
 STYLES = ("tags", "roles", "names", "plain")
+#: Names of frames that some pages have around their main text, or around all.
+MISLEADING = ("nav", "overlay", "menu-wrapper", "share", "sidebar", "comments", "banner", "popup-container", "login")
 
 
 class Page:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
         self.style = self.r.choice(STYLES)
+        self.marked = self.style != "plain" or self.r.random() < 0.3  # whether the main text of a plain page is in an element of its own
 
     def words(self, low: int, high: int) -> str:
         n = self.r.randint(low, high)
@@ -57,8 +60,8 @@ class Page:
         return self.part("footer", "contentinfo", "footer copyright site-footer", inner)
 
     def named_text(self, text: str) -> str:
-        """Running text, which no page without tags and names has in its frame."""
-        return text if self.style != "plain" else self.words(1, 6)
+        """Running text, which no page has in its frame that does not mark frame or main text in any way."""
+        return text if self.marked else self.words(1, 6)
 
     def advert(self) -> str:
         inner = self.r.choice((self.words(2, 9), self.link(3, 12), self.named_text(self.sentences(4, 30)), self.named_text(f"<p>{self.sentences(10, 60)}</p>")))
@@ -66,7 +69,7 @@ class Page:
 
     def notice(self) -> str:
         inner = self.r.choice((f"<p>{self.sentences(6, 40)}</p>", self.sentences(6, 40)))
-        return f'<div class="{self.r.choice(("cookie-banner", "consent", "gdpr", "popup", "newsletter", "notice", "alert"))}">{inner}</div>' if self.style != "plain" else f"<div>{self.link(2, 6)} {self.words(1, 4)}</div>"
+        return f'<div class="{self.r.choice(("cookie-banner", "consent", "gdpr", "popup", "newsletter", "notice", "alert"))}">{inner}</div>' if self.style != "plain" else f"<div>{inner if self.marked else self.link(2, 6) + ' ' + self.words(1, 4)}</div>"
 
     def side(self) -> str:
         texts = [self.r.choice((f"<h3>{self.words(1, 4)}</h3><ul>{''.join(f'<li>{self.link(2, 9)}</li>' for _ in range(self.r.randint(2, 6)))}</ul>", f"<p>{self.named_text(self.sentences(8, 50))}</p>", f"<div>{self.words(1, 5)}</div>")) for _ in range(self.r.randint(1, 3))]
@@ -76,7 +79,7 @@ class Page:
         return f"<form><label>{self.words(1, 6)}</label><input type=text><p>{self.words(2, 9)}</p></form>"
 
     def comments(self) -> str:
-        if self.style == "plain":
+        if not self.marked:
             return ""
         one = lambda: self.r.choice((f"<p>{self.sentences(2, 60)}</p>", f"<div>{self.words(1, 3)}</div><p>{self.sentences(5, 40)}</p>", f'<article class="comment"><p>{self.sentences(5, 60)}</p></article>'))
         return f'<{(t := self.r.choice(("div", "section")))} {self.r.choice(("class", "id"))}="{self.r.choice(("comments", "comment-list", "replies", "respond", "disqus"))}"><h3>{self.words(1, 3)}</h3>{"".join(one() for _ in range(self.r.randint(1, 6)))}</{t}>'
@@ -117,12 +120,15 @@ class Page:
 
     def main(self) -> str:
         inner = self.story()
+        if self.style == "plain" and self.marked:
+            return self.r.choice((f'<article data-main="1">{inner}</article>', f'<main data-main="1">{inner}</main>'))
         if self.style == "plain":
             return self.r.choice((f'<div data-main="1">{inner}</div>', f'<table data-main="1"><tr><td>{inner}</td></tr></table>', f'<section data-main="1">{inner}</section>'))
         return self.r.choice(
             (
                 f'<article data-main="1">{inner}</article>', f'<main data-main="1">{inner}</main>', f'<article data-main="1">{inner}</article>', f'<div id="content" data-main="1">{inner}</div>',
                 f'<div class="post-body" data-main="1">{inner}</div>', f'<div data-main="1">{inner}</div>',
+                f'<div class="{self.r.choice(MISLEADING)}" data-main="1">{"".join(self.paragraph() for _ in range(9))}{inner}{"".join(self.paragraph() for _ in range(6))}</div>',
                 f'<section class="{self.r.choice(("discussion", "legal", "notice", "disclaimer"))}" data-main="1">{"".join(self.paragraph() for _ in range(9))}{inner}{"".join(self.paragraph() for _ in range(6))}</section>',
             )
         )
@@ -136,7 +142,10 @@ class Page:
         if self.r.random() < 0.2:  # nothing before or after it
             before, after = self.r.choice((([], after), (before, []), ([], [])))
         footer = maybe(self.footer, 0.9) if after else ""
-        return f'<html><head><title>{self.words(2, 6)}</title></head><body data-main="0">{"".join(before)}{self.main()}{"".join(after)}{footer}</body></html>'
+        body = f'{"".join(before)}{self.main()}{"".join(after)}{footer}'
+        if self.style != "plain" and self.r.random() < 0.15:
+            body = f'<div class="{self.r.choice(MISLEADING)}">{body}</div>'
+        return f'<html><head><title>{self.words(2, 6)}</title></head><body data-main="0">{body}</body></html>'
 
 
 def pages(n: int, first: int = 0) -> list[str]:
