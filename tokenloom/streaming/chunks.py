@@ -1,65 +1,120 @@
 """Scans of files that arrive in chunks, in any order and over any number of micro-batches.
 
 A file is scanned, as a batch would, in the micro-batch that completes it: all of its chunks from 0 to the one marked
-`last` have come, early or late, once or several times; a token may lie across chunks. Each micro-batch keeps in a folder of
-its own the chunks of files that are still incomplete and the names of those it has finished, and drops the chunks that the
-one before the last kept; so the staging folder holds unfinished files and names only. A repeated micro-batch replaces
-its own folders. Chunks of finished files that come again are left out.
+`last` have come, early or late, once or several times; a token may lie across chunks. The chunks of unfinished files are
+keyed state (one map a file, in RocksDB), so a micro-batch costs what its own chunks cost, however many files have
+been finished before. Of a finished file a mark is left, so that chunks that come again are left out; `remember` lets marks
+go after a time. `patience` gives up files whose last chunk does not come: they are scanned as far as they have come without a gap.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tokenloom.api import find
+from tokenloom.functions.shared import cut
 from tokenloom.plans.pattern import Pattern
 
-
-def whole_files(chunks: DataFrame) -> DataFrame:
-    """files(file, lang, content) from chunks(file, lang, seq, content); a chunk that came twice counts once."""
+WHOLE = "file string, lang string, content binary"
+_PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class Assembly(StatefulProcessor):
+    """The chunks of one (file, lang): kept until all are there, then given as one content.
+
+    patience, remember: milliseconds, or None for ever.
+    """
+
+    def __init__(self, patience: int | None, remember: int | None):
+        self.patience, self.remember = patience, remember
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.chunks = handle.getMapState("chunks", "seq long", "content binary")
+        self.wanted = handle.getValueState("wanted", "n long")
+        self.count = handle.getValueState("count", "n long")
+        self.done = handle.getValueState("done", "yes boolean", self.remember)
+
+    def _joined(self, n: int) -> bytes:
+        return b"".join(bytes(self.chunks.getValue((k,))[0]) for k in range(n))
+
+    def _end(self, key, content: bytes) -> pd.DataFrame:
+        for state in (self.chunks, self.wanted, self.count):
+            state.clear()
+        self.done.update((True,))
+        return pd.DataFrame({"file": [key[0]], "lang": [key[1]], "content": [content]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.done.exists():
+            return
+        count = self.count.get()[0] if self.count.exists() else 0
+        wanted = self.wanted.get()[0] if self.wanted.exists() else None
+        before = count
+        for batch in rows:
+            for seq, content, last in zip(batch["seq"], batch["content"], batch["last"], strict=True):
+                if last and wanted is None:
+                    wanted = int(seq) + 1
+                    self.wanted.update((wanted,))
+                    for k in [k for (k,) in self.chunks.keys() if k >= wanted]:  # strays beyond the end
+                        self.chunks.removeKey((k,))
+                        count -= 1
+                if seq >= 0 and (wanted is None or seq < wanted) and not self.chunks.containsKey((int(seq),)):
+                    self.chunks.updateValue((int(seq),), (bytes(content),))
+                    count += 1
+        if count == wanted:
+            yield self._end(key, self._joined(wanted))
+            return
+        self.count.update((count,))
+        if self.patience is not None and not before and count:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.done.exists():
+            return
+        n = 0
+        while self.chunks.containsKey((n,)):
+            n += 1
+        yield self._end(key, self._joined(n))
+
+    def close(self) -> None:
+        pass
+
+
+def assembled(chunks: DataFrame, patience: int | None = None, remember: int | None = None) -> DataFrame:
+    """A stream of files(file, lang, content) from a stream of chunks(file, lang, seq, content, last)."""
     content = F.col("content") if dict(chunks.dtypes)["content"] == "binary" else F.encode("content", "UTF-8")
-    one = chunks.dropDuplicates(["file", "seq"]).withColumn("b", content).groupBy("file", "lang").agg(F.array_sort(F.collect_list(F.struct("seq", "b"))).alias("all"))
-    return one.select("file", "lang", F.aggregate("all", F.lit(b""), lambda a, x: F.concat(a, x["b"])).alias("content"))
-
+    rows = chunks.where("file is not null and lang is not null").select("file", "lang", F.col("seq").cast("long").alias("seq"), content.alias("content"), F.coalesce("last", F.lit(False)).alias("last"))
+    rows = rows.where("seq is not null and content is not null")
+    timed = patience is not None or remember is not None
+    return rows.groupBy("file", "lang").transformWithStateInPandas(Assembly(patience, remember), WHOLE, "Append", "ProcessingTime" if timed else "None")
 
-def complete_files(chunks: DataFrame) -> DataFrame:
-    """(file): those whose chunks 0 to the last one are all there."""
-    ends = F.max(F.when(F.col("last"), F.col("seq") + 1))
-    return chunks.groupBy("file").agg(F.countDistinct("seq").alias("n"), ends.alias("wanted")).where("n = wanted").select("file")
 
+def scan_stream(chunks: DataFrame, patterns: list[Pattern], out: str, staging: str, patience: int | None = None, remember: int | None = None, **trigger) -> StreamingQuery:
+    """Start a query that writes the findings of chunks(file, lang, seq, content, last) to `out`, a folder of Parquet files for each batch.
 
-def _exists(spark: SparkSession, path: str, delete: bool = False) -> bool:
-    found = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = found.getFileSystem(spark._jsc.hadoopConfiguration())
-    return store.delete(found, True) if delete else store.exists(found)
-
-
-def scan_stream(chunks: DataFrame, patterns: list[Pattern], out: str, staging: str, **trigger) -> StreamingQuery:
-    """Start a query that writes the findings of chunks(file, lang, seq, content, last) to `out`, a folder of Parquet files for each batch."""
+    staging: a folder for the query's progress and state. A repeated micro-batch replaces its own folder.
+    """
+    spark = chunks.sparkSession
     trigger = trigger or {"availableNow": True}
-    schema = chunks.schema
-
-    def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        kept, done = (lambda n: f"{staging}/chunks/batch={n}"), (lambda n: f"{staging}/done/batch={n}")
-        new = rows
-        if number and _exists(spark, f"{staging}/done"):
-            before = spark.read.schema("file string, batch long").parquet(f"{staging}/done").where(F.col("batch") < number).select("file")
-            new = rows.join(before, "file", "left_anti")
-        if number and _exists(spark, kept(number - 1)):
-            waiting = spark.read.schema(schema).parquet(kept(number - 1))
-            new = new.unionByName(waiting.join(spark.read.schema("file string").parquet(done(number - 1)), "file", "left_anti"))
-        new.dropDuplicates(["file", "seq"]).write.mode("overwrite").parquet(kept(number))
-        here = spark.read.schema(schema).parquet(kept(number))
-        complete_files(here).write.mode("overwrite").parquet(done(number))
-        ended = spark.read.schema("file string").parquet(done(number))
-        find(whole_files(here.join(ended, "file", "left_semi")), patterns).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        if number > 1:
-            _exists(spark, kept(number - 2), delete=True)
-
-    return chunks.writeStream.foreachBatch(batch).option("checkpointLocation", f"{staging}/progress").trigger(**trigger).start()
+
+    def batch(files: DataFrame, number: int) -> None:  # stored first: each further reading would go through the state again
+        find(cut(files), patterns).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    name, provider = _PROVIDER
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, provider)  # read when the query starts
+    try:
+        return assembled(chunks, patience, remember).writeStream.foreachBatch(batch).outputMode("append").option("checkpointLocation", f"{staging}/progress").trigger(**trigger).start()
+    finally:
+        if old is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, old)
 
 
 def read_findings(spark, out: str) -> DataFrame:
