@@ -77,6 +77,14 @@ def test_bit_sketches_are_lower_bounds():
         assert jaccard_join.differ(sx, sy) <= len(np.setxor1d(x, y))
 
 
+def test_embeddings_of_any_size(spark):
+    """Equal and proportional vectors link, however small or large their components are."""
+    tiny, huge = [1e-170, 2e-170], [1e200, 2e200]
+    rows = [(0, tiny), (1, tiny), (2, huge), (3, huge), (4, [1.0, 2.0]), (5, [-1.0, 2.0]), (6, [0.0, 0.0]), (7, [5e-324, 0.0]), (8, [1e308, 0.0]), (9, [1e308, 1e308])]
+    got = hnsw.near_duplicates(spark.createDataFrame([(i, "a", x) for i, x in rows], "vec_id long, label string, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {0: (4, 0), 1: (4, 0), 2: (4, 0), 3: (4, 0), 4: (4, 0), 5: (0, 5), 6: (0, 6), 7: (1, 7), 8: (1, 7), 9: (0, 9)}
+
+
 def test_embedding_near_duplicates(spark):
     r = np.random.default_rng(3)
     base = r.normal(size=(60, 16))

@@ -227,9 +227,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_column: str
     parts = F.transform(embedding, lambda x: x.cast("double"))
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(label).cast("string").alias("label"), parts.alias("x"))
     finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    norm = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
-    valid = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & F.coalesce(finite, F.lit(False)) & F.coalesce(norm > 0, F.lit(False))
-    keyed = rows.withColumn("valid", valid).withColumns({"k1": F.when(F.col("valid"), F.xxhash64("label", "x")), "k2": F.when(F.col("valid"), F.xxhash64(F.lit("second"), "x", "label"))})
+    peak = F.array_max(F.transform("x", lambda v: F.abs(v)))
+    valid = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & F.coalesce(finite, F.lit(False)) & F.coalesce(peak > 0, F.lit(False))
+    # by a power of two, which changes no cosine, so that no square is too large or too small
+    power = F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), -F.floor(F.log2(peak)).cast("double")))
+    rows = rows.withColumn("valid", valid).withColumn("power", F.when(F.col("valid"), F.pow(F.lit(2.0), power))).withColumn("x", F.when(F.col("valid"), F.transform("x", lambda v: v * F.col("power")))).drop("power")
+    keyed = rows.withColumns({"k1": F.when(F.col("valid"), F.xxhash64("label", "x")), "k2": F.when(F.col("valid"), F.xxhash64(F.lit("second"), "x", "label"))})
     distinct = cut(keyed.where("valid").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("x").alias("x")).withColumn("dim", F.size("x")))
     sizes = distinct.groupBy("label", "dim").agg(F.ceil(F.greatest(F.count("*") / shard_rows, F.count("*") * F.col("dim") * 8 / SHARD_BYTES)).cast("int").alias("shards"))
     dealt = distinct.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "k1"), F.col("shards")).cast("int"))
