@@ -4,6 +4,7 @@ import collections
 import math
 import os
 import random
+import re
 import sys
 import tracemalloc
 
@@ -285,3 +286,11 @@ def test_token_cache_setting(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / "c")).count() == 2
     finally:
         spark.conf.unset(token_count.CACHE_SETTING)
+
+
+def test_mixing_draws_one_number_a_document(spark):
+    """The MD5 behind a document's number stands outside the lambda over the distribution's steps."""
+    docs = spark.createDataFrame([(i, "x" * i, "ab"[i % 2]) for i in range(20)], "doc_id long, text string, source string")
+    plan = mixing.mix_sources(docs)._jdf.queryExecution().optimizedPlan().toString()
+    steps = [plan[m.end() : plan.index("<= lambda", m.end())] for m in re.finditer(r"filter\(__steps[^,]*, lambdafunction\(", plan)]
+    assert steps and all("md5" not in s for s in steps)

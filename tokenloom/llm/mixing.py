@@ -77,7 +77,9 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | float = 0.5,
     if size.sources <= BROADCAST_SOURCES and size["values"] <= BROADCAST_VALUES:
         rates = F.broadcast(rates)
     drawn = docs.join(rates, F.col(source).eqNullSafe(F.col("__source")))
-    drawn = drawn.withColumn("__count", F.col("__first") + F.size(F.filter("__steps", lambda c: c <= uniform(f"{seed}:count", F.col(id_column)))))
+    # the number is an array's only element, so that it is worked out once a document and not at each step
+    steps_below = F.transform(F.array(uniform(f"{seed}:count", F.col(id_column))), lambda u: F.size(F.filter("__steps", lambda c: c <= u)))[0]
+    drawn = drawn.withColumn("__count", F.col("__first") + steps_below)
     copies = drawn.where("__count > 0").drop("__source", "__first", "__steps").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__count").cast("int")))).drop("__count")
     copies = copies.withColumn("shuffle_key", uniform(f"{seed}:order", F.col(id_column), F.col("copy_no")))
     dealt = copies.repartition(partitions, "shuffle_key") if partitions else copies.repartition("shuffle_key")
