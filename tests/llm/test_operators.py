@@ -254,7 +254,7 @@ def test_token_shards(spark, tmp_path):
     rows = sorted(binary_output.token_shards(docs, RANKS, out, length=64, shard_rows=50).collect(), key=lambda r: r.slot)
     assert [r.slot for r in rows] == list(range(len(rows)))
     model = binary_output.encoding(RANKS)
-    want = {i: [*model.encode_ordinary(t or ""), binary_output.END] for i, t in enumerate(TEXTS)}
+    want = {i: [*model.encode_ordinary(t or ""), binary_output.layout(RANKS)[0]] for i, t in enumerate(TEXTS)}
     read = list(binary_output.read_sequences(out, 0, len(rows), 64, 50))
     assert len(read) == len(rows)
     assert all((a == b).all() for a, b in zip(binary_output.read_sequences(out, 57, 30, 64, 50), read[57:87], strict=True))
@@ -319,3 +319,18 @@ def test_html_missing_end_tags(odd):
     main = "Main text of the page with enough words in it to be read as a paragraph of the story."
     assert html_extract.main_text(f"<html><head><meta charset=x><body><article>{odd}<p>{main}</p></article>") == main
     assert html_extract.main_text(f"<html><head><title>T</title></head><body><svg><text>no</text></svg><article><button>Buy</button><p>{main}</p></article>") == main
+
+
+def test_shards_of_wide_ids(spark, tmp_path):
+    """A vocabulary with an id beyond 65,535: ids of four bytes, and the first free id as end."""
+    import base64
+
+    ranks = tmp_path / "ranks.tiktoken"
+    ranks.write_bytes(b"".join(base64.b64encode(bytes([k])) + b" %d\n" % k for k in range(256)) + base64.b64encode(b"ab") + b" 70000\n")
+    assert binary_output.layout(str(ranks)) == (70_001, "<u4") and binary_output.layout(RANKS) == (50_256, "<u2")
+    docs = spark.createDataFrame([(1, "abc"), (2, None), (3, "cab")], "doc_id long, text string").coalesce(1)
+    out = f"{tmp_path}/shards"
+    rows = binary_output.materialise(docs, str(ranks), out, length=4, shard_rows=2).collect()
+    back = [x.tolist() for x in binary_output.read_sequences(out, 0, len(rows), 4, 2, "<u4")]
+    assert sorted(back) == sorted([[70_000, 99, 70_001, 70_001], [99, 70_000, 70_001, 70_001]])
+    assert sorted(r.tokens for r in binary_output.read_shards(spark, out, 4, 2, "<u4").collect()) == sorted(back)

@@ -4,7 +4,8 @@ Each task joins its documents, an end token after each, into sequences of LENGTH
 with end tokens. The sequences are stored once, compressed, so that their number and every sequence's place among
 them are fixed. A keyed Feistel permutation of the places, walked along its cycle until it falls below the number of
 sequences, gives each sequence its global slot. Partitions by ranges of slots, SHARD_ROWS each, write the shards: slot s
-lies in shard s // SHARD_ROWS at byte (s % SHARD_ROWS) * 2 * LENGTH, as little-endian uint16. A reader goes on from any slot by seeking.
+lies in shard s // SHARD_ROWS at byte (s % SHARD_ROWS) * width * LENGTH, as little-endian unsigned numbers of `width` bytes: two, or
+four where a vocabulary has ids beyond 65,535. The end token is the first id that the vocabulary leaves free. A reader goes on from any slot by seeking.
 Shards are written under a temporary name and renamed, so a repeated task leaves one whole file.
 
 Defined cases: null and empty texts give an end token only; an empty table gives no sequence and no shard; repeated rows
@@ -34,8 +35,6 @@ KEY = 20240607
 #: Tasks up to which the number of sequences of each is broadcast; beyond it the join shuffles.
 BROADCAST_PARTS = 100_000
 ROUNDS = 6
-#: Fixed value: the end-of-text id that the vocabulary leaves free.
-END = 50256
 
 
 def feistel(places: np.ndarray, n: int, key: int, inverse: bool = False) -> np.ndarray:
@@ -70,11 +69,20 @@ def encoding(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def layout(path: str) -> tuple[int, str]:
+    """(end token, type of ids) for a file of ranks."""
+    with open(path, "rb") as f:
+        end = 1 + max(int(line.split()[1]) for line in f if line.strip())
+    return end, "<u2" if end < 1 << 16 else "<u4"
+
+
 PACKED = "part int, number long, n_tokens int, doc_ids array<long>, starts array<int>, tokens binary"
 
 
 def pack(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """The sequences of each task's documents, numbered in the task; tokens are zstd-compressed uint16."""
+    """The sequences of each task's documents, numbered in the task; tokens are zstd-compressed ids."""
+
+    end, kind = layout(path)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, codec = encoding(path), pa.Codec("zstd", compression_level=6)
@@ -85,7 +93,7 @@ def pack(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "tex
         def close() -> None:
             nonlocal number, fill
             data = np.concatenate(tokens)
-            full = np.full(length, END, "<u2")
+            full = np.full(length, end, kind)
             full[: len(data)] = data
             rows.append((number, len(data), [a for a, _ in owners], [b for _, b in owners], codec.compress(full.tobytes(), asbytes=True)))
             number, fill = number + 1, 0
@@ -100,7 +108,7 @@ def pack(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "tex
 
         for batch in batches:
             for i, t in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.append(model.encode_to_numpy(t.as_py() or "", disallowed_special=()), END).astype("<u2")
+                ids = np.append(model.encode_to_numpy(t.as_py() or "", disallowed_special=()), end).astype(kind)
                 at = 0
                 while at < len(ids):
                     piece = ids[at : at + length - fill]
@@ -150,6 +158,7 @@ MANIFEST = "slot long, shard int, byte_offset long, n_tokens int, sha256 string,
 def materialise(docs: DataFrame, path: str, out: str, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, shard_rows: int = SHARD_ROWS, key: int = KEY) -> DataFrame:
     """Write the shards to the folder `out`, once; returns one row for each sequence."""
     spark = docs.sparkSession
+    width = np.dtype(layout(path)[1]).itemsize
     out = qualified(spark, out)
     file_system(out)  # an unknown store is an error before any work
     stage = f"{shared_dir(spark).rstrip('/')}/sequences-{uuid.uuid4().hex}"
@@ -190,11 +199,11 @@ def materialise(docs: DataFrame, path: str, out: str, id_column: str = "doc_id",
                         close()
                         shard, temporary = k, f"{folder}/_writing-{k}-{uuid.uuid4().hex}"
                         file = fs.open_output_stream(temporary)
-                    data = codec.decompress(tokens.as_py(), decompressed_size=2 * length, asbytes=True)
+                    data = codec.decompress(tokens.as_py(), decompressed_size=width * length, asbytes=True)
                     file.write(data)
                     digests.append(hashlib.sha256(data).hexdigest())
                 slot = batch.column("slot").to_numpy()
-                yield pa.RecordBatch.from_arrays([batch.column("slot"), batch.column("shard"), pa.array(slot % shard_rows * 2 * length), batch.column("n_tokens"), pa.array(digests, pa.string()), batch.column("doc_ids"), batch.column("starts")], ["slot", "shard", "byte_offset", "n_tokens", "sha256", "doc_ids", "starts"])
+                yield pa.RecordBatch.from_arrays([batch.column("slot"), batch.column("shard"), pa.array(slot % shard_rows * width * length), batch.column("n_tokens"), pa.array(digests, pa.string()), batch.column("doc_ids"), batch.column("starts")], ["slot", "shard", "byte_offset", "n_tokens", "sha256", "doc_ids", "starts"])
             close()
             done = True
         finally:
@@ -210,8 +219,9 @@ def token_shards(docs: DataFrame, path: str, out: str | None = None, **options)
     return materialise(docs, path, out or f"{shared_dir(docs.sparkSession).rstrip('/')}/shards-{uuid.uuid4().hex}", **options)
 
 
-def read_sequences(out: str, first: int, count: int, length: int = LENGTH, shard_rows: int = SHARD_ROWS) -> Iterator[np.ndarray]:
-    """The sequences of slots first, first + 1, ...: what a trainer reads when it goes on from slot `first`."""
+def read_sequences(out: str, first: int, count: int, length: int = LENGTH, shard_rows: int = SHARD_ROWS, kind: str = "<u2") -> Iterator[np.ndarray]:
+    """The sequences of slots first, first + 1, ...: what a trainer reads when it goes on from slot `first`. kind: as layout() gives it."""
+    width = np.dtype(kind).itemsize
     fs, folder = file_system(out if ":/" in out else f"file://{out}")
     slot = first
     while slot < first + count:
@@ -220,23 +230,23 @@ def read_sequences(out: str, first: int, count: int, length: int = LENGTH, shard
         if fs.get_file_info(name).type == pa.fs.FileType.NotFound:
             return
         with fs.open_input_file(name) as f:
-            f.seek(slot % shard_rows * 2 * length)
+            f.seek(slot % shard_rows * width * length)
             while slot < first + count and slot // shard_rows == k:
-                if not (data := f.read(2 * length)):
+                if not (data := f.read(width * length)):
                     return
-                yield np.frombuffer(data, "<u2")
+                yield np.frombuffer(data, kind)
                 slot += 1
 
 
-def read_shards(spark: SparkSession, out: str, length: int = LENGTH, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def read_shards(spark: SparkSession, out: str, length: int = LENGTH, shard_rows: int = SHARD_ROWS, kind: str = "<u2") -> DataFrame:
     """(slot, tokens) of all shards."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(out)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                tokens = np.frombuffer(content.as_py(), "<u2").reshape(-1, length)
+                tokens = np.frombuffer(content.as_py(), kind).reshape(-1, length)
                 first = int(path.rpartition("-")[2].removesuffix(".bin")) * shard_rows
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(tokens))), pa.array(list(tokens.astype(np.int32)), pa.list_(pa.int32()))], ["slot", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(tokens))), pa.array(list(tokens.astype(np.int64)), pa.list_(pa.int64()))], ["slot", "tokens"])
 
-    return files.select("path", "content").mapInArrow(records, "slot long, tokens array<int>")
+    return files.select("path", "content").mapInArrow(records, "slot long, tokens array<long>")
