@@ -200,3 +200,48 @@ def test_regex_errors_come_when_rules_are_loaded(rx):
     quoted = rx.replace("'", "''")
     with pytest.raises(PatternError, match="regex compilation"):
         load(f"patterns: [$A]\nlanguages: [c]\ntransform: {{A: '{quoted}'}}")
+
+
+# --- groups
+
+
+def plain_groups(spans, keys):
+    """Anchors and what each takes in, for non-unique matches (start, end, key or None) of one group: in order of end, then start from the last."""
+    order = sorted(range(len(spans)), key=lambda i: (spans[i][1], -spans[i][0], i))
+    used, out = set(), {}
+    for a, i in enumerate(order):
+        if i in used:
+            continue
+        held, key = [], keys[i]
+        for j in order[a + 1 :]:
+            if spans[j][0] <= spans[i][0] and spans[j][1] >= spans[i][1] and (key is None or keys[j] is None or keys[j] == key):
+                held.append(j)
+                key = keys[j] if keys[j] is not None else key
+                used.add(j)
+        out[i] = sorted(held)
+    return out
+
+
+def grouped(spark, spans, keys):
+    from tokenloom.operators.grouping import group_matches
+
+    place = lambda o: (o, 1, 1)
+    rows = [("f", k, "r", ("g", False, False, ["K"]), place(s), place(e), False, False, s, e, {f"N{k}": str(k)} | ({"K": key} if key else {})) for k, ((s, e), key) in enumerate(zip(spans, keys, strict=True))]
+    point = "struct<offset:bigint,column:bigint,line:bigint>"
+    df = spark.createDataFrame(rows, f"file string, pattern_id int, name string, grp struct<name:string,unique:boolean,cancel:boolean,match:array<string>>, start {point}, end {point}, start_overridden boolean, end_overridden boolean, actual_start long, actual_end long, captures map<string,string>")
+    return {r.pattern_id: sorted(int(v) for k, v in r.captures.items() if k != "K" and int(v) != r.pattern_id) for r in group_matches(df).collect()}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_groups_are_those_of_an_ordered_fold(spark, seed):
+    r = random.Random(seed)
+    spans = [(a, a + r.choice((0, 1, 2, 5, 20))) for a in (r.randrange(30) for _ in range(60))]
+    keys = [r.choice((None, "a", "b")) for _ in spans]
+    assert grouped(spark, spans, keys) == plain_groups(spans, keys)
+
+
+def test_many_nested_matches_of_a_group(spark):
+    """3,000 matches inside each other: the innermost takes in all others in the first round, and they never meet."""
+    n = 3000
+    spans = [(n - k, n + k) for k in range(n)]
+    assert grouped(spark, spans, [None] * n) == {0: list(range(1, n))}

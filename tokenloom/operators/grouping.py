@@ -3,12 +3,19 @@
 Matches of a file and group are ordered by end, then by start from the last. Each one (the anchor) is held against the
 later ones that contain it; where both have one of the anchor's `match` captures, the values must be equal. Members are
 merged in order, each seen by the next comparison; `unique` members fork the anchor instead, one result for each
-combination of the rules' members. Members of an anchor that is not unique are no anchors themselves. A group holds the
-matches of one file, so its arrays are as large as that file's matches.
+combination of the rules' members. Members of an anchor that is not unique are no anchors themselves.
+
+Which matches are anchors is settled in rounds. A match is ready when no earlier one that waits lies inside it, which a
+running maximum of starts tells; ready ones are joined with the matches that contain them, and what they take in
+waits no longer. So members that are taken in at once never meet each other, however many there are. The join's key is
+a bin of places at the scale of a member's length, so that an anchor meets few matches that do not contain it. An anchor's own
+members are folded in one row.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,21 +55,32 @@ def group_matches(matches: DataFrame, most: int = EXPANSIONS) -> DataFrame:
     order = Window.partitionBy("file", "grp.name").orderBy("actual_end", F.desc("actual_start"), "pattern_id", F.xxhash64(F.array_sort(F.map_entries("captures"))))
     grouped = cut(matches.where("grp.name <> ''").withColumn("rn", F.row_number().over(order)).withColumn("g", F.col("grp.name")))
     member = F.struct("rn", "name", "captures", "start", "end", F.col("grp.cancel").alias("cancel"), F.col("grp.unique").alias("unique"))
-    members = grouped.select("file", "g", F.col("rn").alias("mrn"), F.col("actual_start").alias("ms"), F.col("actual_end").alias("me"), member.alias("m"))
-    inside = (F.col("mrn") > F.col("rn")) & (F.col("ms") <= F.col("actual_start")) & (F.col("me") >= F.col("actual_end"))
-    held = grouped.select("file", "g", "rn", "actual_start", "actual_end").join(members, ["file", "g"]).where(inside)
-    lists = held.groupBy("file", "g", "rn").agg(F.array_sort(F.collect_list("m"), lambda a, b: a["rn"] - b["rn"]).alias("list"))
+    length = F.col("actual_end") - F.col("actual_start")
+    spans = grouped.withColumn("scale", F.when(length > 1, F.ceil(F.log2(length)).cast("int")).otherwise(0))
+    bins = F.array_distinct(F.array(*(F.call_function("shiftright", F.col(c), F.col("scale")) for c in ("actual_start", "actual_end"))))
+    members = spans.select("file", "g", "scale", F.explode(bins).alias("bin"), F.col("rn").alias("mrn"), F.col("actual_start").alias("ms"), F.col("actual_end").alias("me"), member.alias("m"))
+    scales = cut(spans.select("file", "g", "scale").distinct())
     empty = F.array_compact(F.array(F.when(F.lit(False), member)))
-    anchors = grouped.join(lists, ["file", "g", "rn"], "left").withColumn("list", F.coalesce("list", empty))
     state = F.struct("captures", "start", "end", F.col("start_overridden").alias("so"), F.col("end_overridden").alias("eo"), F.col("grp.cancel").alias("cancel"), F.col("grp.unique").alias("unique"), empty.alias("axes"), F.array().cast("array<int>").alias("taken"))
-    folded = cut(anchors.withColumn("s", F.aggregate("list", state, lambda o, m: _absorbed(o, m, F.col("grp.match")))).drop("list"))
-    used = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("rn", F.col("grp.unique").alias("unique"), F.col("s.taken").alias("taken")))),
-        F.array().cast("array<int>"),
-        lambda a, x: F.when(x["unique"] | F.array_contains(a, x["rn"]), a).otherwise(F.array_union(a, x["taken"])),
-    )
-    dropped = folded.groupBy("file", "g").agg(used.alias("used")).select("file", "g", F.explode("used").alias("rn"))
-    kept = folded.join(dropped, ["file", "g", "rn"], "left_anti").withColumn("combo", F.explode(_combinations(F.col("s.axes"), most)))
+    inside = (F.col("mrn") > F.col("rn")) & (F.col("ms") <= F.col("actual_start")) & (F.col("me") >= F.col("actual_end"))
+    before = Window.partitionBy("file", "g").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
+    waiting, settled = grouped, []
+    while True:
+        marked = cut(waiting.withColumn("ready", F.coalesce(F.max("actual_start").over(before) < F.col("actual_start"), F.lit(True))))
+        ready = marked.where("ready").drop("ready")
+        asked = ready.select("file", "g", "rn", "actual_start", "actual_end").join(scales, ["file", "g"]).withColumn("bin", F.call_function("shiftright", F.col("actual_start"), F.col("scale")))
+        lists = asked.join(members, ["file", "g", "scale", "bin"]).where(inside).groupBy("file", "g", "rn").agg(F.array_sort(F.collect_list("m"), lambda a, b: a["rn"] - b["rn"]).alias("list"))
+        anchors = ready.join(lists, ["file", "g", "rn"], "left").withColumn("list", F.coalesce("list", empty))
+        done = cut(anchors.withColumn("s", F.aggregate("list", state, lambda o, m: _absorbed(o, m, F.col("grp.match")))).drop("list"))
+        settled.append(done)
+        rest = marked.where("not ready").drop("ready")
+        if rest.isEmpty():
+            break
+        taken = done.where("not grp.unique").select("file", "g", F.explode("s.taken").alias("rn")).distinct()
+        waiting = cut(rest.join(taken, ["file", "g", "rn"], "left_anti"))
+        if waiting.isEmpty():
+            break
+    kept = reduce(DataFrame.unionByName, settled).withColumn("combo", F.explode(_combinations(F.col("s.axes"), most)))
     kept = kept.withColumn("s", F.when(F.col("grp.unique"), F.col("s")).otherwise(F.aggregate("combo", F.col("s"), _applied)))
     group = F.struct(F.lit("").alias("name"), F.lit(False).alias("unique"), F.col("s.cancel").alias("cancel"), F.array().cast("array<string>").alias("match"))
     done = kept.select("file", "pattern_id", F.col("g").alias("name"), group.alias("grp"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), "start_overridden", "end_overridden", "actual_start", "actual_end", F.col("s.captures").alias("captures"))
