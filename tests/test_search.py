@@ -123,3 +123,12 @@ def test_queries_against_sql(spark, name):
     columns = [c[0] for c in want.description]
     assert sorted(columns) == sorted(got.columns)
     assert sorted(map(repr, (tuple(r) for r in got.select(*(F.col(c) for c in columns)).collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def test_tokens_in_sql(spark):
+    from tokenloom.sql import register
+
+    register(spark)
+    rows = spark.sql("""SELECT t.* FROM VALUES ('x = "a" + ''b'';\n y', 'c'), (null, 'c'), ('z', 'cobol') AS v(text, lang), LATERAL tokens(text, lang) t""").collect()
+    assert [tuple(r) for r in rows] == [(0, "identifier", "x", None, 0, 1, 1, 1), (1, "byte", "=", None, 2, 3, 1, 3), (2, "string", '"ab"', None, 4, 13, 1, 5), (3, "byte", ";", None, 13, 14, 1, 14), (4, "identifier", "y", None, 16, 17, 2, 2)]
+    assert [(r.kind, r.level, r.tok) for r in spark.sql("SELECT * FROM tokens('a\\n  bcd', 'py', false, 2)").collect()] == [("identifier", None, "a"), ("level", 1, None), ("overlong", None, None)]

@@ -18,6 +18,7 @@ from tokenloom.plans.pattern import expand, load, load_files
 from tokenloom.sources.files import finding_json, read_files
 from tokenloom.sources.languages import language_of
 from tokenloom.sources.store import delete, write_files
+from tokenloom.sql import findings_view, register
 from tokenloom.streaming.chunks import read_findings, scan_stream
 
 FLAGSHIP = "lit_capture_track"
@@ -476,3 +477,28 @@ def group_unique_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["group_unique_limited"] = ORACLES["group_unique"].replace("k <= 64", "k <= 2")
+
+
+@query
+def sql_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1-T4 by the table function: tokens of pages, in SQL."""
+    register(spark)
+    view = f"pages_{new_folder(spark, 'x')[-32:]}"
+    pages(spark, sf_dir).createOrReplaceTempView(view)
+    return spark.sql(f"SELECT file, idx, line, column AS col, start AS s FROM {view}, LATERAL tokens(content, 'js', false)")
+
+
+ORACLES["sql_tokens"] = ORACLES["token_positions"]
+
+
+@query
+def sql_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R1, K3 in SQL: a view of the findings of the rules in a table."""
+    mark = new_folder(spark, "x")[-32:]
+    pages(spark, sf_dir).createOrReplaceTempView(f"pages_{mark}")
+    spark.createDataFrame([("patterns: ['track($N)']\nlanguages: [js]",), ("patterns: ['nowhere $N']\nlanguages: [js]",)], "yaml string").createOrReplaceTempView(f"rules_{mark}")
+    findings_view(spark, f"hits_{mark}", f"SELECT file, lang, content FROM pages_{mark}", f"rules_{mark}")
+    return spark.sql(f"SELECT file, start.offset AS s, end.offset AS e, captures['N'] AS n FROM hits_{mark}")
+
+
+ORACLES["sql_findings"] = ORACLES["lit_capture_track"]
