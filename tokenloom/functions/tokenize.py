@@ -1,6 +1,6 @@
 """Source text to tokens, by one regular expression a language that covers every byte.
 
-A file's tokens are worked out in one pass inside the task that reads it, with numpy, and stay together as parallel
+A file's tokens are worked out in one pass inside the task that reads it, piece by piece in C and side by side in numpy, and stay together as parallel
 arrays in the file's row (token_lists), so that nothing is shuffled or sorted to number them; tokenize() gives a row for each.
 White space, control bytes and comments give no token, nor do strings that never end.
 
@@ -40,9 +40,8 @@ def _quoted(q: bytes) -> bytes:
     return rb"%b[^%b\\]*+(?:\\[\s\S][^%b\\]*+)*+%b" % (q, q, q, q)
 
 
-@lru_cache(maxsize=16)
-def expression(lang: str) -> re.Pattern[bytes]:
-    """Groups: 1 a line end with its indentation (Python), 2 a Python string in three quotes, 3 a string, 4 a string that never ends, 5 an identifier, 6 a byte."""
+def _parts(lang: str) -> tuple[bytes, ...]:
+    """Expressions of: a line end with its indentation (Python), a Python string in three quotes, a string, a string that never ends, what is left out."""
     line, triple, skip = rb"(?!)", rb"(?!)", _SKIP
     if lang == "py":
         line, skip = rb"\n[ \t]*+", rb"#[^\n]*+|[\x00-\x09\x0b-\x20\x7f]++"
@@ -57,7 +56,39 @@ def expression(lang: str) -> re.Pattern[bytes]:
         quotes = (b'"', b"'", b"`") if lang in BACKTICK else (b'"', b"'")
         string = b"|".join(map(_quoted, quotes))
         dead = b"[" + b"".join(quotes) + rb"][\s\S]*+"
-    return re.compile(b"(?:" + skip + b")|(" + line + b")|(" + triple + b")|(" + string + b")|(" + dead + b")|(" + _IDENT + rb")|([\s\S])")
+    return line, triple, string, dead, skip
+
+
+@lru_cache(maxsize=16)
+def expression(lang: str) -> re.Pattern[bytes]:
+    """Every byte of a text lies in one match."""
+    line, triple, string, dead, skip = _parts(lang)
+    return re.compile(b"(?:" + b"|".join((skip, line, triple, string, dead, _IDENT, rb"[\s\S]")) + b")")
+
+
+@lru_cache(maxsize=16)
+def never_ends(lang: str) -> re.Pattern[bytes]:
+    """Matches the last piece of a text if it is no string, but the beginning of one."""
+    _, triple, string, dead, _ = _parts(lang)
+    return re.compile(b"(?!(?:" + triple + b"|" + string + rb")\Z)(?:" + dead + b")")
+
+
+#: By a piece's first byte: the kind of token, or what its length has to tell.
+_LEFT_OUT, _COMMENT, _QUOTE = -1, 5, 6
+
+
+@lru_cache(maxsize=16)
+def _first_bytes(lang: str) -> np.ndarray:
+    table = np.full(256, BYTE, np.int8)
+    table[:33] = table[127] = _LEFT_OUT
+    table[128:] = table[65:91] = table[97:123] = table[48:58] = table[95] = IDENTIFIER
+    table[ord("#" if lang == "py" else "/")] = _LEFT_OUT if lang == "py" else _COMMENT
+    table[ord('"')] = table[ord("'")] = _QUOTE
+    if lang in BACKTICK:
+        table[ord("`")] = _QUOTE
+    if lang == "py":
+        table[10] = LEVEL
+    return table
 
 
 def _level_changes(found: list[tuple[int, int]]) -> list[int]:
@@ -85,46 +116,46 @@ def _indent(space: bytes) -> int:
 
 
 def lex(data: bytes, lang: str, max_length: int) -> tuple[np.ndarray, list[bytes | None], np.ndarray, np.ndarray, np.ndarray]:
-    """(kind, text, level, start, end) of the tokens of one file; levels are 0 but for Python's."""
-    kinds: list[int] = []
-    texts: list[bytes | None] = []
-    spans: list[tuple[int, int]] = []
-    lines: list[tuple[int, int]] = []  # (index, indentation) of line beginnings outside round brackets
-    open_ = 0
-    for m in expression(lang).finditer(data):
-        group = m.lastindex
-        if group == 5:
-            kind, text = IDENTIFIER, m[0]
-        elif group == 6:
-            kind, text = BYTE, m[0]
-            if text == b"(":
-                open_ += 1
-            elif text == b")" and open_:
-                open_ -= 1
-        elif group == 3:
-            kind, text = STRING, b'"%b"' % m[0][1:-1]
-        elif group == 2:
-            kind, text = STRING, b'"%b"' % m[0][3:-3]
-        elif group == 1:
-            if open_ or m.end() == len(data):  # an indentation that the file ends in gives nothing
-                continue
-            lines.append((len(kinds), _indent(m[0][1:])))
-            kinds.append(LEVEL)
-            texts.append(None)
-            spans.append((m.start() + 1, m.end()))
-            continue
-        else:
-            continue
-        if kind != BYTE and m.end() - m.start() > max_length:
-            kind, text = OVERLONG, None
-        kinds.append(kind)
-        texts.append(text)
-        spans.append(m.span())
-    at = np.asarray(spans, np.int64).reshape(-1, 2)
-    level = np.zeros(len(kinds), np.int32)
-    if lines:
-        level[[i for i, _ in lines]] = _level_changes([a for _, a in lines])
-    return np.asarray(kinds, np.int8), texts, level, at[:, 0], at[:, 1]
+    """(kind, text, level, start, end) of the tokens of one file; levels are 0 but for Python's.
+
+    The expression cuts the text into pieces; their kinds are told from their first bytes and lengths, side by side.
+    """
+    pieces = expression(lang).findall(data)
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    end = np.cumsum(size)
+    start = end - size
+    first = np.frombuffer(data, np.uint8)[start]
+    kind = _first_bytes(lang)[first]
+    kind[kind == _COMMENT] = np.where(size[kind == _COMMENT] > 1, _LEFT_OUT, BYTE)
+    kind[kind == _QUOTE] = np.where(size[kind == _QUOTE] > 1, STRING, BYTE)  # one alone: a lifetime's
+    if pieces and first[-1] in b"\"'`" and never_ends(lang).match(pieces[-1]):
+        kind[-1] = _LEFT_OUT
+    if lang == "py":
+        if len(kind) and kind[-1] == LEVEL:  # an indentation that the file ends in gives nothing
+            kind[-1] = _LEFT_OUT
+        step = ((kind == BYTE) & (first == 40)).astype(np.int64) - ((kind == BYTE) & (first == 41))
+        up = np.cumsum(step)
+        kind[(kind == LEVEL) & (up > np.minimum(np.minimum.accumulate(up), 0))] = _LEFT_OUT  # inside round brackets
+    kept = np.flatnonzero(kind >= 0)
+    kind, first, size, start, end = kind[kept], first[kept], size[kept], start[kept], end[kept]
+    texts: list[bytes | None] = [pieces[i] for i in kept.tolist()]
+    level = np.zeros(len(kept), np.int32)
+    lines = np.flatnonzero(kind == LEVEL)
+    if len(lines):
+        level[lines] = _level_changes([_indent(texts[i][1:]) for i in lines.tolist()])
+        start[lines] += 1
+        for i in lines.tolist():
+            texts[i] = None
+    for i in np.flatnonzero(kind == STRING).tolist():
+        text = texts[i]
+        width = 3 if lang == "py" and len(text) >= 6 and text[:3] in (b'"""', b"'''") else 1
+        if width > 1 or first[i] != 34:
+            texts[i] = b'"%b"' % text[width:-width]
+    overlong = (kind <= IDENTIFIER) & (size > max_length)
+    for i in np.flatnonzero(overlong).tolist():
+        texts[i] = None
+    kind[overlong] = OVERLONG
+    return kind, texts, level, start, end
 
 
 def as_text(column: Column) -> Column:
