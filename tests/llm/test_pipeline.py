@@ -32,6 +32,7 @@ def folder(spark, tmp_path_factory):
         w[r.randrange(30)] = r.choice(["vilewretch", "grottyfool"])
         texts.append(" ".join(w))
     texts += ["### $$$ " * 20 + " ".join(r.choices(words, k=30)), "SHOUTED " * 3 + " ".join(r.choices(words, k=40)).upper(), "same five words again here " * 30]
+    texts.append(" ".join(random.Random(8).choices([f"{a}{b}" for a in words for b in words[:40]], k=30_000)))  # a very long one
     toxic = {i for i, t in enumerate(texts) if t and ("vilewretch" in t or "grottyfool" in t)}
     rows = [(i, t, r.choice(["en", "de", None]), r.choice(["web", "web", "book", None]), len(t or "")) for i, t in enumerate(texts)]
     path = str(tmp_path_factory.mktemp("tables"))

@@ -9,7 +9,7 @@ four where a vocabulary has ids beyond 65,535. The end token is the first id tha
 Shards are written under a temporary name and renamed, so a repeated task leaves one whole file.
 
 Defined cases: null and empty texts give an end token only; an empty table gives no sequence and no shard; repeated rows
-are written as often as they occur; other columns of the input are ignored.
+are written as often as they occur; very long texts go over as many sequences as they need; other columns of the input are ignored.
 """
 
 from __future__ import annotations

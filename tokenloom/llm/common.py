@@ -18,9 +18,11 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset and all is one process (tests), a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tokenloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext.getCheckpointDir():

@@ -21,7 +21,8 @@ fall to it) is a lower bound of the symmetric difference and drops nearly all pa
 are compared by their whole sets of hashes.
 
 Defined cases: null texts and texts without words have the empty set and link with nothing; texts with fewer than WIDTH
-words are one shingle; null ids link with nothing; repeated rows are exact copies; an empty table gives an empty result;
+words are one shingle; null ids link with nothing; repeated rows are exact copies; all shingles of very
+long texts are compared; an empty table gives an empty result;
 other columns of the input are ignored.
 """
 

@@ -8,7 +8,8 @@ occurs has one. Documents are held against an inverted list of the profiles' ent
 does not grow with the number of languages.
 
 Defined cases: null texts and texts without letters are `und` with score 0; with no language learned, every text is
-`und`; ties go to the language first in alphabetical order; equal texts get equal results; an empty table gives an
+`und`; ties go to the language first in alphabetical order; equal texts get equal results; very long texts are
+counted whole; an empty table gives an
 empty result; other columns of the input are ignored.
 """
 

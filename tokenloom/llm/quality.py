@@ -9,7 +9,8 @@ lower) quartile, at least SLACK away from the median. Limits and ratios are join
 and documents outside them, or failing the fixed base rules, are rejected.
 
 Defined cases: null counts as a text without words; texts without words fail the base rules and stay out of the
-sketches; null language or source is a group of its own; equal rows get equal verdicts; an empty table gives an empty
+sketches; null language or source is a group of its own; equal rows get equal verdicts; very long texts
+are measured whole; an empty table gives an empty
 result; input columns named like the results are replaced.
 """
 

@@ -11,7 +11,9 @@ is the only piece that may follow the encoding of the prefix before it (two piec
 their boundary would come before the merges that made them). Both give the library's ids.
 
 Defined cases: null and empty texts give no ids and decode to the empty text; white space other than the space, and
-characters without a piece, become byte pieces; equal texts give equal ids; an empty table gives an empty result.
+characters without a piece, become byte pieces; equal texts give equal ids; very long
+texts are encoded whole, a batch of their own; an empty table gives an empty result; other columns of the input, also with
+the names of the result, are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ are appended to the cache. Normalisation maps null to the empty text and keeps e
 see white space and letter case, so anything stronger would change counts.
 
 Defined cases: null and empty texts have 0 bytes and the count of an empty encoding; repeated rows are encoded once;
-an empty table gives an empty result; other columns of the input are ignored.
+very long texts are encoded whole, a batch of their own; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ prior of weight PRIOR. A document's score is the chance that at least one hit is
 Labels are read from at most about SAMPLE_TOXIC toxic and SAMPLE_CLEAN other documents outside the held-out fold.
 
 Defined cases: null and empty texts, and all texts if no term is learned, get the score of a text without hits;
-several labels of one document count as toxic if one is; equal texts get equal scores; an empty table gives an empty
+several labels of one document count as toxic if one is; equal texts get equal scores; very long
+texts are scored whole, a batch of their own; an empty table gives an empty
 result; other columns of the input are ignored.
 """
 
