@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame: what it keeps of docs, with the columns of `documents`;
 the last one returns the ids of each text instead.
+
+Defined cases: documents with a null or empty text fail the quality rules, so they go in the first stage; a null language or
+source is a group of its own there, and a null source a source of its own in the mixture; of documents with similar
+texts that with the smallest id stays, and the mixture repeats it by its source's rate; very long texts go through
+all stages whole; extra columns stay up to the last stage; an empty table gives an empty result.
 """
 
 from __future__ import annotations
