@@ -132,7 +132,7 @@ class Scan:
         self.lists = cut(lists) if begins else lists
         self.longest = self.program.longest()
         found = self.runs.find(self.lists)
-        self.found = found if self.longest is not None and self.longest <= 1 and not begins else cut(found)
+        self.found = found if self.longest is not None and self.longest <= 1 and not begins and not self.program.loops else cut(found)
         self.edges = self.table(sorted(self.program.edges, key=str), pg.EDGES)
 
     def table(self, rows: list[tuple], schema: str) -> DataFrame:
