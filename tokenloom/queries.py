@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.api import find
+from tokenloom.functions.segments import tokenize_segments
 from tokenloom.functions.shared import cut, new_folder
 from tokenloom.functions.tokenize import as_text, tokenize
 from tokenloom.plans.pattern import expand, load, load_files
@@ -502,3 +503,16 @@ def sql_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["sql_findings"] = ORACLES["lit_capture_track"]
+
+
+@query
+def tokenize_in_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in segments of 1,000 bytes, each cut into tokens by itself."""
+    size = 1000
+    whole = documents(spark, sf_dir).where("content is not null").withColumn("content", F.encode("content", "UTF-8"))
+    cuts = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("content") / size).cast("int") - 1, F.lit(0)))
+    segments = whole.select("file", "lang", "content", F.explode(cuts).alias("seq")).select("file", "lang", "seq", F.substring("content", F.col("seq") * size + 1, F.lit(size)).alias("content"))
+    return tokenize_segments(segments).select("file", "idx", "kind", as_text(F.col("tok")).alias("tok"), F.col("start").alias("s"), F.col("end").alias("e"))
+
+
+ORACLES["tokenize_in_segments"] = ORACLES["tokenize_c"]
