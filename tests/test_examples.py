@@ -1,8 +1,10 @@
 """Whole searches: rules and sources of the kinds that users write, with the findings that they have to give."""
 
+import itertools
 import json
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from tokenloom.api import find
 from tokenloom.functions.tokenize import as_text, token_lists
 from tokenloom.plans.pattern import load, load_files
 from tokenloom.sources.files import read_files
-from tokenloom.streaming.chunks import read_findings, scan_stream
+from tokenloom.streaming.chunks import Assembly, read_findings, scan_stream
 
 
 def findings(spark, lang, text, *rules):
@@ -159,12 +161,68 @@ def test_chunks_late_and_repeated(spark, tmp_path):
         [("a", "c", 1, "all", False), ("a", "c", 1, "all", False), ("b", "c", 1, "0);", True), ("n", "c", 0, "call(9);", False)],
         [("a", "c", 2, "(2);", True), ("b", "c", 0, "call(3", False), ("d", "c", 0, "call(4);", True)],
     ]
-    for k, rows in enumerate(batches):
+    for rows in batches:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         scan_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), load("patterns: ['call($N)']\nlanguages: [c]"), str(tmp_path / "out"), str(tmp_path / "staging")).awaitTermination()
-        assert len(os.listdir(tmp_path / "staging/chunks")) <= 2 + 2, k
     got = sorted((r.file, r.start.offset, r.captures["N"]) for r in read_findings(spark, str(tmp_path / "out")).collect())
     assert got == [("a", 0, "1"), ("a", 9, "2"), ("b", 0, "30"), ("d", 0, "4")]
-    kept = sorted(d for d in os.listdir(tmp_path / "staging/chunks") if d.startswith("batch="))
-    assert kept == ["batch=2", "batch=3"]
-    assert {r.file for r in spark.read.parquet(str(tmp_path / "staging/chunks/batch=3")).collect()} == {"n", "d"}
+    kept = spark.read.format("statestore").option("stateVarName", "chunks").load(str(tmp_path / "staging/progress"))
+    assert {r.file for r in kept.select("key.file").collect()} == {"n"}  # the chunks of unfinished files only
+
+
+class Store:
+    """State of one key in plain Python."""
+
+    def __init__(self):
+        self.maps, self.values, self.timers = {}, {}, []
+
+    def getMapState(self, name, *_):  # noqa: N802
+        data = self.maps.setdefault(name, {})
+
+        class Map:
+            keys = lambda _: iter(list(data))
+            getValue = lambda _, k: data[k]  # noqa: E731, N815
+            containsKey = lambda _, k: k in data  # noqa: E731, N815
+            updateValue = lambda _, k, v: data.__setitem__(k, v)  # noqa: E731, N815
+            removeKey = lambda _, k: data.pop(k)  # noqa: E731, N815
+            clear = lambda _: data.clear()
+
+        return Map()
+
+    def getValueState(self, name, *_):  # noqa: N802
+        data = self.values
+
+        class Value:
+            exists = lambda _: name in data
+            get = lambda _: data[name]
+            update = lambda _, v: data.__setitem__(name, v)
+            clear = lambda _: data.pop(name, None)
+
+        return Value()
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+
+class Clock:
+    getCurrentProcessingTimeInMs = lambda _: 1000  # noqa: E731, N815
+
+
+def test_assembly_of_chunks():
+    """Every order, with repeats and chunks beyond the end, gives the file once; a file without an end is given up at its time."""
+
+    def run(batches, patience=None):
+        store, assembly = Store(), Assembly(patience, None)
+        assembly.init(store)
+        out = [bytes(c) for b in batches for df in assembly.handleInputRows(("f", "c"), iter([pd.DataFrame(b, columns=["seq", "content", "last"])]), Clock()) for c in df["content"]]
+        return out, store, assembly
+
+    whole = [(0, b"ab", False), (1, b"", False), (2, b"c", True)]
+    for order in itertools.permutations([*whole, (7, b"stray", False), (1, b"", False)]):
+        assert run([[x] for x in order])[0] == [b"abc"] and run([order])[0] == [b"abc"]
+    out, store, _ = run([whole, whole])
+    assert out == [b"abc"] and not store.maps["chunks"] and set(store.values) == {"done"}
+    out, store, assembly = run([[whole[0]], [whole[1]], [(3, b"late", False)]], patience=50)
+    assert out == [] and store.timers == [1050]
+    assert [bytes(df["content"][0]) for df in assembly.handleExpiredTimer(("f", "c"), Clock(), None)] == [b"ab"]
+    assert list(assembly.handleExpiredTimer(("f", "c"), Clock(), None)) == [] and list(assembly.handleInputRows(("f", "c"), iter([]), Clock())) == []
