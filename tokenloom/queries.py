@@ -392,7 +392,9 @@ def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         chunks.where(F.pmod(F.xxhash64("file", "seq"), F.lit(4)) == k).unionByName(chunks.where(F.pmod(F.xxhash64("file", "seq"), F.lit(29)) == k)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     scan_stream(stream, patterns("token = $S", language="c"), f"{folder}/out", f"{folder}/staging").awaitTermination()
-    return read_findings(spark, f"{folder}/out").select("file", F.col("start.offset").alias("s"), F.col("end.offset").alias("e"), F.col("captures")["S"].alias("v"))
+    found = cut(read_findings(spark, f"{folder}/out").select("file", F.col("start.offset").alias("s"), F.col("end.offset").alias("e"), F.col("captures")["S"].alias("v")))
+    delete(spark, folder)
+    return found
 
 
 ORACLES["stream_equals_batch"] = f"WITH {C_TOKENS}, runs AS (SELECT file, s, tok, lead(tok) OVER w AS t1, lead(tok, 2) OVER w AS v, lead(kind, 2) OVER w AS k, lead(e, 2) OVER w AS e FROM tokens WINDOW w AS (PARTITION BY file ORDER BY idx)) SELECT file, s, e, v FROM runs WHERE tok = 'token' AND t1 = '=' AND k IN ('string', 'identifier')"
