@@ -254,15 +254,16 @@ def open_pairs(prefix: DataFrame, keys: DataFrame, parts: DataFrame) -> DataFram
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def shingle_blobs(docs: DataFrame) -> DataFrame:
-    """(node, hashes): the sorted hashes of each set, packed."""
+def whole_sets(docs: DataFrame) -> DataFrame:
+    """(node, hashes): the hashes of each set."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             hashes, bounds = shingle_sets(batch.column("text"), WIDTH)
-            yield pa.RecordBatch.from_arrays([pa.array(fingerprints(hashes, bounds)), pa.array([hashes[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())], ["node", "hashes"])
+            sets = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(fingerprints(hashes, bounds)), sets], ["node", "hashes"])
 
-    return docs.select("text").mapInArrow(found, "node long, hashes binary")
+    return docs.select("text").mapInArrow(found, "node long, hashes array<long>")
 
 
 def verify(pairs: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
@@ -276,26 +277,17 @@ def verify(pairs: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
             close = [differ(x.as_buffer(), y.as_buffer()) <= d for x, y, d in zip(batch.column("x"), batch.column("y"), most.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(close, pa.bool_()))
 
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                out.append(PART * shared >= WHOLE * (len(both) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(out, pa.bool_()))
-
     left = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("m"), F.col("sketch").alias("x"))
     right = nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("n"), F.col("sketch").alias("y"))
     sized = pairs.join(left.drop("x"), "a").join(right.drop("y"), "b").where(PART * F.least("m", "n") >= WHOLE * F.greatest("m", "n")).select("a", "b")
     survivors = cut(sized.join(left, "a").join(right, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(near, "a long, b long"))
     wanted = survivors.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("id")
-    sets = cut(shingle_blobs(only(source, wanted)).dropDuplicates(["node"]))
+    sets = cut(whole_sets(only(source, wanted)).dropDuplicates(["node"]))
     first = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
     second = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    return cut(survivors.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(checked, "a long, b long"))
+    # counted in the JVM row by row: Arrow's batches of pairs of whole sets would be as large as the texts are long
+    shared = F.size(F.array_intersect("x", "y"))
+    return cut(survivors.join(first, "a").join(second, "b").where(PART * shared >= WHOLE * (F.size("x") + F.size("y") - shared)).select("a", "b"))
 
 
 def only(source: DataFrame, wanted: DataFrame) -> DataFrame:
