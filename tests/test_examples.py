@@ -226,3 +226,16 @@ def test_assembly_of_chunks():
     assert out == [] and store.timers == [1050]
     assert [bytes(df["content"][0]) for df in assembly.handleExpiredTimer(("f", "c"), Clock(), None)] == [b"ab"]
     assert list(assembly.handleExpiredTimer(("f", "c"), Clock(), None)) == [] and list(assembly.handleInputRows(("f", "c"), iter([]), Clock())) == []
+
+
+def test_chunks_of_the_query_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Before, one task wrote all chunks of a micro-batch, so it read the whole table."""
+    texts = [(k, f"{'x ' * 700 * (k % 3)}token = s{k} ;") for k in range(160)]
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+    folders = []
+    monkeypatch.setattr(queries, "delete", lambda _, folder: folders.append(folder))
+    found = queries.stream_equals_batch(spark, str(tmp_path)).collect()
+    assert sorted(r.v for r in found) == sorted(f"s{k}" for k, _ in texts)
+    folder = folders[0].removeprefix("file:")
+    written = spark.read.parquet(f"{folder}/in").select("_metadata.file_path").distinct().count()
+    assert written > 8 and len([x for x in os.listdir(f"{folder}/out") if x.startswith("batch=")]) == 4

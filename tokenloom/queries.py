@@ -388,10 +388,10 @@ def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = whole.select("file", "lang", "content", F.explode(cuts).alias("seq"))
     chunks = chunks.select("file", "lang", "seq", F.col("content").substr(F.col("seq") * size + 1, F.lit(size)).alias("content"), ((F.col("seq") + 1) * size >= F.length("content")).alias("last"))
     folder = new_folder(spark, "stream")
-    for k in range(4):
-        chunks.where(F.pmod(F.xxhash64("file", "seq"), F.lit(4)) == k).unionByName(chunks.where(F.pmod(F.xxhash64("file", "seq"), F.lit(29)) == k)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    scan_stream(stream, patterns("token = $S", language="c"), f"{folder}/out", f"{folder}/staging").awaitTermination()
+    for k in range(4):  # as many files as the table has parts; the stream goes on where it has stopped and takes them as one micro-batch
+        chunks.where(F.pmod(F.xxhash64("file", "seq"), F.lit(4)) == k).unionByName(chunks.where(F.pmod(F.xxhash64("file", "seq"), F.lit(29)) == k)).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(chunks.schema).parquet(f"{folder}/in")
+        scan_stream(stream, patterns("token = $S", language="c"), f"{folder}/out", f"{folder}/staging").awaitTermination()
     found = cut(read_findings(spark, f"{folder}/out").select("file", F.col("start.offset").alias("s"), F.col("end.offset").alias("e"), F.col("captures")["S"].alias("v")))
     delete(spark, folder)
     return found
