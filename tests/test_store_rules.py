@@ -12,7 +12,7 @@ from tokenloom.api import find, needs_of
 from tokenloom.functions import structure
 from tokenloom.functions.shared import cut
 from tokenloom.functions.regex import RegexError, java_regex
-from tokenloom.functions.tokenize import Needs
+from tokenloom.functions.tokenize import Needs, token_lists
 from tokenloom.plans.pattern import PatternError, load, load_files
 from tokenloom.plans.program import Program
 from tokenloom.plans.scan import Scan, depths_needed
@@ -245,3 +245,22 @@ def test_many_nested_matches_of_a_group(spark):
     n = 3000
     spans = [(n - k, n + k) for k in range(n)]
     assert grouped(spark, spans, [None] * n) == {0: list(range(1, n))}
+
+
+# --- captures' expressions
+
+
+def test_expressions_are_held_against_tokens_before_states_are_made(spark):
+    """Before, each pair of words became a state with its captures, and was held against the expression at the end."""
+
+    def states(text, *patterns, **fields):
+        rules = queries.patterns(*patterns, language="c", **fields)
+        lists = token_lists(queries.snippets(spark, "c", [text]), folded=True, bounds=depths_needed(rules))
+        return Scan(lists, rules).first_states().count(), sorted(tuple(sorted(r.captures.items())) for r in find(queries.snippets(spark, "c", [text]), rules).collect())
+
+    text = "a b _ab ab x 7 x"
+    assert states(text, "$A $B", transform={"A": "(?<B>[a-z]+)$"}) == (1, [(("A", "_ab"), ("B", "ab"))])
+    assert states(text, "$A $B", transform={"A": "(?<C>[0-9]+)$"}) == (1, [(("A", "7"), ("B", "x"), ("C", "7"))])
+    # a capture that is overwritten is told at the end; of two rules over the same tokens one may want what the other does not
+    assert states("1 y ; a", "$X $Y ; %X", transform={"X": "^[a-z]$"})[1] == [(("X", "a"), ("Y", "y"))]
+    assert states(text, "$A $B", "$B $A", transform={"A": "^7$"}) == (4, [(("A", "7"), ("B", "x"))] * 2)

@@ -32,7 +32,10 @@ _CLOSERS = {"round": ")", "square": "]", "curly": "}", "corner": ">"}
 #: A run: (test, text, level) of each token, and pairs of tokens that have to be equal.
 Run = tuple[tuple[tuple[int, str, int], ...], tuple[tuple[int, int], ...]]
 
-EDGES = "rule int, node int, kind string, run int, target int, ops array<struct<op:int,k:int,a:int,b:int>>, closed boolean, back_k int, back_slot int, size int, languages array<string>"
+OPS = "ops array<struct<op:int,k:int,a:int,b:int>>"
+#: What the ops of an edge come to, see settled().
+SETTLED = "equal array<array<int>>, sources array<int>, begin int, finish int"
+EDGES = f"rule int, node int, kind string, run int, target int, {OPS}, closed boolean, back_k int, back_slot int, size int, languages array<string>"
 RULES = f"rule int, name string, grp struct<name:string,unique:boolean,cancel:boolean,match:array<string>>, slots array<string>, out map<string,string>, transforms {TRANSFORMS}"
 ACCEPTED = "rule int, node int, ways int"
 ANCHORED = "map<string,array<struct<run:int,offset:int,wanted:array<struct<k:int,t:binary,l:int>>,equal:array<array<int>>>>>"
@@ -78,6 +81,29 @@ def depths_needed(patterns: Iterable[Pattern]) -> tuple[str, ...]:
     return tuple(d for d in BOUNDS if d in found or d == "scope" and "statement" in found)
 
 
+def settled(ops: Iterable[tuple[int, int, int, int]], slots: int, width: int) -> tuple[list[list[int]], list[int], int, int]:
+    """What ops come to: pairs of a token and a source that have to be equal, the source of each slot, and the tokens at which a span begins and ends (-1: none).
+
+    A source from 0 is a token of the run, -1 - j is what slot j was before. No sources: all slots stay. Slots from `slots` to `width` are of other rules and
+    null; slot `width` always is.
+    """
+    same = [-1 - j for j in range(slots)] + [-1 - width] * (width - slots)
+    sources, equal, begin, finish = list(same), [], -1, -1
+    for op, k, a, b in ops:
+        if op == BACK:
+            equal.append([k, sources[a]])
+        elif op == SET:
+            sources[a] = k
+        elif op == POP:
+            equal.append([k, sources[b]])
+            sources[a], sources[b] = -1 - width, sources[a]
+        elif op == BEGIN:
+            begin = k
+        else:
+            finish = k
+    return equal, [] if sources == same else sources, begin, finish
+
+
 @dataclass
 class Program:
     """The tables of some rules."""

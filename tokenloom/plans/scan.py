@@ -12,15 +12,18 @@ Every way in which a pattern matches gives a row.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions import tokenize as tk
-from tokenloom.functions.captures import transformed
+from tokenloom.functions.captures import fits_early, transformed
 from tokenloom.functions.shared import cut
 from tokenloom.functions.structure import DEPTHS
+from tokenloom.functions.tokenize import as_text
 from tokenloom.plans import program as pg
 from tokenloom.plans.pattern import Pattern
 from tokenloom.plans.program import Program, depths_needed
@@ -86,13 +89,47 @@ class Runs:
         word = kind.isin(tk.STRING, tk.IDENTIFIER)
         return F.when(test == pg.ANY, word).when(test == pg.LEVEL, (kind == tk.LEVEL) & (F.get("level", i) == level)).otherwise(F.when(test == pg.BYTE, kind == tk.BYTE).otherwise(word) & (F.get("tok", i) == text))
 
+    def tests(self, number: int, run: pg.Run) -> Callable[[Column], Column]:
+        """Whether a run without a fixed token is at a place, as far as its own tokens tell."""
+        wanted, equal = run
+        early = self.early(number)
+
+        def at(i: Column) -> Column:
+            tests = [self.fits(F.lit(w[0]), F.lit(w[1].encode()), F.lit(w[2]), i + k) for k, w in enumerate(wanted)]
+            tests += [F.get("tok", i + a) == F.get("tok", i + b) for a, b in equal]
+            tests += [reduce(lambda a, b: a | b, (fits_early(lambda k: F.get("tok", i + k), captures, transforms) for captures, transforms in early))] if early else []
+            return reduce(lambda a, b: a & b, tests)
+
+        return at
+
+    def early(self, number: int) -> list[tuple[dict[str, int], list[tuple]]]:
+        """For each edge over a run that only begins rules: the captures that it sets for good, by their tokens, and their rule's expressions. Empty where some edge has none."""
+        out = []
+        for rule, node, kind, run, _, ops, *_ in self.program.edges:
+            if run != number:
+                continue
+            _, _, _, names, _, transforms = self.program.rules[rule]
+            touched = Counter(x for e in self.program.edges if e[0] == rule for op, _, a, b in e[5] for x in {pg.SET: (a,), pg.POP: (a, b)}.get(op, ()))
+            captures = {names[a]: k for op, k, a, _ in ops if op == pg.SET and touched[a] == 1}
+            told = [t for t in transforms if t[0] in captures]
+            if node or kind != pg.NEXT or not told:
+                return []
+            out.append((captures, told))
+        return out
+
     def everywhere(self, number: int, run: pg.Run) -> Column:
         """The matches of a run without a fixed token."""
-        wanted, equal = run
-        tests = [lambda i, k=k, w=w: self.fits(F.lit(w[0]), F.lit(w[1].encode()), F.lit(w[2]), i + k) for k, w in enumerate(wanted)] + [lambda i, a=a, b=b: F.get("tok", i + a) == F.get("tok", i + b) for a, b in equal]
-        places = F.when(F.size("kind") >= len(wanted), F.sequence(F.lit(0), F.greatest(F.size("kind") - len(wanted), F.lit(0)))).otherwise(F.array().cast("array<int>"))
-        fit = F.filter(places, lambda i: reduce(lambda a, b: a & b, (t(i) for t in tests)))
-        return F.transform(fit, lambda i: self.row(F.lit(number), i, F.lit(len(wanted))))
+        size = len(run[0])
+        places = F.when(F.size("kind") >= size, F.sequence(F.lit(0), F.greatest(F.size("kind") - size, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.filter(places, self.tests(number, run)), lambda i: self.row(F.lit(number), i, F.lit(size)))
+
+    def alone(self, lists: DataFrame, number: int, run: pg.Run) -> DataFrame:
+        """everywhere() as rows, for the only run of rules without bounds: a place is a row before it is tested, so all of it is compiled."""
+        size, i = len(run[0]), F.col("first")
+        rows = lists.where(F.size("kind") >= size).select("*", F.explode(F.sequence(F.lit(0), F.size("kind") - size)).alias("first")).where(self.tests(number, run)(i))
+        spans = (F.struct(self.place(i + k, "s", "col", "line").alias("start"), self.place(i + k, "e", "ecol", "eline").alias("end")) for k in range(size))
+        none = F.array().cast("array<int>")
+        return rows.select("file", "lang", F.lit(number).alias("run"), "first", none.alias("before"), none.alias("after"), F.array().cast("array<array<int>>").alias("stops"), F.array(*(F.get("tok", i + k) for k in range(size))).alias("toks"), F.array(*spans).alias("spans"))
 
     def anchored(self, table: str, anchors: list[str]) -> Column:
         """The matches of runs with a fixed token: where such a token stands, the runs that have it are held against the tokens around."""
@@ -111,6 +148,8 @@ class Runs:
     def find(self, lists: DataFrame) -> DataFrame:
         """(file, lang, run, first, before, after, stops, toks, spans) of every match of every run, from one reading of the lists."""
         table, anchors, rest = self.program.anchored()
+        if len(rest) == 1 and not anchors and not self.bounds:
+            return self.alone(lists, *rest[0])
         found = [self.everywhere(number, run) for number, run in rest] + ([self.anchored(table, anchors)] if anchors else [])
         return lists.select("file", "lang", F.explode(F.concat(*found)).alias("x")).select("file", "lang", "x.*")
 
@@ -129,19 +168,20 @@ class Scan:
         self.bounds = depths_needed(patterns)
         self.runs = Runs(self.program, self.bounds)
         begins = bool(self.program.begins)
+        self.slots = max((len(r[3]) for r in self.program.rules), default=0)
         self.lists = cut(lists) if begins else lists
         self.longest = self.program.longest()
         found = self.runs.find(self.lists)
         self.found = found if self.longest is not None and self.longest <= 1 and not begins and not self.program.loops else cut(found)
-        self.edges = self.table(sorted(self.program.edges, key=str), pg.EDGES)
+        slots = {rule: len(names) for rule, _, _, names, *_ in self.program.rules}
+        self.edges = self.table([e[:5] + pg.settled(e[5], slots[e[0]], self.slots) + e[6:] for e in sorted(self.program.edges, key=str)], pg.EDGES.replace(pg.OPS, pg.SETTLED))
 
     def table(self, rows: list[tuple], schema: str) -> DataFrame:
         return self.spark.createDataFrame(rows, schema)
 
     def first_states(self) -> DataFrame:
         """The states behind the first run of each rule, and the empty ones of rules that begin with an ellipsis."""
-        slots = max((len(r[3]) for r in self.program.rules), default=0)
-        none = {"vis_start": F.lit(None).cast(_SPAN), "vis_end": F.lit(None).cast(_SPAN), "c_depth": F.lit(0), "c_scope": F.lit(0), "c_statement": F.lit(0), "caps": F.array_repeat(F.lit(None).cast("binary"), slots)}
+        none = {"vis_start": F.lit(None).cast(_SPAN), "vis_end": F.lit(None).cast(_SPAN), "c_depth": F.lit(0), "c_scope": F.lit(0), "c_statement": F.lit(0), "caps": F.array_repeat(F.lit(None).cast("binary"), self.slots)}
         edges = F.broadcast(self.edges.where(f"node = 0 and kind = '{pg.NEXT}'").drop("node"))
         joined = self.found.join(edges, "run").where(F.array_contains("languages", F.col("lang")))
         states = self.after_run(joined.withColumns({**none, "origin": F.col("spans")[0]["start"], "lang_": F.col("lang")}))
@@ -151,26 +191,16 @@ class Scan:
             states = states.unionByName(empty.select(*states.columns))
         return states
 
-    @cached_property
-    def after_ops(self) -> Column:
-        """(ok, caps, vis_start, vis_end) of a state after the ops of its edge."""
-        spans, toks = F.col("spans"), F.col("toks")
-
-        def op(s: Column, o: Column) -> Column:
-            tok, cap = F.get(toks, o["k"]), F.get(s["caps"], o["a"])
-            is_ = lambda *kinds: o["op"].isin(*kinds)
-            ok = F.when(is_(pg.BACK), F.coalesce(tok == cap, F.lit(False))).when(is_(pg.POP), F.coalesce(tok == F.get(s["caps"], o["b"]), F.lit(False))).otherwise(True)
-            caps = F.transform(s["caps"], lambda v, i: F.when(is_(pg.SET) & (i == o["a"]), tok).when(is_(pg.POP) & (i == o["b"]), cap).when(is_(pg.POP) & (i == o["a"]), F.lit(None).cast("binary")).otherwise(v))
-            span = F.get(spans, o["k"])
-            return F.struct((s["ok"] & ok).alias("ok"), F.when(is_(pg.SET, pg.POP), caps).otherwise(s["caps"]).alias("caps"), F.when(is_(pg.BEGIN), span["start"]).otherwise(s["vis_start"]).alias("vis_start"), F.when(is_(pg.FINISH), span["end"]).otherwise(s["vis_end"]).alias("vis_end"))
-
-        start = F.struct(F.lit(True).alias("ok"), "caps", "vis_start", "vis_end")
-        return F.when(F.size("ops") > 0, F.aggregate("ops", start, op)).otherwise(start)
-
     def after_run(self, joined: DataFrame) -> DataFrame:
         """The states of joined(state, edge, run), whose captures fit, behind their runs."""
-        done = joined.withColumn("s", self.after_ops).where("s.ok")
-        return done.selectExpr("file", "rule", "target AS node", "first + size AS pos", "after", "stops", "spans[size - 1].end AS last", "origin", "c_depth", "c_scope", "c_statement", "s.caps", "s.vis_start", "s.vis_end")
+        source = lambda x: F.when(x >= 0, F.get("toks", x)).otherwise(F.get("caps", -1 - x))
+        fit = F.forall("equal", lambda c: F.coalesce(F.get("toks", c[0]) == source(c[1]), F.lit(False)))
+        done = joined.where((F.size("equal") == 0) | fit)
+        caps = F.when(F.size("sources") > 0, F.transform("sources", source)).otherwise(F.col("caps"))
+        return done.select(
+            "file", "rule", F.col("target").alias("node"), (F.col("first") + F.col("size")).alias("pos"), "after", "stops", F.expr("get(spans, size - 1).end").alias("last"), "origin", "c_depth", "c_scope", "c_statement", caps.alias("caps"),
+            F.expr("if(begin >= 0, get(spans, begin).start, vis_start)").alias("vis_start"), F.expr("if(finish >= 0, get(spans, finish).end, vis_end)").alias("vis_end"),
+        )
 
     @cached_property
     def asked(self) -> tuple[Column, Column, Column, list[Column]]:
@@ -251,13 +281,14 @@ class Scan:
         """Matches with their rule's names, spans the right way round, and captures that fit the rule's expressions."""
         rules = F.broadcast(self.table(self.program.rules, pg.RULES))
         rows = found.join(rules, "rule")
-        captures = F.expr("map_from_entries(filter(transform(slots, (n, i) -> struct(n AS key, get(caps, i) AS value)), e -> e.value IS NOT NULL))")
+        values = F.transform("slots", lambda n, i: F.struct(n.alias("key"), as_text(F.get("caps", i)).alias("value")))
+        captures = F.map_from_entries(F.filter(values, lambda e: e["value"].isNotNull()))
         start, end = F.coalesce("vis_start", "origin"), F.coalesce("vis_end", "last")
         rows = rows.select(
             "file", F.col("rule").alias("pattern_id"), "name", "grp", F.least(start, end).alias("start"), F.greatest(start, end).alias("end"), F.col("vis_start").isNotNull().alias("start_overridden"), F.col("vis_end").isNotNull().alias("end_overridden"),
             F.col("origin.offset").alias("actual_start"), F.col("last.offset").alias("actual_end"), captures.alias("captures"), "transforms", "out",
         )
-        return transformed(rows)
+        return transformed(rows, any(r[5] for r in self.program.rules), any(r[4] for r in self.program.rules))
 
 
 def scan(lists: DataFrame, patterns: list[Pattern]) -> DataFrame:
