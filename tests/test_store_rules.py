@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tokenloom import queries
@@ -264,3 +265,21 @@ def test_expressions_are_held_against_tokens_before_states_are_made(spark):
     # a capture that is overwritten is told at the end; of two rules over the same tokens one may want what the other does not
     assert states("1 y ; a", "$X $Y ; %X", transform={"X": "^[a-z]$"})[1] == [(("X", "a"), ("Y", "y"))]
     assert states(text, "$A $B", "$B $A", transform={"A": "^7$"}) == (4, [(("A", "7"), ("B", "x"))] * 2)
+
+
+def test_a_task_cuts_small_slices_into_tokens(spark):
+    """A worker's memory is that of a slice's tokens, which are some twenty times its text; before, a slice was 2 MB."""
+
+    class Files:
+        def where(self, *_):
+            return self
+
+        select = where
+
+        def mapInArrow(self, f, _):  # noqa: N802
+            return f
+
+    batch = pa.RecordBatch.from_pydict({"file": [str(k) for k in range(100)], "lang": ["c"] * 100, "content": ["ab " * 5000] * 100})
+    out = list(token_lists(Files())(iter([batch])))
+    assert [x for b in out for x in b.column("file").to_pylist()] == [str(k) for k in range(100)]
+    assert max(len(b.column("kind").flatten()) for b in out) <= (256 << 10) // 3 + 5000

@@ -28,7 +28,7 @@ BACKTICK = ("go", "js", "ts", "kotlin")
 LANGUAGES = (*C_LIKE, *BACKTICK, "rust", "py")
 MAX_LENGTH = 5000
 #: Bytes of text that a task cuts into tokens before it sends them on.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 256 << 10
 KINDS = ("string", "identifier", "byte", "level", "overlong")
 STRING, IDENTIFIER, BYTE, LEVEL, OVERLONG = range(5)
 
