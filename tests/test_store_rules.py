@@ -283,3 +283,12 @@ def test_a_task_cuts_small_slices_into_tokens(spark):
     out = list(token_lists(Files())(iter([batch])))
     assert [x for b in out for x in b.column("file").to_pylist()] == [str(k) for k in range(100)]
     assert max(len(b.column("kind").flatten()) for b in out) <= (256 << 10) // 3 + 5000
+
+
+def test_few_runs_are_looked_for_without_a_table_of_runs(spark):
+    def plan(*texts):
+        rules = queries.patterns(*texts, language="c")
+        lists = token_lists(queries.snippets(spark, "c", [""]), folded=True, bounds=depths_needed(rules))
+        return Scan(lists, rules).runs.find(lists)._jdf.queryExecution().analyzed().toString()
+
+    assert "from_json" not in plan("$X [...] %X") and "from_json" in plan(*(f"a{k} ( $X )" for k in range(9)))

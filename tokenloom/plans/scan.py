@@ -28,6 +28,8 @@ from tokenloom.plans import program as pg
 from tokenloom.plans.pattern import Pattern
 from tokenloom.plans.program import Program, depths_needed
 
+#: Runs up to which each is looked for by itself; beyond it the tokens tell which runs to try.
+FEW = 4
 #: Behind every place of a file.
 FAR = (1 << 31) - 1
 _SPAN = "struct<offset:bigint,column:bigint,line:bigint>"
@@ -89,13 +91,23 @@ class Runs:
         word = kind.isin(tk.STRING, tk.IDENTIFIER)
         return F.when(test == pg.ANY, word).when(test == pg.LEVEL, (kind == tk.LEVEL) & (F.get("level", i) == level)).otherwise(F.when(test == pg.BYTE, kind == tk.BYTE).otherwise(word) & (F.get("tok", i) == text))
 
+    @staticmethod
+    def fit(wanted: tuple[int, str, int], i: Column) -> Column:
+        """fits() for a test that is known when the plan is made."""
+        test, text, level = wanted
+        kind, same = F.get("kind", i), F.get("tok", i) == F.lit(text.encode())
+        if test == pg.LEVEL:
+            return (kind == tk.LEVEL) & (F.get("level", i) == level)
+        return same & (kind == tk.BYTE) if test == pg.BYTE else kind.isin(tk.STRING, tk.IDENTIFIER) if test == pg.ANY else same & kind.isin(tk.STRING, tk.IDENTIFIER)
+
     def tests(self, number: int, run: pg.Run) -> Callable[[Column], Column]:
         """Whether a run without a fixed token is at a place, as far as its own tokens tell."""
         wanted, equal = run
         early = self.early(number)
 
         def at(i: Column) -> Column:
-            tests = [self.fits(F.lit(w[0]), F.lit(w[1].encode()), F.lit(w[2]), i + k) for k, w in enumerate(wanted)]
+            order = sorted(enumerate(wanted), key=lambda x: x[1][0] not in (pg.BYTE, pg.TOKEN))  # what few tokens are first
+            tests = [self.fit(w, i + k) for k, w in order]
             tests += [F.get("tok", i + a) == F.get("tok", i + b) for a, b in equal]
             tests += [reduce(lambda a, b: a | b, (fits_early(lambda k: F.get("tok", i + k), captures, transforms) for captures, transforms in early))] if early else []
             return reduce(lambda a, b: a & b, tests)
@@ -150,6 +162,8 @@ class Runs:
         table, anchors, rest = self.program.anchored()
         if len(rest) == 1 and not anchors and not self.bounds:
             return self.alone(lists, *rest[0])
+        if anchors and len(self.program.runs) <= FEW:
+            anchors, rest = [], [(number, run) for run, number in self.program.runs.items()]
         found = [self.everywhere(number, run) for number, run in rest] + ([self.anchored(table, anchors)] if anchors else [])
         return lists.select("file", "lang", F.explode(F.concat(*found)).alias("x")).select("file", "lang", "x.*")
 
