@@ -26,6 +26,8 @@ from tokenloom.functions.structure import BOUNDS, DEPTHS, depths, left_to_fall,
 C_LIKE = ("c", "csharp", "java")
 BACKTICK = ("go", "js", "ts", "kotlin")
 LANGUAGES = (*C_LIKE, *BACKTICK, "rust", "py")
+#: What quotes strings in languages with C's comments.
+QUOTES = {lang: b"\"'`" if lang in BACKTICK else b"\"'" for lang in (*C_LIKE, *BACKTICK)}
 MAX_LENGTH = 5000
 #: Bytes of text that a task cuts into tokens before it sends them on.
 SLICE_BYTES = 256 << 10
