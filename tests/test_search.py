@@ -132,3 +132,39 @@ def test_tokens_in_sql(spark):
     rows = spark.sql("""SELECT t.* FROM VALUES ('x = "a" + ''b'';\n y', 'c'), (null, 'c'), ('z', 'cobol') AS v(text, lang), LATERAL tokens(text, lang) t""").collect()
     assert [tuple(r) for r in rows] == [(0, "identifier", "x", None, 0, 1, 1, 1), (1, "byte", "=", None, 2, 3, 1, 3), (2, "string", '"ab"', None, 4, 13, 1, 5), (3, "byte", ";", None, 13, 14, 1, 14), (4, "identifier", "y", None, 16, 17, 2, 2)]
     assert [(r.kind, r.level, r.tok) for r in spark.sql("SELECT * FROM tokens('a\\n  bcd', 'py', false, 2)").collect()] == [("identifier", None, "a"), ("level", 1, None), ("overlong", None, None)]
+
+
+def test_tokens_in_sql_come_in_arrays(spark):
+    """Rows of tokens are not pickled one by one, and only the columns asked for leave their arrays; long inputs are answered in slices."""
+    import pyarrow as pa
+
+    from tokenloom import sql
+
+    sql.register(spark)
+    plan = spark.sql("SELECT t.idx FROM VALUES ('x y', 'c') AS v(text, lang), LATERAL tokens(text, lang) t")._jdf.queryExecution().executedPlan().toString()
+    assert "PythonUDTF" not in plan and "ArrowEvalPython" in plan
+    rows = spark.sql("SELECT t.kind, t.tok, t.start, t.line FROM VALUES (X'ff200a27412720', 'c'), (X'41', null) AS v(text, lang), LATERAL tokens(text, lang, null, null) t").collect()
+    assert [tuple(r) for r in rows] == [("identifier", "�", 0, 1), ("string", '"A"', 3, 2)]
+    texts = pa.array([b"a b " * 30_000] * 5)
+    found = list(sql.token_rows(iter([(texts, pa.array(["js"] * 5), pa.array([None] * 5, pa.bool_()), pa.array([None] * 5, pa.int32()))])))
+    assert len(found) > 1 and [len(x) for f in found for x in f] == [60_000] * 5
+
+
+def test_tokens_side_by_side_are_those_of_the_expression():
+    import random
+
+    from tokenloom.functions import spans
+    from tokenloom.functions.tokenize import QUOTES, lex
+
+    pieces = ["a1", "_é", " ", "\n", "12_3", "x.5", '"s\\"t"', "'c'", '"', "'", "`", "/", "//", "/*", "*/", "*", "\\", "/**/", "/*/", "日本", "0x1F", "+", "(", "9", "_", "\x7f", "// c\n", "word" * 3]
+    r = random.Random(3)
+    for _ in range(1500):
+        files = [("".join(r.choices(pieces, k=r.randrange(12))).encode(), r.choice(["c", "js"])) for _ in range(3)]
+        data = b"".join(f for f, _ in files)
+        ends = [sum(len(f) for f, _ in files[: k + 1]) for k in range(3)]
+        starts = [e - len(f) for e, (f, _) in zip(ends, files, strict=True)]
+        kind, start, end, count = spans.tokens_in(data, list(zip(starts, ends, strict=True)), [QUOTES[lang] for _, lang in files])
+        kind, tok = spans.texts(data, kind, start, end, 5)
+        got = list(zip(kind.tolist(), tok.to_pylist(), start.tolist(), end.tolist(), strict=True))
+        want = [[(k, t, s + a, e + a) for k, t, _, s, e in zip(*(x if isinstance(x, list) else x.tolist() for x in lex(f, lang, 5)), strict=True)] for (f, lang), a in zip(files, starts, strict=True)]
+        assert got == sum(want, []) and count.tolist() == [len(w) for w in want]

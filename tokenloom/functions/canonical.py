@@ -11,6 +11,12 @@ import numpy as np
 _STRING, _BYTE, _OVERLONG = 0, 2, 4
 
 
+def folds(kind: np.ndarray) -> bool:
+    """False if fold() leaves tokens of these kinds as they are."""
+    string = kind == _STRING
+    return bool((string[:-1] & string[1:]).any() or (string[:-2] & string[2:] & (kind[1:-1] == _BYTE)).any())
+
+
 def fold(kind: np.ndarray, tok: list[bytes | None], level: np.ndarray, start: np.ndarray, end: np.ndarray, max_length: int) -> tuple[np.ndarray, list[bytes | None], np.ndarray, np.ndarray, np.ndarray]:
     """A file's tokens with each run of strings as one, from the start of its first to the end of its last."""
     string = kind == _STRING

@@ -20,7 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.functions.canonical import fold
+from tokenloom.functions.canonical import fold, folds
+from tokenloom.functions.spans import texts, tokens_in
 from tokenloom.functions.structure import BOUNDS, DEPTHS, depths, left_to_fall, next_ends, next_falls
 
 C_LIKE = ("c", "csharp", "java")
@@ -160,6 +161,28 @@ def lex(data: bytes, lang: str, max_length: int) -> tuple[np.ndarray, list[bytes
     return kind, texts, level, start, end
 
 
+def lex_arrays(data: bytes, lang: str, max_length: int, folded: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """lex(), or that with neighbouring strings joined, with the texts as an Arrow array; without an object for each token where the language has C's comments."""
+    if lang in QUOTES:
+        kind, start, end, _ = tokens_in(data, [(0, len(data))], [QUOTES[lang]])
+        kind, tok = texts(data, kind, start, end, max_length)
+        found = kind, tok, np.zeros(len(kind), np.int32), start, end
+        if not (folded and folds(kind)):
+            return found
+        found = fold(kind, tok.to_pylist(), *found[2:], max_length)
+    else:
+        found = lex(data, lang, max_length)
+        found = fold(*found, max_length) if folded else found
+    return found[0], pa.array(found[1], pa.binary()), *found[2:]
+
+
+def places(data: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, column) of offsets, from 1."""
+    breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+    line = np.searchsorted(breaks, at)
+    return line + 1, at - np.concatenate([[0], breaks + 1])[line] + 1
+
+
 def as_text(column: Column) -> Column:
     """Bytes as UTF-8 text; invalid bytes become U+FFFD."""
     return F.make_valid_utf8(column.cast("string"))
@@ -175,12 +198,12 @@ def list_schema(bounds: tuple[str, ...]) -> str:
     return ", ".join(["file string", "lang string", "kind array<tinyint>", "tok array<binary>", "level array<int>", *(f"{p} array<int>" for p in ints)])
 
 
-def bounds_of(kind: np.ndarray, tok: list[bytes | None], level: np.ndarray, bounds: tuple[str, ...]) -> list[np.ndarray]:
-    """The arrays of a file that list_schema() has for bounds."""
+def bounds_of(kind: np.ndarray, first: np.ndarray, level: np.ndarray, bounds: tuple[str, ...]) -> list[np.ndarray]:
+    """The arrays of a file that list_schema() has for bounds. first: the first byte of each token."""
     out = []
     for d in bounds:
-        depth = depths(kind, tok, level, d if d in DEPTHS else "scope")
-        out += [depth, next_falls(depth), left_to_fall(depth)] if d in DEPTHS else [next_ends(depth, kind, tok, level)]
+        depth = depths(kind, first, level, d if d in DEPTHS else "scope")
+        out += [depth, next_falls(depth), left_to_fall(depth)] if d in DEPTHS else [next_ends(depth, kind, first, level)]
     return out
 
 
@@ -239,7 +262,7 @@ def token_lists(
 
     def one(batch: pa.RecordBatch, wanted: Needs | None) -> pa.RecordBatch | None:
         columns: list[list[np.ndarray]] = [[] for _ in schema_names]
-        texts: list[bytes | None] = []
+        toks: list[pa.Array] = []
         count, kept = [0], []
         for i, (content_, lang) in enumerate(zip(batch.column("content"), batch.column("lang").to_pylist(), strict=True)):
             data = content_.as_py()
@@ -247,28 +270,26 @@ def token_lists(
             if wanted is not None and not wanted.met(data, lang):
                 continue
             kept.append(i)
-            kind, tok, level, start, end = lex(data, lang, max_length)
-            if folded:
-                kind, tok, level, start, end = fold(kind, tok, level, start, end, max_length)
-            breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
-            begins = np.concatenate([[0], breaks + 1])
-            line, eline = np.searchsorted(breaks, start), np.searchsorted(breaks, end)
-            values = [kind, level, start, end, line + 1, start - begins[line] + 1, eline + 1, end - begins[eline] + 1]
-            values += bounds_of(kind, tok, level if lang == "py" else np.zeros(len(level), np.int32), bounds)
+            kind, tok, level, start, end = lex_arrays(data, lang, max_length, folded)
+            (line, col), (eline, ecol) = places(data, start), places(data, end)
+            values = [kind, level, start, end, line, col, eline, ecol]
+            if bounds:
+                first = np.append(np.frombuffer(data, np.uint8), 0)[start]
+                values += bounds_of(kind, first, level if lang == "py" else np.zeros(len(level), np.int32), bounds)
             for c, v in zip(columns, values, strict=True):
                 c.append(v)
-            texts += tok
+            toks.append(tok)
             count.append(len(tok))
         if not kept:
             return None
         offsets = np.cumsum(count).astype(np.int32)
-        places = pa.array(offsets + np.arange(len(count), dtype=np.int32))  # one more than tokens
+        one_longer = pa.array(offsets + np.arange(len(count), dtype=np.int32))  # one more than tokens
         offsets = pa.array(offsets)
         flat = [np.concatenate(c) for c in columns]
         level = pa.array(flat[1].astype(np.int32), mask=flat[0] != LEVEL)
-        lists = [pa.array(flat[0]), pa.array(texts, pa.binary()), level, *(pa.array(c.astype(np.int32)) for c in flat[2:])]
+        lists = [pa.array(flat[0]), pa.concat_arrays(toks), level, *(pa.array(c.astype(np.int32)) for c in flat[2:])]
         one_more = len(lists) - (len(schema_names) - 2 - len(POSITIONS))
-        arrays = [pa.ListArray.from_arrays(places if k >= one_more else offsets, x) for k, x in enumerate(lists)]
+        arrays = [pa.ListArray.from_arrays(one_longer if k >= one_more else offsets, x) for k, x in enumerate(lists)]
         rows = pa.array(kept, pa.int64())
         return pa.RecordBatch.from_arrays([batch.column("file").take(rows), batch.column("lang").take(rows), *arrays], names)
 
@@ -297,4 +318,4 @@ def tokenize(files: DataFrame, content: str = "content", max_length: int = MAX_L
     return rows.select("file", "lang", F.col("idx").cast("long").alias("idx"), kind.alias("kind"), F.col("x.tok").alias("tok"), F.col("x.level").alias("level"), place("s", "col", "line").alias("start"), place("e", "ecol", "eline").alias("end"))
 
 
-__all__ = ["BOUNDS", "DEPTHS", "KINDS", "LANGUAGES", "as_text", "lex", "spread", "token_lists", "tokenize"]
+__all__ = ["BOUNDS", "DEPTHS", "KINDS", "LANGUAGES", "as_text", "lex", "lex_arrays", "places", "spread", "token_lists", "tokenize"]

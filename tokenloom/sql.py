@@ -10,40 +10,60 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import arrow_udf
 
 from tokenloom.api import find
-from tokenloom.functions.canonical import fold
 from tokenloom.functions.shared import cut
-from tokenloom.functions.tokenize import KINDS, LANGUAGES, LEVEL, MAX_LENGTH, lex
+from tokenloom.functions.tokenize import KINDS, LANGUAGES, LEVEL, MAX_LENGTH, SLICE_BYTES, lex_arrays, places
 from tokenloom.plans.pattern import load
 
-TOKENS = "idx long, kind string, tok string, level int, start long, end long, line long, column long"
+_NAMES = ["idx", "kind", "tok", "level", "start", "end", "line", "column"]
+TOKENS = ", ".join(f"`{n}` {'string' if n in ('kind', 'tok') else 'int' if n == 'level' else 'bigint'}" for n in _NAMES)
 
 
-@udtf(returnType=TOKENS)
-class Tokens:
-    """tokens(content, lang [, folded [, max_length]]): the tokens of one text, with folded strings by default; none for a null text or another language."""
+def _text(tok: pa.Array) -> pa.Array:
+    try:
+        return tok.cast(pa.string())
+    except pa.ArrowInvalid:  # bytes that are no UTF-8
+        return pa.array([None if t is None else t.decode("utf-8", "replace") for t in tok.to_pylist()], pa.string())
 
-    def eval(self, content: str | bytes | None, lang: str | None, folded: bool | None = True, max_length: int | None = MAX_LENGTH) -> Iterator[tuple]:
-        if content is None or lang not in LANGUAGES:
-            return
-        data = content.encode() if isinstance(content, str) else bytes(content)
-        most = MAX_LENGTH if max_length is None else max_length
-        kind, tok, level, start, end = lex(data, lang, most)
-        if folded is None or folded:
-            kind, tok, level, start, end = fold(kind, tok, level, start, end, most)
-        breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
-        begins = np.concatenate([[0], breaks + 1])
-        line = np.searchsorted(breaks, start)
-        for k, (kind_, text, level_, a, b, n) in enumerate(zip(kind.tolist(), tok, level.tolist(), start.tolist(), end.tolist(), line.tolist(), strict=True)):
-            yield k, KINDS[kind_], None if text is None else text.decode("utf-8", "replace"), level_ if kind_ == LEVEL else None, a, b, n + 1, a - int(begins[n]) + 1
+
+def _rows(content: pa.Array, lang: pa.Array, folded: pa.Array, max_length: pa.Array) -> pa.Array:
+    """The tokens of each text, as a list of rows."""
+    parts: list[list[pa.Array]] = [[] for _ in _NAMES]
+    count = [0]
+    for data, name, fold, most in zip(content, *(x.to_pylist() for x in (lang, folded, max_length)), strict=True):
+        known = data.is_valid and name in LANGUAGES
+        data = data.as_py() if known else b""
+        kind, tok, level, start, end = lex_arrays(data, name if known else LANGUAGES[0], MAX_LENGTH if most is None else most, fold is None or fold)
+        line, column = places(data, start)
+        columns = [pa.array(np.arange(len(kind))), pa.array(KINDS).take(pa.array(kind)), _text(tok), pa.array(level.astype(np.int32), mask=kind != LEVEL), *(pa.array(x, pa.int64()) for x in (start, end, line, column))]
+        count.append(len(kind))
+        for p, c in zip(parts, columns, strict=True):
+            p.append(c)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(count).astype(np.int32)), pa.StructArray.from_arrays([pa.concat_arrays(p) for p in parts], _NAMES))
+
+
+def token_rows(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    """The rows of tokens() for (content, lang, folded, max_length), a slice of texts at a time."""
+    for columns in batches:
+        part = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(columns[0]), 0), np.int64)) // SLICE_BYTES
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a < b:
+                yield _rows(*(c.slice(a, b - a) for c in columns))
 
 
 def register(spark: SparkSession) -> None:
-    """Add the table function `tokens` to the session."""
-    spark.udtf.register("tokens", Tokens)
+    """Add the table function to the session: tokens(content, lang [, folded [, max_length]]), the tokens of one text, with folded strings by default; none for a null text or another language."""
+    spark.udf.register("token_rows", arrow_udf(token_rows, f"array<struct<{TOKENS.replace('` ', '`:')}>>"))
+    spark.sql(
+        f"CREATE OR REPLACE TEMPORARY FUNCTION tokens(content BINARY, lang STRING, folded BOOLEAN DEFAULT true, max_length INT DEFAULT {MAX_LENGTH}) RETURNS TABLE ({TOKENS}) "
+        "RETURN SELECT x.* FROM (SELECT explode(token_rows(content, lang, folded, max_length)) AS x)"
+    )
 
 
 def findings_view(spark: SparkSession, name: str, files: str | DataFrame, rules: str, column: str = "yaml", **options) -> DataFrame:
