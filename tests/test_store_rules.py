@@ -166,6 +166,18 @@ def test_long_repetitions_take_few_rounds(spark, monkeypatch):
     assert len(stored) <= 2 * 13 + 10
 
 
+def test_turns_before_the_first_state_are_left_out(spark, monkeypatch):
+    """Of a repetition's turns those before the place where it can begin are not doubled."""
+    from tokenloom.plans import scan
+
+    sizes = []
+    monkeypatch.setattr(scan, "cut", lambda df: sizes.append((out := cut(df)).count()) or out if "to" in df.columns else cut(df))
+    files = queries.snippets(spark, "c", ["x = 1 ; " * 200 + "go x = 2 ; x = 3 ; end", "x = 1 ; end"])
+    rows = find(files, load("patterns: ['go ..* x = $_ ; ..* end']\nlanguages: [c]")).collect()
+    assert [(r.file, r.start.offset) for r in rows] == [("s0", 1600)]
+    assert sizes and max(sizes) == 1  # the first turn follows `go`
+
+
 # --- regular expressions
 
 

@@ -259,8 +259,11 @@ class Scan:
         body = F.broadcast(self.table([(loop, run) for runs, loop in self.program.bodies.items() for run in runs], "loop int, run int"))
         keys = ["file", "loop", "pos"]
         steps = self.found.join(body, "run").selectExpr("file", "loop", "first AS pos", "first + size(toks) AS to", "after AS a", "stops AS s", "spans[size(toks) - 1].end AS l")
-        steps = cut(steps.join(inside.select("file", "loop").distinct(), ["file", "loop"], "left_semi"))
         reached, all_ = cut(inside), [states]
+        if reached.isEmpty():
+            return states
+        least = reached.groupBy("file", "loop").agg(F.min("pos").alias("least"))  # turns go forwards, so none before the first state is taken
+        steps = cut(steps.join(least, ["file", "loop"]).where("pos >= least").drop("least"))
         columns = [c for c in reached.columns if c not in ("pos", "after", "stops", "last")]
         while not steps.isEmpty():
             further = cut(reached.join(steps, keys).select(*columns, F.col("to").alias("pos"), F.col("a").alias("after"), F.col("s").alias("stops"), F.col("l").alias("last")))
