@@ -178,6 +178,28 @@ def test_turns_before_the_first_state_are_left_out(spark, monkeypatch):
     assert sizes and max(sizes) == 1  # the first turn follows `go`
 
 
+def test_brackets_are_closed_without_a_join(spark, monkeypatch):
+    """The place where an ellipsis in brackets ends is known in the file's row; before, states and runs were stored and joined for it. The results are the join's."""
+    from tokenloom.plans import scan
+
+    r = random.Random(5)
+    files = queries.snippets(spark, "c", [" ".join(r.choices("a b c ; ( ( ) ) [ ] < > { }".split(), k=150)) for _ in range(40)])
+    alone = ["$X [...] %X", "$X (...)", "$A < ..> > $B", "$A (...) (...) $A", "a (... ..^ ) ..$ $B"]
+    joined = ["..- a (...) ..| b ..- $X", "$A (...) ... $B", "..* a (...) b ..* c"]
+
+    def found(text):
+        stored = []
+        monkeypatch.setattr(scan, "cut", lambda df: stored.append(1) or cut(df))
+        rows = find(files, load(f"patterns: ['{text}']\nlanguages: [c]")).collect()
+        return sorted((x.file, x.start.offset, x.end.offset, sorted(x.captures.items())) for x in rows), len(stored)
+
+    now = {text: found(text) for text in alone + joined}
+    assert [now[text][1] for text in alone] == [0] * len(alone)
+    monkeypatch.setattr(scan, "FEW", 0)
+    for text, (rows, _) in now.items():
+        assert rows and rows == found(text)[0], text
+
+
 # --- regular expressions
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import base64
 import json
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
 from tokenloom.functions.captures import TRANSFORMS, transforms_of
@@ -21,15 +21,15 @@ from tokenloom.plans.pattern import Item, Pattern
 #: Items that test a token and leave captures alone.
 PLAIN = ("byte", "token", "level", "any")
 SINGLE = ("byte", "token", "level", "capture", "back", "any", "replace", "pop")
-#: Tests of a run's tokens.
-BYTE, TOKEN, LEVEL, ANY = range(4)
+#: Tests of a run's tokens; CLOSER: the token that closes the bracket, named in the text, that is open behind the token before, over an ellipsis.
+BYTE, TOKEN, LEVEL, ANY, CLOSER = range(5)
 #: What an edge does with a token: equal to a capture, becomes one, hands one on, span begins, span ends.
 BACK, SET, POP, BEGIN, FINISH = range(5)
 #: Kinds of ways to a run: next to it, after any tokens, or within one of BOUNDS.
 NEXT, FREE = "next", "free"
 _CLOSERS = {"round": ")", "square": "]", "curly": "}", "corner": ">"}
 
-#: A run: (test, text, level) of each token, and pairs of tokens that have to be equal.
+#: A run: (test, text, level) of each token, and pairs of tokens that have to be equal. Its tokens are next to each other but for closers.
 Run = tuple[tuple[tuple[int, str, int], ...], tuple[tuple[int, int], ...]]
 
 OPS = "ops array<struct<op:int,k:int,a:int,b:int>>"
@@ -42,8 +42,16 @@ ANCHORED = "map<string,array<struct<run:int,offset:int,wanted:array<struct<k:int
 
 
 def run_of(items: Iterable[Item]) -> Run:
-    wanted, equal, captured = [], [], {}
-    for k, x in enumerate(items):
+    wanted, equal, captured, over = [], [], {}, ""
+    for x in items:
+        if x.kind == "skip":
+            over = x.text
+            continue
+        k = len(wanted)
+        if over:
+            wanted.append((CLOSER, over, 0))
+            over = ""
+            continue
         test = {"byte": BYTE, "token": TOKEN, "level": LEVEL}.get(x.kind, ANY)
         wanted.append((test, x.text if test in (BYTE, TOKEN) else "", int(x.text) if test == LEVEL else 0))
         if x.kind == "back" and x.text in captured:
@@ -118,10 +126,12 @@ class Program:
     #: Repetitions of single runs without captures: (rule, node, loop), and their runs: (loop, run).
     loops: list[tuple] = field(default_factory=list)
     bodies: dict[tuple[int, ...], int] = field(default_factory=dict)
+    #: Whether the runs that begin rules go on over ellipses to the brackets that close them, see closes().
+    fused: bool = False
 
     @staticmethod
-    def of(patterns: list[Pattern]) -> Program:
-        program = Program()
+    def of(patterns: list[Pattern], fused: bool = False) -> Program:
+        program = Program(fused=fused)
         for rule, p in enumerate(patterns):
             _Rule(program, rule, p).add()
         return program
@@ -167,6 +177,7 @@ class _Rule:
         self.program, self.rule, self.pattern = program, rule, pattern
         self.names = captures_of(pattern.items)
         self.nodes = 0
+        self.turning = False
         self.twice: set[int] = set()  # nodes inside repetitions, after the first turn
         self.runs_at: dict[int, set[int]] = {}  # node -> the runs before it
 
@@ -183,10 +194,15 @@ class _Rule:
         group = (p.group, p.unique, p.cancel, list(p.match))
         program.rules.append((self.rule, p.name, group, self.names, dict(p.out), transforms_of(p.transform, tuple(self.names))))
 
-    def follow(self, ways: Open, items: Iterable[Item]) -> Open:
+    def closes(self, ways: Open, run: list[Item], items: Sequence[Item], n: int) -> bool:
+        """Whether items[n] is an ellipsis from the rule's first run to the bracket that ends it: there is one such place, known without a join."""
+        ends = n + 1 < len(items) and items[n].kind == "skip" and items[n + 1].kind == "byte" and items[n + 1].text == _CLOSERS.get(items[n].text)
+        return self.program.fused and ends and bool(run) and not self.turning and set(ways) == {(0, NEXT)}
+
+    def follow(self, ways: Open, items: Sequence[Item]) -> Open:
         run: list[Item] = []
-        for x in items:
-            if x.kind in SINGLE:
+        for n, x in enumerate(items):
+            if x.kind in SINGLE or self.closes(ways, run, items, n):
                 run.append(x)
                 continue
             ways, run = self.run(ways, run), []
@@ -216,7 +232,7 @@ class _Rule:
             self.program.loops.append((self.rule, node, loop))
             return ways + Counter({(node, NEXT): 1})
         all_, fresh = Counter(ways), ways
-        first = self.nodes
+        first, self.turning = self.nodes, True
         while fresh:
             reached: Counter = Counter()
             self.nodes = first  # each turn goes through the same nodes
@@ -225,6 +241,7 @@ class _Rule:
             self.twice.update(range(first + 1, self.nodes + 1))
             fresh = Counter({k: 1 for k in reached if k not in all_})
             all_ += fresh
+        self.turning = False
         return all_
 
     def run(self, ways: Open, items: list[Item], target: int = 0) -> Open:
@@ -234,6 +251,7 @@ class _Rule:
         program, names = self.program, self.names
         shape = run_of(items)
         number = program.runs.setdefault(shape, len(program.runs))
+        items = [x for x in items if x.kind != "skip"]
         if not target:
             self.nodes += 1
             target = self.nodes

@@ -79,11 +79,32 @@ class Runs:
         none = F.array().cast("array<int>")
         return F.array(*(self.closers(pos, b) if run is None else F.when(run.isin(wanted[b]), self.closers(pos, b)).otherwise(none) if wanted[b] else none for b in self.bounds)).cast("array<array<int>>")
 
-    def row(self, run: Column, first: Column, size: Column) -> Column:
-        """A match of a run that begins at token `first`."""
-        pos = first + size
-        spans = F.transform(F.sequence(first, pos - 1), lambda i: F.struct(self.place(i, "s", "col", "line").alias("start"), self.place(i, "e", "ecol", "eline").alias("end")))
-        return F.struct(run.alias("run"), first.alias("first"), self.at(first).alias("before"), self.at(pos).alias("after"), self.stops(pos, run).alias("stops"), F.slice("tok", first + 1, size).alias("toks"), spans.alias("spans"))
+    def span(self, i: Column) -> Column:
+        return F.struct(self.place(i, "s", "col", "line").alias("start"), self.place(i, "e", "ecol", "eline").alias("end"))
+
+    def row(self, run: Column, first: Column, pos: Column, toks: Column, spans: Column) -> list[Column]:
+        """A match of a run that begins at token `first`; pos: the place behind it."""
+        return [run.alias("run"), first.alias("first"), pos.alias("behind"), self.at(first).alias("before"), self.at(pos).alias("after"), self.stops(pos, run).alias("stops"), toks.alias("toks"), spans.alias("spans")]
+
+    def together(self, run: Column, first: Column, size: Column) -> Column:
+        """row() of a run whose tokens are next to each other."""
+        return F.struct(*self.row(run, first, first + size, F.slice("tok", first + 1, size), F.transform(F.sequence(first, first + size - 1), self.span)))
+
+    def apart(self, number: int, run: pg.Run, first: Column) -> list[Column]:
+        """row() of a run that is known when the plan is made."""
+        places = self.places(run, first)
+        return self.row(F.lit(number), first, places[-1] + 1, F.array(*(F.get("tok", i) for i in places)), F.array(*map(self.span, places)))
+
+    @staticmethod
+    def places(run: pg.Run, first: Column) -> list[Column]:
+        """The place of each token of a run that begins at token `first`."""
+        out, base, off = [], first, 0
+        for test, text, _ in run[0]:
+            if test == pg.CLOSER:
+                base, off = F.get(f"next_{text}", base + off), 0
+            out.append(base + off if off else base)
+            off += 1
+        return out
 
     @staticmethod
     def fits(test: Column, text: Column, level: Column, i: Column) -> Column:
@@ -96,20 +117,23 @@ class Runs:
         """fits() for a test that is known when the plan is made."""
         test, text, level = wanted
         kind, same = F.get("kind", i), F.get("tok", i) == F.lit(text.encode())
+        if test == pg.CLOSER:
+            return i >= 0
         if test == pg.LEVEL:
             return (kind == tk.LEVEL) & (F.get("level", i) == level)
         return same & (kind == tk.BYTE) if test == pg.BYTE else kind.isin(tk.STRING, tk.IDENTIFIER) if test == pg.ANY else same & kind.isin(tk.STRING, tk.IDENTIFIER)
 
     def tests(self, number: int, run: pg.Run) -> Callable[[Column], Column]:
-        """Whether a run without a fixed token is at a place, as far as its own tokens tell."""
+        """Whether a run is at a place, as far as its own tokens tell."""
         wanted, equal = run
         early = self.early(number)
 
         def at(i: Column) -> Column:
             order = sorted(enumerate(wanted), key=lambda x: x[1][0] not in (pg.BYTE, pg.TOKEN))  # what few tokens are first
-            tests = [self.fit(w, i + k) for k, w in order]
-            tests += [F.get("tok", i + a) == F.get("tok", i + b) for a, b in equal]
-            tests += [reduce(lambda a, b: a | b, (fits_early(lambda k: F.get("tok", i + k), captures, transforms) for captures, transforms in early))] if early else []
+            places = self.places(run, i)
+            tests = [self.fit(w, places[k]) for k, w in order]
+            tests += [F.get("tok", places[a]) == F.get("tok", places[b]) for a, b in equal]
+            tests += [reduce(lambda a, b: a | b, (fits_early(lambda k: F.get("tok", places[k]), captures, transforms) for captures, transforms in early))] if early else []
             return reduce(lambda a, b: a & b, tests)
 
         return at
@@ -130,18 +154,17 @@ class Runs:
         return out
 
     def everywhere(self, number: int, run: pg.Run) -> Column:
-        """The matches of a run without a fixed token."""
+        """The matches of a run that is known when the plan is made."""
         size = len(run[0])
         places = F.when(F.size("kind") >= size, F.sequence(F.lit(0), F.greatest(F.size("kind") - size, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-        return F.transform(F.filter(places, self.tests(number, run)), lambda i: self.row(F.lit(number), i, F.lit(size)))
+        closes = any(test == pg.CLOSER for test, *_ in run[0])
+        return F.transform(F.filter(places, self.tests(number, run)), lambda i: F.struct(*self.apart(number, run, i)) if closes else self.together(F.lit(number), i, F.lit(size)))
 
     def alone(self, lists: DataFrame, number: int, run: pg.Run) -> DataFrame:
-        """everywhere() as rows, for the only run of rules without bounds: a place is a row before it is tested, so all of it is compiled."""
+        """everywhere() as rows, for the only run of rules that ask for no bounds behind it: a place is a row before it is tested, so all of it is compiled."""
         size, i = len(run[0]), F.col("first")
         rows = lists.where(F.size("kind") >= size).select("*", F.explode(F.sequence(F.lit(0), F.size("kind") - size)).alias("first")).where(self.tests(number, run)(i))
-        spans = (F.struct(self.place(i + k, "s", "col", "line").alias("start"), self.place(i + k, "e", "ecol", "eline").alias("end")) for k in range(size))
-        none = F.array().cast("array<int>")
-        return rows.select("file", "lang", F.lit(number).alias("run"), "first", none.alias("before"), none.alias("after"), F.array().cast("array<array<int>>").alias("stops"), F.array(*(F.get("tok", i + k) for k in range(size))).alias("toks"), F.array(*spans).alias("spans"))
+        return rows.select("file", "lang", *self.apart(number, run, i))
 
     def anchored(self, table: str, anchors: list[str]) -> Column:
         """The matches of runs with a fixed token: where such a token stands, the runs that have it are held against the tokens around."""
@@ -155,13 +178,14 @@ class Runs:
             return inside & all_fit & F.forall(r["r"]["equal"], lambda p: F.get("tok", r["first"] + p[0]) == F.get("tok", r["first"] + p[1]))
 
         tried = F.transform(places, lambda i: F.filter(F.transform(F.element_at(entries, F.get("tok", i).cast("string")), lambda r: F.struct(r.alias("r"), (i - r["offset"]).alias("first"))), match))
-        return F.transform(F.flatten(tried), lambda m: self.row(m["r"]["run"], m["first"], F.size(m["r"]["wanted"])))
+        return F.transform(F.flatten(tried), lambda m: self.together(m["r"]["run"], m["first"], F.size(m["r"]["wanted"])))
 
     def find(self, lists: DataFrame) -> DataFrame:
-        """(file, lang, run, first, before, after, stops, toks, spans) of every match of every run, from one reading of the lists."""
+        """(file, lang, run, first, behind, before, after, stops, toks, spans) of every match of every run, from one reading of the lists."""
         table, anchors, rest = self.program.anchored()
-        if len(rest) == 1 and not anchors and not self.bounds:
-            return self.alone(lists, *rest[0])
+        run = next(iter(self.program.runs), ((), ()))
+        if len(self.program.runs) == 1 and not self.program.bounds_after and (not anchors or any(test == pg.CLOSER for test, *_ in run[0])):
+            return self.alone(lists, 0, run)
         if anchors and len(self.program.runs) <= FEW:
             anchors, rest = [], [(number, run) for run, number in self.program.runs.items()]
         found = [self.everywhere(number, run) for number, run in rest] + ([self.anchored(table, anchors)] if anchors else [])
@@ -178,7 +202,8 @@ class Scan:
 
     def __init__(self, lists: DataFrame, patterns: list[Pattern]):
         self.spark = lists.sparkSession
-        self.program = Program.of(patterns)
+        fused = Program.of(patterns, True)
+        self.program = fused if len(fused.runs) <= FEW else Program.of(patterns)  # closers are only looked for by plans that know their runs
         self.bounds = depths_needed(patterns)
         self.runs = Runs(self.program, self.bounds)
         begins = bool(self.program.begins)
@@ -212,7 +237,7 @@ class Scan:
         done = joined.where((F.size("equal") == 0) | fit)
         caps = F.when(F.size("sources") > 0, F.transform("sources", source)).otherwise(F.col("caps"))
         return done.select(
-            "file", "rule", F.col("target").alias("node"), (F.col("first") + F.col("size")).alias("pos"), "after", "stops", F.expr("get(spans, size - 1).end").alias("last"), "origin", "c_depth", "c_scope", "c_statement", caps.alias("caps"),
+            "file", "rule", F.col("target").alias("node"), F.col("behind").alias("pos"), "after", "stops", F.expr("get(spans, size - 1).end").alias("last"), "origin", "c_depth", "c_scope", "c_statement", caps.alias("caps"),
             F.expr("if(begin >= 0, get(spans, begin).start, vis_start)").alias("vis_start"), F.expr("if(finish >= 0, get(spans, finish).end, vis_end)").alias("vis_end"),
         )
 
@@ -258,7 +283,7 @@ class Scan:
         inside = states.join(F.broadcast(self.table(self.program.loops, "rule int, node int, loop int")), ["rule", "node"])
         body = F.broadcast(self.table([(loop, run) for runs, loop in self.program.bodies.items() for run in runs], "loop int, run int"))
         keys = ["file", "loop", "pos"]
-        steps = self.found.join(body, "run").selectExpr("file", "loop", "first AS pos", "first + size(toks) AS to", "after AS a", "stops AS s", "spans[size(toks) - 1].end AS l")
+        steps = self.found.join(body, "run").selectExpr("file", "loop", "first AS pos", "behind AS to", "after AS a", "stops AS s", "spans[size(toks) - 1].end AS l")
         reached, all_ = cut(inside), [states]
         if reached.isEmpty():
             return states
