@@ -3,6 +3,7 @@
 import itertools
 import json
 import os
+import random
 
 import pandas as pd
 import pytest
@@ -14,7 +15,7 @@ from tokenloom.api import find
 from tokenloom.functions.tokenize import as_text, token_lists
 from tokenloom.plans.pattern import load, load_files
 from tokenloom.sources.files import read_files
-from tokenloom.streaming.chunks import Assembly, read_findings, scan_stream
+from tokenloom.streaming.chunks import Assemblies, Assembly, read_findings, scan_stream
 
 
 def findings(spark, lang, text, *rules):
@@ -239,3 +240,89 @@ def test_chunks_of_the_query_are_written_by_many_tasks(spark, tmp_path, monkeypa
     folder = folders[0].removeprefix("file:")
     written = spark.read.parquet(f"{folder}/in").select("_metadata.file_path").distinct().count()
     assert written > 8 and len([x for x in os.listdir(f"{folder}/out") if x.startswith("batch=")]) == 4
+
+
+class Counted(Store):
+    """A Store that counts the exchanges with its map and value states."""
+
+    def __init__(self):
+        super().__init__()
+        self.calls = 0
+
+    def _counted(self, state):
+        class Outer:
+            def __getattr__(_, name):  # noqa: N805
+                self.calls += 1
+                return getattr(state, name)
+
+        return Outer()
+
+    def getMapState(self, name, *_):  # noqa: N802
+        return self._counted(super().getMapState(name))
+
+    def getValueState(self, name, *_):  # noqa: N802
+        return self._counted(super().getValueState(name))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_groups_of_files_are_assembled_as_files_are(seed):
+    """In any order, with repeats, strays beyond the end and files that never end, each micro-batch gives what it gives when each file is a key."""
+    r = random.Random(seed)
+    rows = []
+    for f in range(60):
+        n = r.choice((1, 1, 2, 3, 9))
+        mine = [(f"f{f}", "c", k, f"{f}.{k};".encode() if r.random() < 0.9 else b"", k == n - 1) for k in range(n)]
+        rows += (mine[:-1] if r.random() < 0.1 else mine) + r.choices(mine, k=r.choice((0, 0, 2))) + [(f"f{f}", "c", n + 3, b"stray", False)] * (r.random() < 0.2)
+    r.shuffle(rows)
+    batches = [rows[k::5] for k in range(5)]
+    frame = lambda x: pd.DataFrame(x, columns=["file", "lang", "seq", "content", "last"])
+    one, group = Counted(), Assemblies(50, None)
+    group.init(one)
+    stores = {}
+    for batch in batches:
+        want = []
+        for f in dict.fromkeys(x[0] for x in batch):
+            store, single = stores.setdefault(f, (Counted(), Assembly(50, None)))
+            single.init(store)
+            want += [df for df in single.handleInputRows((f, "c"), iter([frame([x for x in batch if x[0] == f])]), Clock())]
+        got = list(group.handleInputRows((0,), iter([frame(batch[:40]), frame(batch[40:])] if len(batch) > 40 else [frame(batch)]), Clock()))
+        key = lambda frames: sorted((a, b, bytes(c)) for df in frames for a, b, c in zip(df["file"], df["lang"], df["content"], strict=True))
+        assert key(got) == key(want)
+    late = type("Late", (), {"getCurrentProcessingTimeInMs": lambda _: 1050})()
+    want = [df for f, (store, single) in stores.items() if store.timers for df in single.handleExpiredTimer((f, "c"), late, None)]
+    given_up = list(group.handleExpiredTimer((0,), late, None))
+    assert key(given_up) == key([df for df in want if len(df)]) and set(one.timers) == {1050}
+    assert not one.maps["chunks"] and not one.values and set(one.maps["done"]) == {x[:2] for x in rows}
+    assert one.calls * 4 < sum(store.calls for store, _ in stores.values())
+
+
+def test_chunks_of_groups_late_and_repeated(spark, tmp_path):
+    """As test_chunks_late_and_repeated, with two keys for all files, over restarts."""
+    schema = "file string, lang string, seq int, content string, last boolean"
+    batches = [
+        [("a", "c", 2, "(2);", True), ("b", "c", 0, "call(3", False)],
+        [("a", "c", 0, "call(1); c", False), ("b", "c", 1, "0);", True), ("b", "c", 0, "call(3", False)],
+        [("a", "c", 1, "all", False), ("a", "c", 1, "all", False), ("b", "c", 1, "0);", True), ("n", "c", 0, "call(9);", False)],
+        [("a", "c", 2, "(2);", True), ("b", "c", 0, "call(3", False), ("d", "c", 0, "call(4);", True), ("e", "c", 0, "no", True)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        scan_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), load("patterns: ['call($N)']\nlanguages: [c]"), str(tmp_path / "out"), str(tmp_path / "staging"), groups=2).awaitTermination()
+    got = sorted((r.file, r.start.offset, r.captures["N"]) for r in read_findings(spark, str(tmp_path / "out")).collect())
+    assert got == [("a", 0, "1"), ("a", 9, "2"), ("b", 0, "30"), ("d", 0, "4")]
+    state = spark.read.format("statestore")
+    kept = state.option("stateVarName", "waiting").load(str(tmp_path / "staging/progress")).selectExpr("value.files AS f").collect()
+    assert [[x[0] for x in json.loads(r.f)[1]] for r in kept] == [["n"]]
+    assert spark.read.format("statestore").option("stateVarName", "chunks").load(str(tmp_path / "staging/progress")).count() == 1
+
+
+def test_files_of_the_stream_query_share_keys(spark, tmp_path, monkeypatch):
+    """Before, each file was a key of the state, with its own exchanges between worker and state."""
+    texts = [(k, f"{'x ' * 700 * (k % 3)}token = s{k} ;") for k in range(400)]
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    folders = []
+    monkeypatch.setattr(queries, "delete", lambda _, folder: folders.append(folder))
+    found = queries.stream_equals_batch(spark, str(tmp_path)).collect()
+    assert sorted(r.v for r in found) == sorted(f"s{k}" for k, _ in texts)
+    done = spark.read.format("statestore").option("stateVarName", "done").load(f"{folders[0]}/staging/progress")
+    assert done.count() == 400 and done.select("key").distinct().count() <= 16

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.api import find
 from tokenloom.functions.segments import tokenize_segments
-from tokenloom.functions.shared import cut, new_folder
+from tokenloom.functions.shared import cut, new_folder, release
 from tokenloom.functions.tokenize import as_text, tokenize
 from tokenloom.plans.pattern import expand, load, load_files
 from tokenloom.sources.files import finding_json, read_files
@@ -383,15 +383,19 @@ SELECT file, lang, CASE lang WHEN 'kotlin' THEN 'js' ELSE lang END AS compat FRO
 def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that arrive in chunks of 1000 characters, in four micro-batches in no order, some chunks twice."""
     size = 1000
-    whole = documents(spark, sf_dir).where("content is not null")
+    table = documents(spark, sf_dir)
     cuts = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("content") / size).cast("int") - 1, F.lit(0)))
-    chunks = whole.select("file", "lang", "content", F.explode(cuts).alias("seq"))
-    chunks = chunks.select("file", "lang", "seq", F.col("content").substr(F.col("seq") * size + 1, F.lit(size)).alias("content"), ((F.col("seq") + 1) * size >= F.length("content")).alias("last"))
+    places = table.where("content is not null").select("file", "lang", "content", F.explode(cuts).alias("seq"))
+    times = lambda k: sum((F.pmod(F.xxhash64("file", "seq"), F.lit(n)) == k).cast("int") for n in (4, 29))
+    chunk = ("file", "lang", "seq", F.col("content").substr(F.col("seq") * size + 1, F.lit(size)).alias("content"), ((F.col("seq") + 1) * size >= F.length("content")).alias("last"))
+    parts = [places.select("*", F.explode(F.array_repeat(F.lit(k), times(k))).alias("k")).select(*chunk) for k in range(4)]
+    groups = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), table.count() // 256)
     folder = new_folder(spark, "stream")
-    for k in range(4):  # as many files as the table has parts; the stream goes on where it has stopped and takes them as one micro-batch
-        chunks.where(F.pmod(F.xxhash64("file", "seq"), F.lit(4)) == k).unionByName(chunks.where(F.pmod(F.xxhash64("file", "seq"), F.lit(29)) == k)).write.mode("append").parquet(f"{folder}/in")
-        stream = spark.readStream.schema(chunks.schema).parquet(f"{folder}/in")
-        scan_stream(stream, patterns("token = $S", language="c"), f"{folder}/out", f"{folder}/staging").awaitTermination()
+    for part in parts:  # as many files as the table has parts; the stream goes on where it has stopped and takes them as one micro-batch
+        part.write.mode("append").option("compression", "zstd").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(part.schema).parquet(f"{folder}/in")
+        scan_stream(stream, patterns("token = $S", language="c"), f"{folder}/out", f"{folder}/staging", groups=groups).awaitTermination()
+        release(spark)
     found = cut(read_findings(spark, f"{folder}/out").select("file", F.col("start.offset").alias("s"), F.col("end.offset").alias("e"), F.col("captures")["S"].alias("v")))
     delete(spark, folder)
     return found
